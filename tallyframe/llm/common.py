@@ -106,6 +106,18 @@ class WordMemo:
         return [young[w] for w in words]
 
 
+_MEMO: list = [None, None]
+
+
+def memo_of(model) -> WordMemo:
+    """The memo of a worker for the words of a model; it lasts while tasks bring the same model."""
+    mark = getattr(model, "mark", None)
+    if _MEMO[0] is None or _MEMO[0] != mark:
+        _MEMO[:] = [mark, WordMemo(model.words)]
+    _MEMO[1].compute = model.words
+    return _MEMO[1]
+
+
 def indexed(docs: list[list[str]]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """The distinct words of some documents, every word's place among them, and the bounds of the documents."""
     vocabulary = list(set().union(*docs)) if docs else []

@@ -103,12 +103,10 @@ def _merge(ends: list, low: int | None, high: int | None, count: int) -> list:
 def _pre_aggregate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The copies that a partition holds become one row; over the memory bound, tries are emitted and begun anew."""
     tries: dict[int, PatriciaTrie] = {}
-    digests: dict[bytes, tuple[bytes, int]] = {}
     held = 0
     for batch in batches:
-        ids, texts, keys = (batch.column(n) for n in ("id", "text", "digest"))
-        ids, keys = ids.to_pylist(), keys.to_pylist()
-        for i, key in enumerate(keys):
+        ids, texts = batch.column("id").to_pylist(), batch.column("text")
+        for i in range(batch.num_rows):
             text = texts[i].as_py()
             trie = tries.get(len(text))
             if trie is None:
@@ -116,7 +114,6 @@ def _pre_aggregate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             before = trie.bytes
             trie.insert(text, ids[i], ids[i], 1)
             held += trie.bytes - before
-            digests[key] = True
             if held > TRIE_BYTES:
                 yield from _emit_partial(tries)
                 tries, held = {}, 0
@@ -190,7 +187,7 @@ def _digest(data: Column) -> Column:
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each distinct text: ``digest, length, min_id, max_id, n_rows``."""
-    data = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(F.col(text_col)).alias("text")).withColumn("digest", _digest(F.col("text")))
+    data = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(F.col(text_col)).alias("text"))
     partial = data.mapInArrow(_pre_aggregate, "text binary, min_id long, max_id long, n_rows long")
     keyed = partial.select(_digest(F.col("text")).alias("digest"), F.length("text").cast("long").alias("length"), "text", "min_id", "max_id", "n_rows")
     return keyed.repartition("length", "digest").sortWithinPartitions("length", "digest").mapInArrow(_own, OWNED)
@@ -220,6 +217,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     Where repeated rows share the winning id, one of them stays; a group without any id keeps one row.
     """
     columns = docs.columns
-    marked = mark(docs, id_col, text_col, keep).where(F.col("kept") | F.col("keep_id").isNull())
-    first = Window.partitionBy("text_sha256").orderBy(*[F.col(c).cast("string") for c in columns if c != text_col])
-    return marked.withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*columns)
+    winner = {"largest": "max_id", "smallest": "min_id"}[keep]
+    name = lambda c: F.coalesce(c.cast("long").cast("string"), F.lit("null"))
+    owned, _ = materialise(groups(docs, id_col, text_col).select(F.col("digest").alias("__digest"), name(F.col(winner)).alias("__name")), "owners")
+    rows = docs.select(*columns, _digest(text_bytes(F.col(text_col))).alias("__digest"), name(F.col(id_col)).alias("__name"))
+    first = Window.partitionBy("__digest", "__name").orderBy(*[F.col(c).cast("string") for c in columns if c not in (text_col, id_col)])
+    return rows.join(owned, ["__digest", "__name"], "left_semi").withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*columns)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, exact_dedup, simhash
+from . import bpe, embeddings, exact_dedup, html_text, langid, mixing, quality, simhash, toxicity, warc
+from .common import held_out
 
 #: The vocabulary file of op10: a parameter, the same on every machine.
 VOCABULARY = "byte_bpe_50k.json"
@@ -21,6 +22,35 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.round_trip(table(spark, sf_dir, "pages"), min_bytes=0)
+    return read.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.train(docs))
+    return found.select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "lang_pred", "score", "entropy", "rejected")
+
+
+def _judged(scored: DataFrame, threshold: float) -> DataFrame:
+    return scored.select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return _judged(toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))), toxicity.THRESHOLD)
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = mixing.mark(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return marked.select("doc_id", F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"), F.col("__tokens").alias("tokens"), F.col("__probability").alias("probability"), F.col("__kept").alias("kept"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = simhash.mark(table(spark, sf_dir, "documents"), shingle=3, words=1, max_distance=2)
     digits = F.hex("fp")
@@ -33,6 +63,11 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return _judged(quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels"))), quality.THRESHOLD)
+
+
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = embeddings.mark(table(spark, sf_dir, "embeddings"), threshold=0.9)
     return marked.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
@@ -44,13 +79,36 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_text": op1_html_text,
+    "op2_warc": op2_warc,
+    "op3_language": op3_language,
+    "op4_toxicity": op4_toxicity,
+    "op5_mixing": op5_mixing,
     "op6_simhash": op6_simhash,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_quality": op8_quality,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_bpe": op10_bpe,
 }
 
 ORACLE = {
+    "op2_warc": """
+        WITH payload AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h,
+                   min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id
+            FROM pages
+        ), five AS (
+            SELECT page_id, payload_bytes, first_id,
+                   list_transform(range(8), lambda i: CAST('0x' || substr(h, CAST(5 * i + 1 AS BIGINT), 5) AS BIGINT)) AS parts
+            FROM payload
+        )
+        SELECT page_id, payload_bytes,
+               array_to_string(list_transform(parts, lambda n: array_to_string(list_transform([15, 10, 5, 0], lambda s:
+                   substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((n >> s) & 31) + 1 AS BIGINT), 1)), '')), '') AS payload_digest,
+               CASE WHEN page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id > first_id THEN first_id END AS refers_to
+        FROM five
+    """,
     "op7_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,

@@ -247,10 +247,15 @@ def distance_at(similarity: float, words: int) -> int:
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row of each group of documents that links of at least ``similarity`` connect: that with the smallest id."""
+    """One row of each group of documents that links of at least ``similarity`` connect: that with the smallest id.
+
+    A row with a null id takes part under a number that follows from its columns and is above all ids.
+    """
     columns = docs.columns
-    marked = mark(docs, id_col, text_col, shingle, NEAR_WORDS, distance_at(similarity, NEAR_WORDS), similarity)
-    keep = marked.select(F.col("id").alias("__id"), (F.col("id") == F.col("component")).alias("__kept")).where("__kept").select("__id").distinct()
-    kept = docs.join(keep, docs[id_col] == F.col("__id"), "left_semi")
-    first = Window.partitionBy(id_col).orderBy(F.xxhash64(*[F.col(c) for c in columns]))
+    stand_in = F.lit(1 << 62) + F.pmod(F.xxhash64(*[F.col(c) for c in columns]), F.lit(1 << 61))
+    named = docs.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), stand_in))
+    marked = mark(named, "__id", text_col, shingle, NEAR_WORDS, distance_at(similarity, NEAR_WORDS), similarity)
+    keep = marked.where(F.col("id") == F.col("component")).select(F.col("id").alias("__id")).distinct()
+    first = Window.partitionBy("__id").orderBy(*[F.col(c).cast("string") for c in columns if c != id_col])
+    kept = named.join(keep, "__id", "left_semi")
     return kept.withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*columns)
