@@ -41,19 +41,45 @@ def in_blocks(rows: DataFrame, key: str, node: str, block_rows: int = BLOCK_ROWS
     return placed.select(*rows.columns, F.explode(pairs).alias("p")).select(*rows.columns, "p.pair", "p.side")
 
 
-def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Runs of two or more rows with equal keys, from batches sorted by them; lone rows are left out."""
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups with the bounds of these, from batches sorted by the keys."""
     rest: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
+        if rest and all(rest[-1].column(k)[-1] == batch.column(k)[0] == batch.column(k)[-1] for k in keys):
+            rest.append(batch)
+            continue
         table = pa.Table.from_batches([*rest, batch]).combine_chunks()
         cuts = _cuts(table, keys)
-        yield from _runs(table, cuts[:-1])
+        if len(cuts) > 2:
+            yield table.slice(0, cuts[-2]), cuts[:-1]
         rest = table.slice(cuts[-2]).to_batches()
     if rest:
-        table = pa.Table.from_batches(rest)
-        yield from _runs(table, np.array([0, table.num_rows]))
+        table = pa.Table.from_batches(rest).combine_chunks()
+        yield table, np.array([0, table.num_rows])
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Runs of two or more rows with equal keys, from batches sorted by them; lone rows are left out."""
+    for table, cuts in whole_groups(batches, keys):
+        yield from _runs(table, cuts)
+
+
+def small_pairs(cuts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows within each group of at most ``most`` rows, for all these groups at once."""
+    sizes = np.diff(cuts)
+    end = np.repeat(np.where(sizes <= most, cuts[1:], 0), sizes)
+    here = np.arange(len(end))
+    first, second = [], []
+    for shift in range(1, most):
+        i = here[here + shift < end]
+        if not len(i):
+            break
+        first.append(i)
+        second.append(i + shift)
+    none = np.zeros(0, dtype=np.int64)
+    return np.concatenate([none, *first]), np.concatenate([none, *second])
 
 
 def _cuts(table: pa.Table, keys: list[str]) -> np.ndarray:

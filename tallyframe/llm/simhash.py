@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .buckets import grouped, in_blocks, link_near, star_edges
+from .buckets import in_blocks, link_near, small_pairs, star_edges, whole_groups
 from .common import materialise
 from .components import connected_components
 
@@ -192,17 +192,35 @@ def _within(fps: np.ndarray, coordinates: np.ndarray, d: int, a: np.ndarray, b:
     return possible
 
 
+#: Groups of at most so many rows are compared together, pair by pair.
+SMALL = 48
+
+
 def _link(batches: Iterator[pa.RecordBatch], words: int, d: int) -> Iterator[pa.RecordBatch]:
     rng = np.random.default_rng(3)
     pivots = rng.integers(0, 2**63, (FILTER_PIVOTS, words), dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, (FILTER_PIVOTS, words), dtype=np.uint64)
-    for run in grouped(batches, ["key", "pair"]):
-        node = run["node"].to_numpy()
-        fps = np.frombuffer(b"".join(run["fp"].to_pylist()), dtype=np.uint64).reshape(-1, words)
+    for table, cuts in whole_groups(batches, ["key", "pair"]):
+        shared = np.repeat(np.diff(cuts) > 1, np.diff(cuts))
+        if not shared.any():
+            continue
+        table, cuts = table.filter(pa.array(shared)), np.concatenate([[0], np.cumsum(np.diff(cuts)[np.diff(cuts) > 1])])
+        node = table["node"].to_numpy()
+        fps = np.frombuffer(b"".join(table["fp"].to_pylist()), dtype=np.uint64).reshape(-1, words)
         coordinates = np.stack([_popcount(fps ^ p).sum(1, dtype=np.int16) for p in pivots], axis=1)
-        labels = link_near(lambda a, b: _within(fps, coordinates, d, a, b), len(fps))  # noqa: B023
-        u, v = star_edges(labels, node)
-        if len(u):
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+        i, j = small_pairs(cuts, SMALL)
+        for at in range(0, len(i), 1 << 16):
+            x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+            near = np.abs(coordinates[x] - coordinates[y]).max(1) <= d
+            x, y = x[near], y[near]
+            near = _popcount(fps[x] ^ fps[y]).sum(1) <= d
+            if near.any():
+                yield pa.RecordBatch.from_arrays([pa.array(node[x[near]]), pa.array(node[y[near]])], ["u", "v"])
+        for g in np.flatnonzero(np.diff(cuts) > SMALL):
+            a, b = cuts[g], cuts[g + 1]
+            labels = link_near(partial(_within, fps[a:b], coordinates[a:b], d), b - a)
+            u, v = star_edges(labels, node[a:b])
+            if len(u):
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, words: int = 1) -> DataFrame:
