@@ -97,13 +97,30 @@ def _runs(table: pa.Table, cuts: np.ndarray) -> Iterator[pa.Table]:
 
 
 def star_edges(labels: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges from each node to the first of its label."""
-    _, first = np.unique(labels, return_index=True)
-    head = np.empty(labels.max() + 1, dtype=np.int64)
-    head[labels[first]] = first
-    to = head[labels]
-    moved = to != np.arange(len(labels))
-    return nodes[moved], nodes[to[moved]]
+    """Edges from each node to the smallest node of its label."""
+    names, place = np.unique(labels, return_inverse=True)
+    least = np.full(len(names), np.iinfo(np.int64).max)
+    np.minimum.at(least, place, nodes)
+    to = least[place]
+    moved = to != nodes
+    return nodes[moved], to[moved]
+
+
+def merge_labels(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Labels (places of rows) fall to the smallest of the linked rows and of those that share a label with them."""
+    while True:
+        low = np.minimum(label[x], label[y])
+        if (label[x] == low).all() and (label[y] == low).all():
+            return
+        best = np.arange(len(label))
+        np.minimum.at(best, label[x], low)
+        np.minimum.at(best, label[y], low)
+        while True:
+            deeper = best[best]
+            if (deeper == best).all():
+                break
+            best = deeper
+        label[:] = best[label]
 
 
 class Forest:

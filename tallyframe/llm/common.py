@@ -70,6 +70,13 @@ def rows_of(batch, *names: str) -> Iterator[tuple]:
     return zip(*(batch.column(n).to_pylist() for n in names), strict=True)
 
 
+def small(batches, rows: int = 256) -> Iterator:
+    """The same rows in small record batches, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, max(batch.num_rows, 1), rows):
+            yield batch.slice(at, rows)
+
+
 def slices(texts: list, chars: int = 1_500_000) -> Iterator[tuple[int, int]]:
     """Bounds of runs of texts with about so many characters in all, one text at least."""
     start = size = 0
@@ -85,7 +92,7 @@ def slices(texts: list, chars: int = 1_500_000) -> Iterator[tuple[int, int]]:
 class WordMemo:
     """Values of words, computed for many unseen words at once; two generations bound the memory."""
 
-    def __init__(self, compute: Callable[[list[str]], list], limit: int = 150_000):
+    def __init__(self, compute: Callable[[list[str]], list], limit: int = 100_000):
         self.compute, self.limit = compute, limit
         self.young: dict = {}
         self.old: dict = {}
@@ -109,6 +116,11 @@ class WordMemo:
 _MEMO: list = [None, None]
 
 
+def release_memo() -> None:
+    """Forget the memo of an earlier stage's model."""
+    _MEMO[:] = [None, None]
+
+
 def memo_of(model) -> WordMemo:
     """The memo of a worker for the words of a model; it lasts while tasks bring the same model."""
     mark = getattr(model, "mark", None)

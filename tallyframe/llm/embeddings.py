@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import grouped, in_blocks, star_edges
+from .buckets import grouped, in_blocks, merge_labels, star_edges
 from .common import materialise
 from .components import connected_components
 
@@ -105,7 +105,7 @@ def _verify_run(run: pa.Table, threshold: float, step: int) -> Iterator[pa.Recor
                 x, y = x[fresh], y[fresh]
                 np.add.at(links, x, copies[y])
                 np.add.at(links, y, copies[x])
-                _join(label, x, y)
+                merge_labels(label, x, y)
     if links.any():
         found = np.flatnonzero(links)
         label = label[found]
@@ -114,23 +114,6 @@ def _verify_run(run: pa.Table, threshold: float, step: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([pa.array(node[found]), pa.array(links[found]), pa.array([root.get(n, n) for n in node[found].tolist()], pa.int64())], ["node", "links", "root"])
 
 
-def _join(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
-    """Labels fall to the smallest of the linked rows and of those that share a label with them."""
-    while True:
-        low = np.minimum(label[x], label[y])
-        if (label[x] == low).all() and (label[y] == low).all():
-            return
-        best = np.arange(len(label))
-        np.minimum.at(best, label[x], low)
-        np.minimum.at(best, label[y], low)
-        while True:
-            deeper = best[best]
-            if (deeper == best).all():
-                break
-            best = deeper
-        label[:] = best[label]
-
-
 def mark(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, recall: float = RECALL) -> DataFrame:
     """``id, n_links, component, kept`` for every row."""
     raw = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))

@@ -25,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordMemo, find, gram_hashes, held_out, indexed, memo_of, sample_of, slices, word_codes
+from .common import find, gram_hashes, held_out, indexed, memo_of, sample_of, slices, small, word_codes, WordMemo
 
 #: Documents (all languages) that models are fitted on at most.
 SAMPLE_DOCS = 4000
@@ -186,7 +186,7 @@ def _has_letter(text: str) -> bool:
 def _predict(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
     model: Model = shared.value
     memo = memo_of(model)
-    for batch in batches:
+    for batch in small(batches):
         texts = [t or "" for t in batch.column("text").to_pylist()]
         lang, score, entropy = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.full(len(texts), np.nan)
         if model.languages:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
-from .common import WordMemo, indexed, memo_of, slices
+from .common import indexed, memo_of, slices, small, WordMemo
 from .toxicity import labelled
 from .toxicity import score as scored
 
@@ -179,7 +179,7 @@ def fit(rows: list[tuple[str, int]]) -> Model:
 def _score(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
     model: Model = shared.value
     memo = memo_of(model)
-    for batch in batches:
+    for batch in small(batches):
         texts = [t or "" for t in batch.column("text").to_pylist()]
         scores = [model.score(texts[a:b], memo) for a, b in slices(texts)]
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.concatenate(scores) if scores else np.zeros(0))], ["id", "score"])

@@ -32,8 +32,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .buckets import in_blocks, link_near, small_pairs, star_edges, whole_groups
-from .common import materialise
+from .buckets import in_blocks, link_near, merge_labels, small_pairs, star_edges, whole_groups
+from .common import materialise, release_memo, small
 from .components import connected_components
 
 SEED = 42
@@ -88,7 +88,8 @@ def fingerprint(text: str | None, k: int = 3, words: int = 1) -> np.ndarray:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], k: int, words: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    release_memo()
+    for batch in small(batches):
         texts = batch.column("text")
         prints = [fingerprint(texts[i].as_py(), k, words).tobytes() for i in range(batch.num_rows)]
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(prints, pa.binary())], ["id", "fp"])
@@ -207,20 +208,20 @@ def _link(batches: Iterator[pa.RecordBatch], words: int, d: int) -> Iterator[pa.
         node = table["node"].to_numpy()
         fps = np.frombuffer(b"".join(table["fp"].to_pylist()), dtype=np.uint64).reshape(-1, words)
         coordinates = np.stack([_popcount(fps ^ p).sum(1, dtype=np.int16) for p in pivots], axis=1)
+        label = np.arange(len(node))
         i, j = small_pairs(cuts, SMALL)
         for at in range(0, len(i), 1 << 16):
             x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
             near = np.abs(coordinates[x] - coordinates[y]).max(1) <= d
             x, y = x[near], y[near]
             near = _popcount(fps[x] ^ fps[y]).sum(1) <= d
-            if near.any():
-                yield pa.RecordBatch.from_arrays([pa.array(node[x[near]]), pa.array(node[y[near]])], ["u", "v"])
+            merge_labels(label, x[near], y[near])
         for g in np.flatnonzero(np.diff(cuts) > SMALL):
             a, b = cuts[g], cuts[g + 1]
-            labels = link_near(partial(_within, fps[a:b], coordinates[a:b], d), b - a)
-            u, v = star_edges(labels, node[a:b])
-            if len(u):
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+            label[a:b] = a + link_near(partial(_within, fps[a:b], coordinates[a:b], d), b - a)
+        u, v = star_edges(label, node)
+        if len(u):
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, words: int = 1) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordMemo, gram_hashes, held_out, indexed, memo_of, sample_of, slices, word_codes
+from .common import gram_hashes, held_out, indexed, memo_of, sample_of, slices, small, word_codes, WordMemo
 
 #: Labelled rows that the classifier is fitted on at most.
 SAMPLE_ROWS = 6000
@@ -166,7 +166,7 @@ def fit(rows: list[tuple[str, int]]) -> Model:
 def _score(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
     model: Model = shared.value
     memo = memo_of(model)
-    for batch in batches:
+    for batch in small(batches):
         texts = [t or "" for t in batch.column("text").to_pylist()]
         scores = [model.score(model.margin(texts[a:b], memo)) for a, b in slices(texts)]
         yield pa.RecordBatch.from_arrays([*(c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "text"), pa.array(np.concatenate(scores) if scores else np.zeros(0))], [*(n for n in batch.schema.names if n != "text"), "score"])
