@@ -61,6 +61,6 @@ def subtotals(df: DataFrame, ord_cols: Sequence[str], columns: Sequence[str] | N
     """``checked, passed, status, failures``: n/a if nothing could be checked, ok if all passed, else check."""
     said = F.concat(F.col("target"), F.lit("["), F.col("column"), F.lit("]: got "), _general(F.col("got")), F.lit(", expected "), _general(F.col("expected")))
     rows = checks(df, ord_cols, columns).withColumn("said", F.when(~F.col("passed"), F.struct("chain", "n", said.alias("text"))))
-    total = rows.agg(F.count("*").alias("checked"), F.count_if("passed").alias("passed"), F.transform(F.slice(F.array_sort(F.collect_list("said")), 1, MAX_FAILURES), lambda x: x.text).alias("failures"))
+    total = rows.agg(F.count("*").alias("checked"), F.count_if("passed").alias("passed"), F.transform(F.slice(F.array_sort(F.collect_list("said")), 1, MAX_FAILURES), lambda x: x["text"]).alias("failures"))
     status = F.when(F.col("checked") == 0, "n/a").when(F.col("passed") == F.col("checked"), "ok").otherwise("check")
     return total.select("checked", "passed", status.alias("status"), "failures")

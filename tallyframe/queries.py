@@ -133,7 +133,7 @@ def _agg(name: str, sql: str) -> None:
 
 
 _agg("sum", "sum(price)")
-_agg("mean", "round(CAST(sum(price) * 10000 AS HUGEINT) / CAST(100 AS HUGEINT)::DECIMAL(28,2) / count(*) / 100.0, 2)")
+_agg("mean", "((2 * CAST(sum(price) * 100 AS HUGEINT) + CASE WHEN sum(price) < 0 THEN -count(*) ELSE count(*) END) // (2 * count(*))) / 100.0")
 _agg("min", "min(price)")
 _agg("max", "max(price)")
 _agg("first", f"first(price ORDER BY {_ORDER})")
@@ -330,7 +330,10 @@ def melt(spark: SparkSession, d: str) -> DataFrame:
 def qc_subtotals(spark: SparkSession, d: str) -> DataFrame:
     """A statement by year made from the line items, its gross profit checked; odd years are stated wrongly."""
     years = table(spark, d, "lineitem").groupBy(F.year("l_shipdate").alias("y")).agg(F.sum(cents(F.col("l_extendedprice"))).alias("revenue"), F.sum((F.col("l_discount") * 100).cast(MONEY)).alias("cost"))
-    long = years.select("y", F.explode(F.array(F.struct(F.lit(1).alias("ord"), F.lit("Revenue").alias("item"), F.col("revenue").cast("double").alias("v")), F.struct(F.lit(2), F.lit("Cost of sales"), (-F.col("cost")).cast("double")), F.struct(F.lit(3), F.lit("Gross Profit"), (F.col("revenue") - F.col("cost") + F.when(F.col("y") % 2 == 0, 0).otherwise(5)).cast("double")))).alias("x")).select("y", "x.*")
+    profit = F.col("revenue") - F.col("cost") + F.when(F.col("y") % 2 == 0, 0).otherwise(5)
+    items = [(1, "Revenue", F.col("revenue")), (2, "Cost of sales", -F.col("cost")), (3, "Gross Profit", profit)]
+    lines = [F.struct(F.lit(i).alias("ord"), F.lit(n).alias("item"), v.cast("double").alias("v")) for i, n, v in items]
+    long = years.select("y", F.inline(F.array(*lines)))
     names = [r["y"] for r in years.select("y").distinct().orderBy("y").collect()]  # a column a year
     wide = long.groupBy("ord", "item").pivot("y", names).agg(F.first("v"))
     wide = wide.select("ord", "item", *[F.col(f"`{y}`").alias(f"FY{y}") for y in names])
