@@ -157,7 +157,7 @@ def gram_hashes(codes: np.ndarray, order: int) -> np.ndarray:
     h = np.zeros(len(codes), dtype=np.uint64)
     for back in range(order):
         shifted = np.zeros_like(codes)
-        shifted[back:] = codes[: len(codes) - back]
+        shifted[back:] = codes[: max(len(codes) - back, 0)]
         h = (h + shifted + np.uint64(1)) * _STEP
         h ^= h >> np.uint64(29)
     return (h + np.uint64(order)) * _MIX

@@ -59,6 +59,8 @@ class Model:
 
     def words(self, words: list[str]) -> list[np.ndarray]:
         """The features of each word."""
+        if not len(self.buckets):
+            return [_NONE] * len(words)
         slot = self.__dict__.get("_slot")
         if slot is None:
             slot = np.full(BUCKETS, -1, dtype=np.int32)
