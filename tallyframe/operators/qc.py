@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,18 +42,17 @@ def checks(df: DataFrame, ord_cols: Sequence[str], columns: Sequence[str] | None
     number = {v: numbers.number_of(df[v], df.schema[v].dataType).cast("double") for v in values}
     rows = df.select(text.label_key(text.or_empty(df[label])).alias("k"), F.struct(*[df[c] for c in ord_cols]).alias("o"), F.array(*[number[v] for v in values]).cast("array<double>").alias("v")).where(F.col("k").isin(*needed))
     last = rows.groupBy("k").agg(F.max_by("v", "o").alias("v"))
-    table = last.agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"))  # at most one row a known label
-    get = lambda name, i: F.element_at(F.col("m"), F.lit(name))[i]
-    out = []
-    for c, (target, adds, subs) in enumerate(CHAINS):
-        for i, name in enumerate(values):
-            plus = reduce(lambda a, b: a + b, [get(a, i) for a in adds])
-            minus = reduce(lambda a, b: a + b, [get(s, i) for s in subs])
-            got = get(target, i)
-            near = F.least(F.abs(plus + minus - got), F.abs(plus - minus - got)) <= SLACK
-            out.append(F.struct(F.lit(c).alias("chain"), F.lit(target).alias("target"), F.lit(i).alias("n"), F.lit(name).alias("column"), got.alias("got"), (plus + minus).alias("expected"), near.alias("passed")))
-    found = table.select(F.explode(F.array(*out)).alias("x")).select("x.*") if out else table.sparkSession.createDataFrame([], "chain int, target string, n int, column string, got double, expected double, passed boolean")
-    return found.where(F.col("got").isNotNull() & F.col("expected").isNotNull())
+    cells = last.select("k", F.posexplode("v").alias("n", "v"))
+    parts = [(i, target, k, role) for i, (target, adds, subs) in enumerate(CHAINS) for role, names in (("got", (target,)), ("add", adds), ("sub", subs)) for k in names]
+    rules = F.broadcast(df.sparkSession.createDataFrame(parts, "chain int, target string, k string, part string"))  # the fixed rules above
+    total = lambda part: F.sum(F.when(F.col("part") == part, F.col("v")))
+    filled = lambda part: F.count(F.when(F.col("part") == part, F.col("v")))
+    sums = cells.join(rules, "k").groupBy("chain", "target", "n").agg(total("got").alias("got"), total("add").alias("plus"), total("sub").alias("minus"), filled("add").alias("adds"), filled("sub").alias("subs"))
+    needs = F.create_map(*[F.lit(x) for i, (_, adds, subs) in enumerate(CHAINS) for x in (i, len(adds) * 100 + len(subs))])
+    whole = sums.where(F.col("got").isNotNull() & (F.col("adds") * 100 + F.col("subs") == needs[F.col("chain")]))
+    signed, taken = F.col("plus") + F.col("minus"), F.col("plus") - F.col("minus")
+    near = F.least(F.abs(signed - F.col("got")), F.abs(taken - F.col("got"))) <= SLACK
+    return whole.select("chain", "target", F.array(*map(F.lit, values))[F.col("n")].alias("column"), "n", "got", signed.alias("expected"), near.alias("passed"))
 
 
 def subtotals(df: DataFrame, ord_cols: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:

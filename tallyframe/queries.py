@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from .config import EngineConfig, NULL_TOKENS
 from .functions import dates, numbers, similarity, text
-from .operators import matching, ontology, qc, reshape, tfidf
+from . import sinks
+from .operators import edits, grids, matching, ontology, qc, reshape, tfidf
 from .operators import profile as profiles
 from .operators.canonical import canonicalize
 from .plans.reconcile import reconcile
+from .sources import files
 
 QUERIES, ORACLE = {}, {}
 MONEY = "decimal(28,2)"
@@ -373,3 +375,47 @@ def suggest_mapping(spark: SparkSession, d: str) -> DataFrame:
 def topk_cap(spark: SparkSession, d: str) -> DataFrame:
     """A result bucket at its cap of 250 rows (the feature)."""
     return table(spark, d, "orders").select("o_orderkey", cents(F.col("o_totalprice")).alias("amount")).orderBy(F.col("amount").desc(), "o_orderkey").limit(250)
+
+
+def _text_lines(spark, d):
+    """The lines of documents that are tables with pipes."""
+    docs = table(spark, d, "documents").where("text like '% | %'")
+    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+
+
+@query("""
+    WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE text LIKE '% | %'),
+    k AS (SELECT * FROM l WHERE trim(line) <> '' AND NOT regexp_full_match(line, '[\\s|+=\\-_:]+')), f AS (SELECT doc_id, arg_min(line, n) AS first FROM k GROUP BY 1)
+    SELECT CAST(k.doc_id AS VARCHAR) AS doc_id, count(*) AS n_lines,
+           sum(CASE WHEN contains(first, '|') THEN len(string_split(regexp_replace(regexp_replace(trim(line), '^\\|+', ''), '\\|+$', ''), '|')) WHEN contains(first, chr(9)) THEN len(string_split(line, chr(9))) ELSE len(string_split_regex(trim(line), '\\s{2,}')) END)::BIGINT AS n_cells
+    FROM k JOIN f USING (doc_id) GROUP BY 1
+""".replace("\\\\", "\\"))
+def text_table_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with pipes read as text tables: lines and cells."""
+    cells = files.text_table(_text_lines(spark, d))
+    return cells.groupBy("doc_id").agg((F.max("r") + 1).cast("long").alias("n_lines"), F.count("*").alias("n_cells"))
+
+
+@query()
+def regions_and_headers(spark: SparkSession, d: str) -> DataFrame:
+    """Tables found in documents with pipes: name, header and number of records."""
+    found = grids.tables(files.text_table(_text_lines(spark, d)))
+    return found.groupBy("doc_id", "table_name").agg(F.first(F.array_join("columns", " / ")).alias("header"), F.count("*").alias("n_records"))
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation")
+def processed_json_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Nations as a processed JSON document and back."""
+    columns = ["n_nationkey", "n_name", "n_regionkey"]
+    cells = F.map_from_entries(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).cast("string").alias("v")) for c in columns]))
+    nations = table(spark, d, "nation")
+    records = nations.select(F.lit("nation").alias("doc_id"), F.lit("nation").alias("table_name"), F.lit(1).alias("region"), F.col("n_nationkey").cast("int").alias("row_index"), F.array(*map(F.lit, columns)).alias("columns"), cells.alias("values"))
+    docs = sinks.processed(records, "nation").select(F.from_json("json", files.PROCESSED).alias("p")).select("p.*")
+    return docs.select(F.explode("tables").alias("t")).select(F.explode("t.rows").alias("r")).select(*[F.col("r").getItem(c).alias(c) for c in columns])
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY r_regionkey) - 1 AS BIGINT) AS ord, CASE WHEN r_regionkey = (SELECT min(r_regionkey) FROM region WHERE r_regionkey > 0 AND r_regionkey <> 2) THEN 'renamed' ELSE CAST(r_regionkey AS VARCHAR) END AS key, r_name AS name FROM region WHERE r_regionkey > 0 AND r_regionkey <> 2")
+def table_edits(spark: SparkSession, d: str) -> DataFrame:
+    """Regions edited: first row made the header, a row deleted, columns renamed, a label changed."""
+    rows = table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("ord"), F.col("r_regionkey").cast("string").alias("a"), F.col("r_name").alias("b"))
+    return edits.apply_ops(rows, [{"op": "promote_header", "row": 0}, {"op": "delete_rows", "rows": [1]}, {"op": "rename_columns", "names": ["key", "name"]}, {"op": "edit_label", "row": 0, "text": "renamed"}])

@@ -43,8 +43,11 @@ class Library:
         return found
 
     def read(self, name: str) -> bytes:
-        row = self.spark.read.format("binaryFile").load(f"{self.root}/{name}").select("content").first()
-        return bytes(row["content"])
+        stream = self._fs.open(self._path(f"{self.root}/{name}"))  # Spark's readers pass over names that begin with an underscore
+        try:
+            return bytes(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+        finally:
+            stream.close()
 
     def write(self, name: str, data: bytes) -> None:
         out = self._fs.create(self._path(f"{self.root}/{name}"), True)

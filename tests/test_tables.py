@@ -42,7 +42,7 @@ def test_regions_and_bands(spark):
     assert [(r.table_name, r["values"]) for r in rows] == [("g#1", {"a": "p", "b": "1"}), ("g#1", {"a": "r", "b": "3"}), ("g#2", {"x": "q", "y": "2"}), ("g#2", {"x": "s", "y": "4"})]
     band = grid(spark, [["Item", "Plan", "Plan"], [None, "2024", "2025"], ["n", 1, 2], ["m", 3, 4]])
     assert grids.tables(band).first()["columns"] == ["Item", "Plan 2024", "Plan 2025"]
-    same = grid(spark, [["n", "n", "n"], ["u", "v", "w"], ["x", "y", 1]])
+    same = grid(spark, [["n", "n", "n"], ["u", 1, 2]])
     assert grids.tables(same).first()["columns"] == ["n", "n_1", "n_2"]
 
 
