@@ -221,10 +221,15 @@ def _parse(frames: Iterator[pd.DataFrame], sheets: list[str] | None, pages: list
                 yield pd.DataFrame(rows, columns=names).astype({"r": "Int32", "c": "Int32"})
 
 
+def parse_frames(sheets: list[str] | None = None, pages: list[int] | None = None):
+    """The parser as a function for ``mapInPandas`` over rows of ``path, content``."""
+    return partial(_parse, sheets=sheets, pages=pages)
+
+
 def read_cells(spark: SparkSession, path: str | list[str], sheets: list[str] | None = None, pages: list[int] | None = None) -> DataFrame:
     """Cells and warnings of files (globs are fine). Files of no bytes are not listed by Spark. Filter on ``warning is null`` for the cells."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(partial(_parse, sheets=sheets, pages=pages), OUT)
+    return files.mapInPandas(parse_frames(sheets, pages), OUT)
 
 
 def warnings(cells: DataFrame) -> DataFrame:

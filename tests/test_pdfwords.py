@@ -1,0 +1,37 @@
+"""Tables from positioned words."""
+
+from tallyframe.operators import pdfwords
+
+PAGE = [
+    ("Results", 50, 90, 40, 16, "Bold"),
+    ("2024", 300, 330, 80, 10, ""),
+    ("2023", 400, 430, 80, 10, ""),
+    ("Operating", 50, 100, 100, 10, ""),
+    ("income", 104, 140, 100, 10, ""),
+    ("5,902", 302, 330, 100, 10, ""),
+    ("5,379", 402, 430, 100, 10, ""),
+    ("Cost", 50, 70, 115, 10, ""),
+    ("of", 74, 84, 115, 10, ""),
+    ("sales", 50, 80, 130, 10, ""),
+    ("(3,100)", 298, 331, 130, 10, ""),
+    ("–", 425, 430, 130, 10, ""),
+    ("Tax", 50, 70, 145, 10, ""),
+    ("1", 71, 73, 143, 6, ""),
+    ("45%", 310, 330, 145, 10, ""),
+    ("44%", 410, 430, 145, 10, ""),
+]
+
+
+def test_page(spark):
+    rows = [("d", 1, 595.0, t, float(a), float(b), float(top), float(size), font) for t, a, b, top, size, font in PAGE] + [("d", 2, 595.0, "text", 50.0, 70.0, 10.0, 10.0, "")]
+    words = spark.createDataFrame(rows, "doc string, page int, page_width double, text string, x0 double, x1 double, top double, size double, fontname string")
+    got = pdfwords.tables(words).orderBy("row_index").collect()
+    assert {(r.title, tuple(r.columns)) for r in got} == {("Results", ("Line item", "2024", "2023"))}
+    assert [r["values"] for r in got] == [["Operating income", "5,902", "5,379"], ["Cost of sales", "(3,100)", "–"], ["Tax", "45%", "44%"]]
+
+
+def test_words():
+    assert all(map(pdfwords.is_value, ["(3,100)", "45%", "-", "12bps", "$5", "n/a", "1.5x"])) and not any(map(pdfwords.is_value, ["INV-1", "a5", "Q1"]))
+    assert all(map(pdfwords.is_period, ["2024", "Q1", "FY24", "1H24", "Q1'26"]))
+    assert pdfwords.without_garble("xkcdbnmtrw Revenue") == "Revenue" and pdfwords.without_garble("xkcdbnmtrw") == "xkcdbnmtrw"
+    assert pdfwords.is_open("Profit before tax (excl.") and not pdfwords.is_open("Profit")

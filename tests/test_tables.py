@@ -137,3 +137,14 @@ def test_session_sinks_library(spark, tmp_path):
     assert library.write_synonyms("s.csv", b"Non-Interest Income,NII\n").size == library.synonyms().size == 2
     assert library.delete("My_table") and library.names() == [] and slug("//") == "reference"
     assert files.sheet_names(sinks.processed_workbook(doc)) == ["Index", "csv"]
+
+
+def test_streaming_ingest(spark, tmp_path):
+    from tallyframe.streaming import ingest
+
+    (tmp_path / "in").mkdir()
+    target, checkpoint = str(tmp_path / "records"), str(tmp_path / "checkpoint")
+    for i in (1, 2):
+        (tmp_path / f"in/f{i}.csv").write_text(f"Item,Amount\na,{i}\n")
+        ingest(spark, str(tmp_path / "in"), target, checkpoint).awaitTermination()
+    assert sorted(r["values"]["Amount"] for r in spark.read.parquet(target).collect()) == ["1", "2"]
