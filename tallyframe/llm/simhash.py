@@ -82,16 +82,33 @@ def fingerprint(text: str | None, k: int = 3, words: int = 1) -> np.ndarray:
         if not len(h):
             break
         n += len(h)
-        for w in range(words):
-            ones[64 * w : 64 * w + 64] += np.unpackbits(_spread(h, w).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        ones += _ones(h, words)
     return np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch], k: int, words: int) -> Iterator[pa.RecordBatch]:
+def _ones(h: np.ndarray, words: int) -> np.ndarray:
+    return np.concatenate([np.unpackbits(_spread(h, w).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64) for w in range(words)])
+
+
+def shingle_set(text: str | None, k: int) -> np.ndarray:
+    """The hashes of a text's distinct shingles, in order."""
+    shingles = _shingles((text or "").encode("utf-8", "surrogatepass").lower(), k)
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), dtype=np.uint64))
+
+
+def set_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
+    """The fingerprint in which every distinct shingle has one vote, however often it is repeated."""
+    ones = np.zeros(64 * words, dtype=np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        ones += _ones(hashes[at : at + (1 << 16)], words)
+    return np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)
+
+
+def _fingerprints(batches: Iterator[pa.RecordBatch], k: int, words: int, distinct: bool = False) -> Iterator[pa.RecordBatch]:
     release_memo()
     for batch in small(batches):
-        texts = batch.column("text")
-        prints = [fingerprint(texts[i].as_py(), k, words).tobytes() for i in range(batch.num_rows)]
+        texts = (t.as_py() for t in batch.column("text"))
+        prints = [(set_fingerprint(shingle_set(t, k), words) if distinct else fingerprint(t, k, words)).tobytes() for t in texts]
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(prints, pa.binary())], ["id", "fp"])
 
 
@@ -224,10 +241,10 @@ def _link(batches: Iterator[pa.RecordBatch], words: int, d: int) -> Iterator[pa.
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, words: int = 1) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, words: int = 1, distinct: bool = False) -> DataFrame:
     """``id, fp`` (bytes, least significant first) of every row, written to the shared folder."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return materialise(rows.mapInArrow(partial(_fingerprints, k=shingle, words=words), "id long, fp binary"), "fingerprints")[0]
+    return materialise(rows.mapInArrow(partial(_fingerprints, k=shingle, words=words, distinct=distinct), "id long, fp binary"), "fingerprints")[0]
 
 
 def near_components(prints: DataFrame, words: int, max_distance: int, similarity: float | None = None) -> DataFrame:
@@ -250,7 +267,7 @@ def near_components(prints: DataFrame, words: int, max_distance: int, similarity
 
 def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, words: int = 1, max_distance: int = 3, similarity: float | None = None) -> DataFrame:
     """``id, fp, component`` of every row. See the module for what links two rows."""
-    prints = fingerprints(docs, id_col, text_col, shingle, words)
+    prints = fingerprints(docs, id_col, text_col, shingle, words, similarity is not None)
     return prints.join(near_components(prints, words, max_distance, similarity), "fp")
 
 

@@ -113,6 +113,15 @@ def test_near_dedup(spark, odd, none):
     assert len(simhash.mark(odd).collect()) == len(ODD)
 
 
+def test_near_dedup_of_repeats(spark):
+    rng = random.Random(8)
+    words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(n)]
+    base, line = words(404), words(7)
+    docs = [(1, base), (2, base + ["again"] * 84), (3, words(300) + line * 200), (4, words(300) + line * 200)]
+    left = simhash.dedup(spark.createDataFrame([(i, " ".join(t)) for i, t in docs], "doc_id long, text string"))
+    assert sorted(r.doc_id for r in left.collect()) == [1, 3, 4]
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(2)
     centres = rng.standard_normal((12, 32))
