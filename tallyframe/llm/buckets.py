@@ -18,13 +18,13 @@ BLOCK_ROWS = 8192
 BROADCAST_KEYS = 200_000
 
 
-def in_blocks(rows: DataFrame, key: str, node: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def in_blocks(rows: DataFrame, key: str, node: str, block_rows: int = BLOCK_ROWS, weight: str | None = None) -> DataFrame:
     """``rows`` with ``pair`` (which two blocks of a key meet) and ``side`` (0 first block, 1 second).
 
-    A key with at most ``block_rows`` rows is one block. A larger one is cut by a hash of ``node``
+    A key with at most ``block_rows`` rows (or so much of the column ``weight``) is one block. A larger one is cut by a hash of ``node``
     into b blocks; each block goes to its b pairs, so that all its rows still meet one another.
     """
-    hot = rows.groupBy(key).count().where(F.col("count") > block_rows).select(key, F.ceil(F.col("count") / block_rows).cast("int").alias("blocks"))
+    hot = rows.groupBy(key).agg((F.sum(weight) if weight else F.count("*")).alias("count")).where(F.col("count") > block_rows).select(key, F.ceil(F.col("count") / block_rows).cast("int").alias("blocks"))
     hot, _ = materialise(hot, "hot")
     if hot.count() <= BROADCAST_KEYS:
         hot = F.broadcast(hot)

@@ -8,8 +8,11 @@ distance to the pivot within the block. So the pivot table yields coordinates fo
   coordinates in at least B - d blocks. Rows meet by the coordinates of each choice of B - d blocks.
   Rows that meet are discarded when any coordinate differs by more than d; the rest is verified.
   No pair within d bits is missed.
-* ``banded`` (for distances too large for that): rows meet by the coordinates of random small
-  blocks of bits, as many as the target similarity and recall ask for, and are verified alike.
+* ``banded`` (for sets of shingles at a target similarity): rows meet by the coordinates of random small
+  blocks of bits, as many as the target similarity and recall ask for; short sets, for which the
+  coordinates are too coarse, meet by the shingles of which two such sets must share one, so that no
+  pair is missed. Distance is a filter only: within groups that it connects, two sets are linked if
+  their exact Jaccard similarity is the target or more (shingles are told apart by 64-bit hashes).
 
 Equal fingerprints are one row from the start, so copies cost nothing, and hot groups are cut into
 blocks of rows. Components are found from the links, never from pairs of documents.
@@ -32,8 +35,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .buckets import in_blocks, link_near, merge_labels, small_pairs, star_edges, whole_groups
-from .common import materialise, release_memo, small
+from .buckets import BROADCAST_KEYS, in_blocks, link_near, merge_labels, small_pairs, star_edges, whole_groups
+from .common import drop_path, materialise, release_memo, small
 from .components import connected_components
 
 SEED = 42
@@ -104,11 +107,11 @@ def set_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
     return np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch], k: int, words: int, distinct: bool = False) -> Iterator[pa.RecordBatch]:
+def _fingerprints(batches: Iterator[pa.RecordBatch], k: int, words: int) -> Iterator[pa.RecordBatch]:
     release_memo()
     for batch in small(batches):
-        texts = (t.as_py() for t in batch.column("text"))
-        prints = [(set_fingerprint(shingle_set(t, k), words) if distinct else fingerprint(t, k, words)).tobytes() for t in texts]
+        texts = batch.column("text")
+        prints = [fingerprint(texts[i].as_py(), k, words).tobytes() for i in range(batch.num_rows)]
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(prints, pa.binary())], ["id", "fp"])
 
 
@@ -168,7 +171,7 @@ class Plan:
             self.blocks = np.array_split(bits, n_blocks)
             self.choices = list(combinations(range(n_blocks), n_blocks - max_distance))
         else:
-            agree = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi  # sets of Jaccard similarity s have cosine 2s / (1 + s)
+            agree = 1 - differing(similarity) - PARITY
             width = max(16, math.ceil(math.log2(max(expected_rows, 1) + 1)) - 2)
             tables = math.ceil(math.log(1 - RECALL) / math.log(1 - agree**width))
             rng = np.random.default_rng(11)
@@ -182,8 +185,17 @@ class Plan:
         return np.stack([_key(np.stack([names[b] for b in c], axis=1), i) for i, c in enumerate(self.choices)], axis=1)
 
 
+def differing(similarity: float) -> float:
+    """Share of bits in which large sets of that Jaccard similarity s differ (their cosine is 2s / (1 + s))."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
 #: Chance of meeting, in some table, for a pair exactly at the target similarity.
-RECALL = 0.95
+RECALL = 0.99
+#: Sets of at most so many shingles meet by shared shingles instead.
+SHORT = 100
+#: By how much more sets of over SHORT shingles may differ than large ones (0.0015 at most for 0.8, counted out).
+PARITY = 0.002
 #: Pivots of the table by which rows that met are discarded before they are verified.
 FILTER_PIVOTS = 24
 
@@ -241,20 +253,20 @@ def _link(batches: Iterator[pa.RecordBatch], words: int, d: int) -> Iterator[pa.
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, words: int = 1, distinct: bool = False) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, words: int = 1) -> DataFrame:
     """``id, fp`` (bytes, least significant first) of every row, written to the shared folder."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return materialise(rows.mapInArrow(partial(_fingerprints, k=shingle, words=words, distinct=distinct), "id long, fp binary"), "fingerprints")[0]
+    return materialise(rows.mapInArrow(partial(_fingerprints, k=shingle, words=words), "id long, fp binary"), "fingerprints")[0]
 
 
-def near_components(prints: DataFrame, words: int, max_distance: int, similarity: float | None = None) -> DataFrame:
+def near_components(prints: DataFrame, words: int, max_distance: int) -> DataFrame:
     """``fp, component`` for every distinct fingerprint; component: smallest id reachable through links."""
     spark = prints.sparkSession
     distinct, _ = materialise(prints.groupBy("fp").agg(F.min("id").alias("least")).withColumn("node", F.xxhash64("fp")), "nodes")
     total, names = distinct.agg(F.count("*"), F.countDistinct("node")).first()
     if total != names:
         raise ValueError("two fingerprints share a node name")
-    plan = Plan(words, max_distance, similarity, total)
+    plan = Plan(words, max_distance, None, total)
     meets = distinct.select("node", "fp").mapInArrow(partial(_meet, plan=plan), "key long, node long, fp binary")
     meets, _ = materialise(meets, "meets")
     placed = in_blocks(meets, "key", "node")
@@ -265,33 +277,137 @@ def near_components(prints: DataFrame, words: int, max_distance: int, similarity
     return materialise(named.join(least, "root").select("fp", "component"), "components")[0]
 
 
-def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, words: int = 1, max_distance: int = 3, similarity: float | None = None) -> DataFrame:
+def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, words: int = 1, max_distance: int = 3) -> DataFrame:
     """``id, fp, component`` of every row. See the module for what links two rows."""
-    prints = fingerprints(docs, id_col, text_col, shingle, words, similarity is not None)
-    return prints.join(near_components(prints, words, max_distance, similarity), "fp")
+    prints = fingerprints(docs, id_col, text_col, shingle, words)
+    return prints.join(near_components(prints, words, max_distance), "fp")
 
 
-#: For documents: eight words of fingerprint, enough to tell a similarity of 0.8 from one of 0.7.
+#: For documents: eight words of fingerprint.
 NEAR_WORDS = 8
+#: Standard deviations that the candidate filter leaves above the bits expected to differ.
+DEVIATIONS = 4
+#: Bits differ most, among sets at 0.8 or more, for four shingles of five: 3 of 16 (counted out for all sizes).
+SHORT_DIFFER = 3 / 16
+#: Shingles of a block of sets that one task compares with another block.
+BLOCK_SHINGLES = 2_000_000
 
 
 def distance_at(similarity: float, words: int) -> int:
-    """Bits by which two sets of shingles of that Jaccard similarity differ, and a standard deviation more."""
-    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    """Bits by which sets of shingles of that Jaccard similarity may differ, whatever their size."""
+    differ = max(differing(similarity), SHORT_DIFFER)
     n = 64 * words
-    return round(n * differ + math.sqrt(n * differ * (1 - differ)))
+    return math.ceil(n * differ + DEVIATIONS * math.sqrt(n * differ * (1 - differ)))
+
+
+def _name(shingles: np.ndarray) -> int:
+    """A 64-bit name of a set."""
+    return xxhash.xxh64_intdigest(shingles.tobytes(), SEED) - (1 << 63)
+
+
+def _set_prints(batches: Iterator[pa.RecordBatch], k: int, words: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    release_memo()
+    for batch in small(batches):
+        node, size, fp, heads = [], [], [], []
+        for text in batch.column("text"):
+            shingles = shingle_set(text.as_py(), k)
+            n = len(shingles)
+            # of two sets at the similarity, each shares all but this many of its shingles; one more must hold a shared one
+            head = n - math.ceil(similarity * n - 1e-9) + 1 if 0 < n <= SHORT / similarity else 0
+            node.append(_name(shingles))
+            size.append(n)
+            fp.append(set_fingerprint(shingles, words).tobytes())
+            heads.append(shingles[:head].tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(fp, pa.binary()), pa.array(heads, pa.binary())], ["id", "node", "size", "fp", "head"])
+
+
+def _meet_sets(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2048):
+            part = batch.slice(at, 2048)
+            long = np.flatnonzero(part.column("size").to_numpy() > SHORT)
+            heads = [np.frombuffer(h, dtype=np.int64) for h in part.column("head").to_pylist()]
+            keys, rows = [np.concatenate(heads)], [np.repeat(np.arange(len(heads)), [len(h) for h in heads])]
+            if len(long):
+                fps = np.frombuffer(b"".join(part.column("fp").take(pa.array(long)).to_pylist()), dtype=np.uint64).reshape(-1, plan.words)
+                tables = plan.keys(fps)
+                keys.append(tables.ravel())
+                rows.append(np.repeat(long, tables.shape[1]))
+            of = pa.array(np.concatenate(rows))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), part.column("node").take(of), part.column("fp").take(of)], ["key", "node", "fp"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    for batch in small(batches):
+        found = [(i, s) for i, t in enumerate(batch.column("text")) if _name(s := shingle_set(t.as_py(), k)) == batch.column("node")[i].as_py()]
+        rows = pa.array([i for i, _ in found], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("root").take(rows), batch.column("node").take(rows), pa.array([max(len(s), 256) for _, s in found], pa.int64()), pa.array([s.tobytes() for _, s in found], pa.binary())], ["root", "node", "weight", "shingles"])
+
+
+def _alike(places: np.ndarray, cuts: np.ndarray, similarity: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which sets of ``a`` and ``b`` have that Jaccard similarity or more. Sets are runs of places among all shingles."""
+    size = np.diff(cuts)
+    ends = np.concatenate([[0], np.cumsum(size[b])])
+    theirs = np.concatenate([places[cuts[r] : cuts[r + 1]] for r in b])
+    has = np.zeros(places.max(initial=0) + 1, dtype=bool)
+    out = np.zeros((len(a), len(b)), dtype=bool)
+    for i, r in enumerate(a):
+        mine = places[cuts[r] : cuts[r + 1]]
+        has[mine] = True
+        shared = np.diff(np.concatenate([[0], np.cumsum(has[theirs])])[ends])
+        has[mine] = False
+        out[i] = shared / np.maximum(size[r] + size[b] - shared, 1) >= similarity
+    return out
+
+
+def _verify(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    for table, cuts in whole_groups(batches, ["root", "pair"]):
+        nodes = table["node"].to_numpy()
+        for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+            if end - start < 2:
+                continue
+            sets = [np.frombuffer(s, dtype=np.uint64) for s in table["shingles"].slice(start, end - start).to_pylist()]
+            places = np.unique(np.concatenate(sets), return_inverse=True)[1]
+            bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+            u, v = star_edges(link_near(partial(_alike, places, bounds, similarity), end - start), nodes[start:end])
+            if len(u):
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+
+def near_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """``id``: the smallest of each component under links of that Jaccard similarity of shingle sets, or more."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    prints, _ = materialise(rows.mapInArrow(partial(_set_prints, k=shingle, words=NEAR_WORDS, similarity=similarity), "id long, node long, size long, fp binary, head binary"), "fingerprints")
+    distinct, _ = materialise(prints.groupBy("node", "size", "fp", "head").agg(F.min("id").alias("least")), "nodes")
+    total, names = distinct.agg(F.count("*"), F.countDistinct("node")).first()
+    if total != names:
+        raise ValueError("two sets of shingles share a node name")
+    d = distance_at(similarity, NEAR_WORDS)
+    meets = distinct.select("node", "size", "fp", "head").mapInArrow(partial(_meet_sets, plan=Plan(NEAR_WORDS, d, similarity, total)), "key long, node long, fp binary")
+    meets, path = materialise(meets, "meets")
+    placed = in_blocks(meets, "key", "node")
+    edges = placed.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInArrow(partial(_link, words=NEAR_WORDS, d=d), "u long, v long")
+    groups = connected_components(edges)
+    candidates, _ = materialise(distinct.join(groups, "node").select(F.col("least").alias("id"), "node", "root"), "candidates")
+    drop_path(docs.sparkSession, path)
+    wanted = F.broadcast(candidates) if candidates.count() <= BROADCAST_KEYS else candidates
+    sets, _ = materialise(rows.join(wanted, "id").mapInArrow(partial(_sets, k=shingle), "root long, node long, weight long, shingles binary"), "sets")
+    placed = in_blocks(sets, "root", "node", BLOCK_SHINGLES, "weight")
+    links = placed.repartition("root", "pair").sortWithinPartitions("root", "pair").mapInArrow(partial(_verify, similarity=similarity), "u long, v long")
+    roots, _ = materialise(connected_components(links), "roots")
+    named = distinct.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return named.groupBy("root").agg(F.min("least").alias("id")).select("id")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row of each group of documents that links of at least ``similarity`` connect: that with the smallest id.
+    """One row of each group of documents that links of at least ``similarity`` (exact Jaccard of shingle sets) connect: that with the smallest id.
 
     A row with a null id takes part under a number that follows from its columns and is above all ids.
     """
     columns = docs.columns
     stand_in = F.lit(1 << 62) + F.pmod(F.xxhash64(*[F.col(c) for c in columns]), F.lit(1 << 61))
     named = docs.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), stand_in))
-    marked = mark(named, "__id", text_col, shingle, NEAR_WORDS, distance_at(similarity, NEAR_WORDS), similarity)
-    keep = marked.where(F.col("id") == F.col("component")).select(F.col("id").alias("__id")).distinct()
+    keep = near_sets(named, "__id", text_col, shingle, similarity).select(F.col("id").alias("__id")).distinct()
     first = Window.partitionBy("__id").orderBy(*[F.col(c).cast("string") for c in columns if c != id_col])
     kept = named.join(keep, "__id", "left_semi")
     return kept.withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*columns)

@@ -122,6 +122,37 @@ def test_near_dedup_of_repeats(spark):
     assert sorted(r.doc_id for r in left.collect()) == [1, 3, 4]
 
 
+def test_near_dedup_brute_force(spark, monkeypatch):
+    rng = random.Random(9)
+    words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(n)]
+    docs = []
+    for n in [8, 9, 10, 12, 14, 24, 44, 60, 104, 105, 120, 204, 304]:
+        for similarity in (0.75, 0.77, 0.79, 0.8, 0.8, 0.8, 0.81, 0.82, 0.85):
+            base, m = words(n), n - 4
+            docs += [base, base[: round(m * similarity) + 4]]
+            away = round(m * (1 - similarity) / (1 + similarity))  # in place of the last words, others
+            docs.append(base[: n - away] + words(away))
+    docs.append(words(3))
+    sets = [{tuple(d[i : i + 5]) for i in range(len(d) - 4)} or {tuple(d)} for d in docs]
+    links = [(i, j) for i in range(len(docs)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    want = sorted(set(closure(len(docs), links)))
+    rows = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    for bound in (simhash.BLOCK_SHINGLES, 300):
+        monkeypatch.setattr(simhash, "BLOCK_SHINGLES", bound)
+        left = sorted(r.doc_id for r in simhash.dedup(rows).collect())
+        assert left == want
+
+
+def test_near_dedup_on_documents(spark):
+    docs = corpus_pipeline.drop_copies(spark, queries.table(spark, SF, "documents"), SF)
+    rows = sorted(docs.collect(), key=lambda r: r.doc_id)
+    words = [r.text.encode().lower().split() for r in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)} for w in words]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    want = {rows[i].doc_id for i in closure(len(rows), links)}
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, SF).select("doc_id").collect()} == want
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(2)
     centres = rng.standard_normal((12, 32))
