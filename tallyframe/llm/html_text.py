@@ -3,9 +3,10 @@
 A page becomes a tree. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
 and reader comments are cut by element, role, class and id. For every node left, the characters for
 each tag are adjusted by those in links (:func:`composite_density`); a node's density sum adds up
-those of its children. The node with the largest sum is the core of the article; from it the choice
-climbs towards the body while the parent is at least as dense as the body-path threshold, the least
-density between the body and the core, and no side branch is mostly links. Its blocks are the text.
+those of its children. The node with the largest sum is the core of the article. On its path to the
+body the branches beside it are kept where they are at least as dense as the body-path threshold, the
+least density on that path, and not mostly links; so are headings before the core and text that stands in the path's
+own elements. What the elements are called decides nothing here. The blocks of what is kept are the text.
 
 Defined results: a null or empty page, or one without text, gives an empty text; mark-up that is cut
 off, unclosed or wrongly nested is repaired as browsers do; text without any mark-up is one block;
@@ -226,30 +227,39 @@ def measure(root: Element) -> list[Element]:
     body = next((n for n in order if n.name == "body"), root)
     for node in order:
         node.density = composite_density(node.chars, node.tags, node.link_chars, node.link_tags, body.chars, body.link_chars)
-    for node in order:
-        node.total = sum(c.density for c in node.children if isinstance(c, Element))
+    for node in reversed(order):
+        node.total = sum(c.density for c in node.children if isinstance(c, Element) and _is_block(c))
     return order
 
 
+def _is_block(node: Element) -> bool:
+    """Whether a node counts in density sums: marks within a line do not, unless they hold blocks."""
+    return node.name in BLOCKS or node.total > 0
+
+
 def core(root: Element) -> Element:
-    """The subtree that holds the article."""
+    """The body without the branches that are not the article's."""
     order = measure(root)
     body = next((n for n in order if n.name == "body"), root)
-    best = max((n for n in order if n.chars), key=lambda n: (n.total, n.density), default=root)
+    best = max((n for n in order if n.chars and _is_block(n)), key=lambda n: (n.total, n.density), default=root)
     path = [best]
     while path[-1] is not body and path[-1].parent is not None:
         path.append(path[-1].parent)
-    for node in reversed(path):  # an element that says it is the article wins, from the outside in
-        if node.name in ("main", "article"):
-            return node
     threshold = min(n.density for n in path)
-    chosen = best
-    for parent in path[1:]:
-        sides = [c for c in parent.children if isinstance(c, Element) and c is not chosen and c.chars]
-        if parent.density < threshold or any(c.link_chars * 2 > c.chars and c.name not in HEADINGS for c in sides):
-            break
-        chosen = parent
-    return chosen
+    for chosen, parent in zip(path[:-1], path[1:], strict=True):
+        own_text = any(isinstance(c, str) and c.strip() for c in parent.children)
+        at = next(i for i, c in enumerate(parent.children) if c is chosen)
+        parent.children = [c for i, c in enumerate(parent.children) if c is chosen or isinstance(c, str) or _belongs(c, threshold, own_text, i < at)]
+    return path[-1]
+
+
+def _belongs(side: Element, threshold: float, in_text: bool, before: bool) -> bool:
+    """Whether a branch beside the path to the core is the article's."""
+    if in_text and side.name not in BLOCKS:
+        return True
+    if before and (side.name in HEADINGS or side.name in ("header", "hgroup") and side.chars):
+        return True
+    return side.density >= threshold and side.link_chars * 2 <= side.chars
 
 
 def blocks(node: Element) -> Iterator[str]:

@@ -200,6 +200,15 @@ def test_html(spark):
     assert html_text.extract(rows.limit(0)).count() == 0
 
 
+def test_html_density_decides():
+    story = "".join(f"<p>{'This is a sentence of the story. ' * 6}{i}</p>" for i in range(5))
+    want = "Title\n\n" + "\n\n".join(" ".join(["This is a sentence of the story."] * 6 + [str(i)]) for i in range(5))
+    teasers = "".join(f'<div class="t"><h3><a href=x>Teaser {i}</a></h3><p>In short.</p></div>' for i in range(4)) + "<ul>" + "<li><a href=y>A link to go to</a></li>" * 5 + "</ul>"
+    assert html_text.main_text(f"<body><main><article><h1>Title</h1>{story}</article>{teasers}</main></body>") == want
+    assert html_text.main_text(f"<body><div><h1>Title</h1><div>{story}</div></div><div>{teasers}</div></body>") == want
+    assert html_text.main_text(f"<body><article><h1>Title</h1><div>{story}</div><div>{teasers}</div></article></body>") == want
+
+
 def test_warc(spark, monkeypatch):
     monkeypatch.setattr(warc, "BLOCK_LINES", 2)
     rows = [(3, "http://b.example.com/x?q=1", "<p>same</p>"), (1, "https://a.example.com:8443/", "<p>same</p>"), (2, None, None), (5, "not a url", ""), (None, "http://b.example.com/y", "<p>same</p>"), (7, "http://b.example.com/x?q=1", "ü" * 70_000), (7, "http://[bad", "x")]
