@@ -37,13 +37,15 @@ CUT = frozenset(
     "dialog menu map datalist noembed noframes fieldset meter progress".split()
 )
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist status".split())
-#: Words in a class or id that name what is not the article.
+#: Words that name what is not the article, as a whole class or id or as its first or last word.
 CUT_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense adsbygoogle banner sponsor sponsored promo promotion promoted cookie cookies consent gdpr "
     "notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login sidebar sidebars aside rail widget widgets menu menus nav navbar "
     "navigation breadcrumb breadcrumbs pagination pager toolbar header masthead topbar footer copyright comment comments commentlist disqus reply replies "
     "respond discussion share sharing social related recommended recommendations trending popular skip disclaimer".split()
 )
+#: First words of a class that say what a wrapper has or lacks, not what it is.
+LAYOUT_WORDS = frozenset("has have no not with without is hide show above below beside main page content site layout entry post article story".split())
 #: Elements whose class and id say nothing about themselves.
 TRUSTED = frozenset("html body main article".split())
 #: Start tags that end an open element of these names.
@@ -142,7 +144,22 @@ def _opened(now: Element, name: str) -> Element:
     return now
 
 
-def _unwanted(node: Element, in_article: bool) -> bool:
+def _names_other(token: str) -> bool:
+    """Whether a class or id names something that is not the article."""
+    words = [w.lower() for w in _WORDS.findall(token)]
+    return bool(words) and words[0] not in LAYOUT_WORDS and (words[0] in CUT_WORDS or words[-1] in CUT_WORDS)
+
+
+def _plain_chars(root: Element) -> dict[Element, int]:
+    """Characters outside links under each node, without what is cut by the name of its element."""
+    chars: dict[Element, int] = {}
+    for node in reversed(_order(root)):
+        cut = node.name in CUT or node.name == "a"
+        chars[node] = 0 if cut else sum(len(c.strip()) if isinstance(c, str) else chars[c] for c in node.children)
+    return chars
+
+
+def _unwanted(node: Element, in_article: bool, most: bool) -> bool:
     if node.name in CUT:
         return True
     if not node.attributes:
@@ -156,8 +173,10 @@ def _unwanted(node: Element, in_article: bool) -> bool:
         return not in_article
     if node.name in TRUSTED and not (node.name == "article" and in_article):
         return False
+    if most:  # density decides about a branch with most of the page's text, unless the article is elsewhere
+        return False
     named = f"{values.get('class', '')} {values.get('id', '')}"
-    return any(w.lower() in CUT_WORDS for w in _WORDS.findall(named)) and not any(_holds_article(c) for c in node.children)
+    return any(map(_names_other, named.split())) and not any(_holds_article(c) for c in node.children)
 
 
 def _holds_article(node: Element | str) -> bool:
@@ -165,7 +184,7 @@ def _holds_article(node: Element | str) -> bool:
     while stack:
         n = stack.pop()
         if isinstance(n, Element):
-            if n.name == "main" or n.name == "article" and not any(w.lower() in CUT_WORDS for w in _WORDS.findall(n.attributes)):
+            if n.name == "main" or n.name == "article" and not any(map(_names_other, " ".join(n.values().get(k, "") for k in ("class", "id")).split())):
                 return True
             stack.extend(n.children)
     return False
@@ -173,17 +192,19 @@ def _holds_article(node: Element | str) -> bool:
 
 def prune(root: Element) -> None:
     """Cut what is not text of an article; of a header within one, the headings stay."""
-    stack: list[tuple[Element, bool, bool]] = [(root, False, False)]
+    stack: list[tuple[Element, bool, bool, Element]] = [(root, False, False, root)]
+    plain, elsewhere = _plain_chars(root), _holds_article(root)
     while stack:
-        node, in_article, in_header = stack.pop()
+        node, in_article, in_header, whole = stack.pop()
         kept: list[Element | str] = []
         for c in node.children:
             if isinstance(c, str):
                 if not in_header or node.name in HEADINGS or _inside_heading(node):
                     kept.append(c)
-            elif not _unwanted(c, in_article):
+            elif not _unwanted(c, in_article, plain[c] * 2 > plain[whole] and (in_article or not elsewhere)):
                 kept.append(c)
-                stack.append((c, in_article or c.name in ("article", "main"), in_header or c.name == "header"))
+                within = in_article or c.name in ("article", "main")
+                stack.append((c, within, in_header or c.name == "header", c if within and not in_article else whole))
         node.children = kept
 
 

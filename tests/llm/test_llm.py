@@ -209,6 +209,17 @@ def test_html_density_decides():
     assert html_text.main_text(f"<body><article><h1>Title</h1><div>{story}</div><div>{teasers}</div></article></body>") == want
 
 
+def test_html_layout_classes():
+    story = "".join(f"<p>{'This is a sentence of the story. ' * 6}{i}</p>" for i in range(5))
+    want = "\n\n".join(" ".join(["This is a sentence of the story."] * 6 + [str(i)]) for i in range(5))
+    for name in ("wrapper has-sidebar", "no-sidebar", "with-header", "sidebar-right", "widget"):
+        assert html_text.main_text(f'<body><div class="{name}"><div class="content">{story}</div></div><div class="sidebar">Aside</div></body>') == want, name
+        assert html_text.main_text(f'<body><article><div class="{name}">{story}</div></article><div class="ad">{story * 2}</div></body>') == want, name
+    part = "<p>" + "One more sentence of it. " * 8 + "</p>"
+    text = html_text.main_text(f'<body><div>{story}<div class="entry-share-story">{part}</div><div class="share-links">Share this</div></div><div id="comments"><p>me too</p></div></body>')
+    assert text == want + "\n\n" + " ".join(["One more sentence of it."] * 8)
+
+
 def test_warc(spark, monkeypatch):
     monkeypatch.setattr(warc, "BLOCK_LINES", 2)
     rows = [(3, "http://b.example.com/x?q=1", "<p>same</p>"), (1, "https://a.example.com:8443/", "<p>same</p>"), (2, None, None), (5, "not a url", ""), (None, "http://b.example.com/y", "<p>same</p>"), (7, "http://b.example.com/x?q=1", "ü" * 70_000), (7, "http://[bad", "x")]
