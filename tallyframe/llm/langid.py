@@ -159,7 +159,7 @@ def fit(rows: list[tuple[str, str]]) -> Model:
     learn = [r for i, r in enumerate(rows) if i % 5] if len(rows) >= 50 else rows
     check = rows[::5] if len(rows) >= 50 else rows
     for text, lang in learn:
-        counts[lang].update(w[:LONG_WORD] for w in text.split())
+        counts[lang].update(w[i : i + LONG_WORD] for w in text.split() for i in range(0, len(w), LONG_WORD))
     alphabet = len(set().union(*(set(w) for c in counts.values() for w in c))) + 2
     blank = Counter({"": 1})
     model = Model(languages, [KneserNey.fit(counts[lang] or blank, alphabet) for lang in languages])

@@ -290,6 +290,11 @@ def test_language(labelled, spark, odd, none):
     assert langid.identify(odd, langid.fit([])).count() == len(ODD) and langid.identify(none, model).count() == 0
 
 
+def test_language_of_long_words():
+    model = langid.fit([("a" * 200 + "bcd" * 80, "x"), ("a" * 200 + "efg" * 80, "y")])
+    assert model.entropies(["bcdbcd", "efgefg"], WordMemo(model.words)).argmin(1).tolist() == [0, 1]
+
+
 def test_mixing(spark, odd, none, monkeypatch):
     rng = random.Random(6)
     docs = [(i, " ".join(f"word{rng.randrange(9)}x" for _ in range(rng.randrange(1, 60))), rng.choice(["en", "en", "de"]), rng.choice(["a", "a", "a", "b"])) for i in range(3000)]
