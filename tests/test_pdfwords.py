@@ -1,37 +1,86 @@
 """Tables from positioned words."""
 
+import pandas as pd
+import pytest
+
 from tallyframe.operators import pdfwords
 
-PAGE = [
-    ("Results", 50, 90, 40, 16, "Bold"),
-    ("2024", 300, 330, 80, 10, ""),
-    ("2023", 400, 430, 80, 10, ""),
-    ("Operating", 50, 100, 100, 10, ""),
-    ("income", 104, 140, 100, 10, ""),
-    ("5,902", 302, 330, 100, 10, ""),
-    ("5,379", 402, 430, 100, 10, ""),
-    ("Cost", 50, 70, 115, 10, ""),
-    ("of", 74, 84, 115, 10, ""),
-    ("sales", 50, 80, 130, 10, ""),
-    ("(3,100)", 298, 331, 130, 10, ""),
-    ("–", 425, 430, 130, 10, ""),
-    ("Tax", 50, 70, 145, 10, ""),
-    ("1", 71, 73, 143, 6, ""),
-    ("45%", 310, 330, 145, 10, ""),
-    ("44%", 410, 430, 145, 10, ""),
-]
+COLUMNS = "doc string, page int, page_width double, text string, x0 double, x1 double, top double, size double, fontname string"
+
+
+def line(top, label, cells, size=10.0, font="", lefts=(300, 400)):
+    """Words of a line: a label from the left, cells that end 30 points right of their column's left."""
+    out, x = [], 50.0
+    for w in label.split():
+        out.append((w, x, x + 5 * len(w), float(top), size, font))
+        x += 5 * len(w) + 4
+    for left, cell in zip(lefts, cells):
+        if cell:
+            out.append((cell, left + 30.0 - 5 * len(cell), left + 30.0, float(top), size, font))
+    return out
+
+
+def laid(*lines):
+    rows = [("d", 1, 595.0, *w) for part in lines for w in part]
+    return list(pdfwords.Page(pd.DataFrame(rows, columns=[c.split()[0] for c in COLUMNS.split(", ")]), 595.0).tables())
+
+
+HEAD = line(80, "", ["2024", "2023"])
+BODY = [line(100, "Operating income", ["5,902", "5,379"]), line(115, "Cost of", []), line(130, "sales", ["(3,100)", "–"]), line(145, "Tax", ["45%", "44%"])]
 
 
 def test_page(spark):
-    rows = [("d", 1, 595.0, t, float(a), float(b), float(top), float(size), font) for t, a, b, top, size, font in PAGE] + [("d", 2, 595.0, "text", 50.0, 70.0, 10.0, 10.0, "")]
-    words = spark.createDataFrame(rows, "doc string, page int, page_width double, text string, x0 double, x1 double, top double, size double, fontname string")
-    got = pdfwords.tables(words).orderBy("row_index").collect()
-    assert {(r.title, tuple(r.columns)) for r in got} == {("Results", ("Line item", "2024", "2023"))}
+    words = [("Results", 50.0, 90.0, 40.0, 16.0, "Bold"), *HEAD, *(w for part in BODY for w in part), ("1", 71.0, 73.0, 143.0, 6.0, "")]
+    rows = [("d", 1, 595.0, *w) for w in words] + [("d", 2, 595.0, "text", 50.0, 70.0, 10.0, 10.0, None)]
+    got = pdfwords.tables(spark.createDataFrame(rows, COLUMNS)).orderBy("row_index").collect()
+    assert {(r.title, tuple(r.columns), r.table_index) for r in got} == {("Results", ("Line item", "2024", "2023"), 1)}
     assert [r["values"] for r in got] == [["Operating income", "5,902", "5,379"], ["Cost of sales", "(3,100)", "–"], ["Tax", "45%", "44%"]]
 
 
+@pytest.mark.parametrize(("heads", "names"), [(["FY24", "FY23"], ["FY24", "FY23"]), (["Q1'25", "H1"], ["Q1'25", "H1"]), (["2024E", "2024E"], ["2024E", "2024E (1)"]), (["", ""], ["value", "value (1)"])])
+def test_period_headers(heads, names):
+    ((_, _, columns, rows),) = laid(line(80, "", heads), *BODY)
+    assert columns == ["Line item", *names] and len(rows) == 3
+
+
+def test_spanning_header_and_units():
+    above = [("Actual", 350.0, 380.0, 65.0, 10.0, ""), ("$m", 310.0, 320.0, 72.0, 10.0, "")]
+    ((_, _, columns, _),) = laid(above[:1], above[1:], HEAD, *BODY)
+    assert columns == ["Line item", "2024", "2023"]  # in a block of their own the periods are enough
+    lefts = (300, 340)
+    body = [line(100 + 15 * i, f"Item {c}", ["1,000", "2,000"], lefts=lefts) for i, c in enumerate("abc")]
+    ((_, _, columns, _),) = laid([("Actual", 305.0, 335.0, 70.0, 10.0, "")], [("Plan", 306.0, 328.0, 85.0, 10.0, ""), ("Real", 346.0, 368.0, 85.0, 10.0, "")], *body)
+    assert columns == ["Line item", "Actual Plan", "Actual Real"]
+
+
+def test_small_figures_in_columns_stay():
+    rows = laid(HEAD, *BODY, line(160, "Small", ["7,000", "8"], size=6.0))[0][3]
+    assert rows[-1] == ["Small", "7,000", "8"]
+
+
+def test_rows_of_a_block():
+    numbers = [line(160, "Loss", ["-", "-"]), line(175, "", ["15,280", "9"]), line(190, "Financing", []), line(205, "Interest", ["1", "2"]), line(220, "and fees", []), line(235, "Other", ["3", "4"])]
+    rows = laid(HEAD, *BODY, *numbers)[0][3]
+    assert rows[3:] == [["Loss", "-15,280", "-9"], ["Financing", "", ""], ["Interest and fees", "1", "2"], ["Other", "3", "4"]]
+    prose = line(250, "As the board has said before all this", ["was", "so"]) + [("1", 500.0, 504.0, 250.0, 10.0, "")]
+    assert laid(HEAD, *BODY, *numbers, prose, line(265, "Never", ["1", "2"]))[0][3] == rows
+
+
+def test_two_tables():
+    second = [line(400 + 15 * i, f"Unit {c}", ["10", "20"]) for i, c in enumerate("abcd")]
+    got = laid(line(60, "First part", [], size=14.0), HEAD, *BODY, line(340, "Second part continued", [], size=14.0), line(360, "Some words in between", [], size=8.0), line(385, "", ["North", "South"]), *second)
+    assert [(t[0], t[1], t[2][1:], len(t[3])) for t in got] == [(1, "First part", ["2024", "2023"], 3), (2, "Second part", ["North", "South"], 4)]
+
+
+def test_prose_is_no_table():
+    text = [line(100 + 15 * i, "A sentence of the text that goes on with many more words until", ["", "12"]) for i in range(6)]
+    assert laid(*text) == []
+
+
 def test_words():
-    assert all(map(pdfwords.is_value, ["(3,100)", "45%", "-", "12bps", "$5", "n/a", "1.5x"])) and not any(map(pdfwords.is_value, ["INV-1", "a5", "Q1"]))
-    assert all(map(pdfwords.is_period, ["2024", "Q1", "FY24", "1H24", "Q1'26"]))
+    assert all(map(pdfwords.is_value, ["(3,100)", "45%", "-", "12bps", "n/a", "NM", ".5"])) and not any(map(pdfwords.is_value, ["INV-1", "a5", "Q1", "$5", "5x", "na", "n/m", "*"]))
+    assert all(map(pdfwords.is_period, ["2024", "2024E", "Q1", "FY24", "H1'24", "Q1'26"])) and not any(map(pdfwords.is_period, ["24", "1H24", "FY"]))
+    assert [pdfwords.clean_header(t) for t in ("FY24", "Q1", "H1 25", "Notes 12", "Net²  debt")] == ["FY24", "Q1", "H1", "Notes", "Net debt"]
     assert pdfwords.without_garble("xkcdbnmtrw Revenue") == "Revenue" and pdfwords.without_garble("xkcdbnmtrw") == "xkcdbnmtrw"
-    assert pdfwords.is_open("Profit before tax (excl.") and not pdfwords.is_open("Profit")
+    assert pdfwords.is_open("Profit before tax (excl.") and pdfwords.is_open("A share of a") and not pdfwords.is_open("Profit by") and not pdfwords.is_open("")
+    assert pdfwords.is_section("Current assets") and not pdfwords.is_section("Taxation on it") and not pdfwords.is_section("")
