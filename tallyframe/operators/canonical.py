@@ -10,15 +10,25 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import EngineConfig, FieldConfig
 from ..functions import dates, numbers, text
+from .ontology import with_term
 
 SEPARATOR = "|"
 
 
-def _coerced(df: DataFrame, f: FieldConfig, side: str, cfg: EngineConfig, ontology) -> tuple[Column, Column]:
-    """The typed value of a field, and the text by which it names keys and duplicates."""
+def _cell_text(df: DataFrame, c: str, cfg: EngineConfig) -> Column:
+    """The text of a cell; whole numbers, decimals, dates and times have none to trim or collapse."""
+    if isinstance(df.schema[c].dataType, T.IntegralType | T.DecimalType | T.DateType | T.TimestampType):
+        shown = df[c].cast("string")
+        return F.when(shown.isin(*cfg.norm.null_tokens), None).otherwise(shown) if cfg.norm.null_tokens else shown
+    return text.clean(df[c].cast("string"), cfg.norm.null_tokens, cfg.norm.strip_non_english)
+
+
+def _coerced(df: DataFrame, f: FieldConfig, side: str, cfg: EngineConfig, terms: dict[str, str]) -> tuple[Column, Column]:
+    """The typed value of a field, and the text by which it names keys and duplicates. ``terms``: columns of fields whose synonyms are looked up."""
     source = f.source(side)
     if source is None or source not in df.columns:
         kind = {"money": numbers.MONEY, "numeric": numbers.MONEY, "date": "date"}.get(f.dtype, "string")
@@ -30,22 +40,21 @@ def _coerced(df: DataFrame, f: FieldConfig, side: str, cfg: EngineConfig, ontolo
     if f.dtype == "date":
         value = dates.date_of(c, dtype, cfg.norm.dayfirst)
         return value, value.cast("string")
-    value = text.clean(c.cast("string"), cfg.norm.null_tokens, cfg.norm.strip_non_english)
-    if f.role == "key":
-        if ontology is not None:
-            value = ontology.canonical(value)
-        if cfg.norm.casefold_keys:
-            value = text.casefold(value)
+    value = df[terms[f.name]] if f.name in terms else _cell_text(df, source, cfg)
+    if f.role == "key" and cfg.norm.casefold_keys and (f.name in terms or not isinstance(dtype, T.IntegralType | T.DecimalType)):
+        value = text.casefold(value)
     return value, value
 
 
 def mapped(df: DataFrame, cfg: EngineConfig, side: str, ord_cols: Sequence[str], file_col: str | None = None, ontology=None) -> DataFrame:
-    """Canonical fields with their texts (``t_<field>``), ``key``, ``__ord`` and ``__file``; rows without any key are left out."""
-    if ontology is not None:
-        df = ontology.joined(df, [f.source(side) for f in cfg.keys if f.dtype == "text" and f.source(side) in df.columns], cfg.norm)
+    """Canonical fields (``ontology``: an alias table for text keys) with their texts (``t_<field>``), ``key``, ``__ord`` and ``__file``; rows without any key are left out."""
+    terms = {f.name: f"term_{i}_of_key" for i, f in enumerate(cfg.keys) if f.dtype == "text" and f.source(side) in df.columns} if ontology is not None else {}
+    for f in cfg.keys:
+        if f.name in terms:
+            df = with_term(df, _cell_text(df, f.source(side), cfg), ontology, terms[f.name])
     values, texts = {}, {}
     for f in cfg.fields:
-        values[f.name], texts[f.name] = _coerced(df, f, side, cfg, ontology)
+        values[f.name], texts[f.name] = _coerced(df, f, side, cfg, terms)
     order = F.struct(*[df[c] for c in ord_cols]) if ord_cols else F.struct(F.lit(0))
     file = df[file_col].cast("string") if file_col else F.lit("").cast("string")
     rows = df.select(*[v.alias(n) for n, v in values.items()], *[t.alias(f"t_{n}") for n, t in texts.items()], order.alias("__ord"), file.alias("__file"))
@@ -85,10 +94,14 @@ def canonicalize(df: DataFrame, cfg: EngineConfig, side: str, ord_cols: Sequence
     rows = mapped(df, cfg, side, ord_cols, file_col, ontology)
     if cfg.norm.drop_exact_duplicates:
         rows = without_duplicates(rows, cfg)
-    return rows.groupBy("key").agg(
+    lone = cfg.keys[0].name if len(cfg.keys) == 1 and cfg.keys[0].dtype == "text" else None  # a lone text key is the key itself
+    out = rows.groupBy("key").agg(
         F.min("__ord").alias("ord"),
-        *[F.min_by(k.name, "__ord").alias(k.name) for k in cfg.keys],
+        *[F.min_by(k.name, "__ord").alias(k.name) for k in cfg.keys if k.name != lone],
         *[aggregate(f).alias(f.name) for f in cfg.values],
         F.array_join(F.array_sort(F.collect_set("__file")), ", ").alias("source_files"),
         F.count("*").alias("row_count"),
     )
+    if lone is not None:
+        out = out.withColumn(lone, F.col("key"))
+    return out.select("key", "ord", *[k.name for k in cfg.keys], *[f.name for f in cfg.values], "source_files", "row_count")

@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
-from ..operators import profile, qc, reshape
+from ..operators import ontology, profile, qc, reshape
 from ..operators.edits import apply_ops
 from ..operators.grids import column_union, wide
-from ..operators.ontology import Ontology
 from .reconcile import Reconciliation, reconcile
 
 PROVENANCE = ["extraction", "source_file", "table_name", "row_index"]
@@ -34,7 +33,7 @@ class Extraction:
 class Session:
     left: tuple[Extraction, ...] = ()
     right: tuple[Extraction, ...] = ()
-    ontology: Ontology = field(default_factory=Ontology)
+    synonyms: DataFrame | None = None
 
     def add(self, side: str, records: DataFrame, processed: bool = False) -> Session:
         return replace(self, **{side: (*getattr(self, side), Extraction(records, processed))})
@@ -42,8 +41,9 @@ class Session:
     def cleared(self, side: str) -> Session:
         return replace(self, **{side: ()})
 
-    def with_synonyms(self, other: Ontology) -> Session:
-        return replace(self, ontology=self.ontology.merge(other))
+    def with_synonyms(self, table: DataFrame) -> Session:
+        """With a further alias table, whose entries win."""
+        return replace(self, synonyms=table if self.synonyms is None else ontology.merged(self.synonyms, table))
 
     def replace_table(self, side: str, index: int, records: DataFrame) -> Session:
         own = list(getattr(self, side))
@@ -72,15 +72,15 @@ class Session:
             out = out.unionByName(p, allowMissingColumns=True)
         return out
 
-    def profiles(self, side: str, included: Sequence[str] | None = None) -> list[profile.ColumnProfile]:
+    def profiles(self, side: str, included: Sequence[str] | None = None) -> DataFrame:
         rows = self.frame(side, included, fall_back=True)
-        return profile.gather(rows, PROVENANCE, [c for c in rows.columns if c not in PROVENANCE])
+        return profile.described(rows, PROVENANCE, [c for c in rows.columns if c not in PROVENANCE])
 
     def suggest_mapping(self, left: Sequence[str] | None = None, right: Sequence[str] | None = None) -> list[dict]:
-        return profile.suggest_mapping(self.profiles("left", left), self.profiles("right", right))
+        return profile.field_dicts(profile.suggested_fields(self.profiles("left", left), self.profiles("right", right)))
 
     def reconcile(self, cfg: EngineConfig | dict, left: Sequence[str] | None = None, right: Sequence[str] | None = None, melt: bool = False) -> Reconciliation:
-        return reconcile(self.frame("left", left, melt), self.frame("right", right, melt), cfg, PROVENANCE, PROVENANCE, "source_file", "source_file", self.ontology if self.ontology.size else None)
+        return reconcile(self.frame("left", left, melt), self.frame("right", right, melt), cfg, PROVENANCE, PROVENANCE, "source_file", "source_file", self.synonyms)
 
 
 def preview(df: DataFrame, ops: Sequence[dict] = (), limit: int = 500) -> dict:

@@ -7,7 +7,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.ontology import Ontology
+from ..operators import ontology
 from .files import read_processed
 
 SYNONYMS = "_synonyms"
@@ -71,13 +71,14 @@ class Library:
         """Records of a processed document."""
         return read_processed(self.spark, f"{self.root}/{slug(name)}.json")
 
-    def synonyms(self) -> Ontology:
+    def synonyms(self) -> DataFrame | None:
+        """The alias table of the library's synonyms, if it has any."""
         name = next((f for f in self.files() if f.startswith(f"{SYNONYMS}.")), None)
-        return Ontology.from_file(name, self.read(name)) if name else Ontology()
+        return ontology.aliases(ontology.file_groups(self.spark, name, self.read(name))) if name else None
 
-    def write_synonyms(self, filename: str, data: bytes) -> Ontology:
+    def write_synonyms(self, filename: str, data: bytes) -> DataFrame:
         """Replace the synonyms by those of a file, which must be readable."""
-        made = Ontology.from_file(filename, data)
+        made = ontology.aliases(ontology.file_groups(self.spark, filename, data))
         for f in self.files():
             if f.startswith(f"{SYNONYMS}."):
                 self._fs.delete(self._path(f"{self.root}/{f}"), False)

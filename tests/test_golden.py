@@ -6,10 +6,10 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from tallyframe.config import ConfigurationError, EngineConfig
+from tallyframe.config import ConfigurationError, EngineConfig, FieldConfig
 from tallyframe.operators.assign import assign
 from tallyframe.operators.canonical import canonicalize
-from tallyframe.operators.ontology import Ontology
+from tallyframe.operators import ontology as synonyms
 from tallyframe.plans.reconcile import reconcile
 
 INVOICES = {
@@ -92,10 +92,29 @@ def test_compare_edges(spark):
 
 
 def test_ontology_keys(spark):
-    ontology = Ontology.from_groups([["Non-Interest Income", "NII"]])
-    s = run(spark, [("NII", "1")], [("Non-Interest  Income", "1")], ontology=ontology).summary.first()
-    assert (s.matched_exact, s.reconciled) == (1, 1)
-    assert ontology.merge(Ontology.from_groups({"Net": ["nii"]})).aliases["nii"] == "Net"
+    many = [[f"Term {i}", f"alias {i}"] for i in range(1500)]
+    table = synonyms.aliases(synonyms.groups(spark, [*many, [" ", "Non-Interest Income", "NII"], ["Early", "twice"], ["Late", "Twice"]]))
+    s = run(spark, [("NII", "1"), ("twice", "2")], [("Non-Interest  Income", "1"), ("LATE", "2")], ontology=table).summary.first()
+    assert (s.matched_exact, s.reconciled) == (2, 2)
+    two = {"fields": [{"name": "a", "role": "key", "left_source": "Inv", "right_source": "Ref"}, {"name": "b", "role": "key", "left_source": "Amt", "right_source": "Total"}], "matching": {"fuzzy_enabled": False}}
+    s = run(spark, [("alias 7", "alias 8")], [("Term 7", "term 8")], two, ontology=table).summary.first()
+    assert s.matched_exact == 1
+    both = synonyms.merged(table, synonyms.aliases(synonyms.groups(spark, {"Net": ["nii"]})))
+    assert {r.alias: r.canonical for r in both.where("alias in ('nii', 'net', 'twice')").collect()} == {"nii": "Net", "net": "Net", "twice": "Late"}
+    assert synonyms.statistics(both.where("canonical = 'Net'")).first() == ("Net", 2, ["net", "nii"])
+
+
+@pytest.mark.parametrize(("name", "data"), [("s.json", b'{"Sales": ["revenue", ""]}'), ("s.json", b'[["Sales", "Revenue"]]'), ("s.csv", b"Sales,revenue\n"), ("s.tsv", b"Sales\trevenue\n"), ("s", "\ufeffSales|revenue\n\n".encode())])
+def test_synonym_files(spark, name, data):
+    table = synonyms.aliases(synonyms.file_groups(spark, name, data))
+    assert {r.alias: r.canonical for r in table.collect()} == {"sales": "Sales", "revenue": "Sales"}
+
+
+def test_settings_left_open():
+    raw = {"fields": [{"name": " k ", "role": "key", "left_source": "", "abs_tol": "", "rel_tol": None, "text_fuzzy_threshold": "", "agg": None, "match_weight": ""}], "norm": {"decimal_places": None, "other": 1}, "matching": {"fuzzy_threshold": "", "blocking_field": "", "accept_threshold": "0.7", "weight_exact": 9}}
+    cfg = EngineConfig.from_dict(raw)
+    assert cfg.fields[0] == FieldConfig("k", role="key") and cfg.norm == EngineConfig(()).norm
+    assert (cfg.matching.fuzzy_threshold, cfg.matching.blocking_field, cfg.matching.accept_threshold, cfg.matching.weight_exact) == (90.0, None, 0.7, 1.0)
 
 
 def test_empty_keys(spark):
@@ -117,7 +136,7 @@ def test_empty_side(spark):
     assert (s.left_records, s.unmatched_right, s.reconciliation_rate) == (0, 1, 0.0)
 
 
-@pytest.mark.parametrize("raw", [{}, {"fields": []}, {"fields": [{"name": "a"}]}, {"fields": [{"name": "a", "role": "key"}, {"name": "a"}]}, {"fields": [{"role": "key"}]}, {"fields": [{"name": "a", "role": "boss"}]}])
+@pytest.mark.parametrize("raw", [{}, {"fields": []}, {"fields": [{"name": "a"}]}, {"fields": [{"name": "a", "role": "key"}, {"name": "a"}]}, {"fields": [{"role": "key"}]}, {"fields": [{"name": "a", "role": "boss"}]}, {"fields": [{"name": "a", "role": "key", "abs_tol": "x"}]}, {"fields": [{"name": "a", "role": "key", "abs_tol": "NaN"}]}, {"fields": [{"name": "a", "role": "key"}], "matching": {"fuzzy_threshold": "much"}}])
 def test_bad_config(raw):
     with pytest.raises(ConfigurationError):
         EngineConfig.from_dict(raw)

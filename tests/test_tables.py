@@ -104,14 +104,24 @@ def test_subtotals(spark):
 def test_mapping(spark):
     left = table(spark, ["Invoice No", "Amount"], [("INV-1", "100"), ("INV-2", "200.5"), ("INV-3", "300")])
     right = table(spark, ["Reference", "Total"], [("INV-1", "100.00"), ("INV-2", "200.50"), ("INV-4", "400")])
-    a, b = profile.gather(left, ["ord"]), profile.gather(right, ["ord"])
-    assert [round(p.key_score, 2) for p in a] == [0.85, 0.0]
-    assert len(a[0].value_set & b[0].value_set) / len(a[0].value_set | b[0].value_set) == 0.5
-    fields = {f["name"]: f for f in profile.suggest_mapping(a, b)}
+    a, b = profile.described(left, ["ord"]), profile.described(right, ["ord"])
+    assert [round(p.key_score, 2) for p in a.orderBy("position").collect()] == [0.85, 0.0]
+    pairs = {(r.l.name, r.r.name): r for r in profile.scored_pairs(a, b).collect()}
+    assert set(pairs) == {("Invoice No", "Reference"), ("Amount", "Total")} and pairs["Amount", "Total"].dtype == "money"
+    assert round(pairs["Invoice No", "Reference"].score - 0.3, 3) > 0.275
+    fields = {f["name"]: f for f in profile.field_dicts(profile.suggested_fields(a, b))}
     assert (fields["invoice"]["role"], fields["invoice"]["dtype"], fields["invoice"]["agg"]) == ("key", "text", "first")
     assert (fields["amount"]["dtype"], fields["amount"]["agg"], fields["amount"]["abs_tol"]) == ("money", "sum", "0.01")
 
 
+def test_mapping_names_and_forced_key(spark):
+    left = table(spark, ["Amount", "Total", "Über"], [("1", "10", "a"), ("1", "20", "a"), ("2", "30", "b")])
+    right = table(spark, ["Total", "Amount", "Über"], [("10", "1", "a"), ("20", "2", "b"), ("40", "1", "a")])
+    fields = profile.field_dicts(profile.suggested_fields(profile.described(left, ["ord"]), profile.described(right, ["ord"])))
+    assert [(f["name"], f["left_source"], f["right_source"], f["role"]) for f in fields] == [("amount", "Amount", "Amount", "value"), ("amount_1", "Total", "Total", "key"), ("ber", "Über", "Über", "value")]
+    assert [(f["dtype"], f["agg"], f.get("abs_tol"), f.get("text_fuzzy_threshold")) for f in fields] == [("money", "sum", "0.01", None), ("text", "sum", "0.01", None), ("text", "first", None, 85)]
+
+
 def test_session_sinks_library(spark, tmp_path):
     (tmp_path / "l.csv").write_text("Invoice No,Amount\nINV-1,100\nINV-2,50\n")
     (tmp_path / "r.csv").write_text("Reference,Total\ninv-1,100.00\nINV-9,4\n")
@@ -134,7 +144,7 @@ def test_session_sinks_library(spark, tmp_path):
     again = library.load("My_table")
     assert sorted(r["values"]["Amount"] for r in again.collect()) == ["100", "50"]
     assert session.add("right", again, True).cleared("left").left == ()
-    assert library.write_synonyms("s.csv", b"Non-Interest Income,NII\n").size == library.synonyms().size == 2
+    assert library.write_synonyms("s.csv", b"Non-Interest Income,NII\n").count() == library.synonyms().count() == 2
     assert library.delete("My_table") and library.names() == [] and slug("//") == "reference"
     assert files.sheet_names(sinks.processed_workbook(doc)) == ["Index", "csv"]
 
