@@ -45,18 +45,45 @@ def compare_field(f: FieldConfig, left: Column, right: Column) -> dict[str, Colu
     return compare_date(f, left, right) if f.dtype == "date" else compare_text(f, left, right)
 
 
-def compared(links: DataFrame, left: DataFrame, right: DataFrame, cfg: EngineConfig) -> DataFrame:
-    """Links with key values, for each value field ``f__left, f__right, f__diff, f__pct, f__ok``, break fields and status."""
-    keys = [k.name for k in cfg.keys]
-    values = [f.name for f in cfg.values]
-    lhs = left.select(F.col("key").alias("left_key"), *keys, *[F.col(n).alias(f"{n}__left") for n in values], F.col("source_files").alias("left_source_files"))
-    rhs = right.select(F.col("key").alias("right_key"), *[F.col(n).alias(f"{n}__right") for n in values], F.col("source_files").alias("right_source_files"))
-    rows = links.join(lhs, "left_key").join(rhs, "right_key")
+def compared(outcomes: DataFrame, cfg: EngineConfig) -> DataFrame:
+    """The rows of a match with keys, for each value field ``f__left, f__right, f__diff, f__pct, f__ok``, break fields and status.
+
+    The status of a record without a partner is ``unmatched_left`` or ``unmatched_right``.
+    """
+    keys = [F.coalesce(f"l_{k.name}", f"r_{k.name}").alias(k.name) for k in cfg.keys]
+    rows = outcomes.select(
+        F.col("l_key").alias("left_key"),
+        F.col("r_key").alias("right_key"),
+        "match_type",
+        "confidence",
+        "strategy_scores",
+        "explanation",
+        *keys,
+        *[F.col(f"l_{f.name}").alias(f"{f.name}__left") for f in cfg.values],
+        F.col("l_source_files").alias("left_source_files"),
+        *[F.col(f"r_{f.name}").alias(f"{f.name}__right") for f in cfg.values],
+        F.col("r_source_files").alias("right_source_files"),
+        *[c for c in outcomes.columns if c in ("l_ord", "l_row_count", "r_ord", "r_row_count")],
+    )
     for f in cfg.values:
         parts = compare_field(f, F.col(f"{f.name}__left"), F.col(f"{f.name}__right"))
         rows = rows.withColumns({f"{f.name}__diff": parts["difference"], f"{f.name}__pct": parts["pct"], f"{f.name}__ok": parts["ok"]})
-    broken = F.filter(F.array(*[F.when(~F.col(f"{n}__ok"), F.lit(n)) for n in values]) if values else F.array().cast("array<string>"), lambda x: x.isNotNull())
-    return rows.withColumn("break_fields", broken).withColumn("status", F.when(F.size("break_fields") == 0, "reconciled").otherwise("break"))
+    broken = F.filter(F.array(*[F.when(~F.col(f"{f.name}__ok"), F.lit(f.name)) for f in cfg.values]) if cfg.values else F.array().cast("array<string>"), lambda x: x.isNotNull())
+    alone = F.when(F.col("right_key").isNull(), "unmatched_left").when(F.col("left_key").isNull(), "unmatched_right")
+    return rows.withColumn("break_fields", broken).withColumn("status", alone.when(F.size("break_fields") == 0, "reconciled").otherwise("break"))
+
+
+def linked(rows: DataFrame) -> DataFrame:
+    """The rows of :func:`compared` that have both records."""
+    return rows.where(F.col("left_key").isNotNull() & F.col("right_key").isNotNull()).drop("l_ord", "l_row_count", "r_ord", "r_row_count")
+
+
+def unmatched(rows: DataFrame, cfg: EngineConfig, side: str) -> DataFrame:
+    """The records of a side that have no partner, in canonical form."""
+    own, other, tag = ("left", "right", "l") if side == "left" else ("right", "left", "r")
+    fields = [F.col(k.name) for k in cfg.keys] + [F.col(f"{f.name}__{own}").alias(f.name) for f in cfg.values]
+    lone = rows.where(F.col(f"{own}_key").isNotNull() & F.col(f"{other}_key").isNull())
+    return lone.select(F.col(f"{own}_key").alias("key"), F.col(f"{tag}_ord").alias("ord"), *fields, F.col(f"{own}_source_files").alias("source_files"), F.col(f"{tag}_row_count").alias("row_count"))
 
 
 def variance(matches: DataFrame, cfg: EngineConfig) -> DataFrame:
@@ -74,18 +101,18 @@ def variance(matches: DataFrame, cfg: EngineConfig) -> DataFrame:
     return total.select(F.inline(F.array(*rows)))
 
 
-def summary(matches: DataFrame, left: DataFrame, right: DataFrame, unmatched_left: DataFrame, unmatched_right: DataFrame) -> DataFrame:
-    """One row of counts and rates."""
+def summary(rows: DataFrame) -> DataFrame:
+    """One row of counts and rates, from one pass over the rows of :func:`compared`."""
     rate = lambda a, b: F.round(100.0 * F.col(a) / F.when(F.col(b) == 0, 1).otherwise(F.col(b)), 2)
-    counts = matches.agg(
-        F.count("*").alias("matched_pairs"),
-        F.count_if(F.col("match_type") == "exact").alias("matched_exact"),
-        F.count_if(F.col("match_type") != "exact").alias("matched_fuzzy_or_semantic"),
-        F.count_if(F.col("status") == "reconciled").alias("reconciled"),
-        F.count_if(F.col("status") == "break").alias("breaks"),
+    both = F.col("left_key").isNotNull() & F.col("right_key").isNotNull()
+    counts = rows.agg(
+        F.count("left_key").alias("left_records"),
+        F.count("right_key").alias("right_records"),
+        F.count_if(both).alias("matched_pairs"),
+        F.count_if(both & (F.col("match_type") == "exact")).alias("matched_exact"),
+        F.count_if(both & (F.col("match_type") != "exact")).alias("matched_fuzzy_or_semantic"),
+        *[F.count_if(F.col("status") == status).alias(name) for name, status in (("reconciled", "reconciled"), ("breaks", "break"), ("unmatched_left", "unmatched_left"), ("unmatched_right", "unmatched_right"))],
     )
-    for name, side in (("left_records", left), ("right_records", right), ("unmatched_left", unmatched_left), ("unmatched_right", unmatched_right)):
-        counts = counts.crossJoin(side.agg(F.count("*").alias(name)))  # one row each
     return counts.select(
         F.lit("token_sort_lcs").alias("fuzzy_backend"),
         "left_records",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions import similarity, text
-from ..plans.scratch import cut
+from ..plans.scratch import cut, written
 from .assign import assign
 from .tfidf import best_matches
 
@@ -19,15 +19,23 @@ SCORES = "array<struct<strategy:string,score:double,weight:double>>"
 LINK = ("left_key", "right_key", "match_type", "confidence", "strategy_scores", "explanation")
 
 
-def exact_links(left: DataFrame, right: DataFrame, cfg: EngineConfig) -> DataFrame:
-    """Keys that both sides have. Keys are unique on each side, so an equi-join is one to one."""
-    both = left.select("key").join(right.select("key"), "key")
+def paired(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Both sides by one full outer join on the key (unique on each side): ``l_<column>``, ``r_<column>``, null where a side has no record."""
+    tagged = lambda df, tag: df.select(*[F.col(c).alias(f"{tag}_{c}") for c in df.columns])
+    return tagged(left, "l").join(tagged(right, "r"), F.col("l_key") == F.col("r_key"), "full_outer")
+
+
+def _exact(cfg: EngineConfig) -> dict[str, Column]:
+    both = F.col("l_key").isNotNull() & F.col("r_key").isNotNull()
     scores = F.array(F.struct(F.lit("exact").alias("strategy"), F.lit(1.0).alias("score"), F.lit(cfg.matching.weight_exact).alias("weight")))
-    return both.select(F.col("key").alias("left_key"), F.col("key").alias("right_key"), F.lit("exact").alias("match_type"), F.lit(1.0).alias("confidence"), scores.cast(SCORES).alias("strategy_scores"), F.lit("Exact composite-key match.").alias("explanation"))
+    values = {"match_type": F.lit("exact"), "confidence": F.lit(1.0), "strategy_scores": scores.cast(SCORES), "explanation": F.lit("Exact composite-key match.")}
+    return {n: F.when(both, v) for n, v in values.items()}
 
 
-def residual(side: DataFrame, other: DataFrame) -> DataFrame:
-    return side.join(other.select("key"), "key", "left_anti")
+def _only(pairs: DataFrame, tag: str, other: str) -> DataFrame:
+    """The records of one side that have no partner, under their own names."""
+    columns = [c for c in pairs.columns if c.startswith(f"{tag}_")]
+    return pairs.where(F.col(f"{other}_key").isNull()).select(*[F.col(c).alias(c[2:]) for c in columns])
 
 
 def block_of(df: DataFrame, cfg: EngineConfig) -> Column:
@@ -122,22 +130,22 @@ def candidates(left: DataFrame, right: DataFrame, cfg: EngineConfig) -> DataFram
     return pairs.select("left_key", "right_key", "block", "left_ord", "right_ord", *[c.alias(n) for n, c in parts.items()]).where(F.col("confidence") >= m.accept_threshold)
 
 
-def match(left: DataFrame, right: DataFrame, cfg: EngineConfig) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Links, and the records of each side that have none."""
+def match(left: DataFrame, right: DataFrame, cfg: EngineConfig) -> DataFrame:
+    """One row for each link and each record without one: both records (:func:`paired`), and how they were matched."""
     m = cfg.matching
-    exact = exact_links(left, right, cfg)
-    rest_left, rest_right = residual(left, right), residual(right, left)
+    pairs = paired(left, right)
     numeric = m.numeric_enabled and any(f.is_number for f in cfg.values)
     if not (m.fuzzy_enabled or m.semantic_enabled or numeric):
-        return exact, rest_left, rest_right
+        return pairs.select("*", *[c.alias(n) for n, c in _exact(cfg).items()])
+    pairs = written(pairs)
+    rest_left, rest_right = _only(pairs, "l", "r"), _only(pairs, "r", "l")
     found = cut(candidates(rest_left, rest_right, cfg))
     blocks = found.groupBy("block").agg(F.min("left_ord").alias("block_ord")).alias("b")
     ordered = found.join(blocks, "block").withColumn("__c", -F.col("confidence"))
     chosen = cut(assign(ordered, [F.col("__c"), F.col("block_ord"), F.col("left_ord"), F.col("right_ord")]))
-    scored_links = found.join(chosen, ["left_key", "right_key"]).select(*LINK)
-    links = exact.unionByName(scored_links)
-    return links, _without(rest_left, chosen, "left_key"), _without(rest_right, chosen, "right_key")
-
-
-def _without(side: DataFrame, chosen: DataFrame, name: str) -> DataFrame:
-    return side.join(chosen.select(F.col(name).alias("key")), "key", "left_anti")
+    links = found.join(chosen, ["left_key", "right_key"]).select(*LINK)
+    l_columns, r_columns = ([c for c in pairs.columns if c.startswith(t)] for t in ("l_", "r_"))
+    of_left = pairs.where("r_key is null").select(*l_columns).join(links, F.col("l_key") == F.col("left_key"), "left")
+    rest = of_left.join(pairs.where("l_key is null").select(*r_columns), F.col("right_key") == F.col("r_key"), "full_outer").drop("left_key", "right_key")
+    exact = pairs.where("l_key is not null and r_key is not null").select("*", *[c.alias(n) for n, c in _exact(cfg).items()])
+    return exact.unionByName(rest)

@@ -3,26 +3,29 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..operators.canonical import canonicalize
-from ..operators.compare import compared, summary, variance
+from ..operators.compare import compared, linked, summary, unmatched, variance
 from ..operators.matching import match
+from .scratch import written
 
 
 @dataclass(frozen=True)
 class Reconciliation:
-    """Lazy results; ``matches`` holds reconciled pairs and breaks alike."""
+    """Lazy results. ``rows`` has one row for each link and each record without one; all else is read from it."""
 
-    matches: DataFrame
-    unmatched_left: DataFrame
-    unmatched_right: DataFrame
-    field_variance: DataFrame
-    summary: DataFrame
+    rows: DataFrame
+    cfg: EngineConfig
+
+    @property
+    def matches(self) -> DataFrame:
+        """Reconciled pairs and breaks alike."""
+        return linked(self.rows)
 
     @property
     def reconciled(self) -> DataFrame:
@@ -32,12 +35,30 @@ class Reconciliation:
     def breaks(self) -> DataFrame:
         return self.matches.where(F.col("status") == "break")
 
+    @property
+    def unmatched_left(self) -> DataFrame:
+        return unmatched(self.rows, self.cfg, "left")
+
+    @property
+    def unmatched_right(self) -> DataFrame:
+        return unmatched(self.rows, self.cfg, "right")
+
+    @property
+    def field_variance(self) -> DataFrame:
+        return variance(self.matches, self.cfg)
+
+    @property
+    def summary(self) -> DataFrame:
+        return summary(self.rows)
+
+    def written(self) -> Reconciliation:
+        """The same with its rows written to the shared folder, for callers that read several results."""
+        return replace(self, rows=written(self.rows))
+
 
 def reconcile_canonical(left: DataFrame, right: DataFrame, cfg: EngineConfig) -> Reconciliation:
     """From two canonical sides."""
-    links, rest_left, rest_right = match(left, right, cfg)
-    matches = compared(links, left, right, cfg)
-    return Reconciliation(matches, rest_left, rest_right, variance(matches, cfg), summary(matches, left, right, rest_left, rest_right))
+    return Reconciliation(compared(match(left, right, cfg), cfg), cfg)
 
 
 def reconcile(

@@ -1,19 +1,33 @@
-"""Where iterative operators cut their lineage: checkpoints in the folder that the cluster names."""
+"""Where plans cut their lineage: checkpoints and tables in the folder that the cluster names."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the session's ``spark.checkpoint.dir``; only where it is unset (tests) take a fresh folder."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyframe-")
-        spark.sparkContext.setCheckpointDir(base)
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; only where it is unset and all runs on one machine (tests) a fresh folder."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not base:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            base = tempfile.mkdtemp(prefix="tallyframe-")
+        context.setCheckpointDir(base)
+    return context.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, which later plans read column by column."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

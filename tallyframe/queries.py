@@ -76,10 +76,8 @@ _SIDES = """
 """)
 def flagship_recon(spark: SparkSession, d: str) -> DataFrame:
     """Orders against their line items: status, count, sums of differences."""
-    r = _recon(spark, d)
-    rows = r.matches.select("status", F.col("amount__diff").alias("diff"))
-    rows = rows.union(r.unmatched_left.select(F.lit("unmatched_left"), F.col("amount")))
-    rows = rows.union(r.unmatched_right.select(F.lit("unmatched_right"), -F.col("amount")))
+    diff = F.when(F.col("status") == "unmatched_left", F.col("amount__left")).when(F.col("status") == "unmatched_right", -F.col("amount__right")).otherwise(F.col("amount__diff"))
+    rows = _recon(spark, d).rows.select("status", diff.alias("diff"))
     return rows.groupBy("status").agg(F.count("*").alias("n"), cents(F.sum("diff")).alias("sum_diff"), cents(F.sum(F.abs("diff"))).alias("sum_abs"))
 
 
@@ -315,7 +313,7 @@ EVENT_SYNONYMS = [["purchase", "buy", "order"], ["View", "view", "pageview"], ["
 """)
 def ontology_join(spark: SparkSession, d: str) -> DataFrame:
     """Event types under their canonical terms."""
-    terms = ontology.Ontology.from_groups(EVENT_SYNONYMS).frame(spark)
+    terms = ontology.aliases(ontology.groups(spark, EVENT_SYNONYMS))
     return ontology.apply_table(table(spark, d, "events"), "event_type", terms, "term").groupBy("term").agg(F.count("*").alias("n"))
 
 
@@ -367,8 +365,8 @@ def jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def suggest_mapping(spark: SparkSession, d: str) -> DataFrame:
     """Fields suggested for customers against suppliers."""
-    fields = profiles.suggest_mapping(profiles.gather(table(spark, d, "customer"), ["c_custkey"], ["c_custkey", "c_name", "c_nationkey", "c_acctbal"]), profiles.gather(table(spark, d, "supplier"), ["s_suppkey"], ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"]))
-    return spark.createDataFrame([(f["name"], f["role"], f["dtype"], f["left_source"], f["right_source"], f["agg"]) for f in fields], "name string, role string, dtype string, left_source string, right_source string, agg string")
+    sides = [profiles.described(table(spark, d, t), [key], columns) for t, key, columns in (("customer", "c_custkey", ["c_custkey", "c_name", "c_nationkey", "c_acctbal"]), ("supplier", "s_suppkey", ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"]))]
+    return profiles.suggested_fields(*sides).select("name", "role", "dtype", "left_source", "right_source", "agg")
 
 
 @query("SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(28,2)) AS amount FROM orders ORDER BY amount DESC, o_orderkey LIMIT 250")

@@ -39,6 +39,7 @@ def unmatched_rows(side: DataFrame, cfg: EngineConfig) -> DataFrame:
 
 def frames(result: Reconciliation, cfg: EngineConfig) -> dict[str, DataFrame]:
     """The six parts of a result, in the order of the workbook's sheets."""
+    result = result.written()
     return {
         "summary": result.summary,
         "field_variance": result.field_variance,
