@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,36 +18,64 @@ CURRENCY_SYMBOLS = "$€£¥₹¢₩"
 _DIGITS = "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹０１２３４５６７８９"
 
 
-def _plain(c: Column, null_tokens: Sequence[str]) -> Column:
-    """``[~][+-]digits[.digits][%]`` (``~``: in parentheses), null where a cell is no number.
+#: Most numbers; they need no further reading (fixed pattern).
+_SIMPLE = r"^-?[0-9]{1,20}(\.[0-9]{1,12})?$"
+_GROUPED = r"^~?-?[0-9]{1,3}(,[0-9]{3}){1,13}%?$"
+_NUMBER = r"^~?[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)%?$"
 
-    A chain in which every step is used once, so that the expression stays small.
-    """
-    s = F.translate(strip(c), "~", "x")
-    if null_tokens:
-        s = F.when(F.lower(s).isin(*null_tokens), None).otherwise(s)
-    s = F.regexp_replace(s, r"(?s)^\((.*)\)$", "~$1")
-    s = F.translate(F.translate(s, CURRENCY_SYMBOLS + " _", ""), _DIGITS, "0123456789" * 3)
-    s = F.regexp_replace(s, r"(?<=^~?-?[0-9]{1,3}(?:,[0-9]{3}){0,12}),(?=[0-9]{3}(?:,[0-9]{3}){0,12}%?$)", "")  # thousands only
-    s = F.regexp_replace(s, r"\.(?=.*,[^.]*$)", "")  # a comma comes last: points group
-    s = F.regexp_replace(s, r",(?=.*\.[^,]*$)", "")  # a point comes last: commas group
-    return F.regexp_substr(F.translate(s, ",", "."), F.lit(r"^~?[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)%?$"))
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _one_separator(s: Column) -> Column:
+    """Separators of groups left out and the decimal one as a point: the last kind of separator is the decimal one, unless commas set thousands apart."""
+    no_commas, no_points = F.translate(s, ",", ""), F.translate(s, ",.", ".")
+    return F.when(~s.contains(","), s).when(s.rlike(_GROUPED) | s.rlike(r"\.[^,]*$"), no_commas).otherwise(no_points)
+
+
+def _plain(s: Column) -> Column:
+    """``[~][+-]digits[.digits][%]`` (``~``: in parentheses) of a trimmed text, null where it is no number."""
+    bare = F.when(s.startswith("(") & s.endswith(")") & (F.length(s) > 1), F.concat(F.lit("~"), F.substr(s, F.lit(2), F.length(s) - 2))).otherwise(s)
+    bare = F.translate(F.translate(bare, CURRENCY_SYMBOLS + " _", ""), _DIGITS, "0123456789" * 3)
+    return let(bare, lambda t: let(_one_separator(t), lambda n: F.when(n.rlike(_NUMBER), n)))
+
+
+def _read(c: Column, null_tokens: Sequence[str], simple: Callable[[Column], Column], plain: Callable[[Column], Column]) -> Column:
+    """A cell read by ``simple`` where it is a plain number, else by ``plain`` from its :func:`_plain` form."""
+
+    def use(s: Column) -> Column:
+        read = F.when(s.rlike(_SIMPLE), simple(s)).otherwise(let(_plain(F.translate(s, "~", "x")), plain))
+        return F.when(~F.lower(s).isin(*null_tokens), read) if null_tokens else read
+
+    return let(strip(c.cast("string")), use)
 
 
 def decimal_text(c: Column, null_tokens: Sequence[str] = ()) -> Column:
     """A number's literal, with the decimals it was written with: what keys and duplicates are told by."""
-    s = F.translate(_plain(c.cast("string"), null_tokens), "+", "")
-    for pattern, new in ((r"^(~?-?)0+(?=[0-9])", "$1"), (r"^(~?-?)\.", "$10."), (r"\.(?=%?$)", ""), ("^~-", ""), (r"^[~-]+(?=0*\.?0*%?$)", ""), ("^~", "-")):
-        s = F.regexp_replace(s, pattern, new)
-    hundredth = (F.translate(s, "%", "").try_cast("decimal(36,12)") * F.lit("0.01").cast("decimal(2,2)")).cast("string")
-    return F.when(s.endswith("%"), F.regexp_replace(F.regexp_replace(hundredth, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")).otherwise(s)
+
+    def shorter(s: Column) -> Column:
+        for pattern, new in ((r"^(~?-?)0+(?=[0-9])", "$1"), (r"^(~?-?)\.", "$10."), (r"\.(?=%?$)", ""), ("^~-", ""), (r"^[~-]+(?=0*\.?0*%?$)", ""), ("^~", "-")):
+            s = F.regexp_replace(s, pattern, new)
+        return s
+
+    def text(s: Column) -> Column:
+        hundredth = (F.translate(s, "%", "").try_cast("decimal(36,12)") * F.lit("0.01").cast("decimal(2,2)")).cast("string")
+        return F.when(s.endswith("%"), F.regexp_replace(F.regexp_replace(hundredth, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")).otherwise(s)
+
+    return _read(c, null_tokens, shorter, lambda s: let(shorter(F.translate(s, "+", "")), text))
 
 
 def parse_decimal(c: Column, null_tokens: Sequence[str] = ()) -> Column:
     """A cell as ``decimal(28,6)``, null where it is no number."""
-    s = _plain(c.cast("string"), null_tokens)
-    value = F.translate(F.regexp_replace(F.regexp_replace(s, "^~-", ""), r"^~\+?", "-"), "%", "").try_cast("decimal(36,12)")
-    return (value * F.when(s.endswith("%"), F.lit("0.01")).otherwise("1").cast("decimal(3,2)")).try_cast(MONEY)
+
+    def value(s: Column) -> Column:
+        size = F.translate(s, "~+-%", "").try_cast("decimal(36,12)")
+        size = F.when(s.endswith("%"), (size * F.lit("0.01").cast("decimal(2,2)")).try_cast(MONEY)).otherwise(size.try_cast(MONEY))
+        return F.when(s.startswith("~-") | ~(s.startswith("~") | s.startswith("-")), size).otherwise(-size)
+
+    return _read(c, null_tokens, lambda s: s.try_cast("decimal(36,12)").try_cast(MONEY), value)
 
 
 def number_of(c: Column, dtype: T.DataType, null_tokens: Sequence[str] = ()) -> Column:
