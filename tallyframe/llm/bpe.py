@@ -22,7 +22,7 @@ import json
 import math
 import re
 from collections.abc import Iterable, Iterator
-from functools import lru_cache, partial
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordMemo, release_memo, slices, small
+from .common import WordMemo, held, slices, small
 
 #: How the byte-level pre-tokeniser cuts a text (fixed by the tokenizer's format).
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -41,7 +41,7 @@ _WIDE = re.compile("[\x1c-\x1f\x85\xb2\xb3\xb9\xbc-\xbe\u0250-\U0010ffff]")
 #: Characters of text that are cut into pieces at once.
 CHUNK = 1 << 16
 #: Pieces that a worker remembers in each of two generations.
-WORDS = 120_000
+WORDS = 80_000
 #: Rank of a pair that never merges.
 NEVER = 2**31 - 1
 
@@ -286,14 +286,13 @@ def _chunks(text: str, size: int = CHUNK) -> Iterator[str]:
     yield text[at:]
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    """A worker's encoder of a vocabulary file."""
+    return held(("vocabulary", path), lambda: Encoder(path))
 
 
 def _round_trip(batches: Iterator[pa.RecordBatch], path: str, ids: bool) -> Iterator[pa.RecordBatch]:
     bpe = encoder(path)
-    release_memo()
     for batch in small(batches):
         texts, rows = [x or "" for x in batch.column("text").to_pylist()], []
         for start, end in slices(texts, 8 * CHUNK):

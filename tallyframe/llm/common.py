@@ -18,12 +18,14 @@ _ROOTS: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a fresh folder is made.
+    Only where the session names none and runs on one machine (tests) a fresh folder is made.
     """
     app = spark.sparkContext.applicationId
     if app not in _ROOTS:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             base = "file://" + tempfile.mkdtemp(prefix="tallyframe-")
         _ROOTS[app] = f"{base.rstrip('/')}/tallyframe-{uuid.uuid4().hex}"
         atexit.register(_forget, spark, _ROOTS[app])
@@ -58,12 +60,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def sample_of(labelled: DataFrame, id_col: str, bound: int) -> DataFrame:
-    """About ``bound`` rows at most, chosen by a hash of the id; all rows if there are fewer."""
-    total = labelled.select(id_col).count()
+def sample_of(rows: DataFrame, bound: int) -> DataFrame:
+    """About ``bound`` rows at most, chosen by a hash of all their columns; all rows if there are fewer."""
+    total = rows.count()
     if total <= bound:
-        return labelled
-    return labelled.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(1_000_000)) < int(1_000_000 * bound / total))
+        return rows
+    return rows.where(F.pmod(F.xxhash64(F.lit("sample"), *rows.columns), F.lit(1_000_000_000)) < int(1_000_000_000 * bound / total))
 
 
 def rows_of(batch, *names: str) -> Iterator[tuple]:
@@ -92,7 +94,7 @@ def slices(texts: list, chars: int = 1_500_000) -> Iterator[tuple[int, int]]:
 class WordMemo:
     """Values of words, computed for many unseen words at once; two generations bound the memory."""
 
-    def __init__(self, compute: Callable[[list[str]], list], limit: int = 100_000):
+    def __init__(self, compute: Callable[[list[str]], list], limit: int = 60_000):
         self.compute, self.limit = compute, limit
         self.young: dict = {}
         self.old: dict = {}
@@ -113,21 +115,38 @@ class WordMemo:
         return [young[w] for w in words]
 
 
-_MEMO: list = [None, None]
+_HELD: list = [None, None]
 
 
-def release_memo() -> None:
-    """Forget the memo of an earlier stage's model."""
-    _MEMO[:] = [None, None]
+def held(name, make: Callable):
+    """The one large object that a worker holds at a time; another name takes the place of an earlier stage's object."""
+    if _HELD[0] != name:
+        _HELD[:] = [None, None]
+        _HELD[:] = [name, make()]
+    return _HELD[1]
+
+
+def release() -> None:
+    """Forget what an earlier stage left in this worker."""
+    _HELD[:] = [None, None]
 
 
 def memo_of(model) -> WordMemo:
     """The memo of a worker for the words of a model; it lasts while tasks bring the same model."""
-    mark = getattr(model, "mark", None)
-    if _MEMO[0] is None or _MEMO[0] != mark:
-        _MEMO[:] = [mark, WordMemo(model.words)]
-    _MEMO[1].compute = model.words
-    return _MEMO[1]
+    memo = held(model.mark, lambda: WordMemo(model.words))
+    memo.compute = model.words
+    return memo
+
+
+def spare(columns: list[str], *names: str) -> list[str]:
+    """The names, each lengthened until no column (in any case) has it."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
 
 
 def indexed(docs: list[list[str]]) -> tuple[list[str], np.ndarray, np.ndarray]:
