@@ -7,38 +7,85 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
 
 #: Rows of a key that one task compares at once; a key with more is cut into blocks, met two by two.
 BLOCK_ROWS = 8192
-#: Hot keys that are broadcast (12 bytes each); more are joined by a shuffle.
-BROADCAST_KEYS = 200_000
+#: A key is hot if it has more than rows / HOT_KEYS rows, and more than COLD_ROWS. So there are HOT_KEYS of them at most, and they may be broadcast.
+HOT_KEYS, COLD_ROWS = 5000, 64
+#: Share of the rows in which :func:`meetings` looks for hot keys, and how often one must be met there.
+PEEK, PEEKED = 0.02, 100
 
 
-def in_blocks(rows: DataFrame, key: str, node: str, block_rows: int = BLOCK_ROWS, weight: str | None = None) -> DataFrame:
-    """``rows`` with ``pair`` (which two blocks of a key meet) and ``side`` (0 first block, 1 second).
+def join_hot(rows: DataFrame, table: DataFrame, key: str, weight: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``table`` (one row a key), whose column ``weight`` is the number of the rows that have the key.
 
-    A key with at most ``block_rows`` rows (or so much of the column ``weight``) is one block. A larger one is cut by a hash of ``node``
-    into b blocks; each block goes to its b pairs, so that all its rows still meet one another.
+    Hot keys are joined by broadcast, the others by shuffle, so that no task gets all rows of a hot key. With ``how="left"``
+    rows without a partner stay; those without a key do not meet in one task either.
     """
-    hot = rows.groupBy(key).agg((F.sum(weight) if weight else F.count("*")).alias("count")).where(F.col("count") > block_rows).select(key, F.ceil(F.col("count") / block_rows).cast("int").alias("blocks"))
-    hot, _ = materialise(hot, "hot")
-    if hot.count() <= BROADCAST_KEYS:
-        hot = F.broadcast(hot)
-    placed = rows.join(hot, key, "left").withColumn("block", F.pmod(F.xxhash64(node), F.coalesce("blocks", F.lit(1))).cast("int"))
-    pairs = F.when(F.col("blocks").isNull(), F.array(F.struct(F.lit(0).alias("pair"), F.lit(0).alias("side")))).otherwise(
-        F.transform(
-            F.sequence(F.lit(0), F.col("blocks") - 1),
-            lambda other: F.struct(
-                (F.least(F.col("block"), other) * F.col("blocks") + F.greatest(F.col("block"), other)).cast("int").alias("pair"),
-                (F.col("block") > other).cast("int").alias("side"),
-            ),
-        )
+    total, most = table.agg(F.sum(weight), F.max(weight)).first()
+    bar = max(COLD_ROWS, int(total or 0) // HOT_KEYS)
+    known = rows.where(F.col(key).isNotNull())
+    if (most or 0) > bar:
+        hot = F.broadcast(table.where(F.col(weight) > bar))
+        rest = known.join(hot.select(key), key, "left_anti").join(table.where(F.col(weight) <= bar), key, how)
+        out = known.join(hot, key).unionByName(rest)
+    else:
+        out = known.join(table, key, how)
+    return out.unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True) if how == "left" else out
+
+
+def _paired(rows: DataFrame, columns: list[str], block: Column, blocks: Column) -> DataFrame:
+    """``columns``, ``pair`` (which two blocks of a key meet) and ``side`` (0 first block, 1 second); each block goes to all its pairs."""
+    whole = F.array(F.struct(F.lit(0).alias("pair"), F.lit(0).alias("side")))
+    pairs = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda other: F.struct((F.least("block", other) * F.col("blocks") + F.greatest("block", other)).cast("int").alias("pair"), (F.col("block") > other).cast("int").alias("side")),
     )
-    return placed.select(*rows.columns, F.explode(pairs).alias("p")).select(*rows.columns, "p.pair", "p.side")
+    placed = rows.withColumn("blocks", blocks.cast("int")).withColumn("block", block)
+    return placed.select(*columns, F.explode(F.when(F.col("blocks") > 1, pairs).otherwise(whole)).alias("p")).select(*columns, "p.pair", "p.side")
+
+
+def _block_of(node: str, blocks: Column) -> Column:
+    return F.pmod(F.xxhash64(node), blocks).cast("int")
+
+
+def in_blocks(rows: DataFrame, key: str, node: str, weight: str, block_weight: int) -> DataFrame:
+    """``rows`` with ``pair`` and ``side``: a key whose rows weigh more than ``block_weight`` is cut by a hash of ``node``.
+
+    A larger key is cut into b blocks; each block goes to its b pairs, so that all its rows still meet one another.
+    """
+    large = rows.groupBy(key).agg(F.sum(weight).alias("weight_of_key"), F.count("*").alias("rows_of_key")).where(F.col("weight_of_key") > block_weight)
+    large, _ = materialise(large, "large")
+    blocks = F.ceil(F.coalesce(F.col("weight_of_key"), F.lit(1)) / block_weight)
+    return _paired(join_hot(rows, large, key, "rows_of_key", "left"), rows.columns, _block_of(node, F.col("blocks")), blocks)
+
+
+def meetings(nodes: DataFrame, keys_of: Callable[[DataFrame], DataFrame], block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``key, node, pair, side`` for the rows of ``keys_of(nodes)`` (``key, node``) whose key two rows or more have.
+
+    Only these two columns are shuffled, once; a key that no other row has ends here. Keys that are hot among
+    a sample of the nodes skip that shuffle: the sample only tells which way rows go, and no row is left out.
+    """
+    peek = keys_of(nodes.sample(PEEK, seed=5)).groupBy("key").agg(F.count("*").alias("seen"))
+    peek, _ = materialise(peek.where(F.col("seen") > PEEKED), "peek")
+    bar = max(PEEKED, math.ceil((peek.agg(F.sum("seen")).first()[0] or 0) / HOT_KEYS))
+    hot, _ = materialise(peek.where(F.col("seen") > bar).select("key", F.ceil(F.col("seen") / PEEK / block_rows).cast("int").alias("guess")), "hot")
+    any_hot, keys = not hot.isEmpty(), keys_of(nodes)
+    cold = keys.join(F.broadcast(hot.select("key")), "key", "left_anti") if any_hot else keys
+    cold = cold.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
+    out = _paired(cold, ["key", "node"], _block_of("node", F.col("blocks")), F.ceil(F.col("n") / block_rows))
+    if any_hot:
+        out = out.union(_paired(keys.join(F.broadcast(hot), "key"), ["key", "node"], _block_of("node", F.col("blocks")), F.col("guess")))
+    return out
+
+
+def together(met: DataFrame, payload: DataFrame) -> DataFrame:
+    """The rows of :func:`meetings` with the columns that ``payload`` (``node``, ...) has for their nodes, those of a key and pair in one run."""
+    return met.join(payload, "node").repartition("key", "pair").sortWithinPartitions("key", "pair")
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:

@@ -1,21 +1,26 @@
-"""Near-duplicates by SimHash, found through tables of distances to reference fingerprints.
+"""Near-duplicates by SimHash, found through tables of distances to reference fingerprints (pivots).
 
-The reference fingerprints (pivots) come in pairs that agree on one block of bits and are opposite
-elsewhere; half the sum of a fingerprint's distances to such a pair, less a constant, is its
-distance to the pivot within the block. So the pivot table yields coordinates for every block.
+For every distinct fingerprint two tables of Hamming distances are computed once:
 
-* ``exact``: with B blocks and at most d differing bits, two linked fingerprints have equal
-  coordinates in at least B - d blocks. Rows meet by the coordinates of each choice of B - d blocks.
-  Rows that meet are discarded when any coordinate differs by more than d; the rest is verified.
-  No pair within d bits is missed.
+* distances to pivot pairs that agree on one block of bits and are opposite elsewhere. Half the sum of the two distances,
+  less a constant, is the fingerprint's distance to the pivot within the block: a coordinate. Pairs of fingerprints whose
+  coordinates differ in too many blocks never meet; the others do by equal coordinates, so no pair of rows is listed.
+* distances to random pivots over all bits. Two fingerprints differ in at least as many bits as these distances
+  do, so pairs that meet are discarded by the largest difference of coordinates; the survivors are verified.
+
+How rows meet:
+
+* ``exact``: with B blocks and at most d differing bits, two linked fingerprints have equal coordinates in at
+  least B - d blocks. Rows meet by the coordinates of each choice of B - d blocks. No pair within d bits is missed.
 * ``banded`` (for sets of shingles at a target similarity): rows meet by the coordinates of random small
   blocks of bits, as many as the target similarity and recall ask for; short sets, for which the
   coordinates are too coarse, meet by the shingles of which two such sets must share one, so that no
   pair is missed. Distance is a filter only: within groups that it connects, two sets are linked if
   their exact Jaccard similarity is the target or more (shingles are told apart by 64-bit hashes).
 
-Equal fingerprints are one row from the start, so copies cost nothing, and hot groups are cut into
-blocks of rows. Components are found from the links, never from pairs of documents.
+Equal fingerprints are one row from the start, so copies cost nothing. Keys of meetings are shuffled without the
+fingerprints; those join only where two rows share a key. Hot groups are cut into blocks of rows.
+Components are found from the links, never from pairs of documents.
 
 Defined results: a null text counts as empty; a text without words has fingerprint zero; rows with
 a null id get a fingerprint and a component like others but never name one; no rows give no rows.
@@ -24,7 +29,7 @@ a null id get a fingerprint and a component like others but never name one; no r
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 from itertools import chain, combinations, islice, repeat
 import re
@@ -35,8 +40,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .buckets import BROADCAST_KEYS, in_blocks, link_near, merge_labels, small_pairs, star_edges, whole_groups
-from .common import drop_path, materialise, release_memo, small
+from .buckets import in_blocks, join_hot, link_near, meetings, merge_labels, small_pairs, star_edges, together, whole_groups
+from .common import materialise, release, small, spare
 from .components import connected_components
 
 SEED = 42
@@ -108,7 +113,7 @@ def set_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], k: int, words: int) -> Iterator[pa.RecordBatch]:
-    release_memo()
+    release()
     for batch in small(batches):
         texts = batch.column("text")
         prints = [fingerprint(texts[i].as_py(), k, words).tobytes() for i in range(batch.num_rows)]
@@ -172,7 +177,7 @@ class Plan:
             self.choices = list(combinations(range(n_blocks), n_blocks - max_distance))
         else:
             agree = 1 - differing(similarity) - PARITY
-            width = max(16, math.ceil(math.log2(max(expected_rows, 1) + 1)) - 2)
+            width = max(16, math.ceil(math.log2(max(expected_rows, 1))) + SPARSE)
             tables = math.ceil(math.log(1 - RECALL) / math.log(1 - agree**width))
             rng = np.random.default_rng(11)
             self.blocks = [np.sort(rng.choice(bits, width, replace=False)) for _ in range(tables)]
@@ -192,22 +197,43 @@ def differing(similarity: float) -> float:
 
 #: Chance of meeting, in some table, for a pair exactly at the target similarity.
 RECALL = 0.99
+#: Bits by which blocks are wider than the number of rows needs: of 2**SPARSE unlike rows about one meets another in a table.
+SPARSE = 4
 #: Sets of at most so many shingles meet by shared shingles instead.
 SHORT = 100
 #: By how much more sets of over SHORT shingles may differ than large ones (0.0015 at most for 0.8, counted out).
 PARITY = 0.002
 #: Pivots of the table by which rows that met are discarded before they are verified.
-FILTER_PIVOTS = 24
+FILTER_PIVOTS = 12
+
+
+def pivot_distances(fps: np.ndarray) -> np.ndarray:
+    """Distances of fingerprints to the random pivots, always the same ones: rows x pivots."""
+    rng = np.random.default_rng(3)
+    shape = FILTER_PIVOTS, fps.shape[1]
+    pivots = rng.integers(0, 2**63, shape, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, shape, dtype=np.uint64)
+    return np.stack([_popcount(fps ^ p).sum(1, dtype=np.int16) for p in pivots], axis=1)
+
+
+def _prints_of(column: pa.Array, words: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(-1, words)
+
+
+def _tabled(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """Rows with their distances to the random pivots."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2048):
+            part = batch.slice(at, 2048)
+            table = pivot_distances(_prints_of(part.column("fp"), words))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([r.tobytes() for r in table], pa.binary())], [*batch.schema.names, "distances"])
 
 
 def _meet(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 2048):
             part = batch.slice(at, 2048)
-            fps = np.frombuffer(b"".join(part.column("fp").to_pylist()), dtype=np.uint64).reshape(-1, plan.words)
-            keys = plan.keys(fps)
-            n = keys.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), part.column("node").take(pa.array(np.repeat(np.arange(len(fps)), n))), part.column("fp").take(pa.array(np.repeat(np.arange(len(fps)), n)))], ["key", "node", "fp"])
+            keys = plan.keys(_prints_of(part.column("fp"), plan.words))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part.column("node").to_numpy(), keys.shape[1]))], ["key", "node"])
 
 
 def _within(fps: np.ndarray, coordinates: np.ndarray, d: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -227,32 +253,36 @@ SMALL = 48
 
 
 def _link(batches: Iterator[pa.RecordBatch], words: int, d: int) -> Iterator[pa.RecordBatch]:
-    rng = np.random.default_rng(3)
-    pivots = rng.integers(0, 2**63, (FILTER_PIVOTS, words), dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, (FILTER_PIVOTS, words), dtype=np.uint64)
     for table, cuts in whole_groups(batches, ["key", "pair"]):
         shared = np.repeat(np.diff(cuts) > 1, np.diff(cuts))
         if not shared.any():
             continue
         table, cuts = table.filter(pa.array(shared)), np.concatenate([[0], np.cumsum(np.diff(cuts)[np.diff(cuts) > 1])])
         node = table["node"].to_numpy()
-        fps = np.frombuffer(b"".join(table["fp"].to_pylist()), dtype=np.uint64).reshape(-1, words)
-        coordinates = np.stack([_popcount(fps ^ p).sum(1, dtype=np.int16) for p in pivots], axis=1)
+        fps = _prints_of(table["fp"], words)
+        distances = np.frombuffer(b"".join(table["distances"].to_pylist()), dtype=np.int16).reshape(len(node), -1)
         label = np.arange(len(node))
         i, j = small_pairs(cuts, SMALL)
         for at in range(0, len(i), 1 << 16):
             x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-            near = np.abs(coordinates[x] - coordinates[y]).max(1) <= d
+            near = np.abs(distances[x] - distances[y]).max(1) <= d
             x, y = x[near], y[near]
             near = _popcount(fps[x] ^ fps[y]).sum(1) <= d
             merge_labels(label, x[near], y[near])
         for g in np.flatnonzero(np.diff(cuts) > SMALL):
             a, b = cuts[g], cuts[g + 1]
-            label[a:b] = a + link_near(partial(_within, fps[a:b], coordinates[a:b], d), b - a)
+            label[a:b] = a + link_near(partial(_within, fps[a:b], distances[a:b], d), b - a)
         u, v = star_edges(label, node)
         if len(u):
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
 
+def _links(distinct: DataFrame, keys_of: Callable[[DataFrame], DataFrame], words: int, d: int) -> DataFrame:
+    """Edges ``u, v`` among rows that meet by their keys and are within ``d`` bits: a star for each group that such pairs connect."""
+    met = together(meetings(distinct, keys_of), distinct.select("node", "fp", "distances"))
+    return met.mapInArrow(partial(_link, words=words, d=d), "u long, v long")
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, words: int = 1) -> DataFrame:
     """``id, fp`` (bytes, least significant first) of every row, written to the shared folder."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -260,27 +290,22 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def near_components(prints: DataFrame, words: int, max_distance: int) -> DataFrame:
-    """``fp, component`` for every distinct fingerprint; component: smallest id reachable through links."""
-    spark = prints.sparkSession
-    distinct, _ = materialise(prints.groupBy("fp").agg(F.min("id").alias("least")).withColumn("node", F.xxhash64("fp")), "nodes")
-    total, names = distinct.agg(F.count("*"), F.countDistinct("node")).first()
-    if total != names:
-        raise ValueError("two fingerprints share a node name")
-    plan = Plan(words, max_distance, None, total)
-    meets = distinct.select("node", "fp").mapInArrow(partial(_meet, plan=plan), "key long, node long, fp binary")
-    meets, _ = materialise(meets, "meets")
-    placed = in_blocks(meets, "key", "node")
-    edges = placed.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInArrow(partial(_link, words=words, d=max_distance), "u long, v long")
-    roots, _ = materialise(connected_components(edges), "roots")
-    named = distinct.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("fp", "least", "root")
-    least = named.groupBy("root").agg(F.min("least").alias("component"))
-    return materialise(named.join(least, "root").select("fp", "component"), "components")[0]
+    """``fp, copies, component`` for every distinct fingerprint; component: smallest id reachable through links."""
+    distinct = prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id())
+    distinct, _ = materialise(distinct.mapInArrow(partial(_tabled, words=words), "fp binary, least long, copies long, node long, distances binary"), "nodes")
+    plan = Plan(words, max_distance, None, 0)
+    keys_of = lambda nodes: nodes.select("node", "fp").mapInArrow(partial(_meet, plan=plan), "key long, node long")
+    roots, _ = materialise(connected_components(_links(distinct, keys_of, words, max_distance)), "roots")
+    named, _ = materialise(distinct.join(roots, "node", "left").select("fp", "copies", "least", F.coalesce("root", "node").alias("root")), "named")
+    least = named.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("members"))
+    least, _ = materialise(least, "least")
+    return materialise(join_hot(named, least, "root", "members").select("fp", "copies", "component"), "components")[0]
 
 
 def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, words: int = 1, max_distance: int = 3) -> DataFrame:
     """``id, fp, component`` of every row. See the module for what links two rows."""
     prints = fingerprints(docs, id_col, text_col, shingle, words)
-    return prints.join(near_components(prints, words, max_distance), "fp")
+    return join_hot(prints, near_components(prints, words, max_distance), "fp", "copies").select("id", "fp", "component")
 
 
 #: For documents: eight words of fingerprint.
@@ -289,6 +314,8 @@ NEAR_WORDS = 8
 DEVIATIONS = 4
 #: Bits differ most, among sets at 0.8 or more, for four shingles of five: 3 of 16 (counted out for all sizes).
 SHORT_DIFFER = 3 / 16
+#: Ids that are broadcast (32 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 200_000
 #: Shingles of a block of sets that one task compares with another block.
 BLOCK_SHINGLES = 2_000_000
 
@@ -301,24 +328,24 @@ def distance_at(similarity: float, words: int) -> int:
 
 
 def _name(shingles: np.ndarray) -> int:
-    """A 64-bit name of a set."""
+    """A 64-bit name of a set; with its size, fingerprint and first shingles it tells sets apart."""
     return xxhash.xxh64_intdigest(shingles.tobytes(), SEED) - (1 << 63)
 
 
 def _set_prints(batches: Iterator[pa.RecordBatch], k: int, words: int, similarity: float) -> Iterator[pa.RecordBatch]:
-    release_memo()
+    release()
     for batch in small(batches):
-        node, size, fp, heads = [], [], [], []
+        names, size, fp, heads = [], [], [], []
         for text in batch.column("text"):
             shingles = shingle_set(text.as_py(), k)
             n = len(shingles)
             # of two sets at the similarity, each shares all but this many of its shingles; one more must hold a shared one
             head = n - math.ceil(similarity * n - 1e-9) + 1 if 0 < n <= SHORT / similarity else 0
-            node.append(_name(shingles))
+            names.append(_name(shingles))
             size.append(n)
             fp.append(set_fingerprint(shingles, words).tobytes())
             heads.append(shingles[:head].tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(fp, pa.binary()), pa.array(heads, pa.binary())], ["id", "node", "size", "fp", "head"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(names, pa.int64()), pa.array(size, pa.int64()), pa.array(fp, pa.binary()), pa.array(heads, pa.binary())], ["id", "name", "size", "fp", "head"])
 
 
 def _meet_sets(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
@@ -329,17 +356,15 @@ def _meet_sets(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.Rec
             heads = [np.frombuffer(h, dtype=np.int64) for h in part.column("head").to_pylist()]
             keys, rows = [np.concatenate(heads)], [np.repeat(np.arange(len(heads)), [len(h) for h in heads])]
             if len(long):
-                fps = np.frombuffer(b"".join(part.column("fp").take(pa.array(long)).to_pylist()), dtype=np.uint64).reshape(-1, plan.words)
-                tables = plan.keys(fps)
+                tables = plan.keys(_prints_of(part.column("fp").take(pa.array(long)), plan.words))
                 keys.append(tables.ravel())
                 rows.append(np.repeat(long, tables.shape[1]))
-            of = pa.array(np.concatenate(rows))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), part.column("node").take(of), part.column("fp").take(of)], ["key", "node", "fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), part.column("node").take(pa.array(np.concatenate(rows)))], ["key", "node"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in small(batches):
-        found = [(i, s) for i, t in enumerate(batch.column("text")) if _name(s := shingle_set(t.as_py(), k)) == batch.column("node")[i].as_py()]
+        found = [(i, s) for i, t in enumerate(batch.column("text")) if _name(s := shingle_set(t.as_py(), k)) == batch.column("name")[i].as_py()]
         rows = pa.array([i for i, _ in found], pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column("root").take(rows), batch.column("node").take(rows), pa.array([max(len(s), 256) for _, s in found], pa.int64()), pa.array([s.tobytes() for _, s in found], pa.binary())], ["root", "node", "weight", "shingles"])
 
@@ -377,22 +402,17 @@ def _verify(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa
 def near_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
     """``id``: the smallest of each component under links of that Jaccard similarity of shingle sets, or more."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    prints, _ = materialise(rows.mapInArrow(partial(_set_prints, k=shingle, words=NEAR_WORDS, similarity=similarity), "id long, node long, size long, fp binary, head binary"), "fingerprints")
-    distinct, _ = materialise(prints.groupBy("node", "size", "fp", "head").agg(F.min("id").alias("least")), "nodes")
-    total, names = distinct.agg(F.count("*"), F.countDistinct("node")).first()
-    if total != names:
-        raise ValueError("two sets of shingles share a node name")
+    prints = rows.mapInArrow(partial(_set_prints, k=shingle, words=NEAR_WORDS, similarity=similarity), "id long, name long, size long, fp binary, head binary")
+    distinct = prints.groupBy("name", "size", "fp", "head").agg(F.min("id").alias("least")).withColumn("node", F.monotonically_increasing_id())
+    distinct, _ = materialise(distinct.mapInArrow(partial(_tabled, words=NEAR_WORDS), "name long, size long, fp binary, head binary, least long, node long, distances binary"), "nodes")
     d = distance_at(similarity, NEAR_WORDS)
-    meets = distinct.select("node", "size", "fp", "head").mapInArrow(partial(_meet_sets, plan=Plan(NEAR_WORDS, d, similarity, total)), "key long, node long, fp binary")
-    meets, path = materialise(meets, "meets")
-    placed = in_blocks(meets, "key", "node")
-    edges = placed.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInArrow(partial(_link, words=NEAR_WORDS, d=d), "u long, v long")
-    groups = connected_components(edges)
-    candidates, _ = materialise(distinct.join(groups, "node").select(F.col("least").alias("id"), "node", "root"), "candidates")
-    drop_path(docs.sparkSession, path)
-    wanted = F.broadcast(candidates) if candidates.count() <= BROADCAST_KEYS else candidates
+    plan = Plan(NEAR_WORDS, d, similarity, distinct.count())
+    keys_of = lambda nodes: nodes.select("node", "size", "fp", "head").mapInArrow(partial(_meet_sets, plan=plan), "key long, node long")
+    groups = connected_components(_links(distinct, keys_of, NEAR_WORDS, d))
+    candidates, _ = materialise(distinct.join(groups, "node").select(F.col("least").alias("id"), "name", "node", "root"), "candidates")
+    wanted = F.broadcast(candidates) if candidates.count() <= BROADCAST_IDS else candidates
     sets, _ = materialise(rows.join(wanted, "id").mapInArrow(partial(_sets, k=shingle), "root long, node long, weight long, shingles binary"), "sets")
-    placed = in_blocks(sets, "root", "node", BLOCK_SHINGLES, "weight")
+    placed = in_blocks(sets, "root", "node", "weight", BLOCK_SHINGLES)
     links = placed.repartition("root", "pair").sortWithinPartitions("root", "pair").mapInArrow(partial(_verify, similarity=similarity), "u long, v long")
     roots, _ = materialise(connected_components(links), "roots")
     named = distinct.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -405,9 +425,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     A row with a null id takes part under a number that follows from its columns and is above all ids.
     """
     columns = docs.columns
+    key, place = spare(columns, "near_id", "near_place")
     stand_in = F.lit(1 << 62) + F.pmod(F.xxhash64(*[F.col(c) for c in columns]), F.lit(1 << 61))
-    named = docs.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), stand_in))
-    keep = near_sets(named, "__id", text_col, shingle, similarity).select(F.col("id").alias("__id")).distinct()
-    first = Window.partitionBy("__id").orderBy(*[F.col(c).cast("string") for c in columns if c != id_col])
-    kept = named.join(keep, "__id", "left_semi")
-    return kept.withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*columns)
+    named = docs.withColumn(key, F.coalesce(F.col(id_col).cast("long"), stand_in))
+    keep = near_sets(named, key, text_col, shingle, similarity).select(F.col("id").alias(key)).distinct()
+    first = Window.partitionBy(key).orderBy(*[F.col(c).cast("string") for c in columns if c != id_col])
+    kept = named.join(keep, key, "left_semi")
+    return kept.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).select(*columns)
