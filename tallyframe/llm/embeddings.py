@@ -5,7 +5,9 @@ signature in some table are compared; a pair counts in the first table it shares
 counts twice and no list of pairs is ever shuffled. Width and number of the tables follow from the
 number of vectors and the recall asked for at the threshold itself; closer pairs are found more surely.
 
-Equal vectors are one row from the start. Signatures with many vectors are cut into blocks of rows.
+Signatures are wide enough that most have one vector. They are shuffled as ``key, node`` alone; only vectors that share one
+are sent (as they came, 4 bytes a component where they are floats) to be compared. Equal vectors are one row from the start.
+Signatures with many vectors are cut into blocks of rows.
 
 Defined results: null, zero-length, zero and non-finite vectors, and those with null components, link
 with nothing and are components of their own; vectors of different lengths never link; repeated rows
@@ -23,69 +25,69 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import grouped, in_blocks, merge_labels, star_edges
+from .buckets import grouped, join_hot, meetings, merge_labels, star_edges, together
 from .common import materialise
 from .components import connected_components
 
 #: Share of the pairs exactly at the threshold that share a signature in some table.
 RECALL = 0.99
-#: Vectors that a signature should hold on average.
-PER_SIGNATURE = 64
+#: Bits by which signatures are wider than the number of vectors needs: of 2**SPARSE unlike vectors about one shares a signature.
+SPARSE = 5
 
 
 def tables_for(n: int, threshold: float, recall: float = RECALL) -> tuple[int, int]:
     """Bits of a signature and number of tables for ``n`` vectors."""
     agree = 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
-    bits = min(30, max(6, math.ceil(math.log2(max(n, 1) / PER_SIGNATURE)) if n > PER_SIGNATURE else 6))
+    bits = min(40, max(8, math.ceil(math.log2(max(n, 1))) + SPARSE))
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - agree**bits))
 
 
-def _matrix(blobs: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), dtype=np.float64).reshape(len(blobs), -1)
+def _unit(flat: np.ndarray, dim: int) -> np.ndarray:
+    vectors = flat.astype(np.float64).reshape(-1, dim)
+    unit = vectors / np.abs(vectors).max(1)[:, None]  # so that no square overflows or vanishes
+    return unit / np.sqrt((unit * unit).sum(1))[:, None]
+
+
+def _planes(dim: int, bits: int, tables: int) -> np.ndarray:
+    """The hyperplanes of all tables for vectors of that length, the same in every task."""
+    return np.random.default_rng([17, dim]).standard_normal((dim, bits * tables))
+
+
+def _signatures(unit: np.ndarray, planes: np.ndarray, bits: int) -> np.ndarray:
+    return (unit @ planes > 0).reshape(len(unit), -1, bits) @ (1 << np.arange(bits, dtype=np.int64))
 
 
 def _sign(batches: Iterator[pa.RecordBatch], bits: int, tables: int) -> Iterator[pa.RecordBatch]:
+    """``key, node``: the signature of each vector in each table, as the table's number and 44 bits that follow from length and signs."""
     planes: dict[int, np.ndarray] = {}
+    first = np.arange(tables, dtype=np.int64) << 44
     for batch in batches:
         dims = batch.column("dim").to_numpy()
-        for dim in np.unique(dims):
-            for part in pa.Table.from_batches([batch]).filter(pa.array(dims == dim)).to_batches(max_chunksize=1024):
-                if dim not in planes:
-                    planes[dim] = np.random.default_rng([17, int(dim)]).standard_normal((int(dim), bits * tables))
-                flat = part.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                vectors = flat.reshape(part.num_rows, dim)
-                unit = vectors / np.abs(vectors).max(1)[:, None]  # so that no square overflows or vanishes
-                unit /= np.sqrt((unit * unit).sum(1))[:, None]
-                signs = (unit @ planes[dim] > 0).reshape(len(unit), tables, bits)
-                names = signs @ (1 << np.arange(bits, dtype=np.int64))
-                rows = pa.array(np.repeat(np.arange(len(unit)), tables))
-                key = (np.arange(tables, dtype=np.int64)[None, :] << 44) | (int(dim) % (1 << 14) << 30) | names
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(key.ravel()),
-                        pa.array(np.tile(np.arange(tables, dtype=np.int32), len(unit))),
-                        part.column("node").take(rows),
-                        part.column("copies").take(rows),
-                        pa.array([x.tobytes() for x in names.astype(np.int32)], pa.binary()).take(rows),
-                        pa.array([x.tobytes() for x in unit], pa.binary()).take(rows),
-                    ],
-                    ["key", "tab", "node", "copies", "names", "unit"],
-                )
-
-
-def _verify(batches: Iterator[pa.RecordBatch], threshold: float, step: int = 1024) -> Iterator[pa.RecordBatch]:
+        for dim in np.unique(dims).tolist():
+            if dim not in planes:
+                planes[dim] = _planes(dim, bits, tables)
+            for part in pa.Table.from_batches([batch]).filter(pa.array(dims == dim)).combine_chunks().to_batches(max_chunksize=512):
+                signs = _signatures(_unit(part.column("vector").flatten().to_numpy(zero_copy_only=False), dim), planes[dim], bits).astype(np.uint64)
+                mixed = (signs + np.uint64(dim)) * np.uint64(0x9E3779B97F4A7C15)
+                keys = first + ((mixed ^ (mixed >> np.uint64(32))) & np.uint64((1 << 44) - 1)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part.column("node").to_numpy(), tables))], ["key", "node"])
+
+
+def _verify(batches: Iterator[pa.RecordBatch], threshold: float, bits: int, tables: int, step: int = 1024) -> Iterator[pa.RecordBatch]:
+    planes: dict[int, np.ndarray] = {}
     for run in grouped(batches, ["key", "pair"]):
-        sizes = np.array([len(x) for x in run["unit"].to_pylist()])
-        for size in np.unique(sizes):
-            part = run.filter(pa.array(sizes == size))
-            yield from _verify_run(part, threshold, step)
+        dims = run["dim"].to_numpy()
+        for dim in np.unique(dims).tolist():
+            if dim not in planes:
+                planes[dim] = _planes(dim, bits, tables)
+            yield from _verify_run(run.filter(pa.array(dims == dim)).combine_chunks(), dim, planes[dim], threshold, bits, step)
 
 
-def _verify_run(run: pa.Table, threshold: float, step: int) -> Iterator[pa.RecordBatch]:
+def _verify_run(run: pa.Table, dim: int, planes: np.ndarray, threshold: float, bits: int, step: int) -> Iterator[pa.RecordBatch]:
     node, copies, side = (run[c].to_numpy() for c in ("node", "copies", "side"))
-    tab = int(run["tab"][0].as_py())
-    unit = _matrix(run["unit"].to_pylist())
-    names = np.frombuffer(b"".join(run["names"].to_pylist()), dtype=np.int32).reshape(len(node), -1)
+    tab = int(run["key"][0].as_py()) >> 44
+    unit = _unit(run["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False), dim)
+    names = np.full((len(node), tab + 1), -1, dtype=np.int64)  # of the rows with links, in this table and those before it
     left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (np.arange(len(node)),) * 2
     one_block = not side.any()
     links = np.zeros(len(node), dtype=np.int64)
@@ -99,9 +101,14 @@ def _verify_run(run: pa.Table, threshold: float, step: int) -> Iterator[pa.Recor
                 hit = np.triu(hit, 1)
             i, j = np.nonzero(hit)
             i, j = rows[i], columns[j]
-            for at in range(0, len(i), 1 << 16):
-                x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-                fresh = ~(names[x, :tab] == names[y, :tab]).any(1)
+            new = np.unique(np.concatenate([i, j]))
+            new = new[names[new, 0] < 0]
+            for at in range(0, len(new), 512):
+                names[new[at : at + 512]] = _signatures(unit[new[at : at + 512]], planes[:, : (tab + 1) * bits], bits)
+            for at in range(0, len(i), 1 << 14):
+                x, y = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+                same = names[x] == names[y]
+                fresh = same[:, tab] & ~same[:, :tab].any(1)
                 x, y = x[fresh], y[fresh]
                 np.add.at(links, x, copies[y])
                 np.add.at(links, y, copies[x])
@@ -116,23 +123,25 @@ def _verify_run(run: pa.Table, threshold: float, step: int) -> Iterator[pa.Recor
 
 def mark(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, recall: float = RECALL) -> DataFrame:
     """``id, n_links, component, kept`` for every row."""
-    raw = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
+    kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    raw = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("vector"))
     fine = F.col("vector").isNotNull() & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
-    rows = raw.withColumn("vector", F.when(fine, F.col("vector"))).withColumn("node", F.when(F.col("vector").isNotNull(), F.xxhash64("vector")))
-    alike, _ = materialise(rows.where("vector is not null").groupBy("vector").agg(F.count("*").alias("copies"), F.first("node").alias("node")).withColumn("dim", F.size("vector")), "vectors")
-    total, nodes = alike.agg(F.count("*"), F.countDistinct("node")).first()
-    if total != nodes:
-        raise ValueError("two vectors share a node name")
-    bits, tables = tables_for(total, threshold, recall)
-    signed = alike.mapInArrow(partial(_sign, bits=bits, tables=tables), "key long, tab int, node long, copies long, names binary, unit binary")
-    signed, _ = materialise(signed, "signatures")
-    placed = in_blocks(signed, "key", "node")
-    found, _ = materialise(placed.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInArrow(partial(_verify, threshold=threshold), "node long, links long, root long"), "links")
+    # an equal vector is told by 128 bits; a negative zero is a zero
+    rows = raw.withColumn("vector", F.when(fine, F.transform("vector", lambda x: F.when(x == 0, F.lit(0).cast(kind[6:-1])).otherwise(x))))
+    rows = rows.withColumn("name", F.when(F.col("vector").isNotNull(), F.struct(F.xxhash64("vector").alias("a"), F.xxhash64(F.lit(1), "vector").alias("b"))))
+    alike = rows.where("vector is not null").groupBy("name", "vector").agg(F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id()).withColumn("dim", F.size("vector"))
+    alike, _ = materialise(alike, "vectors")
+    bits, tables = tables_for(alike.count(), threshold, recall)
+    keys_of = lambda nodes: nodes.select("node", "dim", "vector").mapInArrow(partial(_sign, bits=bits, tables=tables), "key long, node long")
+    met = together(meetings(alike, keys_of), alike.select("node", "copies", "dim", "vector"))
+    found, _ = materialise(met.mapInArrow(partial(_verify, threshold=threshold, bits=bits, tables=tables), "node long, links long, root long"), "links")
     roots = connected_components(found, "node", "root")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    known = alike.select("node", "copies").join(links, "node", "left").join(roots, "node", "left").select("node", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root"))
-    named = rows.select("id", "node").join(known, "node", "left")
+    known = alike.select("name", "node", "copies").join(links, "node", "left").join(roots, "node", "left")
+    known, _ = materialise(known.select("name", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root")), "known")
+    named = join_hot(rows.select("id", "name"), known, "name", "copies", "left")
     named, _ = materialise(named.select("id", "root", (F.col("links") + F.col("copies") - 1).alias("links")), "named")
-    least = named.where("root is not null").groupBy("root").agg(F.min("id").alias("least"))
-    out = named.join(least, "root", "left").select("id", F.coalesce("links", F.lit(0)).alias("n_links"), F.coalesce("least", "id").alias("component"))
+    least, _ = materialise(named.where("root is not null").groupBy("root").agg(F.min("id").alias("least"), F.count("*").alias("members")), "least")
+    out = join_hot(named, least, "root", "members", "left")
+    out = out.select("id", F.coalesce("links", F.lit(0)).alias("n_links"), F.coalesce("least", "id").alias("component"))
     return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component"), F.lit(False)))
