@@ -2,7 +2,7 @@
 
 Each input partition first inserts its texts into compressed radix tries of its own, so copies of
 a text leave it as one row. Rows then go to the owner of their length and content hash, ordered by
-both; the owner inserts the full byte strings into a trie per length and hash range, whose terminal nodes keep
+both; the owner inserts the full byte strings into a trie for a range of lengths and hashes, whose terminal nodes keep
 the smallest and largest identifier and the number of rows. As rows come in order, a finished
 subtree is never met again: it is spilled (emitted) as soon as the trie is over its memory bound.
 
@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .buckets import join_hot
+from .common import materialise, spare
 
 #: Bytes of distinct texts that a trie may hold before its finished subtrees are spilled.
 TRIE_BYTES = 24 << 20
@@ -199,15 +200,16 @@ def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     ``keep`` names the row of a group that stays: that with the ``largest`` or ``smallest`` id.
     """
     winner = {"largest": "max_id", "smallest": "min_id"}[keep]
-    owned, _ = materialise(groups(docs, id_col, text_col).select(F.col("digest").alias("__digest"), F.col(winner).alias("__keep"), F.col("n_rows").alias("__size")), "owners")
-    own = [c for c in docs.columns if c not in ("keep_id", "group_size", "kept", "text_sha256")]
-    marked = docs.select(*own, _digest(text_bytes(F.col(text_col))).alias("__digest")).join(owned, "__digest")
+    digest, kept, size = spare(docs.columns, "digest_of_text", "id_of_kept", "rows_of_text")
+    owned, _ = materialise(groups(docs, id_col, text_col).select(F.col("digest").alias(digest), F.col(winner).alias(kept), F.col("n_rows").alias(size)), "owners")
+    own = [c for c in docs.columns if c.lower() not in ("keep_id", "group_size", "kept", "text_sha256")]
+    marked = join_hot(docs.select(*docs.columns, _digest(text_bytes(F.col(text_col))).alias(digest)), owned, digest, size)
     return marked.select(
         *own,
-        F.col("__keep").alias("keep_id"),
-        F.col("__size").alias("group_size"),
-        F.coalesce(F.col(id_col) == F.col("__keep"), F.lit(False)).alias("kept"),
-        F.lower(F.hex("__digest")).alias("text_sha256"),
+        F.col(kept).alias("keep_id"),
+        F.col(size).alias("group_size"),
+        F.coalesce(F.col(id_col) == F.col(kept), F.lit(False)).alias("kept"),
+        F.lower(F.hex(digest)).alias("text_sha256"),
     )
 
 
@@ -215,11 +217,13 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     """The rows of ``docs`` that stay, one for each text, with their own columns.
 
     Where repeated rows share the winning id, one of them stays; a group without any id keeps one row.
+    Rows meet their winner by text and id together, so copies of a text do not meet in one task.
     """
     columns = docs.columns
+    digest, name, place = spare(columns, "digest_of_text", "name_of_row", "place_of_row")
     winner = {"largest": "max_id", "smallest": "min_id"}[keep]
-    name = lambda c: F.coalesce(c.cast("long").cast("string"), F.lit("null"))
-    owned, _ = materialise(groups(docs, id_col, text_col).select(F.col("digest").alias("__digest"), name(F.col(winner)).alias("__name")), "owners")
-    rows = docs.select(*columns, _digest(text_bytes(F.col(text_col))).alias("__digest"), name(F.col(id_col)).alias("__name"))
-    first = Window.partitionBy("__digest", "__name").orderBy(*[F.col(c).cast("string") for c in columns if c not in (text_col, id_col)])
-    return rows.join(owned, ["__digest", "__name"], "left_semi").withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*columns)
+    named = lambda c: F.coalesce(c.cast("long").cast("string"), F.lit("null"))
+    owned, _ = materialise(groups(docs, id_col, text_col).select(F.col("digest").alias(digest), named(F.col(winner)).alias(name)), "owners")
+    rows = docs.select(*columns, _digest(text_bytes(F.col(text_col))).alias(digest), named(F.col(id_col)).alias(name))
+    first = Window.partitionBy(digest, name).orderBy(*[F.col(c).cast("string") for c in columns if c not in (text_col, id_col)])
+    return rows.join(owned, [digest, name], "left_semi").withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).select(*columns)
