@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -37,15 +38,19 @@ CUT = frozenset(
     "dialog menu map datalist noembed noframes fieldset meter progress".split()
 )
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist status".split())
-#: Words that name what is not the article, as a whole class or id or as its first or last word.
+#: Words that name what is not the article.
 CUT_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense adsbygoogle banner sponsor sponsored promo promotion promoted cookie cookies consent gdpr "
     "notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login sidebar sidebars aside rail widget widgets menu menus nav navbar "
     "navigation breadcrumb breadcrumbs pagination pager toolbar header masthead topbar footer copyright comment comments commentlist disqus reply replies "
     "respond discussion share sharing social related recommended recommendations trending popular skip disclaimer".split()
 )
-#: First words of a class that say what a wrapper has or lacks, not what it is.
-LAYOUT_WORDS = frozenset("has have no not with without is hide show above below beside main page content site layout entry post article story".split())
+#: Words that may stand beside those in a class or id: place, kind of box, number.
+PLACE_WORDS = frozenset(
+    "site page global top bottom left right side primary secondary tertiary sub inner outer first second last big small large mini sticky fixed floating "
+    "area bar block body box buttons button card cards column columns container content cta form group icons inline item items label leaderboard link links list "
+    "module news panel posts region row section slot space strip tags text title unit units wrap wrapper zone to us by of the and for one two".split()
+)
 #: Elements whose class and id say nothing about themselves.
 TRUSTED = frozenset("html body main article".split())
 #: Start tags that end an open element of these names.
@@ -53,8 +58,16 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 #: Elements that an implied end does not reach beyond.
 SCOPES = frozenset("html body table td th caption button object ul ol dl article section div main blockquote".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-
-_MARK = re.compile(r"<!--.*?-->|<!--.*\Z|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"<]*\"|'[^'<]*'|[\"'])*?)>", re.S)
+#: Elements that an end tag does not reach beyond, and the names of those that do.
+WALLS = frozenset("td th table body article main".split())
+BREAKERS = frozenset("table tr tbody body html article main div section ul ol".split())
+#: Elements of drawings that close themselves.
+DRAWN = frozenset("path g rect circle use".split())
+#: Elements of text, cut by class only if the whole of it names what is not the article.
+PLAIN = HEADINGS | frozenset("p li dd dt blockquote pre td th span a b i em strong".split())
+
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"<]*\"|'[^'<]*')*+)>")
+_LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -73,81 +86,135 @@ class Element:
         return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(self.attributes)} if "=" in self.attributes else {}
 
 
-def parse(html: str) -> Element:
-    """The tree of a page. Unclosed, wrongly nested and cut-off mark-up is repaired."""
-    root = now = Element("#root", None)
-    at, last = 0, html.rfind(">") + 1
-    while True:
-        m = _MARK.search(html, at, last)
-        text = html[at : m.start() if m else len(html)]
-        if m is None and (cut := re.search(r"<[a-zA-Z/!?][^>]*\Z", text)):
-            text = text[: cut.start()]
-        if text:
-            now.children.append(unescape(text) if "&" in text else text)
-        if m is None:
-            return root
-        at = m.end()
-        if m[1] is None:
-            if m[0].startswith("<![CDATA["):
-                now.children.append(m[0][9:-3])
-            continue
-        name = m[1].lower()
-        if m[0][1] == "/":
-            node = now
-            while node is not root and node.name != name:
-                node = None if node.name in ("td", "th", "table", "body", "article", "main") and name not in ("table", "tr", "tbody", "body", "html", "article", "main", "div", "section", "ul", "ol") else node.parent
-                if node is None:
-                    break
-            if node is not None and node is not root:
-                now = node.parent
-            elif name in ("p", "br"):
-                now.children.append(Element(name, now))
-            continue
-        now = _opened(now, name)
-        child = Element(name, now, m[2] or "")
-        now.children.append(child)
-        if name in VOID:
-            continue
-        if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(html, at)
-            if end is None:
-                return root
-            if name == "textarea" or name == "title":
-                child.children.append(unescape(html[at : end.start()]))
-            at = end.end()
-            last = max(last, at)
-        elif not (m[2] or "").endswith("/") or name not in ("path", "g", "rect", "circle", "use"):
-            now = child
-
-
-def _opened(now: Element, name: str) -> Element:
-    """Where an element of that name goes: open elements that its start tag ends are left."""
-    if name in BLOCKS:
-        node = now
-        while node.parent is not None and node.name not in SCOPES - {"p"}:
-            if node.name == "p" or node.name in HEADINGS and name in HEADINGS:
-                now = node.parent
-                break
-            node = node.parent
-    if ends := CLOSES.get(name):
-        node = now
-        while node.parent is not None:
-            if node.name in ends:
-                now = node.parent
-                if name == "tr" and node.name in ("td", "th"):
-                    node = now
-                    continue
+def _marks(html: str) -> Iterator[tuple[str, str, str, int]]:
+    """(text, name, attributes, end) of a page: the text before each tag, its name (with a slash where it ends), where it ends.
+
+    Comments and declarations are passed over; one that is never closed, and a tag that is cut off, end the page.
+    The caller may send a place to go on from.
+    """
+    at, parts = 0, []
+    while (start := html.find("<", at)) >= 0:
+        parts.append(html[at:start])
+        following = html[start + 1 : start + 2]
+        if following == "!" or following == "?":
+            opened, closed = ("<!--", "-->") if html.startswith("<!--", start) else ("<![CDATA[", "]]>") if html.startswith("<![CDATA[", start) else (html[start : start + 2], ">")
+            end = html.find(closed, start + len(opened))
+            if end < 0:
+                at = len(html)
                 break
-            if node.name in SCOPES and node.name not in ends:
+            if opened == "<![CDATA[":
+                parts.append(html[start + len(opened) : end].replace("&", "&amp;"))
+            at = end + len(closed)
+        elif following.isalpha() and following.isascii() or following == "/" and html[start + 2 : start + 3].isalpha():
+            m = _TAG.match(html, start) or _LOOSE_TAG.match(html, start)
+            if m is None:
+                at = len(html)
                 break
-            node = node.parent
-    return now
+            at = (yield "".join(parts), m[1] + m[2].lower(), m[3], m.end()) or m.end()
+            parts = []
+        else:
+            parts.append("<")
+            at = start + 1
+    parts.append(html[at:])
+    yield "".join(parts), "", "", len(html)
+
+
+class _Tree:
+    """A tree under construction: the element that is open, and how many of each name are."""
+
+    def __init__(self):
+        self.root = self.now = Element("#root", None)
+        self.open: Counter[str] = Counter()
+
+    def leave(self, node: Element) -> None:
+        """Close all up to that element, it included."""
+        while self.now is not node:
+            self.open[self.now.name] -= 1
+            self.now = self.now.parent
+        self.open[node.name] -= 1
+        self.now = node.parent
+
+    def begin(self, name: str, attributes: str) -> Element:
+        self._end_implied(name)
+        child = Element(name, self.now, attributes)
+        self.now.children.append(child)
+        return child
+
+    def enter(self, child: Element) -> None:
+        self.open[child.name] += 1
+        self.now = child
+
+    def end(self, name: str) -> None:
+        """An end tag: closes the element it names, unless cells, tables or the article stand between."""
+        if self.open[name]:
+            node = self.now
+            while node.name != name:
+                if node.name in WALLS and name not in BREAKERS:
+                    return
+                node = node.parent
+            self.leave(node)
+        elif name in ("p", "br"):
+            self.now.children.append(Element(name, self.now))
+
+    def _end_implied(self, name: str) -> None:
+        """Close what a start tag ends: an open paragraph or heading, or an element of a list, table or menu."""
+        if name in BLOCKS and (self.open["p"] or name in HEADINGS and any(self.open[h] for h in HEADINGS)):
+            node = self.now
+            while node.parent is not None and node.name not in SCOPES:
+                if node.name == "p" or node.name in HEADINGS and name in HEADINGS:
+                    self.leave(node)
+                    break
+                node = node.parent
+        ends = CLOSES.get(name, frozenset())
+        if any(self.open[n] for n in ends):
+            node = self.now
+            while node.parent is not None:
+                if node.name in ends:
+                    self.leave(node)
+                    if name != "tr" or node.name == "tr":
+                        break
+                    node = self.now
+                    continue
+                if node.name in SCOPES:
+                    break
+                node = node.parent
 
 
-def _names_other(token: str) -> bool:
-    """Whether a class or id names something that is not the article."""
+def parse(html: str) -> Element:
+    """The tree of a page. Unclosed, wrongly nested and cut-off mark-up is repaired."""
+    tree, marks = _Tree(), _marks(html)
+    step = next(marks)
+    while True:
+        text, name, attributes, end = step
+        if text:
+            tree.now.children.append(unescape(text) if "&" in text else text)
+        if not name:
+            return tree.root
+        go_on = None
+        if name[0] == "/":
+            tree.end(name[1:])
+        else:
+            child = tree.begin(name, attributes)
+            if name in RAW:
+                closing = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(html, end)
+                inside = html[end : closing.start() if closing else len(html)]
+                if name in ("textarea", "title"):
+                    child.children.append(unescape(inside))
+                go_on = closing.end() if closing else len(html)
+            elif name not in VOID and not (attributes.endswith("/") and name in DRAWN):
+                tree.enter(child)
+        step = marks.send(go_on) if go_on is not None else next(marks)
+
+
+def _names_other(token: str, plain: bool = False) -> bool:
+    """Whether all of a class or id names something that is not the article: one such word, or several with words of place.
+
+    ``plain`` tells of an element of text, where only the bare word counts.
+    """
     words = [w.lower() for w in _WORDS.findall(token)]
-    return bool(words) and words[0] not in LAYOUT_WORDS and (words[0] in CUT_WORDS or words[-1] in CUT_WORDS)
+    if plain or len(words) == 1:
+        return len(words) == 1 and words[0] in CUT_WORDS
+    return any(w in CUT_WORDS for w in words) and all(w in CUT_WORDS or w in PLACE_WORDS for w in words)
 
 
 def _plain_chars(root: Element) -> dict[Element, int]:
@@ -159,7 +226,7 @@ def _plain_chars(root: Element) -> dict[Element, int]:
     return chars
 
 
-def _unwanted(node: Element, in_article: bool, most: bool) -> bool:
+def _unwanted(node: Element, in_article: bool, most: bool, holders: set[Element]) -> bool:
     if node.name in CUT:
         return True
     if not node.attributes:
@@ -176,24 +243,23 @@ def _unwanted(node: Element, in_article: bool, most: bool) -> bool:
     if most:  # density decides about a branch with most of the page's text, unless the article is elsewhere
         return False
     named = f"{values.get('class', '')} {values.get('id', '')}"
-    return any(map(_names_other, named.split())) and not any(_holds_article(c) for c in node.children)
+    return any(_names_other(t, node.name in PLAIN) for t in named.split()) and node not in holders
 
 
-def _holds_article(node: Element | str) -> bool:
-    stack = [node]
-    while stack:
-        n = stack.pop()
-        if isinstance(n, Element):
-            if n.name == "main" or n.name == "article" and not any(map(_names_other, " ".join(n.values().get(k, "") for k in ("class", "id")).split())):
-                return True
-            stack.extend(n.children)
-    return False
+def _article_holders(root: Element) -> set[Element]:
+    """The elements around an article, found once for the whole page."""
+    found: set[Element] = set()
+    for n in _order(root):
+        if n.name == "main" or n.name == "article" and not any(map(_names_other, " ".join(n.values().get(k, "") for k in ("class", "id")).split())):
+            while (n := n.parent) is not None and n not in found:
+                found.add(n)
+    return found
 
 
 def prune(root: Element) -> None:
     """Cut what is not text of an article; of a header within one, the headings stay."""
     stack: list[tuple[Element, bool, bool, Element]] = [(root, False, False, root)]
-    plain, elsewhere = _plain_chars(root), _holds_article(root)
+    plain, holders = _plain_chars(root), _article_holders(root)
     while stack:
         node, in_article, in_header, whole = stack.pop()
         kept: list[Element | str] = []
@@ -201,7 +267,7 @@ def prune(root: Element) -> None:
             if isinstance(c, str):
                 if not in_header or node.name in HEADINGS or _inside_heading(node):
                     kept.append(c)
-            elif not _unwanted(c, in_article, plain[c] * 2 > plain[whole] and (in_article or not elsewhere)):
+            elif not _unwanted(c, in_article, plain[c] * 2 > plain[whole] and (in_article or not holders), holders):
                 kept.append(c)
                 within = in_article or c.name in ("article", "main")
                 stack.append((c, within, in_header or c.name == "header", c if within and not in_article else whole))
