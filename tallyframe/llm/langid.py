@@ -25,14 +25,14 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import find, gram_hashes, held_out, indexed, memo_of, sample_of, slices, small, word_codes, WordMemo
+from .common import find, gram_hashes, held_out, indexed, memo_of, slices, small, WordMemo
 
-#: Documents (all languages) that models are fitted on at most.
-SAMPLE_DOCS = 4000
+#: Documents of each language that its model is fitted on at most.
+SAMPLE_DOCS = 1000
 #: Longest n-gram and absolute discount.
 ORDER, DISCOUNT = 5, 0.75
-#: Characters of a word that one gram table sees at once; longer words are met in such parts.
-LONG_WORD = 200
+#: Characters of a word that are hashed at once. Longer words come in parts that begin with the characters before them, so that nothing changes.
+LONG_WORD = 1000
 UNKNOWN = "und"
 
 
@@ -48,9 +48,9 @@ class KneserNey:
 
     @classmethod
     def fit(cls, words: Counter, alphabet: int) -> KneserNey:
-        names = list(words)
-        codes, owner = word_codes(names, ORDER - 1)
-        count = np.array([words[w] for w in names], dtype=np.float64)[owner]
+        parts = [(p, n) for w, n in words.items() for p in _parts(w)]
+        codes, owner = _codes([p for p, _ in parts])
+        count = np.array([n for _, n in parts], dtype=np.float64)[owner]
         inside = _inside(owner, ORDER - 1)
         hashes = [gram_hashes(codes, k) for k in range(1, ORDER + 1)]
         contexts = [np.zeros_like(codes)] + [np.roll(hashes[k - 1], 1) for k in range(1, ORDER)]
@@ -98,8 +98,20 @@ class KneserNey:
         return out
 
 
+def _parts(word: str) -> list[str]:
+    """A word with the blanks around it, in parts that begin with the ``ORDER - 1`` characters before what they predict."""
+    padded = " " * (ORDER - 1) + word + " "
+    return [padded[i : i + LONG_WORD + ORDER - 1] for i in range(0, len(word) + 1, LONG_WORD)]
+
+
+def _codes(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the parts end to end, and the part of each."""
+    codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    return codes, np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+
+
 def _inside(owner: np.ndarray, left: int) -> np.ndarray:
-    """Places that are predicted: all but the blanks before a word."""
+    """Places that are predicted: all but the first ``left`` of each part."""
     first = np.flatnonzero(np.diff(owner, prepend=-1))
     inside = np.ones(len(owner), dtype=bool)
     for i in range(left):
@@ -117,8 +129,9 @@ class Model:
 
     def words(self, words: list[str]) -> list[np.ndarray]:
         """For each word its log-probability in every language, and the number of predicted characters."""
-        parts = [w[i : i + LONG_WORD] for w in words for i in range(0, len(w), LONG_WORD)]
-        codes, owner = word_codes(parts, ORDER - 1)
+        cut = [_parts(w) for w in words]
+        parts = [p for c in cut for p in c]
+        codes, owner = _codes(parts)
         inside = np.flatnonzero(_inside(owner, ORDER - 1))
         every = [gram_hashes(codes, k) for k in range(1, ORDER + 1)]
         longest, at, back = np.unique(every[-1][inside], return_index=True, return_inverse=True)
@@ -130,7 +143,7 @@ class Model:
             sums[:, j] = np.bincount(owner[inside], weights=m.log_probability(hashes, contexts)[back], minlength=len(parts))
         sums[:, -1] = np.bincount(owner[inside], minlength=len(parts))
         if len(parts) != len(words):
-            of = np.repeat(np.arange(len(words)), [-(-len(w) // LONG_WORD) for w in words])
+            of = np.repeat(np.arange(len(words)), [len(c) for c in cut])
             sums = np.stack([np.bincount(of, weights=sums[:, j], minlength=len(words)) for j in range(sums.shape[1])], axis=1)
         return list(sums)
 
@@ -159,7 +172,7 @@ def fit(rows: list[tuple[str, str]]) -> Model:
     learn = [r for i, r in enumerate(rows) if i % 5] if len(rows) >= 50 else rows
     check = rows[::5] if len(rows) >= 50 else rows
     for text, lang in learn:
-        counts[lang].update(w[i : i + LONG_WORD] for w in text.split() for i in range(0, len(w), LONG_WORD))
+        counts[lang].update(text.split())
     alphabet = len(set().union(*(set(w) for c in counts.values() for w in c))) + 2
     blank = Counter({"": 1})
     model = Model(languages, [KneserNey.fit(counts[lang] or blank, alphabet) for lang in languages])
@@ -203,10 +216,11 @@ def _predict(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[p
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Model:
-    """A model from the labelled rows that are not held out, from a sample of ``sample_docs`` at most."""
+    """A model from the labelled rows that are not held out: ``sample_docs`` of each language at most, so that every language is learned."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     known = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
-    chosen = sample_of(known, "id", sample_docs)
+    share = known.groupBy("lang").agg((F.lit(1e9 * sample_docs) / F.count("*")).cast("long").alias("below"))
+    chosen = known.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64(F.lit("sample"), "id", "text"), F.lit(1_000_000_000)) < F.col("below"))
     return fit([(r["text"], r["lang"]) for r in sorted(chosen.collect(), key=lambda r: (r["id"], r["lang"], r["text"]))])
 
 
