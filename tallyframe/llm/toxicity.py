@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 from .common import gram_hashes, held_out, indexed, memo_of, sample_of, slices, small, word_codes, WordMemo
 
 #: Labelled rows that the classifier is fitted on at most.
-SAMPLE_ROWS = 6000
+SAMPLE_ROWS = 4000
 ORDERS = (3, 4, 5, 6)
-#: Buckets that n-grams are hashed to, and how many of these are kept as features at most.
-BUCKETS, FEATURES = 1 << 21, 2048
+#: Buckets that n-grams are hashed to; all whose ratio is significant are features.
+BUCKETS = 1 << 21
 SMOOTHING, SIGNIFICANCE = 0.5, 3.0
 #: Score from which a document counts as toxic.
 THRESHOLD = 0.3
@@ -127,7 +127,7 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     texts = [t for t, _ in rows]
     learn = np.arange(len(rows)) % 5 != 0 if len(rows) >= 50 else np.ones(len(rows), dtype=bool)
     df = np.zeros((2, BUCKETS), dtype=np.float32)
-    for start, end in slices(texts):
+    for start, end in slices(texts, 400_000):
         docs = [t.lower().split() for t in texts[start:end]]
         vocabulary, at, ends = indexed(docs)
         if not vocabulary:
@@ -143,12 +143,10 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     n = np.array([(y[learn] == c).sum() for c in (0, 1)])
     ratio = np.log((df[1] + SMOOTHING) / (n[1] + 2 * SMOOTHING)) - np.log((df[0] + SMOOTHING) / (n[0] + 2 * SMOOTHING))
     weight = np.abs(ratio) / np.sqrt(1 / (df[1] + SMOOTHING) + 1 / (df[0] + SMOOTHING))
-    weight[df.sum(0) < 4] = 0
-    kept = np.argsort(-weight, kind="stable")[:FEATURES]
-    kept = np.sort(kept[weight[kept] > SIGNIFICANCE])
+    kept = np.flatnonzero(weight > SIGNIFICANCE)
     model = Model(kept, ratio[kept].astype(np.float64), np.zeros(len(kept)), 0.0)
     memo, pairs = WordMemo(model.words), [(_NONE, _NONE)]
-    for start, end in slices(texts):
+    for start, end in slices(texts, 400_000):
         doc, feature = model.held(texts[start:end], memo)
         pairs.append((start + doc, feature))
     doc, feature = (np.concatenate(x) for x in zip(*pairs, strict=True))
@@ -177,8 +175,8 @@ def _score(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.
 def labelled(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, bound: int) -> list[tuple[str, int]]:
     """(text, label) of the rows that are not held out, ``bound`` at most, in order of id."""
     marks = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-    marks = sample_of(marks.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")), "id", bound)
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(marks, "id")
+    marks = sample_of(marks.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")), bound)
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(marks), "id")
     return [(r["text"], r["label"]) for r in sorted(rows.collect(), key=lambda r: (r["id"], r["label"], r["text"]))]
 
 
