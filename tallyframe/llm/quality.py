@@ -31,7 +31,8 @@ from .toxicity import score as scored
 
 #: Labelled rows that the classifier is fitted on at most.
 SAMPLE_ROWS = 4000
-UNITS, DIM, NONZERO, WINDOW, HIDDEN = 1500, 48, 4, 2, 24
+#: Length of vectors, entries of an index vector that are not zero, reach of contexts, hidden units, and sampled documents that must hold a unit.
+DIM, NONZERO, WINDOW, HIDDEN, HELD_BY = 48, 4, 2, 24, 2
 #: Score from which a document counts as good.
 THRESHOLD = 0.7
 REPEAT = "<repeat>"
@@ -102,7 +103,7 @@ class Model:
 
 
 def random_index(texts: list[str]) -> tuple[dict[str, int], np.ndarray]:
-    """Places of the commonest units (by documents) and their vectors."""
+    """Places of the units that ``HELD_BY`` documents or more hold, and their vectors."""
     held: Counter = Counter()
     spelt: dict[str, list[str]] = {}
     for t in texts:
@@ -111,14 +112,14 @@ def random_index(texts: list[str]) -> tuple[dict[str, int], np.ndarray]:
             if w not in spelt:
                 spelt[w] = [*map(sys.intern, units(w))]
         held.update(set(chain.from_iterable(map(spelt.__getitem__, words))))
-    names = [REPEAT, *(u for u, _ in sorted(held.items(), key=lambda x: (-x[1], x[0]))[:UNITS])]
+    names = [REPEAT, *sorted(u for u, n in held.items() if n >= HELD_BY)]
     places = dict(zip(names, range(len(names)), strict=True))
     known = {w: [p for u in us if (p := places.get(u)) is not None] for w, us in spelt.items()}
     rng = np.random.default_rng(5)
     index = np.zeros((len(names), DIM), dtype=np.float32)
-    for row in index:
-        row[rng.choice(DIM, NONZERO, replace=False)] = rng.choice([-1.0, 1.0], NONZERO)
-    near = np.zeros(len(names) ** 2)
+    spots = rng.random((len(names), DIM)).argpartition(NONZERO, axis=1)[:, :NONZERO]
+    np.put_along_axis(index, spots, rng.choice(np.array([-1.0, 1.0], dtype=np.float32), (len(names), NONZERO)), axis=1)
+    met, often = np.zeros(0, dtype=np.int64), np.zeros(0)  # neighbours as unit x units + unit, and how often they meet
     for start, end in slices(texts, 400_000):
         sequence = []
         for t in texts[start:end]:
@@ -129,16 +130,19 @@ def random_index(texts: list[str]) -> tuple[dict[str, int], np.ndarray]:
                 sequence += known[w]
                 last = w
         s = np.array(sequence, dtype=np.int64)
-        for off in range(1, WINDOW + 1):
-            near += np.bincount(s[:-off] * len(names) + s[off:], minlength=len(near)) if len(s) > off else 0
-    near = near.reshape(len(names), len(names))
-    context = np.log1p(near + near.T) @ index
+        pairs = np.concatenate([met, *(s[:-off] * len(names) + s[off:] for off in range(1, WINDOW + 1))])
+        met, place = np.unique(pairs, return_inverse=True)
+        often = np.bincount(place, weights=np.concatenate([often, np.ones(len(pairs) - len(often))]), minlength=len(met))
+    a, b = np.divmod(met, len(names))
+    context = np.zeros((len(names), DIM))
+    for d in range(DIM):
+        context[:, d] = np.bincount(a, weights=np.log1p(often) * index[b, d], minlength=len(names)) + np.bincount(b, weights=np.log1p(often) * index[a, d], minlength=len(names))
     vectors = index * np.sqrt(DIM / NONZERO) + context / np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-6) * 2
     return places, vectors.astype(np.float32)
 
 
 def network(x: np.ndarray, y: np.ndarray, rounds: int = 400) -> list[np.ndarray]:
-    """Two layers by Adam on all rows, classes weighed by the square root of their shares."""
+    """Two layers by Adam on all rows; the bias begins at the log odds of the classes."""
     rng = np.random.default_rng(9)
     mean, spread = x.mean(0), x.std(0) + 1e-3
     z = (x - mean) / spread
