@@ -47,8 +47,8 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = mixing.mark(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
-    return marked.select("doc_id", F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"), F.col("__tokens").alias("tokens"), F.col("__probability").alias("probability"), F.col("__kept").alias("kept"))
+    marked = mixing.mark(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return marked.select("doc_id", F.col("mix_source").alias("source"), F.col("mix_lang").alias("lang"), F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("tokens"), F.col("mix_probability").alias("probability"), F.col("mix_kept").alias("kept"))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
