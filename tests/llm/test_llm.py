@@ -41,6 +41,44 @@ def closure(n, links):
     return label
 
 
+def test_join_hot(spark, monkeypatch):
+    from tallyframe.llm import buckets
+
+    monkeypatch.setattr(buckets, "COLD_ROWS", 3)
+    monkeypatch.setattr(buckets, "HOT_KEYS", 10)
+    rows = [(k, i) for k, n in (("a", 50), ("b", 2), ("c", 1), ("d", 8), (None, 6)) for i in range(n)]
+    df, table = spark.createDataFrame(rows, "k string, i long"), spark.createDataFrame([("a", 50, 1), ("b", 2, 2), ("d", 8, 3)], "k string, n long, v long")
+    value = {"a": 1, "b": 2, "d": 3}
+    for how in ("inner", "left"):
+        got = sorted(((r.k, r.i, r.v) for r in buckets.join_hot(df, table, "k", "n", how).collect()), key=str)
+        assert got == sorted(((k, i, value.get(k)) for k, i in rows if how == "left" or k in value), key=str)
+
+
+def test_meetings(spark, monkeypatch):
+    from tallyframe.llm import buckets
+
+    for peek, peeked in ((0.02, 100), (0.9, 5)):  # without and with keys taken for hot
+        monkeypatch.setattr(buckets, "PEEK", peek)
+        monkeypatch.setattr(buckets, "PEEKED", peeked)
+        nodes = spark.range(300).withColumnRenamed("id", "node")
+        keys_of = lambda n: n.select(F.when(F.col("node") < 100, F.lit(-1)).otherwise(F.expr("node div 2")).alias("key"), "node").union(n.select((-F.col("node") - 2).alias("key"), "node"))
+        met = {}
+        for r in buckets.meetings(nodes, keys_of, 16).collect():
+            met.setdefault((r.key, r.pair), []).append((r.node, r.side))
+        pairs = {(a, b) for g in met.values() for a, s in g for b, t in g if a < b and (s != t or not any(x for _, x in g))}
+        assert pairs == {(a, b) for b in range(100) for a in range(b)} | {(a, a + 1) for a in range(100, 300, 2)}
+        assert max(map(len, met.values())) < 60
+
+
+def test_components_of_hubs(spark, monkeypatch):
+    from tallyframe.llm import components
+
+    monkeypatch.setattr(components, "HUB_EDGES", 5)
+    links = [(0, i) for i in range(1, 40)] + [(500, i) for i in range(400, 440)] + [(39, 1000), (1000, 400)] + [(2000 + i, 2001 + i) for i in range(30)]
+    got = dict(tuple(r) for r in connected_components(spark.createDataFrame(links, "u long, v long")).collect())
+    assert got == {n: 2000 if n >= 2000 else 0 for e in links for n in e}
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(130)] + [(200 + i, 201 + i) for i in range(40)]
@@ -190,13 +228,22 @@ def test_bpe(spark, odd, none):
     assert bpe.round_trip(odd, path).count() == len(ODD) and bpe.round_trip(none, path).count() == 0
 
 
+def test_html_cut_by_name():
+    text = html_text.main_text
+    assert text('<body><h2 class="section-header">Head</h2><p class="social-science">Of science.</p><p class="ad">Buy</p><div class="social-links">Like</div></body>') == "Head\n\nOf science."
+    assert text('<div class="content with-sidebar"><p>The real article is here.</p></div>') == "The real article is here."
+    assert text("<p>a</p><!-- hidden > tail secret") == text("<p>a</p><!-- x --><p></p><? y > <a title='cut") == "a"
+    assert text("<p>1 < 2 and <b title='a > b'>so</b> on</p>") == "1 < 2 and so on" and text("<p>x<![CDATA[ & y]]></p>") == "x & y"
+    assert text('<p>x</p><a "b > c" ' + '"" ' * 60).startswith("x")
+
+
 def test_html(spark):
     page = '<html><body class="with-sidebar"><header><h1>Site</h1></header><nav><a href=x>Home</a></nav><div class="ad">Buy</div><article><h1>Head &amp; more</h1><p>One<br>two &#233;<p>Three <a href=y>four</a></article><section id="comments"><p>me too</p></section><footer>f</footer>'
     assert html_text.main_text(page) == "Head & more\n\nOne two é\n\nThree four"
     assert [html_text.main_text(x) for x in (None, "", "plain\n text", "<p", "<script>x</script>", "<p>a<!-- b --></p><p>c")] == ["", "", "plain text", "", "", "a\n\nc"]
-    rows = spark.createDataFrame([(1, None, None, "t"), (None, "u", page, "t"), (1, "u", "<p>" * 20_000 + "deep", "t")], "page_id long, url string, html string, text string")
+    rows = spark.createDataFrame([(1, None, None, "t", 1), (None, "u", page, "t", 2), (1, "u", "<p>" * 20_000 + "deep", "t", 3), (1, "u", "<p>" * 20_000 + "deep", "t", 3), (2, "v", "<b>" * 30_000 + "<p>long</p>" * 3000, "t", 4)], "page_id long, url string, html string, text string, n_chars int")
     got = html_text.extract(rows).collect()
-    assert [(r.page_id, r.n_chars) for r in got] == [(1, 0), (None, 34), (1, 4)]
+    assert [(r.page_id, r.n_chars) for r in got] == [(1, 0), (None, 34), (1, 4), (1, 4), (2, 17_998)]
     assert html_text.extract(rows.limit(0)).count() == 0
 
 
@@ -220,23 +267,27 @@ def test_html_layout_classes():
     assert text == want + "\n\n" + " ".join(["One more sentence of it."] * 8)
 
 
-def test_warc(spark, monkeypatch):
-    monkeypatch.setattr(warc, "BLOCK_LINES", 2)
+def test_warc(spark):
     rows = [(3, "http://b.example.com/x?q=1", "<p>same</p>"), (1, "https://a.example.com:8443/", "<p>same</p>"), (2, None, None), (5, "not a url", ""), (None, "http://b.example.com/y", "<p>same</p>"), (7, "http://b.example.com/x?q=1", "ü" * 70_000), (7, "http://[bad", "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     root = warc.scratch_path(spark, "test-warc")
-    directory = warc.write(pages, root)
-    got = {(r.id, r.url): r for r in warc.read_all(directory, root, True).collect()}
+    directory = warc.write(pages, root, block_lines=2)
+    assert directory.count() > 2
+    got = {(r.id, r.url): r for r in warc.fetch(warc.locate(directory, root, pages), root, True).collect()}
     assert len(got) == len(rows)
     assert got[3, rows[0][1]].refers_to == 1 and got[3, rows[0][1]].record_type == "revisit" and got[3, rows[0][1]].payload_bytes == 11
     assert got[1, rows[1][1]].record_type == "response" and got[5, "not a url"].refers_to == 2 and got[None, rows[4][1]].refers_to == 1
     assert got[7, rows[5][1]].payload.decode() == "ü" * 70_000
-    found = warc.lookup(directory, root, [rows[0][1], "http://b.example.com/none"])
-    assert sorted(e["id"] for e, _ in found[rows[0][1]]) == [3, 7] and not found["http://b.example.com/none"]
+    asked = spark.createDataFrame([("http://B.example.com:80/x?q=1",), ("http://b.example.com/none",)], "url string")
+    found = warc.lookup(directory, root, asked).collect()
+    assert sorted(r.id for r in found) == [3, 7] and max(len(r.payload) for r in found) == 140_000
     assert warc.surt("http://a.example.com:80/x?q") == "com,example,a)/x?q"
     reader = warc.Reader(root)
-    name = next(e["file"] for e, _ in found[rows[0][1]])
+    name = warc.locate(directory, root, asked).first().file
     assert gzip.decompress(reader.fs.open_input_file(f"{reader.base}/{name}").read()).startswith(b"WARC/1.1")
+    again = spark.createDataFrame([(i % 5, "http://one.example.com/", "same", "x") for i in range(500)] + [(9, None, None, None)] * 3, "page_id long, url string, html string, key string")
+    back = warc.round_trip(again).groupBy("id", "record_type", "refers_to").count().collect()
+    assert {(r.id, r.record_type, r.refers_to, r["count"]) for r in back} == {(0, "response", None, 100), *((i, "revisit", 0, 100) for i in range(1, 5)), (9, "response", None, 3)}
     plain = warc.round_trip(pages, min_bytes=100)
     assert {r.record_type for r in plain.collect()} == {"response"}
     assert warc.round_trip(pages.limit(0)).count() == 0
@@ -290,30 +341,100 @@ def test_language(labelled, spark, odd, none):
     assert langid.identify(odd, langid.fit([])).count() == len(ODD) and langid.identify(none, model).count() == 0
 
 
-def test_language_of_long_words():
-    model = langid.fit([("a" * 200 + "bcd" * 80, "x"), ("a" * 200 + "efg" * 80, "y")])
+def kneser_ney(words, alphabet):
+    """Brute force: log-probability of a character after a context, from dictionaries of counts."""
+    padded = [" " * 4 + w + " " for w in words]
+    grams = [dict() for _ in range(6)]
+    for w in padded:
+        for i in range(4, len(w)):
+            grams[5][w[i - 4 : i + 1]] = grams[5].get(w[i - 4 : i + 1], 0) + 1
+    for k in range(4, 0, -1):
+        seen = {w[i - k : i + 1] for w in padded for i in range(4, len(w))}
+        for g in seen:
+            grams[k][g[1:]] = grams[k].get(g[1:], 0) + 1
+
+    def p(text, k):
+        if k == 0:
+            return 1 / alphabet
+        inside = [c for g, c in grams[k].items() if g[:-1] == text[:-1]]
+        if not inside:
+            return p(text[1:], k - 1)
+        return max(grams[k].get(text, 0) - 0.75, 0) / sum(inside) + 0.75 * len(inside) / sum(inside) * p(text[1:], k - 1)
+
+    return lambda word: sum(np.log(p(t[i - 4 : i + 1], 5)) for t in [" " * 4 + word + " "] for i in range(4, len(t)))
+
+
+def test_language_brute_force(monkeypatch):
+    words = ["the", "then", "hen", "other", "tenth", "one", "the", "thenonether" * 3]
+    model = langid.fit([(" ".join(words), "x"), ("zwei drei vier", "y")])
+    alphabet = len(set("".join(words) + "zweidreivier")) + 2
+    want = kneser_ney(words, alphabet)
+    for bound in (1000, 7, 1):  # parts of long words change nothing
+        monkeypatch.setattr(langid, "LONG_WORD", bound)
+        fitted = langid.fit([(" ".join(words), "x"), ("zwei drei vier", "y")])
+        for w in ("the", "hthe", "nether", "q", "onethenonether"):
+            assert abs(fitted.words([w])[0][0] - want(w)) < 1e-6 and abs(model.words([w])[0][0] - want(w)) < 1e-6, (bound, w)
+
+
+def test_language_of_long_words(spark):
+    model = langid.fit([("a" * 2000 + "bcd" * 800, "x"), ("a" * 2000 + "efg" * 800, "y")])
     assert model.entropies(["bcdbcd", "efgefg"], WordMemo(model.words)).argmin(1).tolist() == [0, 1]
+    rows = [(4 * i, "plain words of the first language", "many") for i in range(400)] + [(3, "zzyzx qqq", "rare")]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_docs=20)
+    assert model.languages == ["many", "rare"]
+
+
+def raked(cells, targets, budget, rounds=400):
+    """Brute force: plain raking of a list of cells (source, language, topic, tokens), then c by halving."""
+    share = [float(c[3]) for c in cells]
+    for _ in range(rounds):
+        for d, dim in enumerate(("source", "lang", "topic")):
+            have = {}
+            for c, s in zip(cells, share):
+                have[c[d]] = have.get(c[d], 0.0) + s
+            share = [s * targets[dim].get(c[d], 0.0) / have[c[d]] if have[c[d]] else 0.0 for c, s in zip(cells, share)]
+    low, high = 0.0, 1e12
+    for _ in range(200):
+        c = (low + high) / 2
+        low, high = (c, high) if sum(min(x[3], c * s) for x, s in zip(cells, share)) < budget * sum(x[3] for x in cells) else (low, c)
+    return {x[:3]: min(1.0, high * s / x[3]) for x, s in zip(cells, share)}
 
 
 def test_mixing(spark, odd, none, monkeypatch):
     rng = random.Random(6)
-    docs = [(i, " ".join(f"word{rng.randrange(9)}x" for _ in range(rng.randrange(1, 60))), rng.choice(["en", "en", "de"]), rng.choice(["a", "a", "a", "b"])) for i in range(3000)]
-    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
-    targets = {"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 0.5, "de": 0.5}, "topic": {f"t{i}": 1 / 8 for i in range(8)}}
-    targets["topic"] = mixing.default_targets([tuple(r) for r in mixing.mark(df).select("__source", "__lang", "__topic").collect()], np.ones(3000), {"source": 1, "lang": 1, "topic": 1})["topic"]
-    rows = mixing.mark(df, targets=targets, budget=0.3).collect()
-    expected = {}
+    docs = [(i, " ".join(f"word{rng.randrange(9)}x" for _ in range(rng.randrange(1, 60))), rng.choice(["en", "en", "de", None]), rng.choice(["a", "a", "a", "b", None, "␀"]), rng.choice("xyz"), "mine") for i in range(2000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, subject string, mix_kept string")
+    targets = {"source": {"a": 0.3, "b": 0.3, None: 0.2, "␀": 0.2}, "lang": {"en": 0.4, "de": 0.4, None: 0.2}, "topic": {"x": 0.5, "y": 0.25, "z": 0.25}}
+    rows = mixing.mark(df, topic_col="subject", targets=targets, budget=0.3).collect()
+    cells = {}
     for r in rows:
-        expected[r["__source"]] = expected.get(r["__source"], 0) + r["__tokens"] * r["__probability"]
-    total = sum(r["__tokens"] for r in rows)
-    assert abs(expected["a"] / expected["b"] - 1) < 0.01 and abs(sum(expected.values()) / total - 0.3) < 0.01
-    assert abs(sum(r["__tokens"] for r in rows if r["__kept"]) / total - 0.3) < 0.05
-    monkeypatch.setattr(mixing, "DRIVER_CELLS", 0)
-    far = mixing.mark(df, targets=targets, budget=0.3).collect()
-    near = {r.doc_id: r["__probability"] for r in rows}
-    assert max(abs(near[r.doc_id] - r["__probability"]) for r in far) < 1e-3
-    monkeypatch.undo()
-    assert mixing.mark(odd).count() == len(ODD) and mixing.mix(odd).columns == odd.columns and mixing.mix(none).count() == 0
+        cells[r.mix_source, r.mix_lang, r.mix_topic] = cells.get((r.mix_source, r.mix_lang, r.mix_topic), 0) + r.mix_tokens
+    want = raked([(*k, v) for k, v in cells.items()], targets, 0.3)
+    assert max(abs(r.mix_probability - want[r.mix_source, r.mix_lang, r.mix_topic]) for r in rows) < 1e-4
+    total = sum(r.mix_tokens for r in rows)
+    assert abs(sum(r.mix_tokens for r in rows if r.mix_kept) / total - 0.3) < 0.05
+    monkeypatch.setattr(mixing, "BROADCAST_CELLS", 0)  # the other join, the same rows
+    assert {(r.doc_id, r.mix_kept) for r in mixing.mark(df, topic_col="subject", targets=targets, budget=0.3, carry=["doc_id"]).collect()} == {(r.doc_id, r.mix_kept) for r in rows}
+    kept = mixing.mix(df, topic_col="subject", targets=targets, budget=0.3)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in rows if r.mix_kept}
+    got = mixing.mark(odd).collect()
+    assert len(got) == len(ODD) and mixing.mix(odd).columns == odd.columns and mixing.mix(none).count() == mixing.mark(none).count() == 0
+    assert {(r.doc_id, r.mix_tokens) for r in got if r.doc_id} == {(1, 0), (2, 0), (3, 0), (4, 3), (5, 3), (6, 30_000), (7, 3)}
+    assert len({r.mix_kept for r in got if r.doc_id == 4}) == 1 and all(r.mix_kept for r in got if r.mix_source is None)
+
+
+def test_mixing_tokens_and_topics():
+    texts = ["It's 12345 words…", "漢字かな mixed text", "", None, "état\n\nnouveau ---"]
+    plain = mixing.Topics({}, 0)
+    assert plain.of([t or "" for t in texts], WordMemo(plain.words)) == (["none"] * 5, [7, 6, 0, 0, 3])
+    rng = random.Random(2)
+    subjects = [[f"{a}{i}" for i in range(40)] for a in ("apple", "stone", "river")]
+    docs = [" ".join(rng.choice(subjects[k % 3]) for _ in range(30)) for k in range(300)]
+    model = mixing.fit_topics(docs, n=3)
+    said = model.of(docs, WordMemo(model.words))[0]
+    assert all(len({said[k] for k in range(s, 300, 3)}) == 1 for s in range(3)) and len(set(said)) == 3
+    assert model.of(["", "nothing known"], WordMemo(model.words))[0] == ["none", "none"]
+    assert mixing.terms("(stone3)") == ["stone3"] and mixing.terms("漢字か") == ["漢字", "字か"]
 
 
 def test_pipeline(spark):
