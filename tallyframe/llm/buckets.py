@@ -68,19 +68,17 @@ def meetings(nodes: DataFrame, keys_of: Callable[[DataFrame], DataFrame], block_
     """``key, node, pair, side`` for the rows of ``keys_of(nodes)`` (``key, node``) whose key two rows or more have.
 
     Only these two columns are shuffled, once; a key that no other row has ends here. Keys that are hot among
-    a sample of the nodes skip that shuffle: the sample only tells which way rows go, and no row is left out.
+    a sample of the nodes are cut into blocks before that shuffle, by the size that the sample makes likely; the sample
+    only tells which way rows go, and no row is left out.
     """
     peek = keys_of(nodes.sample(PEEK, seed=5)).groupBy("key").agg(F.count("*").alias("seen"))
     peek, _ = materialise(peek.where(F.col("seen") > PEEKED), "peek")
     bar = max(PEEKED, math.ceil((peek.agg(F.sum("seen")).first()[0] or 0) / HOT_KEYS))
-    hot, _ = materialise(peek.where(F.col("seen") > bar).select("key", F.ceil(F.col("seen") / PEEK / block_rows).cast("int").alias("guess")), "hot")
-    any_hot, keys = not hot.isEmpty(), keys_of(nodes)
-    cold = keys.join(F.broadcast(hot.select("key")), "key", "left_anti") if any_hot else keys
-    cold = cold.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
-    out = _paired(cold, ["key", "node"], _block_of("node", F.col("blocks")), F.ceil(F.col("n") / block_rows))
-    if any_hot:
-        out = out.union(_paired(keys.join(F.broadcast(hot), "key"), ["key", "node"], _block_of("node", F.col("blocks")), F.col("guess")))
-    return out
+    hot = peek.where(F.col("seen") > bar).select("key", F.ceil(F.col("seen") / PEEK / block_rows).cast("int").alias("guess"))
+    rows = keys_of(nodes).join(F.broadcast(hot), "key", "left")
+    rows = rows.withColumn("block", F.when(F.col("guess") > 1, _block_of("node", F.col("guess"))).otherwise(0))
+    rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("key", "block"))).where("n > 1 or guess is not null")
+    return _paired(rows, ["key", "node"], _block_of("node", F.col("blocks")), F.coalesce("guess", F.ceil(F.col("n") / block_rows)))
 
 
 def together(met: DataFrame, payload: DataFrame) -> DataFrame:
