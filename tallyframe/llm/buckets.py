@@ -39,11 +39,11 @@ def join_hot(rows: DataFrame, table: DataFrame, key: str, weight: str, how: str
 
 
 def _paired(rows: DataFrame, columns: list[str], block: Column, blocks: Column) -> DataFrame:
-    """``columns``, ``pair`` (which two blocks of a key meet) and ``side`` (0 first block, 1 second); each block goes to all its pairs."""
-    whole = F.array(F.struct(F.lit(0).alias("pair"), F.lit(0).alias("side")))
+    """``columns``, ``pair`` (which two blocks of a key meet) and ``side`` (0 first block, 1 second, 2 a block by itself); each block goes to all its pairs."""
+    whole = F.array(F.struct(F.lit(0).alias("pair"), F.lit(2).alias("side")))
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda other: F.struct((F.least("block", other) * F.col("blocks") + F.greatest("block", other)).cast("int").alias("pair"), (F.col("block") > other).cast("int").alias("side")),
+        lambda other: F.struct((F.least("block", other) * F.col("blocks") + F.greatest("block", other)).cast("int").alias("pair"), F.when(F.col("block") == other, 2).otherwise((F.col("block") > other).cast("int")).alias("side")),
     )
     placed = rows.withColumn("blocks", blocks.cast("int")).withColumn("block", block)
     return placed.select(*columns, F.explode(F.when(F.col("blocks") > 1, pairs).otherwise(whole)).alias("p")).select(*columns, "p.pair", "p.side")

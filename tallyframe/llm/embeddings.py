@@ -25,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import grouped, join_hot, meetings, merge_labels, star_edges, together
+from .buckets import join_hot, meetings, merge_labels, small_pairs, star_edges, together, whole_groups
 from .common import materialise
 from .components import connected_components
 
 #: Share of the pairs exactly at the threshold that share a signature in some table.
 RECALL = 0.99
+#: Runs of at most so many vectors are compared together, pair by pair.
+SMALL = 48
 #: Bits by which signatures are wider than the number of vectors needs: of 2**SPARSE unlike vectors about one shares a signature.
 SPARSE = 5
 
@@ -75,12 +77,51 @@ def _sign(batches: Iterator[pa.RecordBatch], bits: int, tables: int) -> Iterator
 
 def _verify(batches: Iterator[pa.RecordBatch], threshold: float, bits: int, tables: int, step: int = 1024) -> Iterator[pa.RecordBatch]:
     planes: dict[int, np.ndarray] = {}
-    for run in grouped(batches, ["key", "pair"]):
-        dims = run["dim"].to_numpy()
-        for dim in np.unique(dims).tolist():
+    for table, cuts in whole_groups(batches, ["key", "pair"]):
+        sizes = np.diff(cuts)
+        dims = np.unique(table["dim"].to_numpy())
+        for dim in dims.tolist():
             if dim not in planes:
                 planes[dim] = _planes(dim, bits, tables)
-            yield from _verify_run(run.filter(pa.array(dims == dim)).combine_chunks(), dim, planes[dim], threshold, bits, step)
+        alone = len(dims) == 1  # else small runs are taken one by one, too
+        if alone and (few := np.repeat((sizes > 1) & (sizes <= SMALL), sizes)).any():
+            bounds = np.concatenate([[0], np.cumsum(sizes[(sizes > 1) & (sizes <= SMALL)])])
+            yield from _verify_small(table.filter(pa.array(few)).combine_chunks(), bounds, dims[0], planes[dims[0]], threshold, bits)
+        for g in np.flatnonzero(sizes > (SMALL if alone else 1)):
+            run = table.slice(cuts[g], sizes[g])
+            for dim in dims.tolist():
+                yield from _verify_run(run.filter(pa.array(run["dim"].to_numpy() == dim)).combine_chunks(), dim, planes[dim], threshold, bits, step)
+
+
+def _verify_small(rows: pa.Table, cuts: np.ndarray, dim: int, planes: np.ndarray, threshold: float, bits: int) -> Iterator[pa.RecordBatch]:
+    """The same as :func:`_verify_run` for many small runs at once. In pairs of blocks only rows of different sides are new to each other."""
+    node, copies, side, tab = (rows[c].to_numpy() for c in ("node", "copies", "side", "key"))
+    tab = tab >> 44
+    unit = _unit(rows["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False), dim)
+    links, label = np.zeros(len(node), dtype=np.int64), np.arange(len(node))
+    i, j = small_pairs(cuts, SMALL)
+    for at in range(0, len(i), 1 << 15):
+        x, y = i[at : at + (1 << 15)], j[at : at + (1 << 15)]
+        x, y = (z[(side[x] == 2) | (side[x] != side[y])] for z in (x, y))
+        near = np.einsum("ij,ij->i", unit[x], unit[y]) >= threshold
+        x, y = x[near], y[near]
+        if not len(x):
+            continue
+        _, place, named = np.unique(node[np.concatenate([x, y])], return_index=True, return_inverse=True)
+        first = np.concatenate([x, y])[place]
+        names = np.concatenate([_signatures(unit[first[k : k + 512]], planes, bits) for k in range(0, len(first), 512)])
+        for k in range(0, len(x), 1 << 13):
+            here = np.arange(k, min(len(x), k + (1 << 13)))
+            same = names[named[here]] == names[named[len(x) + here]]
+            fresh = here[same[np.arange(len(here)), tab[x[here]]] & (same.argmax(1) == tab[x[here]])]
+            np.add.at(links, x[fresh], copies[y[fresh]])
+            np.add.at(links, y[fresh], copies[x[fresh]])
+            merge_labels(label, x[fresh], y[fresh])
+    found = np.flatnonzero(links)
+    if len(found):
+        least = np.full(len(node), np.iinfo(np.int64).max)
+        np.minimum.at(least, label, node)
+        yield pa.RecordBatch.from_arrays([pa.array(node[found]), pa.array(links[found]), pa.array(least[label[found]])], ["node", "links", "root"])
 
 
 def _verify_run(run: pa.Table, dim: int, planes: np.ndarray, threshold: float, bits: int, step: int) -> Iterator[pa.RecordBatch]:
@@ -88,8 +129,8 @@ def _verify_run(run: pa.Table, dim: int, planes: np.ndarray, threshold: float, b
     tab = int(run["key"][0].as_py()) >> 44
     unit = _unit(run["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False), dim)
     names = np.full((len(node), tab + 1), -1, dtype=np.int64)  # of the rows with links, in this table and those before it
-    left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (np.arange(len(node)),) * 2
-    one_block = not side.any()
+    one_block = bool((side == 2).all())
+    left, right = (np.arange(len(node)),) * 2 if one_block else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
     links = np.zeros(len(node), dtype=np.int64)
     label = np.arange(len(node))
     for a in range(0, len(left), step):
