@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .config import EngineConfig, NULL_TOKENS
 from .functions import dates, numbers, similarity, text
-from . import sinks
+from . import oracles, sinks
 from .operators import edits, grids, matching, ontology, qc, reshape, tfidf
 from .operators import profile as profiles
 from .operators.canonical import canonicalize
@@ -194,7 +194,7 @@ def _part_names(spark, d):
     return names, flipped
 
 
-@query()
+@query(oracles.FUZZY_TOKENSORT)
 def fuzzy_tokensort(spark: SparkSession, d: str) -> DataFrame:
     """Token-sort similarity of part names and of the same names reversed, from 80 up."""
     names, flipped = _part_names(spark, d)
@@ -209,7 +209,7 @@ FUZZY_PARTS = {
 }
 
 
-@query()
+@query(oracles.GREEDY_ASSIGN)
 def greedy_assign(spark: SparkSession, d: str) -> DataFrame:
     """One-to-one links of part names and reversed names by token-sort similarity."""
     names, flipped = _part_names(spark, d)
@@ -362,11 +362,30 @@ def jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
     return a.crossJoin(b).select("l", "r", F.round(profiles.jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"))  # a row a column each
 
 
-@query()
-def suggest_mapping(spark: SparkSession, d: str) -> DataFrame:
-    """Fields suggested for customers against suppliers."""
-    sides = [profiles.described(table(spark, d, t), [key], columns) for t, key, columns in (("customer", "c_custkey", ["c_custkey", "c_name", "c_nationkey", "c_acctbal"]), ("supplier", "s_suppkey", ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"]))]
-    return profiles.suggested_fields(*sides).select("name", "role", "dtype", "left_source", "right_source", "agg")
+def _suggested(name: str, doc: str, customer: dict[str, str], supplier: dict[str, str]) -> None:
+    """Register a query on the fields suggested for customers against suppliers, their columns under other names."""
+    number = lambda c: not c.endswith(("_name", "_mktsegment"))
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        sides = []
+        for t, key, columns in (("customer", "c_custkey", customer), ("supplier", "s_suppkey", supplier)):
+            rows = table(spark, d, t).select(F.col(key).alias("__ord"), *[F.col(c).alias(n) for c, n in columns.items()])
+            sides.append(profiles.described(rows, ["__ord"], list(columns.values())))
+        return profiles.suggested_fields(*sides).select("name", "role", "dtype", "left_source", "right_source", "agg")
+
+    run.__name__, run.__doc__ = name, doc
+    sides = [(t, key, {c: (n, number(c)) for c, n in columns.items()}) for t, key, columns in (("customer", "c_custkey", customer), ("supplier", "s_suppkey", supplier))]
+    query(oracles.suggested(*sides, profiles.MONEY_NAME, profiles.ID_NAME, profiles.CONCEPT_OF, profiles.PAIR_THRESHOLD))(run)
+
+
+_suggested("suggest_mapping", "Fields suggested for customers against suppliers.", *({c: c for c in cs} for cs in (("c_custkey", "c_name", "c_nationkey", "c_acctbal"), ("s_suppkey", "s_name", "s_nationkey", "s_acctbal"))))
+_suggested(
+    "suggest_mapping_concepts",
+    "The same columns under names that share words and concepts; one concept names two fields.",
+    {"c_custkey": "Account No", "c_name": "Customer Name", "c_nationkey": "Nation Code", "c_acctbal": "Balance Amount"},
+    {"s_suppkey": "Ledger Account", "s_name": "Vendor Name", "s_nationkey": "Nation Key", "s_acctbal": "Net Total"},
+)
+_suggested("suggest_mapping_forced_key", "Columns without any key: the field whose left column has most values becomes one.", {"c_mktsegment": "Segment", "c_acctbal": "Net Amount"}, {"s_name": "Kind", "s_acctbal": "Gross Amount"})
 
 
 @query("SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(28,2)) AS amount FROM orders ORDER BY amount DESC, o_orderkey LIMIT 250")
@@ -394,7 +413,7 @@ def text_table_scan(spark: SparkSession, d: str) -> DataFrame:
     return cells.groupBy("doc_id").agg((F.max("r") + 1).cast("long").alias("n_lines"), F.count("*").alias("n_cells"))
 
 
-@query()
+@query(oracles.REGIONS_AND_HEADERS)
 def regions_and_headers(spark: SparkSession, d: str) -> DataFrame:
     """Tables found in documents with pipes: name, header and number of records."""
     found = grids.tables(files.text_table(_text_lines(spark, d)))
