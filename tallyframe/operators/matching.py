@@ -11,6 +11,7 @@ from ..config import EngineConfig
 from ..functions import similarity, text
 from ..plans.scratch import cut, written
 from .assign import assign
+from .near import near_pairs
 from .tfidf import best_matches
 
 #: Strategies in the order in which ties of weight are broken (fixed values).
@@ -105,8 +106,10 @@ def candidates(left: DataFrame, right: DataFrame, cfg: EngineConfig) -> DataFram
     lengths = similarity.may_reach(F.col("left_sorted"), F.col("right_sorted"), m.fuzzy_threshold) if m.fuzzy_enabled else None
     pairs = None
     if m.fuzzy_enabled or keep_all:
-        on = within + ([lengths] if lengths is not None and not keep_all else [])
-        joined = lhs.alias("l").join(rhs.alias("r"), reduce(lambda x, y: x & y, on) if on else F.lit(True))
+        if keep_all:  # every pair of a block has a score
+            joined = lhs.alias("l").join(rhs.alias("r"), within if within else F.lit(True))
+        else:
+            joined = near_pairs(lhs, rhs, m.fuzzy_threshold).join(lhs.alias("l"), "left_key").join(rhs.alias("r"), "right_key").where((F.col("l.block") == F.col("r.block")) & lengths)
         fuzzy = F.lit(None).cast("double")
         if m.fuzzy_enabled:
             raw = similarity.similarity(F.col("left_sorted"), F.col("right_sorted"))

@@ -1,13 +1,15 @@
 """Grids, files, edits, reshaping, subtotals, profiles, sinks, library and sessions."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallyframe import sinks
 from tallyframe.config import EngineConfig
-from tallyframe.operators import edits, grids, profile, qc, reshape
+from tallyframe.functions import similarity
+from tallyframe.operators import edits, grids, near, profile, qc, reshape
 from tallyframe.plans.reconcile import reconcile
 from tallyframe.plans.session import Session, preview
 from tallyframe.sources import files
@@ -158,3 +160,34 @@ def test_streaming_ingest(spark, tmp_path):
         (tmp_path / f"in/f{i}.csv").write_text(f"Item,Amount\na,{i}\n")
         ingest(spark, str(tmp_path / "in"), target, checkpoint).awaitTermination()
     assert sorted(r["values"]["Amount"] for r in spark.read.parquet(target).collect()) == ["1", "2"]
+
+
+@pytest.mark.parametrize("threshold", [55.0, 80.0, 90.0, 97.5])
+def test_near_pairs_by_brute_force(spark, threshold):
+    chance = random.Random(int(threshold))
+
+    def texts(n):
+        out = {"", "a", "ab", "aaaaaaaa", "inv 2024 0001", "ünïcödé text"}
+        while len(out) < n:
+            base = chance.choice(sorted(out))
+            at = chance.randrange(len(base) + 1)
+            out.add("".join(chance.choices("abc ", k=chance.randrange(1, 30))) if chance.random() < 0.3 else base[:at] + chance.choice("abcx") + base[at + chance.randrange(2) :])
+        return sorted(out)
+
+    left = texts(150)
+    right = sorted(set(texts(150)) | set(left[::2]))
+    frame = lambda xs, tag: spark.createDataFrame([(str(i % 2), f"{tag}{i}", x) for i, x in enumerate(xs)], f"block string, {tag}_key string, {tag}_sorted string")
+    got = {(r.left_key, r.right_key) for r in near.near_pairs(frame(left, "left"), frame(right, "right"), threshold).collect()}
+    asked = set()
+    for i, x in enumerate(left):
+        for j, y in enumerate(right):
+            total = len(x) + len(y)
+            if i % 2 == j % 2 and (not total or 200.0 * similarity.common_subsequence(x, y) / total >= threshold):
+                asked.add((f"left{i}", f"right{j}"))
+    assert len(asked) > 20 and not asked - got
+
+
+def test_near_pairs_without_rows(spark):
+    frame = lambda tag, rows: spark.createDataFrame(rows, f"block string, {tag}_key string, {tag}_sorted string")
+    assert near.near_pairs(frame("left", []), frame("right", [("", "k", "t")]), 90.0).count() == 0
+    assert near.near_pairs(frame("left", [("", "k", "t")]), frame("right", [("", "j", "u")]), 0).count() == 1
