@@ -20,62 +20,67 @@ _DIGITS = "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹０１２３４５６７８
 
 #: Most numbers; they need no further reading (fixed pattern).
 _SIMPLE = r"^-?[0-9]{1,20}(\.[0-9]{1,12})?$"
-_GROUPED = r"^~?-?[0-9]{1,3}(,[0-9]{3}){1,13}%?$"
-_NUMBER = r"^~?[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)%?$"
+#: A number whose parentheses stand as ``~`` and ``^``.
+_NUMBER = r"^(?:~[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)%?\^|[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)%?)$"
+#: Where commas go: they set thousands apart throughout, or a point comes last.
+_COMMAS_GO = r"^~?-?[0-9]{1,3}(?:,[0-9]{3}){1,13}[%^]*$|\.[^,]*$"
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` worked out once, however often it is used."""
+    """``use(value)`` with ``value`` worked out once, and apart from the generated code around it: methods of many such
+    expressions would grow too large for the JVM to compile.
+    """
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _one_separator(s: Column) -> Column:
-    """Separators of groups left out and the decimal one as a point: the last kind of separator is the decimal one, unless commas set thousands apart."""
-    no_commas, no_points = F.translate(s, ",", ""), F.translate(s, ",.", ".")
-    return F.when(~s.contains(","), s).when(s.rlike(_GROUPED) | s.rlike(r"\.[^,]*$"), no_commas).otherwise(no_points)
+def _chain(c: Column, steps: Sequence[tuple[str, str]]) -> Column:
+    for pattern, new in steps:
+        c = F.regexp_replace(c, pattern, new)
+    return c
 
 
 def _plain(s: Column) -> Column:
-    """``[~][+-]digits[.digits][%]`` (``~``: in parentheses) of a trimmed text, null where it is no number."""
-    bare = F.when(s.startswith("(") & s.endswith(")") & (F.length(s) > 1), F.concat(F.lit("~"), F.substr(s, F.lit(2), F.length(s) - 2))).otherwise(s)
-    bare = F.translate(F.translate(bare, CURRENCY_SYMBOLS + " _", ""), _DIGITS, "0123456789" * 3)
-    return let(bare, lambda t: let(_one_separator(t), lambda n: F.when(n.rlike(_NUMBER), n)))
+    """``[~][+-]digits[.digits][%][^]`` (``~^``: in parentheses) of a trimmed text, empty where it is no number."""
+    bare = F.translate(s, _DIGITS + "()~^" + CURRENCY_SYMBOLS + " _", "0123456789" * 3 + "~^xx")
+    one = let(bare, lambda b: F.when(~b.contains(","), b).when(b.rlike(_COMMAS_GO), F.translate(b, ",", "")).otherwise(F.translate(b, ",.", ".")))
+    return F.when(~s.contains("(") | (s.startswith("(") & s.endswith(")")), F.regexp_extract(one, _NUMBER, 0)).otherwise("")
 
 
-def _read(c: Column, null_tokens: Sequence[str], simple: Callable[[Column], Column], plain: Callable[[Column], Column]) -> Column:
-    """A cell read by ``simple`` where it is a plain number, else by ``plain`` from its :func:`_plain` form."""
+def _read(c: Column, null_tokens: Sequence[str], simple: Callable[[Column], Column], other: Callable[[Column, Column], Column]) -> Column:
+    """A cell read by ``simple`` where it is a plain number, else by ``other`` from its trimmed text and its :func:`_plain` form."""
+    tokens = [t for t in null_tokens if any(x.isdigit() for x in t)]  # the others are no numbers anyway
 
     def use(s: Column) -> Column:
-        read = F.when(s.rlike(_SIMPLE), simple(s)).otherwise(let(_plain(F.translate(s, "~", "x")), plain))
-        return F.when(~F.lower(s).isin(*null_tokens), read) if null_tokens else read
+        read = F.when(s.rlike(_SIMPLE), simple(s)).otherwise(let(_plain(s), lambda p: other(s, p)))
+        return F.when(~F.lower(s).isin(*tokens), read) if tokens else read
 
     return let(strip(c.cast("string")), use)
 
 
 def decimal_text(c: Column, null_tokens: Sequence[str] = ()) -> Column:
     """A number's literal, with the decimals it was written with: what keys and duplicates are told by."""
+    shorter = lambda s: _chain(s, ((r"^(~?-?)0+(?=[0-9])", "$1"), (r"^(~?-?)\.", "$10."), (r"\.(?=%?$)", ""), ("^~-", ""), (r"^[~-]+(?=0*\.?0*%?$)", ""), ("^~", "-")))
 
-    def shorter(s: Column) -> Column:
-        for pattern, new in ((r"^(~?-?)0+(?=[0-9])", "$1"), (r"^(~?-?)\.", "$10."), (r"\.(?=%?$)", ""), ("^~-", ""), (r"^[~-]+(?=0*\.?0*%?$)", ""), ("^~", "-")):
-            s = F.regexp_replace(s, pattern, new)
-        return s
+    def other(s: Column, plain: Column) -> Column:
+        def text(literal: Column) -> Column:
+            hundredth = (F.translate(literal, "%", "").try_cast("decimal(36,12)") * F.lit("0.01").cast("decimal(2,2)")).cast("string")
+            return F.when(literal.endswith("%"), _chain(hundredth, ((r"(\.[0-9]*?)0+$", "$1"), (r"\.$", "")))).otherwise(F.when(literal != "", literal))
 
-    def text(s: Column) -> Column:
-        hundredth = (F.translate(s, "%", "").try_cast("decimal(36,12)") * F.lit("0.01").cast("decimal(2,2)")).cast("string")
-        return F.when(s.endswith("%"), F.regexp_replace(F.regexp_replace(hundredth, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")).otherwise(s)
+        return let(shorter(F.translate(plain, "+^", "")), text)
 
-    return _read(c, null_tokens, shorter, lambda s: let(shorter(F.translate(s, "+", "")), text))
+    return _read(c, null_tokens, shorter, other)
 
 
 def parse_decimal(c: Column, null_tokens: Sequence[str] = ()) -> Column:
     """A cell as ``decimal(28,6)``, null where it is no number."""
 
-    def value(s: Column) -> Column:
-        size = F.translate(s, "~+-%", "").try_cast("decimal(36,12)")
-        size = F.when(s.endswith("%"), (size * F.lit("0.01").cast("decimal(2,2)")).try_cast(MONEY)).otherwise(size.try_cast(MONEY))
-        return F.when(s.startswith("~-") | ~(s.startswith("~") | s.startswith("-")), size).otherwise(-size)
+    def other(s: Column, plain: Column) -> Column:
+        size = F.translate(plain, "~^%+", "").try_cast("decimal(36,12)")
+        share = F.when(s.contains("%"), F.lit("0.01").cast("decimal(2,2)")).otherwise(F.lit("1").cast("decimal(3,2)"))
+        turned = F.when(s.startswith("("), -size * share).otherwise(size * share)
+        return F.when(s.startswith("(") | s.contains("%"), turned.try_cast(MONEY)).otherwise(size.try_cast(MONEY))
 
-    return _read(c, null_tokens, lambda s: s.try_cast("decimal(36,12)").try_cast(MONEY), value)
+    return _read(c, null_tokens, lambda s: s.try_cast("decimal(36,12)").try_cast(MONEY), other)
 
 
 def number_of(c: Column, dtype: T.DataType, null_tokens: Sequence[str] = ()) -> Column:

@@ -1,8 +1,9 @@
 """One-to-one assignment: take links by confidence, each end once.
 
-With a strict total order on the links this equals taking, again and again, every link that is the
-best of both its ends. Each such round is two aggregations; rounds end when no link is left. A small
-rest is finished block by block, as an end belongs to one block only.
+With a strict total order on the links this equals taking, again and again, every link that is the best of both its ends. A
+few such rounds, two aggregations each, settle almost all links of ordinary data. What is left can be a chain in which one
+link waits for the next; links of different connected parts never wait for one another, so the rest is cut into its parts and
+each part is walked through once, in order, by the task that has it. Parts cost rounds by the logarithm of their paths.
 """
 
 from __future__ import annotations
@@ -14,34 +15,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scratch import cut
+from .components import components
 
-#: Links below which the rest is assigned within tasks (a few dozen bytes each).
-LOCAL_LINKS = 200_000
+#: Links that are taken for one part without looking: a few dozen bytes each.
+LOCAL_LINKS = 50_000
+#: Rounds of links that are best for both ends.
+MUTUAL_ROUNDS = 4
 
 
 def _take(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    parts = list(frames)
-    if not parts:
-        return
-    links = pd.concat(parts).sort_values("rank_key", kind="stable")
-    left, right, rows = set(), set(), []
-    for i, (a, b) in enumerate(zip(links["left_key"], links["right_key"], strict=True)):
-        if a not in left and b not in right:
-            left.add(a)
-            right.add(b)
-            rows.append(i)
-    yield links.iloc[rows][["left_key", "right_key"]]
+    """The links taken of parts that come one after the other, each in order; only the ends of the present part are held."""
+    part, left, right = None, set(), set()
+    for frame in frames:
+        rows = []
+        for i, (p, a, b) in enumerate(zip(frame["part"], frame["left_key"], frame["right_key"], strict=True)):
+            if p != part:
+                part, left, right = p, set(), set()
+            if a not in left and b not in right:
+                left.add(a)
+                right.add(b)
+                rows.append(i)
+        yield frame.iloc[rows][["left_key", "right_key"]]
+
+
+def _parts(ranked: DataFrame) -> DataFrame:
+    """``ranked`` with the connected part of each link. Keys stand as hashes: should two be equal, their parts are walked together."""
+    end = lambda side: F.xxhash64(F.lit(side), F.col(f"{side}_key"))
+    roots = components(ranked.select(end("left").alias("u"), end("right").alias("v")))
+    return ranked.withColumn("node", end("left")).join(roots, "node").withColumnRenamed("root", "part").drop("node")
 
 
 def assign(links: DataFrame, order: list, local_links: int = LOCAL_LINKS) -> DataFrame:
     """``left_key, right_key`` of the links taken.
 
-    ``order``: columns (or expressions) by which links are taken, ascending; with the keys they make it strict.
+    ``order``: columns (or expressions) by which links are taken, ascending; with the keys they make it strict. ``links``
+    are read more than once: give a table or a checkpoint.
     """
-    ranked = cut(links.select("left_key", "right_key", F.struct(*order, F.col("left_key"), F.col("right_key")).alias("rank")))
-    taken: DataFrame | None = None
-    while True:
-        n = ranked.count()
+    ranked = links.select("left_key", "right_key", F.struct(*order, F.col("left_key"), F.col("right_key")).alias("rank"))
+    n, taken = ranked.count(), None
+    for _ in range(MUTUAL_ROUNDS):
         if n <= local_links:
             break
         best_left = ranked.groupBy("left_key").agg(F.min("rank").alias("rank"))
@@ -49,5 +61,7 @@ def assign(links: DataFrame, order: list, local_links: int = LOCAL_LINKS) -> Dat
         mutual = cut(best_left.select("rank").join(best_right.select("rank"), "rank").select("rank.left_key", "rank.right_key"))
         taken = mutual if taken is None else taken.union(mutual)
         ranked = cut(ranked.join(mutual.select("left_key"), "left_key", "left_anti").join(mutual.select("right_key"), "right_key", "left_anti"))
-    rest = ranked.coalesce(1).sortWithinPartitions("rank").select("left_key", "right_key", F.monotonically_increasing_id().alias("rank_key")).mapInPandas(_take, "left_key string, right_key string") if n else ranked.select("left_key", "right_key")
-    return rest if taken is None else taken.union(rest)
+        n = ranked.count()
+    rest = _parts(ranked) if n > local_links else ranked.withColumn("part", F.lit(0).cast("long"))
+    dealt = rest.repartition("part").sortWithinPartitions("part", "rank").select("part", "left_key", "right_key").mapInPandas(_take, "left_key string, right_key string")
+    return dealt if taken is None else taken.union(dealt)

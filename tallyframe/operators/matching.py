@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import EngineConfig
 from ..functions import similarity, text
 from ..plans.scratch import cut, written
+from . import bands
 from .assign import assign
 from .near import near_pairs
 from .tfidf import best_matches
@@ -62,12 +63,7 @@ def _side(df: DataFrame, cfg: EngineConfig, tag: str) -> DataFrame:
 
 def numeric_proximity(pairs: list[tuple[Column, Column]]) -> Column:
     """Mean over the fields that both have of 1 - |a - b| / max(|a|, |b|, 1), not below 0; null if there is none."""
-
-    def one(a: Column, b: Column) -> Column:
-        a, b = a.cast("double"), b.cast("double")
-        return F.greatest(F.lit(0.0), 1 - F.abs(a - b) / F.greatest(F.abs(a), F.abs(b), F.lit(1.0)))
-
-    scores = [one(a, b) for a, b in pairs]
+    scores = [bands.proximity(a, b) for a, b in pairs]
     total = reduce(lambda x, y: x + y, [F.coalesce(s, F.lit(0.0)) for s in scores])
     n = reduce(lambda x, y: x + y, [s.isNotNull().cast("int") for s in scores])
     return F.when(n > 0, total / n)
@@ -96,41 +92,50 @@ def scored(fuzzy: Column, semantic: Column, numeric: Column, cfg: EngineConfig)
     }
 
 
+def _met(left: DataFrame, right: DataFrame, numeric: list[str], hits: DataFrame | None, cfg: EngineConfig) -> DataFrame:
+    """``left_key, right_key`` of every pair that one of the strategies may accept, once.
+
+    A pair that only numbers speak for has their proximity as its confidence, so numbers need only meet from the accepted
+    confidence (before it is rounded) up.
+    """
+    m, parts = cfg.matching, []
+    if m.fuzzy_enabled:
+        parts.append(near_pairs(left, right, m.fuzzy_threshold))
+    if hits is not None:
+        parts.append(hits.select("left_key", "right_key"))
+    if numeric:
+        least = m.accept_threshold - 0.00006
+        fields = [(f"left_v_{n}", f"right_v_{n}") for n in numeric]
+        every = lambda: left.join(right, "block").select("left_key", "right_key")  # noqa: E731  all of a block have a score that is accepted
+        parts.append(bands.band_pairs(left, right, fields, least) if least > 0 else every())
+    return parts[0] if len(parts) == 1 else reduce(DataFrame.union, parts).distinct()
+
+
 def candidates(left: DataFrame, right: DataFrame, cfg: EngineConfig) -> DataFrame:
     """Scored pairs of each block, those below the accepted confidence left out."""
     m = cfg.matching
     lhs, rhs = _side(left, cfg, "left"), _side(right, cfg, "right")
-    numeric_fields = [f.name for f in cfg.values if f.is_number] if m.numeric_enabled else []
-    keep_all = bool(numeric_fields)
-    within = [F.col("l.block") == F.col("r.block")] if m.blocking_field or m.blocking_prefix_len else []
-    lengths = similarity.may_reach(F.col("left_sorted"), F.col("right_sorted"), m.fuzzy_threshold) if m.fuzzy_enabled else None
-    pairs = None
-    if m.fuzzy_enabled or keep_all:
-        if keep_all:  # every pair of a block has a score
-            joined = lhs.alias("l").join(rhs.alias("r"), within if within else F.lit(True))
-        else:
-            joined = near_pairs(lhs, rhs, m.fuzzy_threshold).join(lhs.alias("l"), "left_key").join(rhs.alias("r"), "right_key").where((F.col("l.block") == F.col("r.block")) & lengths)
-        fuzzy = F.lit(None).cast("double")
-        if m.fuzzy_enabled:
-            raw = similarity.similarity(F.col("left_sorted"), F.col("right_sorted"))
-            joined = joined.withColumn("__raw", raw if not keep_all else F.when(lengths, raw))
-            fuzzy = F.when(F.col("__raw") >= m.fuzzy_threshold, F.col("__raw") / 100)
-        numeric = numeric_proximity([(F.col(f"left_v_{n}"), F.col(f"right_v_{n}")) for n in numeric_fields]) if numeric_fields else F.lit(None).cast("double")
-        pairs = joined.select(F.col("l.block").alias("block"), "left_key", "right_key", "left_ord", "right_ord", fuzzy.alias("fuzzy"), numeric.alias("numeric"))
-        pairs = pairs.where(F.col("fuzzy").isNotNull() | F.col("numeric").isNotNull())
+    numeric = [f.name for f in cfg.values if f.is_number] if m.numeric_enabled else []
+    none, hits = F.lit(None).cast("double"), None
     if m.semantic_enabled:
         corpus = rhs.select("block", F.struct("right_ord", "right_key").alias("id"), F.col("right_key").alias("text"))
         queries = lhs.select("block", F.struct("left_ord", "left_key").alias("id"), F.col("left_key").alias("text"))
-        hits = best_matches(queries, corpus).where(F.col("similarity") >= m.semantic_threshold - 1e-9)
-        hits = hits.select("block", "left_id.left_key", "right_id.right_key", "left_id.left_ord", "right_id.right_ord", (F.col("similarity") / 100).alias("semantic"))
-        if pairs is None:
-            pairs = hits.withColumn("fuzzy", F.lit(None).cast("double")).withColumn("numeric", F.lit(None).cast("double"))
-        else:
-            pairs = pairs.join(hits, ["block", "left_key", "right_key", "left_ord", "right_ord"], "full_outer")
-    elif pairs is not None:
-        pairs = pairs.withColumn("semantic", F.lit(None).cast("double"))
-    parts = scored(F.col("fuzzy"), F.col("semantic"), F.col("numeric"), cfg)
-    return pairs.select("left_key", "right_key", "block", "left_ord", "right_ord", *[c.alias(n) for n, c in parts.items()]).where(F.col("confidence") >= m.accept_threshold)
+        best = best_matches(queries, corpus, least=m.semantic_threshold).where(F.col("similarity") >= m.semantic_threshold - 1e-9)
+        hits = written(best.select("left_id.left_key", "right_id.right_key", (F.col("similarity") / 100).alias("semantic")))
+    pairs = _met(lhs, rhs, numeric, hits, cfg).join(lhs.alias("l"), "left_key").join(rhs.alias("r"), "right_key").where(F.col("l.block") == F.col("r.block"))
+    score = {"fuzzy": none, "semantic": none, "numeric": none}
+    if m.fuzzy_enabled:
+        pairs = pairs.where(similarity.may_reach(F.col("left_sorted"), F.col("right_sorted"), m.fuzzy_threshold)) if hits is None and not numeric else pairs
+        pairs = pairs.withColumn("__raw", similarity.similarity(F.col("left_sorted"), F.col("right_sorted")))
+        score["fuzzy"] = F.when(F.col("__raw") >= m.fuzzy_threshold, F.col("__raw") / 100)
+    if numeric:
+        score["numeric"] = numeric_proximity([(F.col(f"left_v_{n}"), F.col(f"right_v_{n}")) for n in numeric])
+    if hits is not None:
+        pairs = pairs.join(hits, ["left_key", "right_key"], "left")
+        score["semantic"] = F.col("semantic")
+    shown = pairs.select(F.col("l.block").alias("block"), "left_key", "right_key", "left_ord", "right_ord", *[c.alias(n) for n, c in score.items()])
+    parts = scored(*[F.col(n) for n in STRATEGIES], cfg)
+    return shown.select("left_key", "right_key", "block", "left_ord", "right_ord", *[c.alias(n) for n, c in parts.items()]).where(F.col("confidence") >= m.accept_threshold)
 
 
 def match(left: DataFrame, right: DataFrame, cfg: EngineConfig) -> DataFrame:
@@ -145,8 +150,8 @@ def match(left: DataFrame, right: DataFrame, cfg: EngineConfig) -> DataFrame:
     found = cut(candidates(rest_left, rest_right, cfg))
     blocks = found.groupBy("block").agg(F.min("left_ord").alias("block_ord")).alias("b")
     ordered = found.join(blocks, "block").withColumn("__c", -F.col("confidence"))
-    chosen = cut(assign(ordered, [F.col("__c"), F.col("block_ord"), F.col("left_ord"), F.col("right_ord")]))
-    links = found.join(chosen, ["left_key", "right_key"]).select(*LINK)
+    chosen = assign(ordered, [F.col("__c"), F.col("block_ord"), F.col("left_ord"), F.col("right_ord")])
+    links = cut(found.join(chosen, ["left_key", "right_key"]).select(*LINK))
     l_columns, r_columns = ([c for c in pairs.columns if c.startswith(t)] for t in ("l_", "r_"))
     of_left = pairs.where("r_key is null").select(*l_columns).join(links, F.col("l_key") == F.col("left_key"), "left")
     rest = of_left.join(pairs.where("l_key is null").select(*r_columns), F.col("right_key") == F.col("r_key"), "full_outer").drop("left_key", "right_key")

@@ -1,15 +1,27 @@
-"""Best match by TF-IDF cosine, relationally: terms, document frequencies, norms, one join on terms.
+"""Best match by TF-IDF cosine, relationally and with bounds: what cannot win is never scored.
 
-idf = ln((1 + n) / (1 + df)) + 1 over the corpus of a block; terms outside it carry no weight; of equal
-similarities the first of the corpus wins.
+idf = ln((1 + n) / (1 + df)) + 1 over the corpus of a block; terms outside it carry no weight; of equal similarities the first
+of the corpus wins.
+
+The postings of a term know its largest weight. A query's terms are taken rarest first: a text that it first meets at some
+term scores at most the sum of (own weight x largest weight) from there on, and at most the length of that rest of the query's
+unit vector. First each query meets the postings of its rarest terms; the best of these sets its bar. Then only terms from
+which the bar can still be reached are joined, and of the pairs that meet only those whose share so far, with the bound of the
+rest, reaches it are scored in full.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..plans.scratch import written
+
+#: Rarest terms of a query by which its bar is set.
+PROBES = 2
+#: Below this a difference of similarities is one of rounding.
+SLACK = 1e-7
 
 
 def _terms(df: DataFrame, text: str) -> DataFrame:
@@ -17,28 +29,59 @@ def _terms(df: DataFrame, text: str) -> DataFrame:
 
 
 def weights(corpus: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """``block, term, idf`` and ``block, id, term, w`` (unit vectors) of a corpus ``block, id, text``."""
+    """``block, term, idf, df`` and ``block, id, term, w`` (unit vectors) of a corpus ``block, id, text``."""
     size = corpus.groupBy("block").agg(F.count("*").alias("n"))
-    terms = _terms(corpus, text)
-    idf = terms.groupBy("block", "term").agg(F.count("*").alias("df")).join(size, "block").select("block", "term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    return idf, _unit(terms.join(idf, ["block", "term"]))
+    terms = written(_terms(corpus, text))
+    idf = terms.groupBy("block", "term").agg(F.count("*").alias("df")).join(size, "block").select("block", "term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"), "df")
+    return idf, _unit(terms.join(idf.drop("df"), ["block", "term"])).select("block", "id", "term", "w")
 
 
 def _unit(weighed: DataFrame) -> DataFrame:
-    raw = weighed.withColumn("w", F.col("tf") * F.col("idf"))
-    norm = raw.groupBy("block", "id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, ["block", "id"]).select("block", "id", "term", (F.col("w") / F.col("norm")).alias("w"))
+    raw = F.col("tf") * F.col("idf")
+    norm = F.sqrt(F.sum(raw * raw).over(Window.partitionBy("block", "id")))
+    return weighed.withColumn("w", raw / norm).drop("tf", "idf")
 
 
-def cosines(queries: DataFrame, corpus: DataFrame, text: str = "text") -> DataFrame:
-    """``block, left_id, right_id, similarity`` (0 to 100) of queries and corpus texts that share a term."""
+def _tables(queries: DataFrame, corpus: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+    """The terms of queries, rarest first, with what they and those after them can add at most; the postings of the corpus."""
     idf, right = weights(corpus, text)
-    left = _unit(_terms(queries, text).join(idf, ["block", "term"]))
-    pairs = left.select("block", F.col("id").alias("left_id"), "term", F.col("w").alias("wl")).join(right.select("block", F.col("id").alias("right_id"), "term", F.col("w").alias("wr")), ["block", "term"])
-    return pairs.groupBy("block", "left_id", "right_id").agg((F.sum(F.col("wl") * F.col("wr")) * 100).alias("similarity"))
+    right = written(right)
+    known = written(idf.join(right.groupBy("block", "term").agg(F.max("w").alias("most")), ["block", "term"]))
+    left = _unit(_terms(queries, text).join(known, ["block", "term"]))
+    order = Window.partitionBy("block", "id").orderBy("df", "term")
+    after = order.rowsBetween(1, Window.unboundedFollowing)
+    rest = lambda x: F.coalesce(F.sum(x).over(after), F.lit(0.0))
+    left = left.withColumn("place", F.row_number().over(order)).withColumn("rest", F.least(rest(F.col("w") * F.col("most")), F.sqrt(rest(F.col("w") * F.col("w")))))
+    return written(left.withColumnRenamed("id", "left_id").withColumnRenamed("w", "wl")), right.withColumnRenamed("id", "right_id").withColumnRenamed("w", "wr")
+
+
+def _scored(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """``block, left_id, right_id, similarity`` (0 to 1) of pairs, over all their terms."""
+    own = pairs.join(right, ["block", "right_id"]).join(left.select("block", "left_id", "term", "wl"), ["block", "left_id", "term"])
+    return own.groupBy("block", "left_id", "right_id").agg(F.sum(F.col("wl") * F.col("wr")).alias("similarity"))
+
+
+def _first(found: DataFrame) -> DataFrame:
+    """Of each query the pair with the highest similarity, of equals (to nine places of the percentage) that with the smallest id."""
+    key = F.struct((-F.round(F.col("similarity") * 100, 9)).alias("s"), "right_id", "similarity")
+    return found.groupBy("block", "left_id").agg(F.min(key).alias("best")).select("block", "left_id", "best.right_id", "best.similarity")
+
 
+def best_matches(queries: DataFrame, corpus: DataFrame, text: str = "text", least: float = 0.0) -> DataFrame:
+    """``block, left_id, right_id, similarity`` (0 to 100): of each query the corpus text with the highest similarity; of equals (to nine places) that with the smallest id.
 
-def best_matches(queries: DataFrame, corpus: DataFrame, text: str = "text") -> DataFrame:
-    """Of each query the corpus text with the highest similarity; of equals (to nine places) that with the smallest id."""
-    best = Window.partitionBy("block", "left_id").orderBy(F.round("similarity", 9).desc(), F.col("right_id"))
-    return cosines(queries, corpus, text).withColumn("__n", F.row_number().over(best)).where("__n = 1").drop("__n")
+    Matches below ``least`` may be left out. Queries that share no term with their corpus have none.
+    """
+    left, right = _tables(queries, corpus, text)
+    meet = lambda terms: terms.join(right, ["block", "term"])
+    probed = meet(left.where(F.col("place") <= PROBES).select("block", "left_id", "term")).select("block", "left_id", "right_id").distinct()
+    bars = written(_first(_scored(probed, left, right)))
+    bar = F.greatest(F.coalesce("similarity", F.lit(0.0)), F.lit(least / 100)) - SLACK
+    reach = F.col("rest") + F.col("wl") * F.col("most")
+    ahead = left.join(bars.select("block", "left_id", "similarity"), ["block", "left_id"], "left").withColumn("bar", bar).where(reach >= F.col("bar"))
+    rest_after: Column = F.min(F.struct(F.col("rest"))).alias("last")
+    last = ahead.groupBy("block", "left_id").agg(rest_after).select("block", "left_id", F.col("last.rest").alias("unseen"))
+    shares = meet(ahead.select("block", "left_id", "term", "wl", "bar")).groupBy("block", "left_id", "right_id").agg(F.sum(F.col("wl") * F.col("wr")).alias("share"), F.first("bar").alias("bar"))
+    hopeful = shares.join(last, ["block", "left_id"]).where(F.col("share") + F.col("unseen") >= F.col("bar")).select("block", "left_id", "right_id")
+    whole = _scored(hopeful, left, right).unionByName(bars)
+    return _first(whole).withColumn("similarity", F.col("similarity") * 100)

@@ -174,15 +174,24 @@ def empty_key_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    SELECT l_orderkey, l_linenumber, CAST(l_extendedprice AS DECIMAL(28,6)) AS plain, CAST(-l_extendedprice AS DECIMAL(28,6)) AS parens, CAST(l_extendedprice AS DECIMAL(28,6)) AS continental,
-           CAST(l_discount AS DECIMAL(28,6)) AS percent, CAST(NULL AS DECIMAL(28,6)) AS code FROM lineitem
+    WITH l AS (SELECT l_orderkey, l_linenumber, CAST(l_extendedprice AS DECIMAL(28,6)) AS p, CAST(l_discount AS DECIMAL(28,6)) AS d, CAST(l_quantity AS DECIMAL(28,6)) AS q FROM lineitem)
+    SELECT l_orderkey, l_linenumber, p AS plain, CASE WHEN l_linenumber % 3 = 0 THEN p ELSE -p END AS parens, p AS continental, d AS percent, CAST(NULL AS DECIMAL(28,6)) AS code,
+           CASE l_linenumber % 4 WHEN 0 THEN q WHEN 1 THEN q + 1000 WHEN 2 THEN -q WHEN 3 THEN 0.5 END AS other FROM l
 """)
 def parse_decimal_forms(spark: SparkSession, d: str) -> DataFrame:
-    """Amounts written in several ways and read back."""
-    rows = table(spark, d, "lineitem").withColumn("p", cents(F.col("l_extendedprice")))
-    shown = F.format_number("p", 2)
-    forms = {"plain": F.concat(F.lit("$"), shown), "parens": F.concat(F.lit("("), shown, F.lit(")")), "continental": F.concat(F.translate(shown, ",.", ".,"), F.lit(" €")), "percent": F.concat((F.col("l_discount") * 100).cast("decimal(10,2)").cast("string"), F.lit("%")), "code": F.concat(F.lit("INV-"), F.col("l_orderkey").cast("string"))}
-    return rows.select("l_orderkey", "l_linenumber", *[numbers.parse_decimal(c, NULL_TOKENS).alias(n) for n, c in forms.items()])
+    """Amounts written in several ways and read back: currency, parentheses (twice negative: positive), swapped separators, shares, codes, underscores and signs."""
+    rows = table(spark, d, "lineitem").withColumn("p", cents(F.col("l_extendedprice"))).withColumn("shown", F.format_number("p", 2))
+    q, kind = F.col("l_quantity").cast("int").cast("string"), F.col("l_linenumber") % 4
+    forms = {
+        "plain": F.concat(F.lit("$"), F.col("shown")),
+        "parens": F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit("(-"), F.col("shown"), F.lit(")"))).otherwise(F.concat(F.lit("("), F.col("shown"), F.lit(")"))),
+        "continental": F.concat(F.translate("shown", ",.", ".,"), F.lit(" €")),
+        "percent": F.concat((F.col("l_discount") * 100).cast("decimal(10,2)").cast("string"), F.lit("%")),
+        "code": F.concat(F.lit("INV-"), F.col("l_orderkey").cast("string")),
+        "other": F.when(kind == 0, F.concat(F.lit("\u00a0+"), q, F.lit(". "))).when(kind == 1, F.concat(F.lit("1_0"), F.lpad(q, 2, "0"))).when(kind == 2, F.concat(F.lit("("), q, F.lit(")"))).otherwise(".5"),
+    }
+    written = rows.select("l_orderkey", "l_linenumber", *[c.alias(n) for n, c in forms.items()])
+    return written.select("l_orderkey", "l_linenumber", *[numbers.parse_decimal(F.col(n), NULL_TOKENS).alias(n) for n in forms])
 
 
 @query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS iso, CAST(o_orderdate AS DATE) AS named, CAST(o_orderdate AS DATE) AS month_first, CAST(o_orderdate AS DATE) AS day_first FROM orders")
