@@ -1,12 +1,12 @@
 """Main text of web pages by composite text density.
 
-A page becomes a tree. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
-and reader comments are cut by element, role, class and id. For every node left, the characters for
-each tag are adjusted by those in links (:func:`composite_density`); a node's density sum adds up
-those of its children. The node with the largest sum is the core of the article. On its path to the
-body the branches beside it are kept where they are at least as dense as the body-path threshold, the
-least density on that path, and not mostly links; so are headings before the core and text that stands in the path's
-own elements. What the elements are called decides nothing here. The blocks of what is kept are the text.
+A page becomes a tree without what elements, roles and styles themselves say is no text (scripts, forms, navigation). For
+every node left, the characters for each tag are adjusted by those in links (:func:`composite_density`); a node's density
+sum adds up those of its children. The node with the largest sum is the core of the article. On its path to the body the
+branches beside it stay where they are at least as dense as the body-path threshold, the least density on that path, and not
+mostly links. Within the article that holds the core (its element, or the box around it) short blocks are the article's as
+well, so there only branches that are mostly links go. Last, within what density has left, boxes go whose class or id names
+something that is not the article (an advert between paragraphs, reader comments below them). The blocks of the rest are the text.
 
 Defined results: a null or empty page, or one without text, gives an empty text; mark-up that is cut
 off, unclosed or wrongly nested is repaired as browsers do; text without any mark-up is one block;
@@ -70,6 +70,8 @@ _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"<]*\"|'[^'<]*')*+)
 _LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+_LETTER = re.compile("[a-zA-Z]")
+_EMPTY_COMMENT, _COMMENT_CLOSED = re.compile("<!---?>"), re.compile("--!?>")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -86,26 +88,32 @@ class Element:
         return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(self.attributes)} if "=" in self.attributes else {}
 
 
+def _comment_end(html: str, start: int) -> int:
+    """Where a comment that begins there ends, by the rules of HTML; -1 if it does not. What is no true comment ends with its first ``>``."""
+    if html.startswith("<!--", start):
+        m = _EMPTY_COMMENT.match(html, start) or _COMMENT_CLOSED.search(html, start + 4)
+        return m.end() if m else -1
+    end = html.find(">", start + 2)
+    return end + 1 if end >= 0 else -1
+
+
 def _marks(html: str) -> Iterator[tuple[str, str, str, int]]:
     """(text, name, attributes, end) of a page: the text before each tag, its name (with a slash where it ends), where it ends.
 
-    Comments and declarations are passed over; one that is never closed, and a tag that is cut off, end the page.
+    Comments and declarations (also those for XML) are passed over; one that is never closed, and a tag that is cut off, end the page.
     The caller may send a place to go on from.
     """
     at, parts = 0, []
     while (start := html.find("<", at)) >= 0:
         parts.append(html[at:start])
         following = html[start + 1 : start + 2]
-        if following == "!" or following == "?":
-            opened, closed = ("<!--", "-->") if html.startswith("<!--", start) else ("<![CDATA[", "]]>") if html.startswith("<![CDATA[", start) else (html[start : start + 2], ">")
-            end = html.find(closed, start + len(opened))
+        if following in ("!", "?") or following == "/" and start + 2 < len(html) and not _LETTER.match(html, start + 2):
+            end = _comment_end(html, start)
             if end < 0:
                 at = len(html)
                 break
-            if opened == "<![CDATA[":
-                parts.append(html[start + len(opened) : end].replace("&", "&amp;"))
-            at = end + len(closed)
-        elif following.isalpha() and following.isascii() or following == "/" and html[start + 2 : start + 3].isalpha():
+            at = end
+        elif _LETTER.match(html, start + 1) or following == "/" and _LETTER.match(html, start + 2):
             m = _TAG.match(html, start) or _LOOSE_TAG.match(html, start)
             if m is None:
                 at = len(html)
@@ -217,16 +225,8 @@ def _names_other(token: str, plain: bool = False) -> bool:
     return any(w in CUT_WORDS for w in words) and all(w in CUT_WORDS or w in PLACE_WORDS for w in words)
 
 
-def _plain_chars(root: Element) -> dict[Element, int]:
-    """Characters outside links under each node, without what is cut by the name of its element."""
-    chars: dict[Element, int] = {}
-    for node in reversed(_order(root)):
-        cut = node.name in CUT or node.name == "a"
-        chars[node] = 0 if cut else sum(len(c.strip()) if isinstance(c, str) else chars[c] for c in node.children)
-    return chars
-
-
-def _unwanted(node: Element, in_article: bool, most: bool, holders: set[Element]) -> bool:
+def _cut_by_itself(node: Element, in_article: bool) -> bool:
+    """Whether an element, its role or its style say that it holds no text of an article."""
     if node.name in CUT:
         return True
     if not node.attributes:
@@ -234,46 +234,68 @@ def _unwanted(node: Element, in_article: bool, most: bool, holders: set[Element]
     values = node.values()
     if "hidden" in re.split(r"[\s=]", node.attributes.lower()) or values.get("aria-hidden") == "true" or _HIDDEN.search(values.get("style", "")):
         return True
-    if values.get("role", "").lower() in CUT_ROLES:
-        return True
-    if node.name == "header":
-        return not in_article
-    if node.name in TRUSTED and not (node.name == "article" and in_article):
-        return False
-    if most:  # density decides about a branch with most of the page's text, unless the article is elsewhere
-        return False
-    named = f"{values.get('class', '')} {values.get('id', '')}"
-    return any(_names_other(t, node.name in PLAIN) for t in named.split()) and node not in holders
-
-
-def _article_holders(root: Element) -> set[Element]:
-    """The elements around an article, found once for the whole page."""
-    found: set[Element] = set()
-    for n in _order(root):
-        if n.name == "main" or n.name == "article" and not any(map(_names_other, " ".join(n.values().get(k, "") for k in ("class", "id")).split())):
-            while (n := n.parent) is not None and n not in found:
-                found.add(n)
-    return found
+    return values.get("role", "").lower() in CUT_ROLES or node.name == "header" and not in_article
 
 
 def prune(root: Element) -> None:
-    """Cut what is not text of an article; of a header within one, the headings stay."""
-    stack: list[tuple[Element, bool, bool, Element]] = [(root, False, False, root)]
-    plain, holders = _plain_chars(root), _article_holders(root)
+    """Cut what elements, roles and styles say is no text of an article; of a header within one, the headings stay."""
+    stack: list[tuple[Element, bool, bool]] = [(root, False, False)]
     while stack:
-        node, in_article, in_header, whole = stack.pop()
+        node, in_article, in_header = stack.pop()
         kept: list[Element | str] = []
         for c in node.children:
             if isinstance(c, str):
                 if not in_header or node.name in HEADINGS or _inside_heading(node):
                     kept.append(c)
-            elif not _unwanted(c, in_article, plain[c] * 2 > plain[whole] and (in_article or not holders), holders):
+            elif not _cut_by_itself(c, in_article):
                 kept.append(c)
-                within = in_article or c.name in ("article", "main")
-                stack.append((c, within, in_header or c.name == "header", c if within and not in_article else whole))
+                stack.append((c, in_article or c.name in ("article", "main"), in_header or c.name == "header"))
         node.children = kept
 
 
+def _named_other(node: Element) -> bool:
+    if node.name in TRUSTED and node.name != "article" or not node.attributes:
+        return False
+    values = node.values()
+    return any(_names_other(t, node.name in PLAIN) for t in f"{values.get('class', '')} {values.get('id', '')}".split())
+
+
+def _holders(root: Element) -> set[Element]:
+    """The elements around an article, if the page names one."""
+    found: set[Element] = set()
+    for n in _order(root):
+        if n.name == "main" or n.name == "article" and not _named_other(n):
+            while (n := n.parent) is not None and n not in found:
+                found.add(n)
+    return found
+
+
+def _misled(best: Element, holders: set[Element]) -> Element | None:
+    """The box that names itself no article in which the densest text stands, though the page has an article elsewhere."""
+    box = None
+    while best.parent is not None and holders:
+        if best.name in ("article", "main") and not _named_other(best):
+            return None
+        if best not in holders and _named_other(best):
+            box = best
+        best = best.parent
+    return box
+
+
+def drop_named(top: Element, path: set[Element], holders: set[Element]) -> None:
+    """Cut boxes within what density has left whose names say that they are not the article's.
+
+    What holds the article stays; so do the path to the core and a box with most of the text, unless the article is elsewhere.
+    """
+    stack = [(top, False)]
+    while stack:
+        node, in_article = stack.pop()
+        inside = in_article or node.name in ("article", "main")
+        sure = inside or not holders
+        node.children = [c for c in node.children if isinstance(c, str) or c in holders or sure and (c in path or c.chars * 2 > top.chars) or not _named_other(c)]
+        stack.extend((c, inside) for c in node.children if isinstance(c, Element))
+
+
 def _inside_heading(node: Element) -> bool:
     while node is not None:
         if node.name in HEADINGS:
@@ -303,6 +325,7 @@ def composite_density(chars: int, tags: int, link_chars: int, link_tags: int, bo
 def measure(root: Element) -> list[Element]:
     order = _order(root)
     for node in reversed(order):
+        node.chars = node.tags = node.link_chars = node.link_tags = 0
         for c in node.children:
             if isinstance(c, str):
                 node.chars += len(c.strip())
@@ -324,29 +347,38 @@ def _is_block(node: Element) -> bool:
     return node.name in BLOCKS or node.total > 0
 
 
-def core(root: Element) -> Element:
-    """The body without the branches that are not the article's."""
-    order = measure(root)
+def core(root: Element, holders: set[Element]) -> tuple[Element, list[Element]]:
+    """The body without the branches that are not the article's, and the path from the core to it."""
+    while True:
+        order = measure(root)
+        best = max((n for n in order if n.chars and _is_block(n)), key=lambda n: (n.total, n.density), default=root)
+        box = _misled(best, holders)
+        if box is None:
+            break
+        box.parent.children.remove(box)
     body = next((n for n in order if n.name == "body"), root)
-    best = max((n for n in order if n.chars and _is_block(n)), key=lambda n: (n.total, n.density), default=root)
     path = [best]
     while path[-1] is not body and path[-1].parent is not None:
         path.append(path[-1].parent)
     threshold = min(n.density for n in path)
-    for chosen, parent in zip(path[:-1], path[1:], strict=True):
+    holder = next((i for i, n in enumerate(path) if n.name == "article"), None)
+    if holder is None:
+        holder = next((i for i, n in enumerate(path) if n.name == "main"), min(1, len(path) - 1) if path[-1] is not best else 0)
+    for i, (chosen, parent) in enumerate(zip(path[:-1], path[1:], strict=True)):
         own_text = any(isinstance(c, str) and c.strip() for c in parent.children)
-        at = next(i for i, c in enumerate(parent.children) if c is chosen)
-        parent.children = [c for i, c in enumerate(parent.children) if c is chosen or isinstance(c, str) or _belongs(c, threshold, own_text, i < at)]
-    return path[-1]
+        at = next(k for k, c in enumerate(parent.children) if c is chosen)
+        inside = i < holder and parent is not body
+        parent.children = [c for k, c in enumerate(parent.children) if c is chosen or isinstance(c, str) or _belongs(c, threshold, own_text, k < at, inside)]
+    return path[-1], path
 
 
-def _belongs(side: Element, threshold: float, in_text: bool, before: bool) -> bool:
-    """Whether a branch beside the path to the core is the article's."""
+def _belongs(side: Element, threshold: float, in_text: bool, before: bool, inside: bool) -> bool:
+    """Whether a branch beside the path to the core is the article's; ``inside`` the article's own box short blocks are, too."""
     if in_text and side.name not in BLOCKS:
         return True
     if before and (side.name in HEADINGS or side.name in ("header", "hgroup") and side.chars):
         return True
-    return side.density >= threshold and side.link_chars * 2 <= side.chars
+    return (inside or side.density >= threshold) and side.link_chars * 2 <= side.chars
 
 
 def blocks(node: Element) -> Iterator[str]:
@@ -379,7 +411,10 @@ def main_text(html: str | None) -> str:
         return ""
     root = parse(html)
     prune(root)
-    return "\n\n".join(blocks(core(root)))
+    holders = _holders(root)
+    top, path = core(root, holders)
+    drop_named(top, set(path), holders)
+    return "\n\n".join(blocks(top))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

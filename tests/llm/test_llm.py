@@ -233,7 +233,7 @@ def test_html_cut_by_name():
     assert text('<body><h2 class="section-header">Head</h2><p class="social-science">Of science.</p><p class="ad">Buy</p><div class="social-links">Like</div></body>') == "Head\n\nOf science."
     assert text('<div class="content with-sidebar"><p>The real article is here.</p></div>') == "The real article is here."
     assert text("<p>a</p><!-- hidden > tail secret") == text("<p>a</p><!-- x --><p></p><? y > <a title='cut") == "a"
-    assert text("<p>1 < 2 and <b title='a > b'>so</b> on</p>") == "1 < 2 and so on" and text("<p>x<![CDATA[ & y]]></p>") == "x & y"
+    assert text("<p>1 < 2 and <b title='a > b'>so</b> on</p>") == "1 < 2 and so on" and text("<p>x<![CDATA[ & y]]> z</p>") == "x z"
     assert text('<p>x</p><a "b > c" ' + '"" ' * 60).startswith("x")
 
 
@@ -256,6 +256,53 @@ def test_html_density_decides():
     assert html_text.main_text(f"<body><article><h1>Title</h1><div>{story}</div><div>{teasers}</div></article></body>") == want
 
 
+def test_html_comments_as_browsers_read_them():
+    for page in ("<!--><p>a</p>", "<!---><p>a</p>", "<!-- x --!><p>a</p>", "<!-- x -- > y --><p>a</p>", "</3 x><p>a</p>", "<?xml y?><p>a</p>", "<!DOCTYPE html><p>a", "<p>a<![CDATA[hidden]]></p>", "</><p>a"):
+        assert html_text.main_text(page) == "a", page
+
+
+def test_html_short_blocks_of_an_article():
+    part = "This is a sentence of the story. " * 9
+    said = part.strip()
+    story = f"<div><p>{part}</p><p>{part}</p></div>"
+    links = "<ul>" + "<li><a href=y>A link to go to</a></li>" * 5 + "</ul>"
+    for box in ("article", "main", "div"):
+        page = f"<body><{box}><p>Short intro.</p>{story}<h2>Notes</h2><ul><li>one<li>two</ul><table><tr><td>a<td>b</table><p>Short close.</p>{links}</{box}><div><p>Elsewhere.</p>{links}</div></body>"
+        assert html_text.main_text(page) == f"Short intro.\n\n{said}\n\n{said}\n\nNotes\n\none\n\ntwo\n\na\n\nb\n\nShort close.", box
+    assert html_text.main_text(f'<body><div class="ad"><p>{part * 3}</p></div><article><p>Little.</p></article></body>') == "Little."
+    twice = html_text.main_text(f"<body><div>{story}</div><div>{story}</div></body>")
+    assert twice.count(said) == 4 and twice == html_text.main_text(f"<body><div>{story}</div><div>{story}</div></body>")
+
+
+def test_html_density_sums_by_brute_force():
+    rng = random.Random(11)
+
+    def grow(depth):
+        node = html_text.Element(rng.choice(["div", "p", "a", "span", "ul", "section", "b"]), None)
+        for _ in range(rng.randrange(0, 5) if depth else rng.randrange(1, 3)):
+            child = "x" * rng.randrange(0, 40) + " " if rng.random() < 0.5 or depth > 5 else grow(depth + 1)
+            if not isinstance(child, str):
+                child.parent = node
+            node.children.append(child)
+        return node
+
+    def counts(n):
+        below = [(c, counts(c)) for c in n.children if not isinstance(c, str)]
+        chars = sum(len(c.strip()) for c in n.children if isinstance(c, str)) + sum(x[0] for _, x in below)
+        return chars, sum(x[1] + 1 for _, x in below), sum(x[0] if c.name == "a" else x[2] for c, x in below), sum(x[3] + (c.name == "a") for c, x in below)
+
+    for _ in range(60):
+        root = grow(0)
+        whole = counts(root)
+        density = lambda n: html_text.composite_density(*counts(n), whole[0], whole[2])
+
+        def total(n):
+            return sum(density(c) for c in n.children if not isinstance(c, str) and (c.name in html_text.BLOCKS or total(c) > 0))
+
+        for n in html_text.measure(root):
+            assert (n.chars, n.tags, n.link_chars, n.link_tags) == counts(n) and abs(n.total - total(n)) < 1e-9 and abs(n.density - density(n)) < 1e-9
+
+
 def test_html_layout_classes():
     story = "".join(f"<p>{'This is a sentence of the story. ' * 6}{i}</p>" for i in range(5))
     want = "\n\n".join(" ".join(["This is a sentence of the story."] * 6 + [str(i)]) for i in range(5))
