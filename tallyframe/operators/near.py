@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 GRAMS = (2, 1)
 #: Leading grams that must meet, where so many must be shared.
 MEET = 8
+#: Pairs of possible lengths that are met without an index (a second or two of comparisons in one task).
+FEW = 500_000
 
 
 def _need(total, threshold: float, ceil):
@@ -48,13 +50,25 @@ def _grams(df: DataFrame, text: str, key: str, plan: DataFrame, side: int) -> Da
     return sized.select(F.lit(side).alias("side"), "block", "key", "n", "q", "keep", F.explode(each).alias("g")).select("side", "block", "key", "n", "q", "keep", "g.*")
 
 
-def index(left: DataFrame, right: DataFrame, threshold: float, left_text: str, right_text: str, left_key: str, right_key: str) -> DataFrame | None:
+def lengths(left: DataFrame, right: DataFrame, left_text: str, right_text: str) -> tuple[dict[int, int], dict[int, int]]:
+    """How many texts of each length either side has: no more entries than the longest text has characters."""
+    every = left.select(F.lit(0).alias("side"), F.length(left_text).alias("n")).union(right.select(F.lit(1).alias("side"), F.length(right_text).alias("n")))
+    seen: tuple[dict, dict] = ({}, {})
+    for r in every.groupBy("side", "n").agg(F.count("*").alias("k")).collect():
+        seen[r["side"]][r["n"]] = r["k"]
+    return seen
+
+
+def able_pairs(seen: tuple[dict[int, int], dict[int, int]], threshold: float) -> int:
+    """Pairs whose lengths allow the threshold, were all in one block."""
+    other = np.array(sorted(seen[1]), dtype=np.int64)
+    often = np.array([seen[1][n] for n in other.tolist()], dtype=np.float64)
+    return sum(k * int(often[_need(a + other, threshold, np.ceil) <= np.minimum(a, other)].sum()) for a, k in seen[0].items())
+
+
+def index(left: DataFrame, right: DataFrame, threshold: float, left_text: str, right_text: str, left_key: str, right_key: str, seen: tuple[dict, dict] | None = None) -> DataFrame | None:
     """``side, block, key, n, q, gram, at``: the leading grams of the texts of both sides (0 left, 1 right); None if no lengths go together."""
-    lengths = left.select(F.lit(0).alias("side"), F.length(left_text).alias("n")).union(right.select(F.lit(1).alias("side"), F.length(right_text).alias("n")))
-    seen: tuple[list, list] = ([], [])
-    for r in lengths.distinct().collect():  # the lengths that occur: no more than the longest text has characters
-        seen[r["side"]].append(r["n"])
-    own, other = (np.array(sorted(x), dtype=np.int64) for x in seen)
+    own, other = (np.array(sorted(x), dtype=np.int64) for x in seen or lengths(left, right, left_text, right_text))
     rows = [(0, *x) for x in leading(own, other, threshold)] + [(1, *x) for x in leading(other, own, threshold)]
     if not rows:
         return None
@@ -75,14 +89,20 @@ def _agree(a: Column, b: Column, moved: Column, size: Column, threshold: float)
     return (need <= F.least(a, b)) & (moved <= a - need) & (moved >= need - b) & (size == q), F.least(shared, F.lit(MEET))
 
 
-def near_pairs(left: DataFrame, right: DataFrame, threshold: float, left_text: str = "left_sorted", right_text: str = "right_sorted", left_key: str = "left_key", right_key: str = "right_key") -> DataFrame:
+def near_pairs(left: DataFrame, right: DataFrame, threshold: float, left_text: str = "left_sorted", right_text: str = "right_sorted", left_key: str = "left_key", right_key: str = "right_key", few: int = FEW) -> DataFrame:
     """``left_key, right_key`` (told by key, once) of all pairs of a ``block`` that may reach ``threshold`` (0 to 100), and of few others.
 
-    Texts and keys must not be null; a threshold of 0 asks for all pairs of a block.
+    Texts and keys must not be null; a threshold of 0 asks for all pairs of a block. Sides that have ``few`` pairs of
+    possible lengths at most meet without an index, which costs more than these.
     """
     if threshold <= 0:
         return left.select("block", left_key).join(right.select("block", right_key), "block").select(left_key, right_key)
-    rows = index(left, right, threshold, left_text, right_text, left_key, right_key)
+    seen = lengths(left, right, left_text, right_text)
+    if able_pairs(seen, threshold) <= few:
+        a, b = F.length(left_text), F.length(right_text)
+        met = left.select("block", left_key, left_text).join(right.select("block", right_key, right_text), "block")
+        return met.where(_need(a + b, threshold, F.ceil) <= F.least(a, b)).select(left_key, right_key)
+    rows = index(left, right, threshold, left_text, right_text, left_key, right_key, seen)
     if rows is None:
         return left.select(left_key).crossJoin(right.select(right_key)).limit(0)
     a, b = rows.where("side = 0").alias("l"), rows.where("side = 1").alias("r")

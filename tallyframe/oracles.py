@@ -113,3 +113,28 @@ REGIONS_AND_HEADERS = (
     SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN many THEN 'txt#' || region ELSE 'txt' END AS table_name, header, n_records FROM body JOIN heads USING (doc_id, region) JOIN several USING (doc_id)
     """
 )
+
+
+def match_strategies(asked: dict, settings) -> str:
+    """Accepted pairs of part names and reversed names by fuzzy, semantic and numeric scores, weighed as ``settings`` say."""
+    f, s, n = settings.weight_fuzzy, settings.weight_semantic, settings.weight_numeric
+    return f"""
+    WITH RECURSIVE base AS (SELECT p_name AS a, array_to_string(list_reverse(string_split(p_name, ' ')), ' ') AS b, CASE WHEN length(p_name) % 5 <> 0 THEN CAST(avg(CAST(p_retailprice AS DECIMAL(28,2))) AS DOUBLE) END AS price FROM part WHERE p_name IS NOT NULL GROUP BY 1),
+    texts AS (SELECT l.a, r.b, l.price AS p, r.price AS q, {_SORTED.format(c="l.a")} AS x, {_SORTED.format(c="r.b")} AS y FROM base l, base r), {lcs("texts")},
+    lt AS (SELECT a, unnest(regexp_extract_all(lower(a), '[a-z0-9]+')) AS t FROM base), rt AS (SELECT b, unnest(regexp_extract_all(lower(b), '[a-z0-9]+')) AS t FROM base),
+    idf AS (SELECT t, ln((1 + (SELECT count(*) FROM base)) / (1 + count(DISTINCT b))) + 1 AS idf FROM rt GROUP BY t),
+    lw AS (SELECT a, t, count(*) * any_value(idf) AS w FROM lt JOIN idf USING (t) GROUP BY a, t), rw AS (SELECT b, t, count(*) * any_value(idf) AS w FROM rt JOIN idf USING (t) GROUP BY b, t),
+    cosine AS (SELECT a, b, sum(lw.w * rw.w) / (SELECT sqrt(sum(w * w)) FROM lw z WHERE z.a = lw.a) / (SELECT sqrt(sum(w * w)) FROM rw z WHERE z.b = rw.b) * 100 AS c FROM lw JOIN rw USING (t) GROUP BY a, b),
+    best AS (SELECT a, b, c FROM cosine QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(c, 9) DESC, b) = 1),
+    scores AS (
+        SELECT a, b, CASE WHEN 200 * n / (length(x) + length(y)) >= {asked["fuzzy_threshold"]} THEN 2 * n / (length(x) + length(y)) END AS f,
+               CASE WHEN c >= {asked["semantic_threshold"]} - 1e-9 THEN c / 100 END AS s, CASE WHEN p IS NOT NULL AND q IS NOT NULL THEN greatest(0, 1 - abs(p - q) / greatest(abs(p), abs(q), 1)) END AS n
+        FROM texts JOIN lcs USING (x, y) LEFT JOIN best USING (a, b)
+    ),
+    weighed AS (
+        SELECT *, (coalesce(f * {f}, 0) + coalesce(s * {s}, 0) + coalesce(n * {n}, 0)) / (CASE WHEN f IS NULL THEN 0 ELSE {f} END + CASE WHEN s IS NULL THEN 0 ELSE {s} END + CASE WHEN n IS NULL THEN 0 ELSE {n} END) AS c,
+               greatest(coalesce(f * {f}, -1), coalesce(s * {s}, -1), coalesce(n * {n}, -1)) AS top FROM scores WHERE f IS NOT NULL OR s IS NOT NULL OR n IS NOT NULL
+    )
+    SELECT a AS left_key, b AS right_key, round(round(c, 4), 3) AS confidence, CASE WHEN f * {f} = top THEN 'fuzzy' WHEN s * {s} = top THEN 'semantic' ELSE 'numeric' END AS match_type,
+           CAST((f IS NOT NULL)::INT + (s IS NOT NULL)::INT + (n IS NOT NULL)::INT AS BIGINT) AS n_scores FROM weighed WHERE round(c, 4) >= {asked["accept_threshold"]}
+"""

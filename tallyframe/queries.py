@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import io
 import uuid
-import zipfile
 from functools import reduce
-from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,7 +56,9 @@ ORDERS_TO_LINES = {
 
 
 def _orders(spark, d):
-    return table(spark, d, "orders").where("o_orderstatus <> 'P'").select("o_orderkey", "o_orderdate", cents(F.col("o_totalprice")).alias("amount"))
+    """All orders; those of status P under keys that no line has, so that both sides have rows without a partner."""
+    key = F.concat(F.when(F.col("o_orderstatus") == "P", "P-").otherwise(""), F.col("o_orderkey").cast("string"))
+    return table(spark, d, "orders").select(key.alias("o_orderkey"), "o_orderdate", cents(F.col("o_totalprice")).alias("amount"))
 
 
 def _lines(spark, d):
@@ -71,7 +70,7 @@ def _recon(spark, d):
 
 
 _SIDES = """
-    l AS (SELECT CAST(o_orderkey AS VARCHAR) AS key, sum(CAST(o_totalprice AS DECIMAL(28,2))) AS a FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1),
+    l AS (SELECT CASE WHEN o_orderstatus = 'P' THEN 'p-' ELSE '' END || o_orderkey AS key, sum(CAST(o_totalprice AS DECIMAL(28,2))) AS a FROM orders GROUP BY 1),
     r AS (SELECT CAST(l_orderkey AS VARCHAR) AS key, sum(CAST(l_extendedprice AS DECIMAL(28,2))) AS b FROM lineitem GROUP BY 1),
     m AS (SELECT l.key, a, b, a - b AS diff, abs(a - b) <= 0.01 OR (b <> 0 AND abs(CAST(a - b AS DOUBLE) / CAST(b AS DOUBLE)) <= 0.25) AS ok FROM l JOIN r ON l.key = r.key)
 """
@@ -113,14 +112,20 @@ def compare_numeric(spark: SparkSession, d: str) -> DataFrame:
     return m.select(F.col("left_key").alias("key"), cents(F.col("amount__left")).alias("amount_left"), cents(F.col("amount__right")).alias("amount_right"), cents(F.col("amount__diff")).alias("amount_diff"), F.round("amount__pct", 8).alias("amount_pct"), F.col("amount__ok").alias("amount_ok"), "status", "match_type", "confidence")
 
 
-@query(f"WITH {_SIDES} SELECT l.key FROM l ANTI JOIN r ON l.key = r.key")
+def _unmatched(side: DataFrame) -> DataFrame:
+    """Rows without a partner as results show them: key, fields, source files."""
+    rows = sinks.unmatched_rows(side, EngineConfig.from_dict(ORDERS_TO_LINES))
+    return rows.select(F.col("order").alias("key"), cents(F.col("amount")).alias("amount"), "source_files")
+
+
+@query(f"WITH {_SIDES} SELECT l.key, CAST(a AS DECIMAL(28,2)) AS amount, '' AS source_files FROM l ANTI JOIN r ON l.key = r.key")
 def unmatched_left(spark: SparkSession, d: str) -> DataFrame:
-    return _recon(spark, d).unmatched_left.select("key")
+    return _unmatched(_recon(spark, d).unmatched_left)
 
 
-@query(f"WITH {_SIDES} SELECT r.key FROM r ANTI JOIN l ON l.key = r.key")
+@query(f"WITH {_SIDES} SELECT r.key, CAST(b AS DECIMAL(28,2)) AS amount, '' AS source_files FROM r ANTI JOIN l ON l.key = r.key")
 def unmatched_right(spark: SparkSession, d: str) -> DataFrame:
-    return _recon(spark, d).unmatched_right.select("key")
+    return _unmatched(_recon(spark, d).unmatched_right)
 
 
 def _one_field(dtype: str, source: str, agg: str, key: str = "l_orderkey", dedupe: bool = False) -> EngineConfig:
@@ -270,16 +275,16 @@ _TFIDF = """
     cw AS (SELECT id, term, count(*) * any_value(idf) AS w FROM ct JOIN idf USING (term) GROUP BY id, term), qw AS (SELECT id, term, count(*) * any_value(idf) AS w FROM qt JOIN idf USING (term) GROUP BY id, term),
     cn AS (SELECT id, sqrt(sum(w * w)) AS norm FROM cw GROUP BY id), qn AS (SELECT id, sqrt(sum(w * w)) AS norm FROM qw GROUP BY id),
     s AS (SELECT qw.id AS q, cw.id AS c, sum(qw.w / qn.norm * cw.w / cn.norm) * 100 AS sim FROM qw JOIN cw USING (term) JOIN qn ON qn.id = qw.id JOIN cn ON cn.id = cw.id GROUP BY 1, 2)
-    SELECT q AS doc_id, round(max(sim), 4) AS similarity FROM s GROUP BY 1
+    SELECT q AS doc_id, c AS item_id, round(sim, 4) AS similarity FROM s QUALIFY row_number() OVER (PARTITION BY q ORDER BY round(sim, 9) DESC, c) = 1
 """
 
 
 @query(_TFIDF)
 def semantic_tfidf(spark: SparkSession, d: str) -> DataFrame:
-    """Similarity of each document to the benchmark item that is nearest by TF-IDF."""
+    """The benchmark item that is nearest to each document by TF-IDF, and how near."""
     docs = table(spark, d, "documents").select(F.lit("").alias("block"), F.col("doc_id").alias("id"), "text")
     corpus = table(spark, d, "benchmark").select(F.lit("").alias("block"), F.col("item_id").alias("id"), "text")
-    return tfidf.best_matches(docs, corpus).select(F.col("left_id").alias("doc_id"), F.round("similarity", 4).alias("similarity"))
+    return tfidf.best_matches(docs, corpus).select(F.col("left_id").alias("doc_id"), F.col("right_id").alias("item_id"), F.round("similarity", 4).alias("similarity"))
 
 
 def _balances(spark, d):
@@ -434,20 +439,23 @@ def topk_cap(spark: SparkSession, d: str) -> DataFrame:
 
 def _text_lines(spark, d):
     """The lines of documents that are tables with pipes."""
-    docs = table(spark, d, "documents").where("text like '% | %'")
+    return _lines_of(table(spark, d, "documents").where("text like '% | %'"))
+
+
+def _lines_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
 
 
 @query("""
-    WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE text LIKE '% | %'),
+    WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
     k AS (SELECT * FROM l WHERE trim(line) <> '' AND NOT regexp_full_match(line, '[\\s|+=\\-_:]+')), f AS (SELECT doc_id, arg_min(line, n) AS first FROM k GROUP BY 1)
     SELECT CAST(k.doc_id AS VARCHAR) AS doc_id, count(*) AS n_lines,
            sum(CASE WHEN contains(first, '|') THEN len(string_split(regexp_replace(regexp_replace(trim(line), '^\\|+', ''), '\\|+$', ''), '|')) WHEN contains(first, chr(9)) THEN len(string_split(line, chr(9))) ELSE len(string_split_regex(trim(line), '\\s{2,}')) END)::BIGINT AS n_cells
     FROM k JOIN f USING (doc_id) GROUP BY 1
 """.replace("\\\\", "\\"))
 def text_table_scan(spark: SparkSession, d: str) -> DataFrame:
-    """Documents with pipes read as text tables: lines and cells."""
-    cells = files.text_table(_text_lines(spark, d))
+    """All documents read as text tables (columns parted by pipes, tabs or runs of blanks): lines and cells."""
+    cells = files.text_table(_lines_of(table(spark, d, "documents")))
     return cells.groupBy("doc_id").agg((F.max("r") + 1).cast("long").alias("n_lines"), F.count("*").alias("n_cells"))
 
 
@@ -506,22 +514,6 @@ def result_rows(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("order", "match_type", "confidence", *[cents(F.col(f"amount__{x}")).alias(f"amount__{x}") for x in ("left", "right", "diff")], "amount__ok", "break_fields", "explanation")
 
 
-_NATIONS = "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation"
-_NATION = ["n_nationkey", "n_name", "n_regionkey"]
-
-
-def _records(cells: DataFrame) -> DataFrame:
-    return grids.wide(grids.tables(cells.where("warning is null")), _NATION).select(*_NATION)
-
-
-@query(_NATIONS)
-def csv_scan(spark: SparkSession, d: str) -> DataFrame:
-    """Nations written as delimited files (a header each) and read as files, their delimiter guessed."""
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    table(spark, d, "nation").select(*_NATION).coalesce(1).write.option("header", True).option("sep", ";").csv(path)
-    return _records(files.read_cells(spark, f"{path}/*.csv"))
-
-
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus, CAST(CAST(o_totalprice AS DECIMAL(28,2)) AS VARCHAR) AS amount FROM orders")
 def delimited_scan(spark: SparkSession, d: str) -> DataFrame:
     """Orders written as tab-separated files and read in parallel with a known delimiter."""
@@ -530,38 +522,6 @@ def delimited_scan(spark: SparkSession, d: str) -> DataFrame:
     return files.read_delimited(spark, path, "\t")
 
 
-def _parsed(spark, name: str, data: bytes) -> DataFrame:
-    return spark.createDataFrame([(name, data)], "path string, content binary").mapInPandas(files.parse_frames(), files.OUT)
-
-
-def _nation_rows(spark, d):
-    return [_NATION, *map(list, table(spark, d, "nation").select(*_NATION).orderBy("n_nationkey").collect())]  # a small table, as a sheet is
-
-
-@query(_NATIONS)
-def xlsx_scan(spark: SparkSession, d: str) -> DataFrame:
-    """Nations as a workbook and back."""
-    return _records(_parsed(spark, "nations.xlsx", sinks.workbook([("Nations", _nation_rows(spark, d))])))
-
-
-@query(_NATIONS)
-def docx_scan(spark: SparkSession, d: str) -> DataFrame:
-    """Nations as the table of a word-processor document."""
-    cell = lambda v: f"<w:tc><w:p><w:r><w:t>{escape(str(v))}</w:t></w:r></w:p></w:tc>"
-    body = "".join(f"<w:tr>{''.join(map(cell, row))}</w:tr>" for row in _nation_rows(spark, d))
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:tbl>{body}</w:tbl></w:body></w:document>')
-    return _records(_parsed(spark, "nations.docx", out.getvalue()))
-
-
-@query("SELECT * FROM (VALUES ('a.pdf', 'PARSER_LIBRARY_MISSING'), ('b.xls', 'PARSER_LIBRARY_MISSING'), ('c.bin', 'UNSUPPORTED_FORMAT'), ('d.csv', 'EMPTY_DOCUMENT'), ('e.xlsx', 'UNREADABLE_FILE')) t(doc_id, code)")
-def scan_warnings(spark: SparkSession, d: str) -> DataFrame:
-    """What is told of files that give no tables."""
-    cells = reduce(DataFrame.union, [_parsed(spark, n, b) for n, b in (("a.pdf", b"%PDF"), ("b.xls", b"x"), ("c.bin", b"x"), ("d.csv", b" "), ("e.xlsx", b"x"))])
-    return files.warnings(cells).select("doc_id", "code")
-
-
 @query("SELECT 'n.txt' AS source_file, n_name AS name, CAST(n_regionkey AS VARCHAR) AS region, NULL AS comment FROM nation UNION ALL SELECT 'r.txt', r_name, NULL, CAST(r_regionkey AS VARCHAR) FROM region")
 def session_union(spark: SparkSession, d: str) -> DataFrame:
     """Two tables put on one side: the union of their rows under the union of their columns."""

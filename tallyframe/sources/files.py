@@ -228,30 +228,39 @@ def parse_frames(sheets: list[str] | None = None, pages: list[int] | None = None
 
 def read_cells(spark: SparkSession, path: str | list[str], sheets: list[str] | None = None, pages: list[int] | None = None) -> DataFrame:
     """Cells and warnings of files (globs are fine). Files of no bytes are not listed by Spark. Filter on ``warning is null`` for the cells."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(parse_frames(sheets, pages), OUT)
+    return parsed(spark.read.format("binaryFile").load(path), sheets, pages)
 
 
 def warnings(cells: DataFrame) -> DataFrame:
     return cells.where(F.col("warning").isNotNull()).select("doc_id", "grid_id", F.col("warning").alias("code"))
 
 
-def inspect(spark: SparkSession, path: str) -> DataFrame:
-    """``path, kind, length, units``: units are sheets of workbooks, tables of documents, 1 of text files, 0 if unreadable."""
+def inspected(files: DataFrame) -> DataFrame:
+    """``path, kind, length, units`` of files ``path, content``: units are sheets of workbooks, tables of documents, 1 of text files, 0 if unreadable."""
 
     def look(frames):
         for frame in frames:
             rows = []
-            for p, data, n in zip(frame["path"], frame["content"], frame["length"], strict=True):
+            for p, data in zip(frame["path"], frame["content"], strict=True):
                 kind, units = FORMATS.get(p.rsplit(".", 1)[-1].lower(), "unknown"), 0
                 try:
                     units = len(sheet_names(bytes(data))) if kind == "xlsx" else sum(1 for _ in word_tables(bytes(data))) if kind == "docx" else int(kind in ("csv", "txt", "json"))
                 except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
                     pass
-                rows.append((p, kind, n, units))
+                rows.append((p, kind, len(data), units))
             yield pd.DataFrame(rows, columns=["path", "kind", "length", "units"])
 
-    return spark.read.format("binaryFile").load(path).mapInPandas(look, "path string, kind string, length long, units int")
+    return files.select("path", "content").mapInPandas(look, "path string, kind string, length long, units int")
+
+
+def inspect(spark: SparkSession, path: str) -> DataFrame:
+    """:func:`inspected` of the files below a path."""
+    return inspected(spark.read.format("binaryFile").load(path))
+
+
+def parsed(files: DataFrame, sheets: list[str] | None = None, pages: list[int] | None = None) -> DataFrame:
+    """Cells and warnings of files that a table holds as ``path, content``."""
+    return files.select("path", "content").mapInPandas(parse_frames(sheets, pages), OUT)
 
 
 def read_delimited(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "UTF-8") -> DataFrame:

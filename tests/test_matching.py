@@ -15,8 +15,8 @@ from tallyframe.functions import similarity
 from tallyframe.operators import assign, bands, matching, near, profile, tfidf
 
 
-@pytest.mark.parametrize("threshold", [55.0, 80.0, 90.0, 97.5])
-def test_near_pairs_by_brute_force(spark, threshold):
+@pytest.mark.parametrize("threshold, few", [(55.0, 0), (80.0, 0), (90.0, 0), (97.5, 0), (75.0, 10**9)])
+def test_near_pairs_by_brute_force(spark, threshold, few):
     chance = random.Random(int(threshold))
 
     def texts(n):
@@ -30,7 +30,7 @@ def test_near_pairs_by_brute_force(spark, threshold):
     left = texts(150)
     right = sorted(set(texts(150)) | set(left[::2]))
     frame = lambda xs, tag: spark.createDataFrame([(str(i % 2), f"{tag}{i}", x) for i, x in enumerate(xs)], f"block string, {tag}_key string, {tag}_sorted string")
-    got = {(r.left_key, r.right_key) for r in near.near_pairs(frame(left, "left"), frame(right, "right"), threshold).collect()}
+    got = {(r.left_key, r.right_key) for r in near.near_pairs(frame(left, "left"), frame(right, "right"), threshold, few=few).collect()}
     asked = set()
     for i, x in enumerate(left):
         for j, y in enumerate(right):
@@ -68,7 +68,7 @@ def test_near_pairs_of_a_common_beginning(spark, threshold, n):
     l, r = frame(left, "left"), frame(right, "right")
     rows = near.index(l, r, threshold, "left_sorted", "right_sorted", "left_key", "right_key").groupBy("side", "key").count()
     assert rows.agg(F.max("count")).first()[0] <= 100
-    got = {(x.left_key, x.right_key) for x in near.near_pairs(l, r, threshold).collect()}
+    got = {(x.left_key, x.right_key) for x in near.near_pairs(l, r, threshold, few=0).collect()}
     sizes = np.array([len(x) for x in left + right])
     missed = found = 0
     for at in range(0, n, 250):
@@ -82,7 +82,7 @@ def test_near_pairs_of_a_common_beginning(spark, threshold, n):
 def test_near_pairs_of_long_texts(spark):
     text = "".join(random.Random(4).choices("abcdefgh ", k=2000))
     frame = lambda x, tag: spark.createDataFrame([("", x, x)], f"block string, {tag}_key string, {tag}_sorted string")
-    assert near.near_pairs(frame(text, "left"), frame(text[:900] + "xyz" + text[901:], "right"), 90.0).count() == 1
+    assert near.near_pairs(frame(text, "left"), frame(text[:900] + "xyz" + text[901:], "right"), 90.0, few=0).count() == 1
 
 
 def test_common_subsequences_many_at_a_time():

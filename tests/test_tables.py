@@ -1,6 +1,7 @@
 """Grids, files, edits, reshaping, subtotals, profiles, sinks, library and sessions."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -158,3 +159,34 @@ def test_streaming_ingest(spark, tmp_path):
         (tmp_path / f"in/f{i}.csv").write_text(f"Item,Amount\na,{i}\n")
         ingest(spark, str(tmp_path / "in"), target, checkpoint).awaitTermination()
     assert sorted(r["values"]["Amount"] for r in spark.read.parquet(target).collect()) == ["1", "2"]
+
+
+def test_large_files_in_splits(spark, tmp_path):
+    """Records in order whatever the splits, quoted line breaks at their borders included."""
+    import csv
+    import io
+
+    from tallyframe.sources import delimited
+
+    chance, files_ = random.Random(7), {}
+    for name, sep in (("a.csv", ";"), ("b.csv", ","), ("c.tsv", "\t")):
+        rows = [[str(i), chance.choice(["plain", 'with "quotes"', f"two{sep}parts", "line\nbreak", "a\n\n\nb", "x" * 60, ""]), chance.choice(["", "é", "end"])] for i in range(60)]
+        out = io.StringIO()
+        csv.writer(out, delimiter=sep, lineterminator="\r\n" if name == "b.csv" else "\n").writerows([["number", "text", "last"], *rows])
+        (tmp_path / name).write_text(out.getvalue(), encoding="utf-8", newline="")
+        files_[name] = rows
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "400")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        assert delimited.lines(spark, str(tmp_path)).select("file", "split").distinct().count() > 8
+        got = delimited.read_large(spark, str(tmp_path)).orderBy("ord").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    for name, rows in files_.items():
+        mine = [[r["number"], r["text"] or "", r["last"] or ""] for r in got if r["ord"]["file"].endswith(name)]
+        assert [a for a, b in zip(mine, rows, strict=True) if a != b] == [b for a, b in zip(mine, rows, strict=True) if a != b]
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none/x.csv").write_text("\n")
+    assert delimited.read_large(spark, str(tmp_path / "none")).count() == 0
