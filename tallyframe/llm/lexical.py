@@ -30,7 +30,7 @@ from .common import materialise
 from .terms import CHUNK_BYTES, counted, cut, filled, runs
 
 #: Documents and bytes of a shard at most (a longer document alone).
-SHARD_DOCS, SHARD_BYTES = 4096, 12 << 20
+SHARD_DOCS, SHARD_BYTES = 4096, 8 << 20
 #: Nodes opened at once; items that a task searches for at once.
 WIDTH, ITEMS = 256, 2000
 UNIT = 1_000_000_000
