@@ -39,13 +39,19 @@ REPEAT = "<repeat>"
 _UNIT = re.compile(r"[^\W_]+|[\W_]+")
 
 
+#: What a piece's letters and length look like, by its kind and a quarter of its length.
+_SHAPES = {kind: [f"<{kind}{n}>" for n in range(5)] for kind in ("digit", "upper", "title", "lower", "mixed")}
+
+
 def shape(piece: str) -> str:
-    kind = "digit" if piece.isdigit() else "upper" if len(piece) > 1 and piece.isupper() else "title" if piece.istitle() else "lower" if piece.islower() else "mixed"
-    return f"<{kind}{min(len(piece) // 4, 4)}>"
+    kind = "lower" if piece.islower() else "digit" if piece.isdigit() else "upper" if len(piece) > 1 and piece.isupper() else "title" if piece.istitle() else "mixed"
+    return _SHAPES[kind][min(len(piece) // 4, 4)]
 
 
 def units(word: str) -> list[str]:
     """The units of a word (which has no white space)."""
+    if word.isalpha():
+        return [word.lower(), shape(word)]
     out = []
     for piece in _UNIT.findall(word):
         if piece[0].isalnum():
@@ -64,15 +70,20 @@ class Model:
     prior: float | None = None
     mark: str = field(default_factory=lambda: uuid.uuid4().hex)
 
-    def words(self, words: list[str]) -> list[np.ndarray]:
+    def words(self, words: list[str]) -> list[tuple[int, ...]]:
+        """For each word the places of its units."""
+        place = self.places.get
+        return [tuple([p for u in units(w) if (p := place(u)) is not None]) for w in words]
+
+    def table(self, places: list[tuple[int, ...]]) -> np.ndarray:
         """For each word the sum of its units' vectors, and their number."""
-        out = []
-        for w in words:
-            at = [p for u in units(w) if (p := self.places.get(u)) is not None]
-            row = np.zeros(DIM + 1, dtype=np.float32)
-            if at:
-                row[:DIM], row[DIM] = self.vectors[at].sum(0), len(at)
-            out.append(row)
+        n = np.fromiter(map(len, places), dtype=np.int64, count=len(places))
+        out = np.zeros((len(places), DIM + 1), dtype=np.float32)
+        flat, start = np.fromiter(chain.from_iterable(places), dtype=np.int64, count=int(n.sum())), np.cumsum(n) - n
+        for k in range(int(n.max(initial=0))):  # most words have two units
+            more = np.flatnonzero(n > k)
+            out[more, :DIM] += self.vectors[flat[start[more] + k]]
+        out[:, DIM] = n
         return out
 
     def pooled(self, texts: list[str], memo: WordMemo) -> np.ndarray:
@@ -81,7 +92,7 @@ class Model:
         out = np.zeros((len(texts), DIM), dtype=np.float32)
         if not vocabulary:
             return out
-        table = np.array(memo.values(vocabulary))
+        table = self.table(memo.values(vocabulary))
         again = self.vectors[self.places[REPEAT]] if REPEAT in self.places else np.zeros(DIM, dtype=np.float32)
         for j, words in enumerate(docs):
             total = np.zeros(DIM + 1, dtype=np.float64)

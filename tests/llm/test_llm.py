@@ -423,6 +423,26 @@ def test_language_brute_force(monkeypatch):
             assert abs(fitted.words([w])[0][0] - want(w)) < 1e-6 and abs(model.words([w])[0][0] - want(w)) < 1e-6, (bound, w)
 
 
+def test_quality_pools_by_loops():
+    rng = random.Random(4)
+    words = ["plain", "Words", "UPPER", "a,b", "x1", "...", "(it)", "…", "über", "42", "don't", "wOrd"]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(0, 30))) for _ in range(80)]
+    model = quality.fit([(t, i % 2) for i, t in enumerate(texts)])
+    asked = [*texts, "", "plain plain plain", "never_seen 日本"]
+    got = model.pooled(asked, WordMemo(model.words))
+    for text, row in zip(asked, got, strict=True):
+        total, n, last = np.zeros(quality.DIM), 0, None
+        for w in text.split():
+            for u in ([quality.REPEAT] if w == last else []) + quality.units(w):
+                if u in model.places:
+                    total, n = total + model.vectors[model.places[u]], n + 1
+            last = w
+        assert np.allclose(row, total / max(n, 1), atol=1e-5)
+    mean, spread, w1, b1, w2, b2 = model.layers
+    hidden = np.tanh(((got[3] - mean) / spread) @ w1 + b1)
+    assert abs(model.score([asked[3]], WordMemo(model.words))[0] - 1 / (1 + np.exp(-(hidden @ w2 + b2[0]) / model.temperature))) < 1e-6
+
+
 def test_language_of_long_words(spark):
     model = langid.fit([("a" * 2000 + "bcd" * 800, "x"), ("a" * 2000 + "efg" * 800, "y")])
     assert model.entropies(["bcdbcd", "efgefg"], WordMemo(model.words)).argmin(1).tolist() == [0, 1]
