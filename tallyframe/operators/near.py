@@ -99,9 +99,9 @@ def near_pairs(left: DataFrame, right: DataFrame, threshold: float, left_text: s
         return left.select("block", left_key).join(right.select("block", right_key), "block").select(left_key, right_key)
     seen = lengths(left, right, left_text, right_text)
     if able_pairs(seen, threshold) <= few:
-        a, b = F.length(left_text), F.length(right_text)
-        met = left.select("block", left_key, left_text).join(right.select("block", right_key, right_text), "block")
-        return met.where(_need(a + b, threshold, F.ceil) <= F.least(a, b)).select(left_key, right_key)
+        sized = lambda df, key, text, n: df.select("block", key, F.length(text).alias(n))
+        met = sized(left, left_key, left_text, "__a").join(sized(right, right_key, right_text, "__b"), "block")
+        return met.where(_need(F.col("__a") + F.col("__b"), threshold, F.ceil) <= F.least("__a", "__b")).select(left_key, right_key)
     rows = index(left, right, threshold, left_text, right_text, left_key, right_key, seen)
     if rows is None:
         return left.select(left_key).crossJoin(right.select(right_key)).limit(0)
