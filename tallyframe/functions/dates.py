@@ -12,6 +12,7 @@ from .text import strip
 MONTH_FIRST = ("yyyy-M-d", "yyyy/M/d", "yyyy.M.d", "M/d/yyyy", "M-d-yyyy", "M.d.yyyy", "d/M/yyyy", "d-M-yyyy", "d.M.yyyy")
 DAY_FIRST = ("yyyy-d-M", "yyyy-M-d", "yyyy/d/M", "yyyy/M/d", "d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "M/d/yyyy", "M-d-yyyy", "M.d.yyyy")
 SHORT_YEAR = {False: ("M/d/yy", "M-d-yy", "d/M/yy", "d-M-yy"), True: ("d/M/yy", "d-M-yy", "M/d/yy", "M-d-yy")}
+FIRST_SHORT_YEAR = 1969
 NAMED = ("d MMM yyyy", "d-MMM-yyyy", "d/MMM/yyyy", "d MMMM yyyy", "MMM d yyyy", "MMM d, yyyy", "MMMM d yyyy", "MMMM d, yyyy", "d-MMM-yy", "d MMM yy", "MMM yyyy", "MMMM yyyy", "MMM-yyyy", "yyyyMMdd", "yyyy-MM", "yyyy")
 
 
@@ -23,8 +24,15 @@ def parse_date(c: Column, dayfirst: bool = False) -> Column:
     s = F.regexp_replace(strip(c.cast("string")), r"[T ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?\s*(AM|PM|am|pm|Z|[+-]\d{2}:?\d{2})?$", "")
     formats = (DAY_FIRST if dayfirst else MONTH_FIRST) + SHORT_YEAR[dayfirst] + NAMED
     shaped = {"yyyy": r"^\d{4}$", "yyyyMMdd": r"^\d{8}$", "yyyy-MM": r"^\d{4}-\d{2}$"}
-    found = [F.when(s.rlike(shaped.get(f, _shape(f))), F.try_to_timestamp(F.initcap(s) if "MMM" in f else s, F.lit(f))) for f in formats]
-    return F.coalesce(*found).cast("date")
+    found = [F.when(s.rlike(shaped.get(f, _shape(f))), _in_its_century(F.try_to_timestamp(F.initcap(s) if "MMM" in f else s, F.lit(f)).cast("date"), f)) for f in formats]
+    return F.coalesce(*found)
+
+
+def _in_its_century(day: Column, fmt: str) -> Column:
+    """Years of two digits are 1969 to 2068."""
+    if "yyyy" in fmt or "yy" not in fmt:
+        return day
+    return F.when(F.year(day) >= FIRST_SHORT_YEAR + 100, F.add_months(day, -1200)).otherwise(day)
 
 
 def _shape(fmt: str) -> str:

@@ -76,3 +76,11 @@ def reconcile(
     lhs = canonicalize(left, cfg, "left", left_ord, left_file, ontology)
     rhs = canonicalize(right, cfg, "right", right_ord, right_file, ontology)
     return reconcile_canonical(lhs, rhs, cfg)
+
+
+def key_values(df: DataFrame, cfg: EngineConfig | dict, side: str, ord_cols: Sequence[str] = (), file_col: str | None = None, ontology=None) -> DataFrame:
+    """One side by itself under a validated configuration: a row a composite key with its aggregated values."""
+    if side not in ("left", "right"):
+        raise ValueError(f"no side {side}")
+    cfg = EngineConfig.from_dict(cfg) if isinstance(cfg, dict) else cfg.validated()
+    return canonicalize(df, cfg, side, ord_cols, file_col, ontology)

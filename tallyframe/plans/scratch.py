@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -21,6 +22,24 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_TABLES: dict[str, str] = {}
+
+
+def table_folder(spark: SparkSession) -> str:
+    """A folder of this application below the shared one, deleted when the driver ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _TABLES:
+        _TABLES[app] = f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
+        atexit.register(_forget, spark, _TABLES[app])
+    return _TABLES[app]
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     shared_folder(df.sparkSession)
     return df.checkpoint()
@@ -28,6 +47,6 @@ def cut(df: DataFrame) -> DataFrame:
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder, which later plans read column by column."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = f"{table_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

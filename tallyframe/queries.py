@@ -15,8 +15,9 @@ from .operators import edits, grids, matching, ontology, qc, reshape, tfidf
 from .operators import profile as profiles
 from .operators.canonical import canonicalize
 from .operators.near import near_pairs
+from .plans.reconcile import key_values as canonical_side
 from .plans.reconcile import reconcile
-from .plans.scratch import shared_folder
+from .plans.scratch import table_folder
 from .plans.session import Session
 from .sources import files
 
@@ -199,10 +200,53 @@ def parse_decimal_forms(spark: SparkSession, d: str) -> DataFrame:
     return written.select("l_orderkey", "l_linenumber", *[numbers.parse_decimal(F.col(n), NULL_TOKENS).alias(n) for n in forms])
 
 
-@query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS iso, CAST(o_orderdate AS DATE) AS named, CAST(o_orderdate AS DATE) AS month_first, CAST(o_orderdate AS DATE) AS day_first FROM orders")
+_DATE_FORMS = {
+    "iso": "yyyy-MM-dd",
+    "named": "d MMM yyyy",
+    "month_first": "MM/dd/yyyy",
+    "day_first": "dd/MM/yyyy",
+    "with_time": "yyyy-MM-dd HH:mm:ss",
+    "with_zone": "yyyy/M/d'T'HH:mm'Z'",
+    "short_year": "M/d/yy",
+    "short_named": "d-MMM-yy",
+    "compact": "yyyyMMdd",
+    "spelt_out": "MMMM d, yyyy",
+    "month": "MMM yyyy",
+}
+
+
+@query(f"SELECT o_orderkey, {', '.join(f'CAST(o_orderdate AS DATE) AS {n}' for n in list(_DATE_FORMS)[:-1])}, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, CASE WHEN o_orderkey % 5 = 4 THEN CAST(o_orderdate AS DATE) END AS bad FROM orders")
 def date_forms(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "orders").select("o_orderkey", *[F.date_format("o_orderdate", f).alias(n) for n, f in (("iso", "yyyy-MM-dd"), ("named", "d MMM yyyy"), ("month_first", "MM/dd/yyyy"), ("day_first", "dd/MM/yyyy"))])
-    return rows.select("o_orderkey", *[dates.parse_date(F.col(n), n == "day_first").alias(n) for n in ("iso", "named", "month_first", "day_first")])
+    """Dates written in many forms and read back; impossible days, other texts and nulls are none."""
+    day, kind = F.col("o_orderdate"), F.col("o_orderkey") % 5
+    forms = {n: F.date_format(day, f) for n, f in _DATE_FORMS.items()}
+    bad = F.when(kind == 0, F.concat(F.lit("31/02/"), F.year(day).cast("string"))).when(kind == 1, F.concat(F.year(day).cast("string"), F.lit("-13-45"))).when(kind == 2, "soon").when(kind == 4, F.concat(F.lit("  "), F.date_format(day, "yyyy.M.d"), F.lit("\u00a0")))
+    rows = table(spark, d, "orders").select("o_orderkey", *[c.alias(n) for n, c in forms.items()], bad.alias("bad"))
+    return rows.select("o_orderkey", *[dates.parse_date(F.col(n), n == "day_first").alias(n) for n in (*forms, "bad")])
+
+
+@query("""
+    SELECT CAST(o_custkey AS VARCHAR) || '|' || lower(o_orderstatus) AS key, sum(CAST(o_totalprice AS DECIMAL(28,2))) AS spent, count(o_totalprice)::VARCHAR AS n, CAST(max(o_orderdate) AS DATE) AS latest, count(*) AS row_count FROM orders GROUP BY 1, o_custkey
+""")
+def key_values(spark: SparkSession, d: str) -> DataFrame:
+    """One side by itself under a validated configuration: a composite key, a sum, a count and the last date."""
+    fields = [
+        {"name": "customer", "role": "key", "left_source": "o_custkey"},
+        {"name": "status", "role": "key", "left_source": "o_orderstatus"},
+        {"name": "spent", "dtype": "money", "left_source": "amount", "agg": "sum"},
+        {"name": "n", "dtype": "text", "left_source": "amount", "agg": "count"},
+        {"name": "latest", "dtype": "date", "left_source": "o_orderdate", "agg": "last"},
+    ]
+    rows = table(spark, d, "orders").withColumn("amount", cents(F.col("o_totalprice")))
+    got = canonical_side(rows, {"fields": fields, "norm": {"drop_exact_duplicates": False}}, "left", ["o_orderdate", "o_orderkey"])
+    return got.select("key", F.col("spent").cast("decimal(38,2)").alias("spent"), "n", "latest", "row_count")
+
+
+@query("SELECT CASE WHEN c_custkey % 3 < 2 THEN 'Non-Interest Income' ELSE 'Income' END AS term, count(*) AS n FROM customer GROUP BY 1")
+def bundled_synonyms(spark: SparkSession, d: str) -> DataFrame:
+    """Lines under two spellings of a bundled synonym and one that it does not know."""
+    said = F.when(F.col("c_custkey") % 3 == 0, "nii").when(F.col("c_custkey") % 3 == 1, " Non interest  Income Islamic Banking").otherwise("Income")
+    return ontology.apply_table(table(spark, d, "customer").withColumn("said", said), "said", ontology.bundled(spark), "term").groupBy("term").agg(F.count("*").alias("n"))
 
 
 @query(r"SELECT doc_id, trim(regexp_replace(text, '[\s\x{A0}]+', ' ', 'g')) AS t, lower(trim(regexp_replace(source, '\s+', ' ', 'g'))) AS s, trim(regexp_replace(regexp_replace(lower(lang || ' ' || source), '[^a-z0-9]+', ' ', 'g'), ' +', ' ', 'g')) AS h FROM documents")
@@ -497,7 +541,7 @@ def result_json(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_SIDES} SELECT bucket, n FROM ({_BUCKETS.format(shown='count(*)')}) UNION ALL SELECT 'summary', 1 UNION ALL SELECT 'field_variance', 1")
 def result_files(spark: SparkSession, d: str) -> DataFrame:
     """All six parts written in full as CSV and counted as read back."""
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    path = f"{table_folder(spark)}/{uuid.uuid4().hex}"
     cfg = EngineConfig.from_dict(ORDERS_TO_LINES)
     sinks.write_result(_recon(spark, d), cfg, path, "csv")
     parts = [files.read_delimited(spark, f"{path}/{n}").agg(F.count("*").alias("n")).select(F.lit(n).alias("bucket"), "n") for n in ("summary", "field_variance", *sinks.BUCKETS)]
@@ -517,7 +561,7 @@ def result_rows(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus, CAST(CAST(o_totalprice AS DECIMAL(28,2)) AS VARCHAR) AS amount FROM orders")
 def delimited_scan(spark: SparkSession, d: str) -> DataFrame:
     """Orders written as tab-separated files and read in parallel with a known delimiter."""
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    path = f"{table_folder(spark)}/{uuid.uuid4().hex}"
     table(spark, d, "orders").select("o_orderkey", "o_orderstatus", cents(F.col("o_totalprice")).alias("amount")).write.option("header", True).option("sep", "\t").csv(path)
     return files.read_delimited(spark, path, "\t")
 

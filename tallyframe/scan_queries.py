@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import sinks
 from .operators import grids, ontology, reshape
-from .plans.scratch import shared_folder
+from .plans.scratch import table_folder
 from .plans.session import Session, preview, table_id
 from .queries import cents, query, table
 from .sources import delimited, files
@@ -23,7 +23,7 @@ FILE = "path string, content binary"
 
 
 def _folder(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    return f"{table_folder(spark)}/{uuid.uuid4().hex}"
 
 
 @query("""
