@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tallyframe.llm import bpe, embeddings, exact_dedup, html_text, langid, mixing, quality, queries, simhash, toxicity, warc
-from tallyframe.llm.common import WordMemo
+from tallyframe.llm.common import WordMemo, gram_hashes
 from tallyframe.llm.components import connected_components
 
 SF = "/root/testdata/sf0.001"
@@ -423,6 +423,39 @@ def test_language_brute_force(monkeypatch):
             assert abs(fitted.words([w])[0][0] - want(w)) < 1e-6 and abs(model.words([w])[0][0] - want(w)) < 1e-6, (bound, w)
 
 
+def test_toxicity_ratios_and_margins_by_dictionaries():
+    rng = random.Random(12)
+    nice, rude = ["good", "Morning", "tea", "é", "a1"], ["awful", "GRUMP", "tea", "nasty"]
+    rows = [(" ".join(rng.choices(rude if (i % 2 == 0) != (i % 11 == 3) else nice, k=rng.randrange(4, 9))), int(i % 2 == 0)) for i in range(49)]
+    bucket_of = {}
+
+    def grams(text):
+        found = set()
+        for w in text.lower().split():
+            for n in toxicity.ORDERS:
+                for g in {f" {w} "[i : i + n] for i in range(len(w) + 3 - n)}:
+                    if g not in bucket_of:
+                        codes = np.array([ord(c) for c in g], dtype=np.uint64)
+                        bucket_of[g] = int(gram_hashes(codes, n)[-1] >> np.uint64(40)) % toxicity.BUCKETS
+                    found.add(bucket_of[g])
+        return found
+
+    held = [(grams(t), y) for t, y in rows]
+    n = [sum(y == c for _, y in rows) for c in (0, 1)]
+    ratio = {}
+    for b in set().union(*(h for h, _ in held)):
+        df = [sum(b in h for h, y in held if y == c) for c in (0, 1)]
+        r = np.log((df[1] + 0.5) / (n[1] + 1)) - np.log((df[0] + 0.5) / (n[0] + 1))
+        if abs(r) / np.sqrt(1 / (df[1] + 0.5) + 1 / (df[0] + 0.5)) > toxicity.SIGNIFICANCE:
+            ratio[b] = r
+    model = toxicity.fit(rows)
+    assert ratio and model.buckets.tolist() == sorted(ratio) and np.allclose(model.ratios, [ratio[b] for b in sorted(ratio)], atol=1e-5)
+    place = {b: i for i, b in enumerate(model.buckets.tolist())}
+    asked = [t for t, _ in rows] + ["", "Nasty tea " * 3, "grump/awful good"]
+    want = [model.bias + sum(model.weights[place[b]] for b in grams(t) if b in place) for t in asked]
+    assert np.allclose(model.margin(asked, WordMemo(model.words)), want)
+
+
 def test_quality_pools_by_loops():
     rng = random.Random(4)
     words = ["plain", "Words", "UPPER", "a,b", "x1", "...", "(it)", "…", "über", "42", "don't", "wOrd"]
