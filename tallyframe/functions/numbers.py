@@ -75,10 +75,9 @@ def parse_decimal(c: Column, null_tokens: Sequence[str] = ()) -> Column:
     """A cell as ``decimal(28,6)``, null where it is no number."""
 
     def other(s: Column, plain: Column) -> Column:
-        size = F.translate(plain, "~^%+", "").try_cast("decimal(36,12)")
+        size = F.when(plain != "", F.translate(plain, "~^%+", "").try_cast("decimal(36,12)"))  # a failing cast is slow
         share = F.when(s.contains("%"), F.lit("0.01").cast("decimal(2,2)")).otherwise(F.lit("1").cast("decimal(3,2)"))
-        turned = F.when(s.startswith("("), -size * share).otherwise(size * share)
-        return F.when(s.startswith("(") | s.contains("%"), turned.try_cast(MONEY)).otherwise(size.try_cast(MONEY))
+        return let(size, lambda v: F.when(s.startswith("("), (-v * share).try_cast(MONEY)).when(s.contains("%"), (v * share).try_cast(MONEY)).otherwise(v.try_cast(MONEY)))
 
     return _read(c, null_tokens, lambda s: s.try_cast("decimal(36,12)").try_cast(MONEY), other)
 
