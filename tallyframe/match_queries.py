@@ -11,6 +11,7 @@ from .operators import matching
 from .operators import profile as profiles
 from .operators.assign import assign
 from .operators.bands import band_pairs, proximity
+from .plans.reconcile import reconcile
 from .plans.scratch import cut
 from .queries import _BALANCES, _balances, _block_query, query, table
 
@@ -68,3 +69,21 @@ def band_join_fields(spark: SparkSession, d: str) -> DataFrame:
     pairs = band_pairs(c, s, [("a", "c"), ("b", "d")], 0.98).join(c, "left_key").join(s.drop("block"), "right_key")
     mean = (proximity(F.col("a"), F.col("c")) + proximity(F.col("b"), F.col("d"))) / 2
     return pairs.where(mean >= 0.98).select(F.col("left_key").alias("l"), F.col("right_key").alias("r"), F.round(mean, 6).alias("proximity"))
+
+
+_PAIRED_TEXTS = f"""
+    p AS (SELECT c_custkey AS k, lower(any_value(c_name) || ' ' || any_value(c_mktsegment)) AS a FROM customer GROUP BY 1), s AS (SELECT s_suppkey AS k, lower('Machinery ' || any_value(s_name)) AS b FROM supplier GROUP BY 1),
+    texts AS (SELECT p.k, a, b, {oracles._SORTED.format(c="a")} AS x, {oracles._SORTED.format(c="b")} AS y FROM p JOIN s USING (k))
+"""
+
+
+@query(f"""
+    WITH RECURSIVE {_PAIRED_TEXTS}, {oracles.lcs("texts")}
+    SELECT CAST(k AS VARCHAR) AS key, a = b OR 200 * n / (length(x) + length(y)) >= 55 AS ok FROM texts JOIN lcs USING (x, y)
+""")
+def compare_text_fuzzy(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of customers against those of suppliers with the same number: the words in any order, 55 percent alike."""
+    cfg = {"fields": [{"name": "k", "role": "key", "left_source": "c_custkey", "right_source": "s_suppkey"}, {"name": "t", "left_source": "a", "right_source": "b", "agg": "first", "text_fuzzy_threshold": 55}], "matching": {"fuzzy_enabled": False}}
+    left = table(spark, d, "customer").withColumn("a", F.concat_ws(" ", "c_name", "c_mktsegment"))
+    right = table(spark, d, "supplier").withColumn("b", F.concat(F.lit("Machinery "), F.col("s_name")))
+    return reconcile(left, right, cfg, ["c_custkey"], ["s_suppkey"]).matches.select(F.col("left_key").alias("key"), F.col("t__ok").alias("ok"))
