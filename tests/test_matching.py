@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.config import EngineConfig
 from tallyframe.functions import similarity
-from tallyframe.operators import assign, bands, matching, near, profile, tfidf
+from tallyframe.operators import assign, bands, blocks, matching, near, profile, tfidf
 
 
 @pytest.mark.parametrize("threshold, few", [(55.0, 0), (80.0, 0), (90.0, 0), (97.5, 0), (75.0, 10**9)])
@@ -213,3 +213,38 @@ def test_value_sets_of_many_columns(spark):
     assert got["a"].value_set == [str(i) for i in range(7)] and got["a"]["sample"] == ["0", "1", "2", "3", "4"]
     assert got["b"].value_set == sorted(str(i) for i in range(0, 20, 2)) and got["b"]["sample"] == ["0.0", "2.0", "4.0", "6.0", "8.0"]
     assert got["c"].value_set == ["x"] and got["d"].value_set == [] and got["d"]["sample"] == []
+
+
+def test_blocks_are_dealt_in_squares(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "SIDE", 4)
+    monkeypatch.setattr(blocks, "TASK_PAIRS", 16)
+    l, r = spark.range(30).selectExpr("id % 2 as n", "id as l"), spark.range(21).selectExpr("id % 3 as n", "id as r")
+    met = blocks.met(l, r, ["n"], "l", "r")
+    got = [tuple(x) for x in met.select("l", "r").collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a in range(30) for b in range(21) if a % 2 == b % 3}
+    spread = [x["k"] for x in met.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("k")).collect()]
+    assert len(spread) > 2  # two blocks, more tasks
+
+
+@pytest.mark.parametrize("least", [0.45, 0.8, 0.97])
+def test_mean_pairs_by_brute_force(spark, least):
+    rng = random.Random(5)
+    some = lambda: rng.choice([None, 0.0, float("nan"), *[round(rng.uniform(-3, 30), 1) for _ in range(12)]])
+    left, right = [[(f"{s}{i}", rng.choice("xy"), some(), some()) for i in range(60)] for s in "lr"]
+    table = lambda rows, k, a, b: spark.createDataFrame(rows, f"{k} string, block string, {a} double, {b} double")
+    got = [(x["left_key"], x["right_key"]) for x in bands.mean_pairs(table(left, "left_key", "a", "b"), table(right, "right_key", "c", "d"), [("a", "c"), ("b", "d")], least).collect()]
+
+    def mean(x, y):
+        known = [1 - abs(p - q) / max(abs(p), abs(q), 1) for p, q in zip(x[2:], y[2:], strict=True) if not any(v is None or v != v for v in (p, q))]
+        return sum(max(0.0, k) for k in known) / len(known) if known else -1
+
+    want = {(x[0], y[0]) for x in left for y in right if x[1] == y[1] and mean(x, y) >= least - 1e-12}
+    assert want and len(got) == len(set(got)) and set(got) == want
+
+
+def test_near_numbers_are_not_joined_again(spark):
+    """Pairs that only numbers speak for come with both their rows."""
+    from tallyframe import queries
+
+    found = queries.block_field(spark, "/root/testdata/sf0.001")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") <= 3
