@@ -10,7 +10,7 @@ from .config import EngineConfig
 from .operators import matching
 from .operators import profile as profiles
 from .operators.assign import assign
-from .operators.bands import band_pairs, proximity
+from .operators.bands import mean_pairs
 from .plans.reconcile import reconcile
 from .plans.scratch import cut
 from .queries import _BALANCES, _balances, _block_query, query, table
@@ -66,9 +66,8 @@ def band_join_fields(spark: SparkSession, d: str) -> DataFrame:
     """Customers and suppliers that are near in the mean of balance and nation number."""
     c = table(spark, d, "customer").select(F.lit("").alias("block"), F.col("c_custkey").alias("left_key"), F.col("c_acctbal").alias("a"), F.col("c_nationkey").alias("b"))
     s = table(spark, d, "supplier").select(F.lit("").alias("block"), F.col("s_suppkey").alias("right_key"), F.col("s_acctbal").alias("c"), F.col("s_nationkey").alias("d"))
-    pairs = band_pairs(c, s, [("a", "c"), ("b", "d")], 0.98).join(c, "left_key").join(s.drop("block"), "right_key")
-    mean = (proximity(F.col("a"), F.col("c")) + proximity(F.col("b"), F.col("d"))) / 2
-    return pairs.where(mean >= 0.98).select(F.col("left_key").alias("l"), F.col("right_key").alias("r"), F.round(mean, 6).alias("proximity"))
+    pairs = mean_pairs(c, s, [("a", "c"), ("b", "d")], 0.98)
+    return pairs.where("proximity >= 0.98").select(F.col("left_key").alias("l"), F.col("right_key").alias("r"), F.round("proximity", 6).alias("proximity"))
 
 
 _PAIRED_TEXTS = f"""
