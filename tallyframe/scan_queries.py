@@ -126,7 +126,8 @@ def text_decoding(spark: SparkSession, d: str) -> DataFrame:
     more = F.when(key % 3 == 0, "").otherwise(F.concat(sep, F.lit("x")))
     content = F.concat(F.lit("number"), sep, F.lit("name"), more, F.lit("\r\n"), key.cast("string"), sep, name, more, F.lit("\r\n"))
     data = F.when(key % 2 == 0, F.encode(content, "UTF-8")).when(key % 4 == 1, F.encode(F.concat(F.lit("\ufeff"), content), "UTF-8")).otherwise(F.encode(content, "ISO-8859-1"))
-    made = table(spark, d, "customer").select(F.concat(F.lit("c"), key.cast("string"), F.lit(".csv")).alias("path"), data.alias("content"))
+    spread = table(spark, d, "customer").select("c_custkey", "c_name").repartition(4 * spark.sparkContext.defaultParallelism, "c_custkey")  # few bytes a row, a file's work each
+    made = spread.select(F.concat(F.lit("c"), key.cast("string"), F.lit(".csv")).alias("path"), data.alias("content"))
     cells = files.parsed(made).where("warning is null")
     return cells.groupBy("doc_id").agg(F.max(F.when((F.col("r") == 1) & (F.col("c") == 1), F.col("text"))).alias("cell"), (F.max("c") + 1).alias("n_columns"))
 

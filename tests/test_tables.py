@@ -3,6 +3,7 @@
 import json
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -190,3 +191,14 @@ def test_large_files_in_splits(spark, tmp_path):
     (tmp_path / "none").mkdir()
     (tmp_path / "none/x.csv").write_text("\n")
     assert delimited.read_large(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_cells_of_many_files_go_out_together(monkeypatch):
+    from tallyframe.sources import files
+
+    frames = [pd.DataFrame({"path": [f"{i}.csv" for i in range(50)], "content": [b"a;b\n1;2\n"] * 50})] * 2
+    out = list(files.parse_frames()(iter(frames)))
+    assert len(out) == 1 and len(out[0]) == 400
+    monkeypatch.setattr(files, "OUT_ROWS", 7)
+    parts = list(files.parse_frames()(iter(frames)))
+    assert max(map(len, parts)) == 7 and pd.concat(parts).reset_index(drop=True).equals(out[0])
