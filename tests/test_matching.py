@@ -247,4 +247,4 @@ def test_near_numbers_are_not_joined_again(spark):
     from tallyframe import queries
 
     found = queries.block_field(spark, "/root/testdata/sf0.001")
-    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") <= 3
+    assert not re.search(r"left_key#\d+ = left_key#\d+", found._jdf.queryExecution().optimizedPlan().toString())
