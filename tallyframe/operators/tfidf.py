@@ -8,10 +8,15 @@ term scores at most the sum of (own weight x largest weight) from there on, and
 unit vector. First each query meets the postings of its rarest terms; the best of these sets its bar. Then only terms from
 which the bar can still be reached are joined, and of the pairs that meet only those whose share so far, with the bound of the
 rest, reaches it are scored in full.
+
+A corpus of few postings goes to every task instead: queries are dealt once by their terms in it, and all their pairs are summed,
+and the best taken, by the task that has the query. Long texts share terms with most of such a corpus, so bounds would save little.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +27,8 @@ from ..plans.scratch import written
 PROBES = 2
 #: Below this a difference of similarities is one of rounding.
 SLACK = 1e-7
+#: Postings of a corpus that every task may hold (about 100 bytes each), and pairs that a task is meant to sum at a time.
+FEW_POSTINGS, TASK_PAIRS = 50_000, 500_000
 
 
 def _terms(df: DataFrame, text: str) -> DataFrame:
@@ -42,10 +49,8 @@ def _unit(weighed: DataFrame) -> DataFrame:
     return weighed.withColumn("w", raw / norm).drop("tf", "idf")
 
 
-def _tables(queries: DataFrame, corpus: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+def _tables(queries: DataFrame, idf: DataFrame, right: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     """The terms of queries, rarest first, with what they and those after them can add at most; the postings of the corpus."""
-    idf, right = weights(corpus, text)
-    right = written(right)
     known = written(idf.join(right.groupBy("block", "term").agg(F.max("w").alias("most")), ["block", "term"]))
     left = _unit(_terms(queries, text).join(known, ["block", "term"]))
     order = Window.partitionBy("block", "id").orderBy("df", "term")
@@ -67,12 +72,27 @@ def _first(found: DataFrame) -> DataFrame:
     return found.groupBy("block", "left_id").agg(F.min(key).alias("best")).select("block", "left_id", "best.right_id", "best.similarity")
 
 
-def best_matches(queries: DataFrame, corpus: DataFrame, text: str = "text", least: float = 0.0) -> DataFrame:
+def _dealt_best(queries: DataFrame, idf: DataFrame, right: DataFrame, text: str) -> DataFrame:
+    """:func:`_first` of every query against a corpus that every task holds; only the queries' terms that the corpus has are shuffled."""
+    spark, size = queries.sparkSession, right.select("block", "id").distinct().count()
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(queries.count() * size / TASK_PAIRS))
+    said = queries.select("block", "id", F.explode(tokens(F.col(text))).alias("term")).join(F.broadcast(idf.drop("df")), ["block", "term"])
+    left = _unit(said.repartition(tasks, "block", "id").groupBy("block", "id", "term").agg(F.count("*").alias("tf"), F.first("idf").alias("idf")))
+    own = left.select("block", F.col("id").alias("left_id"), "term", F.col("w").alias("wl"))
+    postings = right.select("block", "term", F.col("id").alias("right_id"), F.col("w").alias("wr"))
+    return _first(own.join(F.broadcast(postings), ["block", "term"]).groupBy("block", "left_id", "right_id").agg(F.sum(F.col("wl") * F.col("wr")).alias("similarity")))
+
+
+def best_matches(queries: DataFrame, corpus: DataFrame, text: str = "text", least: float = 0.0, few: int = FEW_POSTINGS) -> DataFrame:
     """``block, left_id, right_id, similarity`` (0 to 100): of each query the corpus text with the highest similarity; of equals (to nine places) that with the smallest id.
 
-    Matches below ``least`` may be left out. Queries that share no term with their corpus have none.
+    Matches below ``least`` may be left out. Queries that share no term with their corpus have none. A corpus of ``few`` postings at most is held by every task.
     """
-    left, right = _tables(queries, corpus, text)
+    idf, right = weights(corpus, text)
+    right = written(right)
+    if right.count() <= few:
+        return _dealt_best(queries, idf, right, text).withColumn("similarity", F.col("similarity") * 100)
+    left, right = _tables(queries, idf, right, text)
     meet = lambda terms: terms.join(right, ["block", "term"])
     probed = meet(left.where(F.col("place") <= PROBES).select("block", "left_id", "term")).select("block", "left_id", "right_id").distinct()
     bars = written(_first(_scored(probed, left, right)))

@@ -248,3 +248,16 @@ def test_near_numbers_are_not_joined_again(spark):
 
     found = queries.block_field(spark, "/root/testdata/sf0.001")
     assert not re.search(r"left_key#\d+ = left_key#\d+", found._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_best_match_of_few_postings(spark):
+    """A small corpus goes to the queries: no pair is shuffled, and both ways agree."""
+    chance = random.Random(8)
+    text = lambda k: " ".join(f"w{int(chance.paretovariate(0.7)) % 60}" for _ in range(k))
+    frame = lambda n, k: spark.createDataFrame([("ab"[i % 2], i, text(chance.randrange(k))) for i in range(n)], "block string, id long, text string")
+    asked, corpus = frame(150, 60).persist(), frame(60, 20).persist()
+    found, pruned = tfidf.best_matches(asked, corpus), tfidf.best_matches(asked, corpus, few=0)
+    shown = lambda df: {(r.block, r.left_id, r.right_id, round(r.similarity, 6)) for r in df.collect()}
+    assert shown(found) == shown(pruned) and found.count() > 100
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and not [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "right_id" in x]
