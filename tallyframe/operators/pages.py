@@ -1,15 +1,18 @@
-"""Rows of tables from positioned words of pages, as joins and windows over words; tests of labels and cells as expressions.
+"""Rows of tables from positioned words of pages, as one grouping by page and expressions over its words; tests of labels and cells as expressions.
 
-Words are ``doc, page, page_width, text, x0, x1, top, size``. Only what lines hold follows from one word after the other (a
-line takes the words within reach of its first one); that is a fold over the words of a page. Columns come from gaps between
-right edges, cells from a range join of a page's words and columns.
+Words are ``doc, page, page_width, text, x0, x1, top, size``. What lines hold follows from one word after the other (a line takes
+the words within reach of its first one); that is a fold over the words of a page. Columns come from gaps between right edges, by
+another fold; cells from a page's words and its few columns.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import let
+from .bands import once
+
 PAGE = ["doc", "page"]
 #: Geometry in points, and shares of rows and of the page's width from which values are a column (fixed values).
 LINE_GAP, COLUMN_GAP, COLUMN_SLACK, LABEL_GAP, FOOTNOTE, COLUMN_SHARE, COLUMN_LEFT = 3.0, 16.0, 12.0, 4.0, 1.2, 0.35, 0.25
@@ -82,54 +85,72 @@ def is_section(label: Column) -> Column:
     return (F.size(words) <= 6) & first.rlike(r"^\p{Lu}") & ~F.lower(first).isin(*GOING_ON)
 
 
-def lines(words: DataFrame) -> DataFrame:
-    """``words`` with ``line`` (0, 1, ... down a page) and ``line_top``: a line takes the words within reach of its first one."""
-    word = F.struct(F.round(F.col("top") / LINE_GAP).alias("band"), "x0", "top", "text", "x1", "size", "page_width")
-    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(-1).alias("line"), F.array().cast("array<struct<line:int,anchor:double>>").alias("out"))
+def lines(words: Column) -> Column:
+    """``anchor, at, n`` of the lines of a page's words from the top down (``words[at - 1]`` is the first of ``n``): a line takes the words within reach of its first one."""
+    line = lambda top, at, n: F.struct(top.alias("anchor"), at.alias("at"), n.alias("n"))
+    start = F.struct(line(F.lit(None).cast("double"), F.lit(1), F.lit(0)).alias("now"), F.array().cast("array<struct<anchor:double,at:int,n:int>>").alias("done"))
 
     def step(acc: Column, w: Column) -> Column:
-        near = F.coalesce(F.abs(w["top"] - acc["anchor"]) <= LINE_GAP, F.lit(False))
-        anchor, line = F.when(near, acc["anchor"]).otherwise(w["top"].cast("double")), F.when(near, acc["line"]).otherwise(acc["line"] + 1)
-        return F.struct(anchor.alias("anchor"), line.alias("line"), F.concat(acc["out"], F.array(F.struct(line.alias("line"), anchor.alias("anchor")))).alias("out"))
+        now, top = acc["now"], w["top"]
+        begun = F.struct(line(top, now["at"] + now["n"], F.lit(1)).alias("now"), F.when(now["n"] > 0, F.concat(acc["done"], F.array(now))).otherwise(acc["done"]).alias("done"))
+        near = F.coalesce(F.abs(top - now["anchor"]) <= LINE_GAP, F.lit(False))
+        return F.when(near, F.struct(line(now["anchor"], now["at"], now["n"] + 1).alias("now"), acc["done"].alias("done"))).otherwise(begun)
+
+    return F.aggregate(words, start, step, lambda acc: F.concat(acc["done"], F.array(acc["now"])))
+
+
+def value_columns(words: Column, n_lines: Column) -> Column:
+    """``col, left, right`` of a page's columns of right-aligned values that enough lines fill, from left to right."""
+    kind = "struct<left:double,right:double,total:double,n:int,width:double>"
+    values = F.sort_array(F.transform(F.filter(words, lambda w: w["value"]), lambda w: F.struct(w["x1"].alias("x1"), w["x0"].alias("x0"), w["page_width"].alias("width"))))
+    start = F.struct(F.lit(None).cast(kind).alias("now"), F.array().cast(f"array<{kind}>").alias("done"))
+    cluster = lambda left, right, total, n, width: F.struct(left.alias("left"), right.alias("right"), total.alias("total"), n.alias("n"), width.alias("width"))
+
+    def step(acc: Column, v: Column) -> Column:
+        now = acc["now"]
+        begun = F.struct(cluster(v["x0"], v["x1"], v["x1"], F.lit(1), v["width"]).alias("now"), F.when(now.isNotNull(), F.concat(acc["done"], F.array(now))).otherwise(acc["done"]).alias("done"))
+        more = cluster(F.least(now["left"], v["x0"]), v["x1"], now["total"] + v["x1"], now["n"] + 1, now["width"])
+        return F.when(v["x1"] - now["right"] <= COLUMN_GAP, F.struct(more.alias("now"), acc["done"].alias("done"))).otherwise(begun)
 
-    pages = words.groupBy(*PAGE).agg(F.array_sort(F.collect_list(word)).alias("w"))
-    told = pages.select(*PAGE, F.inline(F.arrays_zip("w", F.aggregate("w", start, step, lambda a: a["out"]).alias("l"))))
-    return told.select(*PAGE, "w.page_width", "w.text", "w.x0", "w.x1", "w.top", "w.size", F.col("l.line").alias("line"), F.col("l.anchor").alias("line_top"))
+    found = F.aggregate(values, start, step, lambda acc: F.filter(F.concat(acc["done"], F.array(acc["now"])), lambda c: c.isNotNull()))
+    enough = F.greatest(F.lit(2), F.floor(n_lines * COLUMN_SHARE))
+    kept = F.filter(found, lambda c: (c["n"] >= enough) & (c["total"] / c["n"] > c["width"] * COLUMN_LEFT))
+    return F.transform(F.sort_array(F.transform(kept, lambda c: F.struct(c["left"].alias("left"), c["right"].alias("right")))), lambda c, i: F.struct(i.alias("col"), c["left"].alias("left"), c["right"].alias("right")))
 
 
-def value_columns(placed: DataFrame) -> DataFrame:
-    """``doc, page, col, left, right``: columns of right-aligned values that enough lines fill, from left to right."""
-    edge = Window.partitionBy(*PAGE).orderBy("x1", "line", "x0")
-    n = placed.groupBy(*PAGE).agg(F.countDistinct("line").alias("n_lines"))
-    values = placed.where(is_value(F.col("text"))).withColumn("cut", (F.col("x1") - F.lag("x1").over(edge) > COLUMN_GAP).cast("int"))
-    values = values.withColumn("cluster", F.coalesce(F.sum("cut").over(edge), F.lit(0)))
-    found = values.groupBy(*PAGE, "cluster").agg(F.min("x0").alias("left"), F.max("x1").alias("right"), F.avg("x1").alias("mean"), F.count("*").alias("n"), F.first("page_width").alias("page_width"))
-    kept = found.join(n, PAGE).where((F.col("n") >= F.greatest(F.lit(2), F.floor(F.col("n_lines") * COLUMN_SHARE))) & (F.col("mean") > F.col("page_width") * COLUMN_LEFT))
-    return kept.select(*PAGE, (F.row_number().over(Window.partitionBy(*PAGE).orderBy("left")) - 1).alias("col"), "left", "right")
+def _middle(numbers: Column) -> Column:
+    """The median of an array."""
+    of = lambda s: (F.get(s, F.floor((F.size(s) - 1) / 2).cast("int")) + F.get(s, F.floor(F.size(s) / 2).cast("int"))) / 2
+    return let(F.sort_array(F.filter(numbers, lambda x: x.isNotNull())), of)
 
 
 def rows(words: DataFrame) -> DataFrame:
     """``doc, page, line, top, size, label, cells``: each line's label and its text in each column, of pages that have columns.
 
     A word stands in the first column that its middle lies over; else it is of the label if it ends before the first column.
-    Small figures are footnote marks and go.
+    Small figures are footnote marks and go. Words are brought together once a page; all else is worked out from the page's words.
     """
-    placed = lines(words)
-    columns = value_columns(placed)
-    first = columns.groupBy(*PAGE).agg(F.min("left").alias("begin"), F.count("*").cast("int").alias("n_columns"))
-    usual = placed.groupBy(*PAGE).agg(F.median("size").alias("usual"))
-    middle = (F.col("x0") + F.col("x1")) / 2
-    own = placed.join(first, PAGE).join(usual, PAGE).withColumn("word", F.monotonically_increasing_id()).withColumn("mid", middle)
-    over = (F.col("mid") >= F.col("left") - COLUMN_SLACK) & (F.col("mid") <= F.col("right") + COLUMN_SLACK)
-    hit = own.select(*PAGE, "line", "x0", "text", "mid").join(columns, PAGE).where(over).groupBy(*PAGE, "line", "x0", "text").agg(F.min("col").alias("col"))
-    of = own.join(hit, [*PAGE, "line", "x0", "text"], "left")
-    mark = is_value(F.col("text")) & (F.col("size") < F.col("usual") - FOOTNOTE)
-    in_label = F.col("col").isNull() & (F.col("x1") < F.col("begin") - LABEL_GAP) & ~mark
-    said = lambda keep: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("x0", "text")))), lambda x: x["text"]), " ")
-    cells = F.array_sort(F.collect_list(F.when(F.col("col").isNotNull(), F.struct("col", "x0", "text"))))
-    whole = of.groupBy(*PAGE, "line").agg(F.min("line_top").alias("top"), F.max("size").alias("size"), said(in_label).alias("label"), cells.alias("found"), F.first("n_columns").alias("n_columns"))
-    each = F.transform(F.sequence(F.lit(0), F.col("n_columns") - 1), lambda i: F.array_join(F.transform(F.filter("found", lambda x: x["col"] == i), lambda x: x["text"]), " "))
-    return whole.select(*PAGE, "line", "top", "size", "label", each.alias("cells"))
+    word = F.struct(F.round(F.col("top") / LINE_GAP).alias("band"), "x0", F.col("top").cast("double").alias("top"), "text", "x1", "size", "page_width", is_value(F.col("text")).alias("value"))
+    paged = once(words.groupBy(*PAGE).agg(F.collect_list(word).alias("found")), "words", F.sort_array("found")).drop("found")
+    paged = once(paged, "lines", lines(F.col("words")))
+    paged = once(paged, "columns", value_columns(F.col("words"), F.size("lines"))).where(F.size("columns") > 0)
+    paged = once(paged, "usual", _middle(F.transform("words", lambda w: w["size"])))
+    n_columns, begin = F.size("columns"), F.get("columns", F.lit(0))["left"]
+
+    def column_of(w: Column) -> Column:
+        mid = (w["x0"] + w["x1"]) / 2
+        return let(mid, lambda m: F.get(F.filter("columns", lambda c: (m >= c["left"] - COLUMN_SLACK) & (m <= c["right"] + COLUMN_SLACK)), F.lit(0))["col"])
+
+    in_label = lambda w: (w["x1"] < begin - LABEL_GAP) & ~(w["value"] & (w["size"] < F.col("usual") - FOOTNOTE))
+    placed = F.transform("words", lambda w: let(column_of(w), lambda c: F.struct(F.when(c.isNotNull(), c).when(in_label(w), -1).alias("col"), w["x0"].alias("x0"), w["text"].alias("text"), w["size"].alias("size"))))
+    said = lambda ws, i: F.array_join(F.transform(F.filter(ws, lambda w: w["col"] == i), lambda w: w["text"]), " ")
+
+    def told(x: Column, i: Column) -> Column:
+        own = F.slice("placed", x["at"], x["n"])
+        size = F.array_max(F.transform(own, lambda w: w["size"]))
+        return let(F.sort_array(own), lambda ws: F.struct(i.alias("line"), x["anchor"].alias("top"), size.alias("size"), said(ws, F.lit(-1)).alias("label"), F.transform(F.sequence(F.lit(0), n_columns - 1), lambda k: said(ws, k)).alias("cells")))
+
+    return once(paged, "placed", placed).select(*PAGE, F.inline(F.transform("lines", told)))
 
 
 def accepted(found: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from .queries import cents, query, table
 def _words(spark, d) -> DataFrame:
     """Words of a page an order: for each line item a label, a quantity (or a dash) and a price (credits in brackets), right-aligned, not quite on one line; a small mark after every third label."""
     n, price = F.col("l_linenumber"), F.format_number(cents(F.col("l_extendedprice")), 2)
-    items = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("l_quantity"), F.max("l_extendedprice").alias("l_extendedprice"), F.max("l_returnflag").alias("l_returnflag"))
+    items = table(spark, d, "lineitem").repartition("l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("l_quantity"), F.max("l_extendedprice").alias("l_extendedprice"), F.max("l_returnflag").alias("l_returnflag"))
     quantity = F.when(n % 4 == 0, "–").otherwise(F.col("l_quantity").cast("int").cast("string"))
     amount = F.when(n % 3 == 0, F.concat(F.lit("("), price, F.lit(")"))).otherwise(price)
     width = lambda t: F.length(t) * 6.0

@@ -202,3 +202,17 @@ def test_cells_of_many_files_go_out_together(monkeypatch):
     monkeypatch.setattr(files, "OUT_ROWS", 7)
     parts = list(files.parse_frames()(iter(frames)))
     assert max(map(len, parts)) == 7 and pd.concat(parts).reset_index(drop=True).equals(out[0])
+
+
+def test_page_rows_are_one_grouping(spark):
+    """Words are brought together once a page, and nothing is joined back to them."""
+    from tallyframe.operators import pages
+
+    words = [("d", 1, 600.0, t, x0, x1, top, size) for t, x0, x1, top, size in (
+        ("Net", 40.0, 58.0, 10.0, 9.0), ("sales", 62.0, 90.0, 11.0, 9.0), ("1,200", 270.0, 300.0, 10.5, 9.0), ("2", 92.0, 96.0, 9.0, 5.0), ("7", 440.0, 450.0, 10.0, 9.0),
+        ("Costs", 40.0, 70.0, 24.0, 9.0), ("(30)", 276.0, 301.0, 24.0, 9.0), ("–", 445.0, 450.0, 25.0, 9.0), ("far", 500.0, 520.0, 24.0, 9.0))]
+    words += [("none", 1, 600.0, "text", 40.0, 60.0, 10.0, 9.0)]
+    found = pages.rows(spark.createDataFrame(words, "doc string, page int, page_width double, text string, x0 double, x1 double, top double, size double"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert sorted((r.doc, r.line, r.label, r.cells) for r in found.collect()) == [("d", 0, "Net sales", ["1,200", "7"]), ("d", 1, "Costs", ["(30)", "–"])]
