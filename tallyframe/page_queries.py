@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import pages
+from .plans.scratch import written
 from .queries import cents, query, table
 
 
@@ -41,7 +42,7 @@ def page_rows(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_ITEMS} SELECT DISTINCT doc, CAST(count(*) OVER (PARTITION BY doc) AS BIGINT) AS n, true AS accepted, CASE WHEN doc % 2 = 0 THEN 'Order ' || doc WHEN doc % 3 = 0 THEN 'Items' END AS title FROM kept")
 def page_tables(spark: SparkSession, d: str) -> DataFrame:
     """The tables of those pages: rows, whether they are taken for tables, and the title above: large ones, else bold ones that are nearer than small print."""
-    found = pages.rows(_words(spark, d))
+    found = written(pages.rows(_words(spark, d)))
     top = found.groupBy("doc", "page").agg(F.min("top").alias("top"), F.max("size").alias("size"), F.count("*").alias("n"))
     head = lambda text, up, size, bold: F.struct(text.alias("text"), (F.col("top") - up).alias("top"), F.lit(size).alias("size"), F.lit(bold).alias("bold"))
     doc = F.col("doc")
