@@ -216,3 +216,18 @@ def test_page_rows_are_one_grouping(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
     assert sorted((r.doc, r.line, r.label, r.cells) for r in found.collect()) == [("d", 0, "Net sales", ["1,200", "7"]), ("d", 1, "Costs", ["(30)", "–"])]
+
+
+def test_bytes_of_refused_files_stay_where_they_are(spark):
+    """Only files whose kind is read send their bytes to the parser; what is told of all stays the same."""
+    from tallyframe.sources import files
+
+    made = [("a/b.PDF", b"%PDF"), ("c.xls", b"x"), ("d.bin", b"x"), ("e", b"x"), (".csv", b"a,b\n"), ("f.csv", b" \n"), ("g.XLSX", b"no zip"), ("h.json", b"{}"), ("i.txt", b"a  b\nc  d"), ("x.csv/j", b"a,b")]
+    given = spark.createDataFrame(made, "path string, content binary")
+    (seen,) = [f for f in files.parsed(given)._jdf.queryExecution().optimizedPlan().toString().splitlines() if "AS content" in f][:1]
+    assert "CASE WHEN" in seen and "pdf" not in seen
+    got = {(r.doc_id, r.code) for r in files.warnings(files.parsed(given)).collect()}
+    want = {(p.rsplit("/", 1)[-1], r[6]) for p, data in made for r in files.parse_file(p.rsplit("/", 1)[-1], data) if r[6]}
+    assert got == want and len(got) == 8
+    cells = sum(not r[6] for p, data in made for r in files.parse_file(p.rsplit("/", 1)[-1], data))
+    assert files.parsed(given).where("warning is null").count() == cells == 7
