@@ -12,7 +12,7 @@ stops when the error no longer falls.
 
 Tokens are the pieces that tokenizers begin with: runs of letters, of up to three digits and of other
 signs, and each letter of a script that is written without blanks. A topic is a column, or the nearest of
-``TOPICS`` centroids of weighed words (spherical k-means, fitted on a bounded sample of ``SAMPLE_DOCS`` documents).
+``TOPICS`` centroids of weighed words (spherical k-means over all documents, in rounds of distributed sums).
 
 Defined results: a null source, language or topic is a value of its own; documents without pieces have no
 tokens, count for nothing and are kept where their cell has none; a document none of whose words the topics know has topic
@@ -26,6 +26,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import partial
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -36,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import join_hot
-from .common import materialise, memo_of, sample_of, slices, spare, WordMemo
+from .common import materialise, memo_of, slices, small, spare, WordMemo
 
 #: Letters of scripts whose words are not set apart by blanks.
 UNSPACED = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]"
@@ -44,8 +45,19 @@ PIECE = regex.compile(rf"{UNSPACED}|(?:(?!{UNSPACED})[\p{{L}}\p{{M}}])+|\p{{N}}{
 _UNSPACED = regex.compile(UNSPACED)
 #: Texts are measured together up to so many characters.
 SLICE_CHARS = 4_000_000
-#: Documents that topics are fitted on at most, number of topics, and words that tell them apart.
-SAMPLE_DOCS, TOPICS, TOPIC_WORDS = 2000, 8, 3000
+#: Number of topics, and words that tell them apart.
+TOPICS, TOPIC_WORDS = 8, 3000
+#: Parts of unit vectors are added up in whole steps, this many to 1: sums are the same in any order.
+STEPS = float(1 << 30)
+#: Documents that are tried for each first centre.
+SEEDS = 4
+#: Runs of texts and their unit vectors, a row each; lists of numbers as bytes, which pass through Spark as they are.
+BLOCKS = "terms array<string>, held array<long>, texts long, marks binary, sizes binary, places binary, times binary"
+VECTORS = "marks binary, sizes binary, places binary, parts binary"
+#: Documents that are tried for each first centre.
+SEEDS = 4
+#: A document's vector: a number that follows from its text, its length, the places of its terms and how often it has them.
+VECTOR = "mark long, norm double, places array<int>, times array<int>"
 #: Sweeps at most, and the error of a marginal share at which they end.
 ROUNDS, TOLERANCE = 100, 1e-6
 #: Powers of the natural shares that make the default targets: 1 keeps them, 0 makes all values equal.
@@ -126,43 +138,209 @@ class Topics:
         return scores, counts
 
 
-def fit_topics(texts: list[str], n: int = TOPICS, words: int = TOPIC_WORDS, rounds: int = 25) -> Topics:
-    """Centroids of documents as unit vectors of logarithmic counts times inverse document frequencies."""
-    counts = [Counter(t for w in words for t in terms(w)) for words in split_words(texts).to_pylist()]
-    held = Counter(t for c in counts for t in c)
-    worth = {t: k * np.log(len(texts) / k) ** 2 for t, k in held.items() if 3 <= k <= 0.4 * len(texts)}
-    chosen = sorted(worth, key=lambda t: (-worth[t], t))[:words]
-    place = {t: i for i, t in enumerate(chosen)}
-    idf = np.array([np.log(len(texts) / held[t]) for t in chosen], dtype=np.float32)
-    rows = np.zeros((len(texts), len(chosen)), dtype=np.float32)
-    for row, c in zip(rows, counts, strict=True):
-        for t, k in c.items():
-            if (i := place.get(t)) is not None:
-                row[i] = np.log1p(k) * idf[i]
-    norm = np.linalg.norm(rows, axis=1)
-    rows = rows[norm > 0] / norm[norm > 0][:, None]
-    if not len(rows):
+def _told(texts: list[str]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The text of each term of some texts, the term's place among the distinct terms, and those."""
+    lists = split_words(texts)
+    owner = np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    coded = lists.flatten().dictionary_encode()
+    at, words = coded.indices.to_numpy(), coded.dictionary
+    core = pc.utf8_trim(words, SIGNS)
+    spelling = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], "int32"), words.cast("string")), "")[0].as_py()
+    letters = [c for c in map(chr, np.flatnonzero(np.bincount(np.frombuffer(spelling.encode("utf-32-le"), np.uint32)))) if _UNSPACED.match(c)]
+    paired = pc.match_substring_regex(words, "[" + "".join(f"\\x{{{ord(c):x}}}" for c in letters) + "]").to_numpy(zero_copy_only=False) if letters else np.zeros(len(words), dtype=bool)
+    whole = ~paired & (pc.utf8_length(core).to_numpy() > 2)
+    odd = np.flatnonzero(paired)
+    parts = [terms(w) for w in words.take(pa.array(odd)).to_pylist()]
+    number = whole.astype(np.int64)
+    number[odd] = [len(x) for x in parts]
+    spelt = pa.concat_arrays([core.filter(pa.array(whole)), pa.array([t for x in parts for t in x], core.type)]).dictionary_encode()
+    of_word = np.concatenate([np.flatnonzero(whole), np.repeat(odd, number[odd])])
+    codes = spelt.indices.to_numpy()[np.argsort(of_word, kind="stable")]
+    n, start = number[at], (np.cumsum(number) - number)[at]
+    place = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    return np.repeat(owner, n), codes[place], spelt.dictionary
+
+
+def _pairs(doc: np.ndarray, code: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each document and code that occur together, once, and how often."""
+    keys, times = np.unique(doc * size + code, return_counts=True)
+    return keys // max(size, 1), keys % max(size, 1), times
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of texts, a row each: their terms, in how many of the texts each is, a number that follows from each text, and each
+    text's number of terms, their places among those of the run and how often it has them (as bytes of whole numbers).
+    """
+    for batch in small(batches, 2048):
+        every = batch.column("text").to_pylist()
+        for start, end in slices(every, SLICE_CHARS):
+            texts = every[start:end]
+            doc, code, known = _told(texts)
+            doc, code, times = _pairs(doc, code, len(known))
+            marks = b"".join(blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest() for t in texts)
+            held = pa.array(np.bincount(code, minlength=len(known)), "int64")
+            body = [np.bincount(doc, minlength=len(texts)), code, times]
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(known)], "int32"), x) for x in (known.cast("string"), held)]
+            yield pa.RecordBatch.from_arrays([*lists, pa.array([len(texts)], "int64"), pa.array([marks]), *[pa.array([x.astype(np.int32).tobytes()]) for x in body]], ["terms", "held", "texts", "marks", "sizes", "places", "times"])
+
+
+def _vectors(batches: Iterator[pa.RecordBatch], chosen: list[str], idf: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The unit vectors of the texts of each run that have chosen terms: see ``VECTORS``."""
+    wanted = pa.array(chosen, pa.large_string())
+    for batch in batches:
+        for i in range(batch.num_rows):
+            marks, sizes, codes, times = (np.frombuffer(batch.column(n)[i].as_buffer(), t) for n, t in (("marks", np.int64), ("sizes", np.int32), ("places", np.int32), ("times", np.int32)))
+            place = pc.fill_null(pc.index_in(batch.column("terms")[i].values.cast(pa.large_string()), wanted), -1).to_numpy()[codes]
+            doc = np.repeat(np.arange(len(sizes)), sizes)[place >= 0]
+            order = np.lexsort((place[place >= 0], doc))  # sums are taken in the same order whatever the run
+            doc, place, part = doc[order], place[place >= 0][order], np.log1p(times[place >= 0].astype(np.float64))[order]
+            part /= np.sqrt(np.bincount(doc, weights=(part * idf[place]) ** 2, minlength=len(sizes)))[doc]
+            size = np.bincount(doc, minlength=len(sizes))
+            body = [marks[size > 0], size[size > 0].astype(np.int32), place.astype(np.int32), part.astype(np.float32)]
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]) for x in body], ["marks", "sizes", "places", "parts"])
+
+
+def _opened(batches: Iterator[pa.RecordBatch], weighed: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each run the number of each document; document, place and part of each entry; cosines of documents and centres."""
+    by_place = np.ascontiguousarray(weighed.T)
+    for batch in batches:
+        for i in range(batch.num_rows):
+            marks, sizes, place, part = (np.frombuffer(batch.column(n)[i].as_buffer(), t) for n, t in (("marks", np.int64), ("sizes", np.int32), ("places", np.int32), ("parts", np.float32)))
+            if len(marks):
+                doc = np.repeat(np.arange(len(sizes)), sizes)
+                yield marks, doc, place, part, np.add.reduceat(by_place[place] * part[:, None], np.cumsum(sizes) - sizes, axis=0).T
+
+
+def _race(marks: np.ndarray, far: np.ndarray, k: int) -> np.ndarray:
+    """When each document comes in the race number ``k``, in which chances grow with the distances ``far``; those at a centre never do."""
+    h = marks.view(np.uint64) + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    time = -np.log(((h ^ (h >> np.uint64(31))) >> np.uint64(12)).astype(np.float64) / 2.0**52 + 2.0**-53)
+    return np.divide(time, far, out=np.full(len(far), np.inf), where=far > 1e-9)
+
+
+def _seeds(batches: Iterator[pa.RecordBatch], weighed: np.ndarray, tried: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Were each of ``tried`` a centre beside ``weighed``: the distances left (a sum in ``STEPS``), and the ``SEEDS`` documents that come first in the next race."""
+    left, firsts = [0] * len(tried), [[] for _ in tried]
+    for marks, doc, place, part, cosines in _opened(batches, np.vstack([weighed, tried])):
+        best = cosines[: len(weighed)].max(0, initial=0)
+        for j, cosine in enumerate(cosines[len(weighed) :]):
+            far = 1 - np.maximum(best, cosine)
+            left[j] += int(np.rint(far * STEPS).sum())
+            time = _race(marks, far, len(weighed) + 1)
+            rows = [(time[k], marks[k], place[doc == k], part[doc == k]) for k in np.lexsort((marks, time))[:SEEDS] if np.isfinite(time[k])]
+            firsts[j] = sorted(firsts[j] + rows, key=lambda r: r[:2])[:SEEDS]
+    rows = [(j, left[j], None, None, None, None) for j in range(len(tried))] + [(j, 0, *row) for j, found in enumerate(firsts) for row in found]
+    types = (pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.float32()))
+    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], ["at", "left", "time", "mark", "places", "parts"])
+
+
+def _moved(batches: Iterator[pa.RecordBatch], weighed: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Sums of the unit vectors (in ``STEPS``) that are nearest to each centre."""
+    n, size = weighed.shape
+    total = np.zeros(n * size, dtype=np.int64)
+    for _, doc, place, part, cosines in _opened(batches, weighed):
+        total += np.bincount(cosines.argmax(0)[doc] * size + place, weights=np.rint(part * STEPS), minlength=n * size).astype(np.int64)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at, "int32"), pa.array(total[at])], ["at", "value"])
+
+
+def _placed(found: pa.Table, size: int) -> np.ndarray:
+    out = np.zeros(size)
+    out[found.column("at").to_numpy()] = found.column("value").to_numpy()
+    return out
+
+
+def _drawn(rows: list, size: int) -> tuple[np.ndarray, list[list]]:
+    """For each centre tried the distances left, and the documents that come first; ``rows`` are a few a task."""
+    left, firsts = np.zeros(size), [[] for _ in range(size)]
+    for r in rows:
+        if r["time"] is None:
+            left[r["at"]] += r["left"]
+        else:
+            firsts[r["at"]].append(r)
+    return left, [sorted(f, key=lambda r: (r["time"], r["mark"]))[:SEEDS] for f in firsts]
+
+
+def _worth(total: int, n: float) -> float:
+    return n * np.log(total / n) ** 2
+
+
+def _centred(chosen: list[str], idf: np.ndarray, n: int, rounds: int, seeds: Callable, sums: Callable) -> Topics:
+    """Spherical k-means: ``seeds`` and ``sums`` put together what :func:`_seeds` and :func:`_moved` give for all vectors."""
+    if not chosen:
         return Topics({}, n)
-    rng = np.random.default_rng(13)
-    centres = rows[rng.integers(len(rows))][None, :]
-    while len(centres) < n:  # each next one with a chance that grows with its distance from those before
-        far = np.maximum(1 - (rows @ centres.T).max(1), 0).astype(np.float64)
-        centres = np.vstack([centres, rows[rng.choice(len(rows), p=far / far.sum()) if far.sum() > 1e-9 else rng.integers(len(rows))]])
+    centres, started = np.zeros((0, len(chosen))), False
+    tried = np.zeros((1, len(chosen)))  # none: the first race is even
+    while len(centres) < n:  # each next one is that of some drawn far from those before that leaves documents the nearest
+        left, firsts = seeds(partial(_seeds, weighed=centres * idf, tried=tried * idf), len(tried))
+        if started:
+            centres = np.vstack([centres, tried[left.argmin()]])
+        started, rows = True, firsts[left.argmin()]
+        tried = np.zeros((len(rows), len(chosen))) if rows else centres[-1:].copy()  # no rows: all documents are at a centre
+        for seed, row in zip(tried, rows):
+            places = np.array(row["places"])
+            seed[places] = np.array(row["parts"]) * idf[places]
     for _ in range(rounds):
-        own = (rows @ centres.T).argmax(1)
-        moved = np.stack([rows[own == k].sum(0) if (own == k).any() else centres[k] for k in range(n)])
-        moved /= np.maximum(np.linalg.norm(moved, axis=1, keepdims=True), 1e-9)
+        moved = sums(partial(_moved, weighed=centres * idf), centres.size).reshape(centres.shape) / STEPS * idf
+        length = np.linalg.norm(moved, axis=1, keepdims=True)
+        moved = np.divide(moved, length, out=centres.copy(), where=length > 0)
         if np.allclose(moved, centres, atol=1e-6):
             break
         centres = moved
     scores = (centres * idf).T
-    return Topics({t: scores[i] for t, i in place.items()}, n)
+    return Topics({t: scores[i] for i, t in enumerate(chosen)}, n)
+
+
+def fit_topics(texts: list[str], n: int = TOPICS, words: int = TOPIC_WORDS, rounds: int = 25) -> Topics:
+    """What :func:`train_topics` gives for the same texts, worked out here: for few texts."""
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["text"])
+    blocks = list(_blocks(iter([batch])))
+    held: Counter = Counter()
+    for b in blocks:
+        held.update(dict(zip(*(b.column(c)[0].as_py() for c in ("terms", "held")), strict=True)))
+    total = len(texts)
+    worth = {t: _worth(total, k) for t, k in held.items() if 3 <= k <= 0.4 * total}
+    chosen = sorted(worth, key=lambda t: (-worth[t], t))[:words]
+    idf = np.array([np.log(total / held[t]) for t in chosen])
+    vectors = list(_vectors(iter(blocks), chosen, idf))
+
+    def seeds(step: Callable, size: int) -> tuple[np.ndarray, list[list]]:
+        return _drawn([r for b in step(iter(vectors)) for r in b.to_pylist()], size)
+
+    def sums(step: Callable, size: int) -> np.ndarray:
+        return _placed(pa.Table.from_batches(step(iter(vectors))), size)
 
+    return _centred(chosen, idf, n, rounds, seeds, sums)
 
-def train_topics(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> Topics:
-    """Topics of the texts of a sample of ``sample_docs`` documents at most (of all if there are fewer), equal texts once."""
+
+def train_topics(docs: DataFrame, text_col: str = "text", n: int = TOPICS, words: int = TOPIC_WORDS, rounds: int = 25) -> Topics:
+    """Centroids of all documents as unit vectors of logarithmic counts times inverse document frequencies.
+
+    Every document counts, copies as often as they come. Texts are read once; each first centre and each round of moves is a pass
+    over the vectors. The driver gets the chosen words and the sums of the centres.
+    """
     rows = docs.select(F.col(text_col).cast("string").alias("text")).where("text is not null")
-    return fit_topics(sorted(r["text"] for r in sample_of(rows, sample_docs).distinct().collect()))
+    blocks, _ = materialise(rows.mapInArrow(_blocks, BLOCKS), "blocks")
+    each = blocks.select(F.explode(F.arrays_zip("terms", "held")).alias("x")).select(F.col("x.terms").alias("term"), F.col("x.held").alias("n"))
+    held = each.groupBy("term").agg(F.sum("n").alias("n")).where("n >= 3")
+    total = blocks.agg(F.sum("texts")).first()[0] or 0
+    worth = F.col("n") * F.pow(F.log(F.lit(float(total)) / F.col("n")), F.lit(2.0))
+    best = held.where(F.col("n") <= 0.4 * total).repartition(16).orderBy(worth.desc(), "term").limit(words).collect() if total else []
+    chosen, idf = [r["term"] for r in best], np.array([np.log(total / r["n"]) for r in best])
+    if not chosen:
+        return Topics({}, n)
+    vectors, _ = materialise(blocks.drop("held", "texts").mapInArrow(partial(_vectors, chosen=chosen, idf=idf), VECTORS), "vectors")
+    vectors = vectors.coalesce(docs.sparkSession.sparkContext.defaultParallelism)  # each task of a pass gives sums of its own
+
+    def seeds(step: Callable, size: int) -> tuple[np.ndarray, list[list]]:
+        return _drawn(vectors.mapInArrow(step, "at int, left long, time double, mark long, places array<int>, parts array<float>").collect(), size)
+
+    def sums(step: Callable, size: int) -> np.ndarray:
+        return _placed(vectors.mapInArrow(step, "at int, value long").groupBy("at").agg(F.sum("value").alias("value")).toArrow(), size)
+
+    return _centred(chosen, idf, n, rounds, seeds, sums)
 
 
 def draw(id_col: Column, text: Column, seed: int) -> Column:

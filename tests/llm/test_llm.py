@@ -554,3 +554,18 @@ def test_pipeline(spark):
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert {r.doc_id for r in out.collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
     assert out.join(queries.table(spark, SF, "documents"), "doc_id").where(F.sha2("text", 256) != F.col("decoded_sha256")).count() == 0
+
+
+def test_mixing_topics_of_all_documents(spark):
+    """Topics are learnt from every document, whatever the tasks: the same as from all texts at once."""
+    rng = random.Random(5)
+    subjects = [[f"{a}{i}" for i in range(40)] for a in ("apple", "stone", "river")]
+    docs = [" ".join(rng.choice(subjects[k % 3]) for _ in range(12)) for k in range(3000)] + ["rareword alone here"] * 3 + ["漢字 漢字か", "", None]
+    rows = spark.createDataFrame([(t,) for t in docs], "text string").repartition(7)
+    whole = mixing.fit_topics([t for t in docs if t is not None], n=3)
+    found = mixing.train_topics(rows, n=3)
+    assert "rareword" in found.scores and list(found.scores) == list(whole.scores)
+    assert np.array_equal(found.matrix, whole.matrix)
+    assert mixing.train_topics(rows.where("false")).scores == {}
+    told, codes, known = mixing._told(["(stone3) ab 漢字か", "état ÉTAT! stone3"])
+    assert sorted(zip(told.tolist(), known.take(codes).to_pylist())) == [(0, "stone3"), (0, "字か"), (0, "漢字"), (1, "stone3"), (1, "état"), (1, "état")]
