@@ -49,15 +49,11 @@ SLICE_CHARS = 4_000_000
 TOPICS, TOPIC_WORDS = 8, 3000
 #: Parts of unit vectors are added up in whole steps, this many to 1: sums are the same in any order.
 STEPS = float(1 << 30)
-#: Documents that are tried for each first centre.
-SEEDS = 4
-#: Runs of texts and their unit vectors, a row each; lists of numbers as bytes, which pass through Spark as they are.
-BLOCKS = "terms array<string>, held array<long>, texts long, marks binary, sizes binary, places binary, times binary"
-VECTORS = "marks binary, sizes binary, places binary, parts binary"
-#: Documents that are tried for each first centre.
-SEEDS = 4
-#: A document's vector: a number that follows from its text, its length, the places of its terms and how often it has them.
-VECTOR = "mark long, norm double, places array<int>, times array<int>"
+#: Documents that are tried for each first centre, and documents that a pass over the vectors has in hand at a time.
+SEEDS, RUN = 4, 512
+#: A document's pieces and vector: a number that follows from its text, the places of its terms, how often it has them and their
+#: parts of the unit vector (lists of numbers as bytes, which pass through Spark as they are). Rows are small, so batches are, too.
+VECTOR = "pieces long, mark long, places binary, times binary, parts binary"
 #: Sweeps at most, and the error of a marginal share at which they end.
 ROUNDS, TOLERANCE = 100, 1e-6
 #: Powers of the natural shares that make the default targets: 1 keeps them, 0 makes all values equal.
@@ -85,33 +81,21 @@ def terms(word: str) -> list[str]:
 
 
 @dataclass
-class Topics:
-    """Scores of words for each topic."""
+class Known:
+    """The terms that tell topics apart; a term's place is that in the list."""
 
-    scores: dict[str, np.ndarray]
-    n: int
+    terms: list[str]
     mark: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def __post_init__(self) -> None:
-        self.places = {t: i for i, t in enumerate(self.scores, 1)}
-        self.matrix = np.array([np.zeros(self.n), *self.scores.values()])
+        self.places = {t: i for i, t in enumerate(self.terms)}
 
-    def words(self, words: list[str]) -> list[tuple[int, np.ndarray | None]]:
-        """Number of pieces of words that are not plainly letters between signs, and the scores of those whose letters are read in pairs."""
-        return [(len(PIECE.findall(w)), sum(self.matrix[self.places.get(t, 0)] for t in terms(w)) if not w.isascii() and _UNSPACED.search(w) else None) for w in words]
-
-    def of(self, texts: list[str], memo: WordMemo) -> tuple[list[str], list[int]]:
-        """Topic and number of pieces of each text."""
-        topics: list[str] = []
-        pieces: list[int] = []
-        for start, end in slices(texts, SLICE_CHARS):
-            scores, counts = self._measured(texts[start:end], memo)
-            known = scores.any(1) if self.n else np.zeros(len(counts), dtype=bool)
-            topics += [f"t{k}" if ok else "none" for k, ok in zip(scores.argmax(1), known, strict=True)] if self.n else ["none"] * len(counts)
-            pieces += counts.tolist()
-        return topics, pieces
+    def words(self, words: list[str]) -> list[tuple[int, list[int] | None]]:
+        """Number of pieces of words that are not plainly letters between signs, and the places in those whose letters are read in pairs."""
+        return [(len(PIECE.findall(w)), [self.places[t] for t in terms(w) if t in self.places] if not w.isascii() and _UNSPACED.search(w) else None) for w in words]
 
-    def _measured(self, texts: list[str], memo: WordMemo) -> tuple[np.ndarray, np.ndarray]:
+    def told(self, texts: list[str], memo: WordMemo) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Text, place and number of times of each term that is known, by text and place; and the number of pieces of each text."""
         lists = split_words(texts)
         owner = np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy(zero_copy_only=False))
         coded = lists.flatten().dictionary_encode()
@@ -120,22 +104,53 @@ class Topics:
         core = pc.utf8_rtrim(right, SIGNS)
         lead, trail = pc.not_equal(pc.binary_length(vocabulary), pc.binary_length(right)), pc.not_equal(pc.binary_length(right), pc.binary_length(core))
         number = (pc.add(lead.cast("int64"), trail.cast("int64")).to_numpy() + 1) * (pc.binary_length(vocabulary).to_numpy() > 0)
-        place = pc.fill_null(pc.index_in(core, pa.array(list(self.scores), core.type)), -1).to_numpy() + 1
+        place = pc.fill_null(pc.index_in(core, pa.array(self.terms, core.type)), -1).to_numpy().astype(np.int64)
         unspaced = pc.match_substring_regex(vocabulary, UNSPACED)
         odd = np.flatnonzero(pc.and_(pc.or_(pc.invert(pc.utf8_is_alpha(core)), unspaced), pc.greater(pc.binary_length(vocabulary), 0)).to_numpy(zero_copy_only=False))
-        matrix, paired = self.matrix, []
-        for i, (n, score) in zip(odd, memo.values(vocabulary.take(pa.array(odd)).to_pylist()), strict=True):
+        paired = {}
+        for i, (n, places) in zip(odd, memo.values(vocabulary.take(pa.array(odd)).to_pylist()), strict=True):
             number[i] = n
-            if score is not None:
-                place[i] = len(matrix) + len(paired)
-                paired.append(score)
+            if places is not None:
+                place[i], paired[i] = -1, places
+        pieces = np.bincount(owner, weights=number[at], minlength=len(texts)).astype(np.int64)
+        doc, of = owner[place[at] >= 0], place[at][place[at] >= 0]
         if paired:
-            matrix = np.vstack([matrix, *paired])
-        counts = np.bincount(owner, weights=number[at], minlength=len(texts)).astype(np.int64)
-        telling = place[at] > 0
-        of, row = owner[telling], place[at[telling]]
-        scores = np.stack([np.bincount(of, weights=matrix[row, k], minlength=len(texts)) for k in range(self.n)], 1) if self.n else np.zeros((len(texts), 0))
-        return scores, counts
+            often = np.zeros(len(vocabulary), dtype=np.int64)
+            often[list(paired)] = [len(x) for x in paired.values()]
+            held = np.flatnonzero(often[at] > 0)
+            doc = np.concatenate([doc, np.repeat(owner[held], often[at[held]])])
+            of = np.concatenate([of, np.array([p for i in at[held].tolist() for p in paired[i]], dtype=np.int64)])
+        return *_pairs(doc, of, len(self.terms)), pieces
+
+
+@dataclass
+class Topics:
+    """Scores of words for each topic."""
+
+    scores: dict[str, np.ndarray]
+    n: int
+
+    def __post_init__(self) -> None:
+        self.known = Known(list(self.scores))
+        self.mark, self.words = self.known.mark, self.known.words
+        self.matrix = np.array(list(self.scores.values())).reshape(len(self.scores), self.n)
+
+    def named(self, doc: np.ndarray, place: np.ndarray, times: np.ndarray, size: int) -> list[str]:
+        """The topic of each of ``size`` texts with such terms."""
+        if not self.n:
+            return ["none"] * size
+        scores = np.stack([np.bincount(doc, weights=self.matrix[place, k] * times, minlength=size) for k in range(self.n)], 1)
+        return [f"t{k}" if ok else "none" for k, ok in zip(scores.argmax(1), scores.any(1), strict=True)]
+
+    def of(self, texts: list[str], memo: WordMemo) -> tuple[list[str], list[int]]:
+        """Topic and number of pieces of each text."""
+        topics: list[str] = []
+        pieces: list[int] = []
+        for start, end in slices(texts, SLICE_CHARS):
+            *found, counts = self.known.told(texts[start:end], memo)
+            topics += self.named(*found, len(counts))
+            pieces += counts.tolist()
+        return topics, pieces
 
 
 def _told(texts: list[str]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -167,48 +182,66 @@ def _pairs(doc: np.ndarray, code: np.ndarray, size: int) -> tuple[np.ndarray, np
     return keys // max(size, 1), keys % max(size, 1), times
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of texts, a row each: their terms, in how many of the texts each is, a number that follows from each text, and each
-    text's number of terms, their places among those of the run and how often it has them (as bytes of whole numbers).
-    """
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of texts: their terms, and in how many of the texts each is; the number of texts stands at null."""
     for batch in small(batches, 2048):
         every = batch.column("text").to_pylist()
         for start, end in slices(every, SLICE_CHARS):
-            texts = every[start:end]
-            doc, code, known = _told(texts)
-            doc, code, times = _pairs(doc, code, len(known))
-            marks = b"".join(blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest() for t in texts)
-            held = pa.array(np.bincount(code, minlength=len(known)), "int64")
-            body = [np.bincount(doc, minlength=len(texts)), code, times]
-            lists = [pa.ListArray.from_arrays(pa.array([0, len(known)], "int32"), x) for x in (known.cast("string"), held)]
-            yield pa.RecordBatch.from_arrays([*lists, pa.array([len(texts)], "int64"), pa.array([marks]), *[pa.array([x.astype(np.int32).tobytes()]) for x in body]], ["terms", "held", "texts", "marks", "sizes", "places", "times"])
-
-
-def _vectors(batches: Iterator[pa.RecordBatch], chosen: list[str], idf: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The unit vectors of the texts of each run that have chosen terms: see ``VECTORS``."""
-    wanted = pa.array(chosen, pa.large_string())
-    for batch in batches:
-        for i in range(batch.num_rows):
-            marks, sizes, codes, times = (np.frombuffer(batch.column(n)[i].as_buffer(), t) for n, t in (("marks", np.int64), ("sizes", np.int32), ("places", np.int32), ("times", np.int32)))
-            place = pc.fill_null(pc.index_in(batch.column("terms")[i].values.cast(pa.large_string()), wanted), -1).to_numpy()[codes]
-            doc = np.repeat(np.arange(len(sizes)), sizes)[place >= 0]
-            order = np.lexsort((place[place >= 0], doc))  # sums are taken in the same order whatever the run
-            doc, place, part = doc[order], place[place >= 0][order], np.log1p(times[place >= 0].astype(np.float64))[order]
-            part /= np.sqrt(np.bincount(doc, weights=(part * idf[place]) ** 2, minlength=len(sizes)))[doc]
-            size = np.bincount(doc, minlength=len(sizes))
-            body = [marks[size > 0], size[size > 0].astype(np.int32), place.astype(np.int32), part.astype(np.float32)]
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]) for x in body], ["marks", "sizes", "places", "parts"])
+            doc, code, known = _told(every[start:end])
+            keys = np.sort(doc * max(len(known), 1) + code)
+            held = np.bincount(keys[np.diff(keys, prepend=-1) > 0] % max(len(known), 1), minlength=len(known))
+            for at in range(0, len(known), 10_000):
+                yield pa.RecordBatch.from_arrays([known[at : at + 10_000].cast("string"), pa.array(held[at : at + 10_000], "int64")], ["term", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([None], "string"), pa.array([end - start], "int64")], ["term", "n"])
+
+
+def _place_type(terms: int) -> type:
+    return np.uint16 if terms <= 1 << 16 else np.uint32
+
+
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Runs of numbers as bytes."""
+    ends = np.concatenate([[0], np.cumsum(sizes) * values.itemsize]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(values.tobytes())])
+
+
+def _read(lists: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """What :func:`_lists` was given: all numbers, and how many each run has."""
+    lists = lists.cast(pa.large_binary())
+    ends = np.frombuffer(lists.buffers()[1], np.int64)[lists.offset : lists.offset + len(lists) + 1]
+    size = np.dtype(kind).itemsize
+    count = int(ends[-1] - ends[0]) // size
+    values = np.frombuffer(lists.buffers()[2], kind, count, int(ends[0])) if count else np.zeros(0, kind)
+    return values, np.diff(ends) // size
+
+
+def _vectors(texts: list[str], known: Known, idf: np.ndarray, memo: WordMemo) -> Iterator[pa.StructArray]:
+    """Pieces and unit vectors of texts, in runs: see ``VECTOR``; those without known terms have empty ones."""
+    for start, end in slices(texts, SLICE_CHARS):
+        doc, place, times, pieces = known.told(texts[start:end], memo)
+        part = np.log1p(times.astype(np.float64))
+        part /= np.sqrt(np.bincount(doc, weights=(part * idf[place]) ** 2, minlength=len(pieces)))[doc]
+        size = np.bincount(doc, minlength=len(pieces))
+        marks = b"".join(blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest() for t in texts[start:end])
+        lists = [_lists(x, size) for x in (place.astype(_place_type(len(known.terms))), times.astype(np.int32), part.astype(np.float32))]
+        yield pa.StructArray.from_arrays([pa.array(pieces, "int64"), pa.array(np.frombuffer(marks, np.int64)), *lists], ["pieces", "mark", "places", "times", "parts"])
 
 
 def _opened(batches: Iterator[pa.RecordBatch], weighed: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of each run the number of each document; document, place and part of each entry; cosines of documents and centres."""
-    by_place = np.ascontiguousarray(weighed.T)
+    """Of runs of documents (each with an entry) the number and the size of each; place and part of each entry; cosines of documents and centres."""
+    kind = _place_type(weighed.shape[1])
     for batch in batches:
-        for i in range(batch.num_rows):
-            marks, sizes, place, part = (np.frombuffer(batch.column(n)[i].as_buffer(), t) for n, t in (("marks", np.int64), ("sizes", np.int32), ("places", np.int32), ("parts", np.float32)))
-            if len(marks):
-                doc = np.repeat(np.arange(len(sizes)), sizes)
-                yield marks, doc, place, part, np.add.reduceat(by_place[place] * part[:, None], np.cumsum(sizes) - sizes, axis=0).T
+        for start in range(0, batch.num_rows, RUN):
+            run = batch.slice(start, RUN)
+            places, sizes = _read(run.column("places"), kind)
+            part, place = _read(run.column("parts"), np.float32)[0], places.astype(np.intp)
+            wide, shares, starts = part.astype(np.float64), np.empty(len(part)), np.cumsum(sizes) - sizes
+            cosines = np.empty((len(weighed), len(sizes)))
+            for row, out in zip(weighed, cosines, strict=True):
+                np.take(row, place, out=shares, mode="clip")
+                np.multiply(shares, wide, out=shares)
+                np.add.reduceat(shares, starts, out=out)
+            yield run.column("mark").to_numpy(), sizes, place, part, cosines
 
 
 def _race(marks: np.ndarray, far: np.ndarray, k: int) -> np.ndarray:
@@ -223,13 +256,13 @@ def _race(marks: np.ndarray, far: np.ndarray, k: int) -> np.ndarray:
 def _seeds(batches: Iterator[pa.RecordBatch], weighed: np.ndarray, tried: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Were each of ``tried`` a centre beside ``weighed``: the distances left (a sum in ``STEPS``), and the ``SEEDS`` documents that come first in the next race."""
     left, firsts = [0] * len(tried), [[] for _ in tried]
-    for marks, doc, place, part, cosines in _opened(batches, np.vstack([weighed, tried])):
-        best = cosines[: len(weighed)].max(0, initial=0)
+    for marks, sizes, place, part, cosines in _opened(batches, np.vstack([weighed, tried])):
+        best, ends = cosines[: len(weighed)].max(0, initial=0), np.concatenate([[0], np.cumsum(sizes)])
         for j, cosine in enumerate(cosines[len(weighed) :]):
             far = 1 - np.maximum(best, cosine)
             left[j] += int(np.rint(far * STEPS).sum())
             time = _race(marks, far, len(weighed) + 1)
-            rows = [(time[k], marks[k], place[doc == k], part[doc == k]) for k in np.lexsort((marks, time))[:SEEDS] if np.isfinite(time[k])]
+            rows = [(time[k], marks[k], place[ends[k] : ends[k + 1]].copy(), part[ends[k] : ends[k + 1]].copy()) for k in np.lexsort((marks, time))[:SEEDS] if np.isfinite(time[k])]
             firsts[j] = sorted(firsts[j] + rows, key=lambda r: r[:2])[:SEEDS]
     rows = [(j, left[j], None, None, None, None) for j in range(len(tried))] + [(j, 0, *row) for j, found in enumerate(firsts) for row in found]
     types = (pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.float32()))
@@ -240,8 +273,8 @@ def _moved(batches: Iterator[pa.RecordBatch], weighed: np.ndarray) -> Iterator[p
     """Sums of the unit vectors (in ``STEPS``) that are nearest to each centre."""
     n, size = weighed.shape
     total = np.zeros(n * size, dtype=np.int64)
-    for _, doc, place, part, cosines in _opened(batches, weighed):
-        total += np.bincount(cosines.argmax(0)[doc] * size + place, weights=np.rint(part * STEPS), minlength=n * size).astype(np.int64)
+    for _, sizes, place, part, cosines in _opened(batches, weighed):
+        total += np.bincount(np.repeat(cosines.argmax(0) * size, sizes) + place, weights=np.rint(part * STEPS), minlength=n * size).astype(np.int64)
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at, "int32"), pa.array(total[at])], ["at", "value"])
 
@@ -296,43 +329,52 @@ def _centred(chosen: list[str], idf: np.ndarray, n: int, rounds: int, seeds: Cal
 def fit_topics(texts: list[str], n: int = TOPICS, words: int = TOPIC_WORDS, rounds: int = 25) -> Topics:
     """What :func:`train_topics` gives for the same texts, worked out here: for few texts."""
     batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["text"])
-    blocks = list(_blocks(iter([batch])))
     held: Counter = Counter()
-    for b in blocks:
-        held.update(dict(zip(*(b.column(c)[0].as_py() for c in ("terms", "held")), strict=True)))
+    for b in _counted(iter([batch])):
+        held.update({t: k for t, k in zip(*(c.to_pylist() for c in b.columns), strict=True) if t is not None})
     total = len(texts)
     worth = {t: _worth(total, k) for t, k in held.items() if 3 <= k <= 0.4 * total}
     chosen = sorted(worth, key=lambda t: (-worth[t], t))[:words]
-    idf = np.array([np.log(total / held[t]) for t in chosen])
-    vectors = list(_vectors(iter(blocks), chosen, idf))
+    known, idf = Known(chosen), np.array([np.log(total / held[t]) for t in chosen])
+    found = [pa.RecordBatch.from_struct_array(v) for v in _vectors(texts, known, idf, WordMemo(known.words))]
+
+    def vectors() -> Iterator[pa.RecordBatch]:
+        return (v.filter(pc.greater(pc.binary_length(v.column("places")), 0)) for v in found)
 
     def seeds(step: Callable, size: int) -> tuple[np.ndarray, list[list]]:
-        return _drawn([r for b in step(iter(vectors)) for r in b.to_pylist()], size)
+        return _drawn([r for b in step(vectors()) for r in b.to_pylist()], size)
 
     def sums(step: Callable, size: int) -> np.ndarray:
-        return _placed(pa.Table.from_batches(step(iter(vectors))), size)
+        return _placed(pa.Table.from_batches(step(vectors())), size)
 
     return _centred(chosen, idf, n, rounds, seeds, sums)
 
 
-def train_topics(docs: DataFrame, text_col: str = "text", n: int = TOPICS, words: int = TOPIC_WORDS, rounds: int = 25) -> Topics:
-    """Centroids of all documents as unit vectors of logarithmic counts times inverse document frequencies.
-
-    Every document counts, copies as often as they come. Texts are read once; each first centre and each round of moves is a pass
-    over the vectors. The driver gets the chosen words and the sums of the centres.
-    """
-    rows = docs.select(F.col(text_col).cast("string").alias("text")).where("text is not null")
-    blocks, _ = materialise(rows.mapInArrow(_blocks, BLOCKS), "blocks")
-    each = blocks.select(F.explode(F.arrays_zip("terms", "held")).alias("x")).select(F.col("x.terms").alias("term"), F.col("x.held").alias("n"))
-    held = each.groupBy("term").agg(F.sum("n").alias("n")).where("n >= 3")
-    total = blocks.agg(F.sum("texts")).first()[0] or 0
+def _telling(texts: DataFrame, words: int) -> tuple[Known, np.ndarray]:
+    """The words of ``text`` that tell topics apart, and their inverse document frequencies."""
+    each = texts.where("text is not null").mapInArrow(_counted, "term string, n long")
+    held, _ = materialise(each.groupBy("term").agg(F.sum("n").alias("n")).where("n >= 3 or term is null"), "terms")
+    total = held.where("term is null").agg(F.sum("n")).first()[0] or 0
     worth = F.col("n") * F.pow(F.log(F.lit(float(total)) / F.col("n")), F.lit(2.0))
-    best = held.where(F.col("n") <= 0.4 * total).repartition(16).orderBy(worth.desc(), "term").limit(words).collect() if total else []
-    chosen, idf = [r["term"] for r in best], np.array([np.log(total / r["n"]) for r in best])
-    if not chosen:
-        return Topics({}, n)
-    vectors, _ = materialise(blocks.drop("held", "texts").mapInArrow(partial(_vectors, chosen=chosen, idf=idf), VECTORS), "vectors")
-    vectors = vectors.coalesce(docs.sparkSession.sparkContext.defaultParallelism)  # each task of a pass gives sums of its own
+    best = held.where(F.col("term").isNotNull() & (F.col("n") <= 0.4 * total)).repartition(16).orderBy(worth.desc(), "term").limit(words).collect() if total else []
+    return Known([r["term"] for r in best]), np.array([np.log(total / r["n"]) for r in best])
+
+
+def _vector(text: Column, known: Known, idf: np.ndarray) -> Column:
+    """The struct ``VECTOR`` of a text."""
+
+    def of(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        memo, none = memo_of(known), next(_vectors([""], known, idf, WordMemo(known.words)))[:0]
+        for column in columns:
+            yield pa.concat_arrays([none, *(v for at in range(0, len(column), 2048) for v in _vectors(column.slice(at, 2048).to_pylist(), known, idf, memo))])
+
+    of.__annotations__ = {"columns": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(of, VECTOR)(F.coalesce(text, F.lit("")))
+
+
+def _fitted(vectors: DataFrame, known: Known, idf: np.ndarray, n: int, rounds: int) -> Topics:
+    """Centres of ``mark, places, parts``; each first centre and each round of moves is a pass over these columns."""
+    vectors = vectors.where("length(places) > 0").coalesce(vectors.sparkSession.sparkContext.defaultParallelism)  # each task of a pass gives sums of its own
 
     def seeds(step: Callable, size: int) -> tuple[np.ndarray, list[list]]:
         return _drawn(vectors.mapInArrow(step, "at int, left long, time double, mark long, places array<int>, parts array<float>").collect(), size)
@@ -340,7 +382,21 @@ def train_topics(docs: DataFrame, text_col: str = "text", n: int = TOPICS, words
     def sums(step: Callable, size: int) -> np.ndarray:
         return _placed(vectors.mapInArrow(step, "at int, value long").groupBy("at").agg(F.sum("value").alias("value")).toArrow(), size)
 
-    return _centred(chosen, idf, n, rounds, seeds, sums)
+    return _centred(known.terms, idf, n, rounds, seeds, sums)
+
+
+def train_topics(docs: DataFrame, text_col: str = "text", n: int = TOPICS, words: int = TOPIC_WORDS, rounds: int = 25) -> Topics:
+    """Centroids of all documents as unit vectors of logarithmic counts times inverse document frequencies.
+
+    Every document counts, copies as often as they come. Texts are read twice, for the words and for the vectors. The driver gets
+    the chosen words and the sums of the centres.
+    """
+    texts = docs.select(F.col(text_col).cast("string").alias("text"))
+    known, idf = _telling(texts, words)
+    if not known.terms:
+        return Topics({}, n)
+    vectors, _ = materialise(texts.select(_vector(F.col("text"), known, idf).alias("v")).select("v.mark", "v.places", "v.parts"), "vectors")
+    return _fitted(vectors, known, idf, n, rounds)
 
 
 def draw(id_col: Column, text: Column, seed: int) -> Column:
@@ -467,7 +523,9 @@ def probabilities(cells: DataFrame, targets: dict[str, dict] | None = None, powe
 def _marked(docs: DataFrame, carry: list[str], names: list[str], id_col: str, text_col: str, source_col: str, lang_col: str, topic_col: str | None, topics: Topics | None, targets: dict[str, dict] | None, powers: dict[str, float], budget: float, seed: int) -> DataFrame:
     source, lang, topic, count, chance, kept = names
     text = F.col(text_col).cast("string")
-    model = topics or (train_topics(docs, text_col) if topic_col is None else Topics({}, 0))
+    learnt = topics is None and topic_col is None
+    known, idf = _telling(docs.select(text.alias("text")), TOPIC_WORDS) if learnt else (Known([]), np.zeros(0))
+    model = topics or Topics({}, 0)
 
     def said(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         memo = memo_of(model)
@@ -475,13 +533,26 @@ def _marked(docs: DataFrame, carry: list[str], names: list[str], id_col: str, te
             found = model.of([x or "" for x in t], memo)
             yield pd.DataFrame({"topic": pd.Series(found[0], dtype=object), "pieces": pd.Series(found[1], dtype="int64")})
 
+    def named(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for places, times in columns:
+            (place, sizes), (often, _) = _read(places, _place_type(len(model.scores))), _read(times, np.int32)
+            yield pa.array(model.named(np.repeat(np.arange(len(sizes)), sizes), place.astype(np.intp), often, len(sizes)), "string")
+
     said.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    named.__annotations__ = {"columns": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
     number = draw(F.col(id_col), F.coalesce(text, F.lit("")), seed)
-    (measured,) = spare(carry + names, "measured_text")
-    named = F.col(topic_col).cast("string") if topic_col is not None else F.lit(None).cast("string")
-    rows = docs.select(*carry, F.col(source_col).cast("string").alias(source), F.col(lang_col).cast("string").alias(lang), named.alias(topic), F.pandas_udf(said, "topic string, pieces long")(text).alias(measured), number.alias(kept))
-    rows = rows.select(*carry, source, lang, F.col(f"{measured}.topic").alias(topic) if topic_col is None else topic, F.col(f"{measured}.pieces").alias(count), kept)
+    measured, mark, places, times, parts = spare(carry + names, "measured_text", "vector_mark", "vector_places", "vector_times", "vector_parts")
+    given = F.col(topic_col).cast("string") if topic_col is not None else F.lit(None).cast("string")
+    # of texts whose topics are learnt the vectors are kept, and topics are read from these
+    measure = _vector(text, known, idf) if learnt else F.pandas_udf(said, "topic string, pieces long")(text)
+    rows = docs.select(*carry, F.col(source_col).cast("string").alias(source), F.col(lang_col).cast("string").alias(lang), given.alias(topic), measure.alias(measured), number.alias(kept))
+    part = lambda n, name: F.col(f"{measured}.{n}").alias(name)
+    vector = [part("mark", mark), part("places", places), part("times", times), part("parts", parts)] if learnt else []
+    rows = rows.select(*carry, source, lang, topic if topic_col is not None or learnt else part("topic", topic), part("pieces", count), kept, *vector)
     rows, _ = materialise(rows, "measured")
+    if learnt:
+        model = _fitted(rows.select(F.col(mark).alias("mark"), F.col(places).alias("places"), F.col(parts).alias("parts")), known, idf, TOPICS, 25) if known.terms else Topics({}, TOPICS)
+        rows = rows.withColumn(topic, F.arrow_udf(named, "string")(places, times)).drop(mark, places, times, parts)
     cells = rows.groupBy(F.col(source).alias("source"), F.col(lang).alias("lang"), F.col(topic).alias("topic")).agg(F.sum(count).alias("tokens"), F.count("*").alias("n"))
     p, _ = materialise(probabilities(materialise(cells, "cells")[0], targets, powers, budget), "chances")
     (cell,) = spare(rows.columns + names, "cell_of_row")

@@ -569,3 +569,20 @@ def test_mixing_topics_of_all_documents(spark):
     assert mixing.train_topics(rows.where("false")).scores == {}
     told, codes, known = mixing._told(["(stone3) ab 漢字か", "état ÉTAT! stone3"])
     assert sorted(zip(told.tolist(), known.take(codes).to_pylist())) == [(0, "stone3"), (0, "字か"), (0, "漢字"), (1, "stone3"), (1, "état"), (1, "état")]
+
+
+def test_mixing_vectors_are_rows_of_documents(spark, monkeypatch):
+    """Topics are learnt from tables with a small row a document, so that no batch of rows grows with the input."""
+    rng = random.Random(7)
+    docs = [(i, " ".join(rng.sample([f"word{k}" for k in range(90)], 25)), "en", "a") for i in range(2000)]
+    seen, write = {}, mixing.materialise
+    monkeypatch.setattr(mixing, "materialise", lambda df, name: (seen.setdefault(name, write(df, name)[0]), ""))
+    rows = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").coalesce(1)
+    assert mixing.mark(rows, carry=["doc_id"]).where("mix_topic <> 'none'").count() == 2000
+    mixing.train_topics(rows)
+    assert seen["measured"].count() == seen["vectors"].count() == 2000 and "blocks" not in seen
+    for name in ("measured", "vectors", "terms"):
+        for c, kind in seen[name].dtypes:
+            assert not kind.startswith("array")
+            if kind == "binary":
+                assert seen[name].agg(F.max(F.length(c))).first()[0] <= 4 * 25
