@@ -9,11 +9,10 @@ from . import oracles
 from .config import EngineConfig
 from .operators import matching
 from .operators import profile as profiles
-from .operators.assign import assign
+from .operators.assign import assign_groups
 from .operators.bands import mean_pairs
 from .plans.reconcile import reconcile
-from .plans.scratch import cut
-from .queries import _BALANCES, _balances, _block_query, query, table
+from .queries import _BALANCES, _balances, _block_query, _near_balances, query, table
 
 STRATEGIES = {
     "fields": [{"name": "name", "role": "key"}, {"name": "price", "dtype": "money"}],
@@ -42,9 +41,9 @@ def band_join(spark: SparkSession, d: str) -> DataFrame:
     SELECT l AS left_key, r AS right_key FROM taken
 """)
 def assign_near(spark: SparkSession, d: str) -> DataFrame:
-    """One-to-one links of customers and suppliers of a nation by nearness of their balances, in parts if there are more than 100 links."""
-    found = cut(_block_query(spark, d, 0.95, blocking_field="nation"))
-    return assign(found, [-F.col("confidence")], 100)
+    """One-to-one links of customers and suppliers of a nation by nearness of their balances, those of equal balances as one."""
+    near = lambda left, right, least: _near_balances(left, right, 0.95 if least is None else least, blocking_field="nation")
+    return assign_groups(*_balances(spark, d), ["nation", "balance"], near)
 
 
 _CELLS = {"c_custkey": "CAST(CAST(c_custkey AS BIGINT) AS VARCHAR)", "c_name": "lower(trim(c_name))", "c_nationkey": "CAST(CAST(c_nationkey AS BIGINT) AS VARCHAR)", "c_mktsegment": "lower(trim(c_mktsegment))"}

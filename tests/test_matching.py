@@ -261,3 +261,30 @@ def test_best_match_of_few_postings(spark):
     assert shown(found) == shown(pruned) and found.count() > 100
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and not [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "right_id" in x]
+
+
+def test_assign_groups_without_all_links(spark, monkeypatch):
+    """Equal rows are linked as one, in bands: the same as taking every link in order; copies of rows make no more links."""
+    rng = random.Random(11)
+    lefts = [(f"c{i}", rng.choice("ab"), rng.choice([None, *range(100, 130)])) for i in rng.sample(range(10_000), 300)]
+    rights = [(f"s{i}", rng.choice("ab"), rng.choice([None, *range(100, 130)])) for i in rng.sample(range(10_000), 60)]
+    every = [(-(1 - abs(x - y) / 20), a, b) for a, n, x in lefts for b, m, y in rights if n == m and x is not None and y is not None and abs(x - y) <= 8]
+    want, used = set(), set()
+    for _, a, b in sorted(every):
+        if a not in used and b not in used:
+            used |= {a, b}
+            want.add((a, b))
+    made = []
+
+    def near(left, right, least):
+        r = right.select(F.col("key").alias("right_key"), F.col("n").alias("m"), F.col("x").alias("y"))
+        pairs = left.withColumnRenamed("key", "left_key").join(r, (F.col("n") == F.col("m")) & (F.abs(F.col("x") - F.col("y")) <= 8))
+        found = pairs.select("left_key", "right_key", (1 - F.abs(F.col("x") - F.col("y")) / 20).alias("confidence")).where(F.col("confidence") >= (least or 0))
+        made.append(found)
+        return found
+
+    sides = [spark.createDataFrame(rows, "key string, n string, x int") for rows in (lefts, rights)]
+    for bound in (100, 10**6):
+        got = [tuple(r) for r in assign.assign_groups(*sides, ["n", "x"], near, bound).collect()]
+        assert set(got) == want and len(got) == len(want)
+    assert 2 * made[-1].count() < len(every) and len(made) > 4
