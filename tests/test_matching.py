@@ -329,3 +329,17 @@ def test_pairs_of_equal_balances_are_small(spark, tmp_path):
 
 def test_near_pairs_of_equal_balances_are_small(spark, tmp_path):
     assert _equal_balances(spark, tmp_path, "numeric_proximity") < 0.7
+
+
+@pytest.mark.parametrize("accept", [0.0, 0.6])
+def test_equal_numbers_are_scored_as_one(spark, accept):
+    """Candidates that only numbers speak for are scored before rows of equal numbers come apart."""
+    cfg = EngineConfig.from_dict({"fields": [{"name": "k", "role": "key"}, {"name": "v", "dtype": "money"}], "matching": {"fuzzy_enabled": False, "numeric_enabled": True, "accept_threshold": accept}})
+    left, right = [[(f"{s}{i}", i % step) for i in range(n)] for s, n, step in (("l", 40, 7), ("r", 30, 4))]
+    table = lambda rows: spark.createDataFrame(rows, "key string, n int").select("key", F.struct("key").alias("ord"), F.when(F.col("n") > 0, F.col("n")).cast("decimal(28,6)").alias("v"))
+    found = matching.candidates(table(left), table(right), cfg)
+    want = {(a, b, round(1 - abs(x - y) / max(x, y), 4)) for a, x in left for b, y in right if x and y and 1 - abs(x - y) / max(x, y) >= accept}
+    got = [(r.left_key, r.right_key, r.confidence) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate inline" in plan and plan.index("Generate inline") < plan.index("round(")
